@@ -165,14 +165,13 @@ _TRACES = """SELECT trace_id, arg_max(name, struct_pack(e := "end", s := span_id
 @check("trace_search", f"""SELECT * FROM ({_TRACES}) WHERE duration_ms >= 1000 AND contains(lower(root_name), 'get /s') AND "end" >= TIMESTAMP '2024-01-03 00:00:00'
     ORDER BY "end" DESC, trace_id LIMIT 50""")
 def trace_search(spark, d):
-    import datetime
-    since = datetime.datetime(2024, 1, 3, tzinfo=datetime.timezone.utc)
+    since = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")
     return T.trace_search(view(spark, d, "spans"), min_duration_ms=1000, name_contains="GET /S", since=since, limit=50)
 
 
 @check("active_spans", """SELECT trace_id, span_id, name, start, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(start)) / 1000.0 AS age_ms FROM [spans] WHERE "end" IS NULL""")
 def active_spans(spark, d):
-    return T.active_spans(view(spark, d, "spans"), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return T.active_spans(view(spark, d, "spans"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
 
 @check("trace_stats", f"""SELECT (SELECT count(*) FROM ({_TRACES}) WHERE status_code <> 'Error') AS traces_stored, (SELECT count(*) FROM ({_TRACES}) WHERE status_code = 'Error') AS error_traces_stored,

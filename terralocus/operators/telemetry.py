@@ -9,7 +9,7 @@ DURATION_BOUNDS = [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0
 
 
 def _millis(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000.0
 
 
 def traces(spans: DataFrame) -> DataFrame:

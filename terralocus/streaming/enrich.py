@@ -16,16 +16,19 @@ def enrich_stream(points: DataFrame, index: LayerIndex) -> DataFrame:
     return match_index(points, index)
 
 
-def answer_stream(points: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+def answer_stream(points: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                  once: bool = False):
     """Runs a batch plan on every micro-batch and appends its answers as JSON lines.
 
     Each batch writes its own folder, so a batch that is run again after a
-    lost executor replaces its output instead of repeating it.
+    lost executor replaces its output instead of repeating it. With `once`,
+    what has arrived is answered and the stream stops.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         answer_lines(answer(batch)).write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
-    return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    writer = points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def reloading(load: Callable[[int], object], version: Callable[[], int],
