@@ -13,14 +13,14 @@ from terralocus.operators.nearest import nearest
 from terralocus.plans import gazetteer as G
 
 from . import sqlparts as S
-from .inputs import admin, gazetteer_tables, islands, mountains, tiered_places, written
+from .inputs import admin, gazetteer_tables, islands, mountains, saved_index, tiered_places, written
 from .raster_suite import EXPOSURE
 from .registry import check
 from .views import view
 
 
 def _admin_hits(spark, d, points="all_pts"):
-    return G.covering(view(spark, d, points), admin(spark, d), G.ADMIN_COLUMNS)
+    return G.covering(view(spark, d, points), admin(spark, d), G.ADMIN_COLUMNS, saved_index(spark, d, "admin"))
 
 
 def _closure(spark, d):
@@ -84,7 +84,7 @@ def tier_ancestor(spark, d):
 @check("islands", f"""SELECT point_id, name, arg_min(name_native, fid) AS name_native, arg_min(name_source, fid) AS name_source,
     row_number() OVER (PARTITION BY point_id ORDER BY name) - 1 AS pos FROM [all_pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY point_id, name""")
 def islands_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), islands(spark, d), G.ISLAND_COLUMNS)
+    hits = G.covering(view(spark, d, "all_pts"), islands(spark, d), G.ISLAND_COLUMNS, saved_index(spark, d, "islands"))
     rows = L.islands(hits).select("point_id", F.posexplode("islands").alias("pos", "i"))
     return rows.select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
@@ -97,7 +97,7 @@ _MOUNTAIN = f"""SELECT * FROM (SELECT point_id, landform, name, ele, name_source
 @check("mountains", f"""WITH m AS ({_MOUNTAIN}) SELECT point_id, max(CASE WHEN landform='mountain' THEN name END) AS mountain,
     max(CASE WHEN landform='mountain' THEN ele END) AS elevation, max(CASE WHEN landform='range' THEN name END) AS range_name FROM m GROUP BY 1""")
 def mountains_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), mountains(spark, d), G.MOUNTAIN_COLUMNS)
+    hits = G.covering(view(spark, d, "all_pts"), mountains(spark, d), G.MOUNTAIN_COLUMNS, saved_index(spark, d, "mountains"))
     return L.mountains(hits).select("point_id", F.col("mountain.name").alias("mountain"), "mountain.elevation", F.col("range.name").alias("range_name"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terralocus.functions import geometry
+from terralocus.operators.layer_index import LayerIndex, box_index_rows, index_rows, load_index, save_index
 from terralocus.operators.raster import Raster, cut_blocks
-from terralocus.plans.gazetteer import Gazetteer, with_tiers
+from terralocus.plans.gazetteer import ADMIN_COLUMNS, ISLAND_COLUMNS, MOUNTAIN_COLUMNS, Gazetteer, with_tiers
 from terralocus.plans.query import Catalog, VectorLayer
 
 from terralocus.session import scratch_path
@@ -43,10 +44,17 @@ def mountains(spark, d) -> DataFrame:
     return with_diamonds(view(spark, d, "mountains"))
 
 
-def _pixels(width: int, height: int, formula) -> Column:
-    """Row-major pixel array; formula(row, col) over INT columns."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)),
-                       lambda i: formula(F.floor(i / width), i % width).cast("double"))
+def saved_index(spark, d, name: str) -> LayerIndex:
+    """The index of `admin`, `islands`, `mountains` or `roads`, built once per session and folder."""
+    table, carry = {
+        "admin": (admin, ADMIN_COLUMNS), "islands": (islands, ISLAND_COLUMNS), "mountains": (mountains, MOUNTAIN_COLUMNS),
+        "roads": (lambda s, f: view(s, f, "roads"), ["fid", "name"])}[name]
+
+    def write(path: str) -> None:
+        rows = box_index_rows(table(spark, d), carry) if name == "roads" else index_rows(table(spark, d), carry)
+        save_index(rows, path, carry)
+
+    return load_index(spark, written(spark, d, f"{name}-index", write), carry)
 
 
 # layer -> (pixel formula over row, col, lat_cell, lon_cell), also spelled in SQL for the oracle
@@ -132,10 +140,10 @@ def catalog(spark, d, with_raster: bool = True) -> Catalog:
         SOURCE_ROWS, "source_id string, status string, license_name string, license_url string, license_attribution string")
     units = admin(spark, d)
     layers = [
-        VectorLayer("admin", "units", 0, "MULTIPOLYGON", units, ["name", "admin_level", "country_iso"]),
-        VectorLayer("lands", "islands", 0, "POLYGON", islands(spark, d), ["name", "name_native"]),
-        VectorLayer("lands", "mountains", 1, "polygon", mountains(spark, d), ["name", "landform"]),
-        VectorLayer("roads", "roads", 0, "LINESTRING", view(spark, d, "roads"), ["name"]),
+        VectorLayer("admin", "units", 0, "MULTIPOLYGON", units, ["name", "admin_level", "country_iso"], index=saved_index(spark, d, "admin")),
+        VectorLayer("lands", "islands", 0, "POLYGON", islands(spark, d), ["name", "name_native"], index=saved_index(spark, d, "islands")),
+        VectorLayer("lands", "mountains", 1, "polygon", mountains(spark, d), ["name", "landform"], index=saved_index(spark, d, "mountains")),
+        VectorLayer("roads", "roads", 0, "LINESTRING", view(spark, d, "roads"), ["name"], index=saved_index(spark, d, "roads")),
     ]
     if with_raster:
         return Catalog(sources, layers, raster(spark, d), mapping(spark, d))
@@ -155,4 +163,6 @@ def gazetteer_tables(spark, d, **options) -> Gazetteer:
     return Gazetteer(
         admin=units, places=places, meanings=meanings, name_sources=view(spark, d, "name_sources"),
         islands=islands(spark, d), mountains=mountains(spark, d), raster=raster(spark, d),
-        dem=("dem", "height"), dem_accuracy=("dem", "hem"), builtup=("urban", "built"), **options)
+        dem=("dem", "height"), dem_accuracy=("dem", "hem"), builtup=("urban", "built"),
+        admin_index=saved_index(spark, d, "admin"), island_index=saved_index(spark, d, "islands"),
+        mountain_index=saved_index(spark, d, "mountains"), **options)

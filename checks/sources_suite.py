@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from terralocus.functions.wkb import box_of_wkb, rings_of_wkb
 from terralocus.operators.containment import match_index
-from terralocus.operators.layer_index import build_index, load_index, save_index
+from terralocus.operators.layer_index import build_index
 from terralocus.session import scratch_path
 from terralocus.sources import geopackage as K
 from terralocus.sources import listing as I
@@ -16,7 +18,7 @@ from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading
 
 from . import sqlparts as S
 from .files import write_bundles, write_geopackages
-from .inputs import admin, written
+from .inputs import admin, saved_index, written
 from .registry import check
 from .views import VIEWS, expand, view
 
@@ -100,9 +102,7 @@ def _point_stream(spark, d):
 
 @check("stream_enrich", f"SELECT point_id, fid, name FROM [pts] JOIN [admin] ON {S.IN_BOX}")
 def stream_enrich(spark, d):
-    def write(path):
-        save_index(build_index(admin(spark, d), ["fid", "name"]).rows, path)
-    index = load_index(spark, written(spark, d, "index", write), ["fid", "name"])
+    index = replace(saved_index(spark, d, "admin"), carried=["fid", "name"])
     out = scratch_path(spark, "stream")
     enriched = enrich_stream(_point_stream(spark, d), index).select("point_id", "fid", "name")
     query = (enriched.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")

@@ -49,7 +49,7 @@ def vincenty(lon1, lat1, lon2, lat2):
             new = diff + (1 - c) * WGS84_F * sin_al * (
                 sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m * cos_2m - 1))
             )
-            done = np.abs(new - lam) < 1e-13
+            done = np.abs(new - lam) < 1e-12
             lam = new
             if bool(np.all(done | np.isnan(lam))):
                 break

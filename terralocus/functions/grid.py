@@ -1,8 +1,9 @@
 """A ladder of square grids used as join keys.
 
 Cell sides are powers of four (so exact in binary); a box is filed on the
-smallest rung that is at least as wide and, separately, as tall as the box.
-It then touches at most two cells per axis, whatever its size.
+smallest rung whose side is at least half its width and, separately, half its
+height. It then touches at most three cells per axis, whatever its size, and a
+cell is at most twice as wide as the boxes filed on it (finest rung aside).
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ def side(rung: int) -> float:
 
 
 def rung_of(extent: Column) -> Column:
-    """Smallest rung whose side is >= extent, as INT."""
-    steps = [F.when(extent > side(r), 1).otherwise(0) for r in range(MIN_RUNG, MAX_RUNG)]
-    total = steps[0]
-    for step in steps[1:]:
-        total = total + step
-    return (total + MIN_RUNG).cast("int")
+    """Smallest rung whose side is about half of extent or more, as INT.
+
+    The cells of a box are listed from its own bounds, so a rung that is off
+    by rounding costs a cell more, never a match.
+    """
+    steps = F.ceil(F.log2(F.greatest(extent, F.lit(side(MIN_RUNG))) / 2) / 2)
+    return F.least(F.greatest(steps, F.lit(MIN_RUNG)), F.lit(MAX_RUNG)).cast("int")
 
 
 def _side_col(rung: Column) -> Column:
@@ -46,7 +48,7 @@ def pack(rung_x: Column, rung_y: Column, ix: Column, iy: Column) -> Column:
 
 
 def box_cells(xmin: Column, ymin: Column, xmax: Column, ymax: Column, rung_x: Column, rung_y: Column) -> Column:
-    """ARRAY<BIGINT> of the at most four cells a box touches."""
+    """ARRAY<BIGINT> of the at most nine cells a box touches."""
     xs = F.sequence(slot(xmin, rung_x), slot(xmax, rung_x))
     ys = F.sequence(slot(ymin, rung_y), slot(ymax, rung_y))
     return F.flatten(F.transform(xs, lambda ix: F.transform(ys, lambda iy: pack(rung_x, rung_y, ix, iy))))

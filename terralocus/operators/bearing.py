@@ -12,6 +12,7 @@ from ..functions.attributes import PLACE_CLASSES, class_rank
 from ..functions.geodesy import azimuth_deg
 from ..functions.labels import bearing_label, compass, round_distance
 from .nearest import nearest
+from .skew import lookup_join
 
 INSIDE_K = 5
 RANK_K = 10
@@ -94,8 +95,9 @@ def composite_strategy(policy: BearingPolicy, weights: CompositeWeights = Compos
     return F.lit(True), order
 
 
-PLACE_COLUMNS = ["name", "name_native", "name_source", "admin_id", "country_iso", "population", "capital",
-                 "wikidata", "tier_fid"]
+# what guards and strategies read; the winner's other columns are looked up afterwards
+PLACE_COLUMNS = ["name", "admin_id", "country_iso", "population", "capital", "wikidata", "tier_fid"]
+SHOWN_COLUMNS = ["name_native", "name_source", "place_lon", "place_lat"]
 
 
 def gather(points: DataFrame, places: DataFrame, policy: BearingPolicy) -> DataFrame:
@@ -148,7 +150,7 @@ def most_salient(candidates: DataFrame, policy: BearingPolicy, strategy: Strateg
     return _pick(guarded(candidates).filter(eligible), order, point)
 
 
-def fixes(points: DataFrame, candidates: DataFrame, policy: BearingPolicy, strategy: Strategy,
+def fixes(points: DataFrame, candidates: DataFrame, places: DataFrame, policy: BearingPolicy, strategy: Strategy,
           point: str = "point_id") -> DataFrame:
     """(point, reference.., distance_km, azimuth, compass, label, inside).
 
@@ -160,8 +162,7 @@ def fixes(points: DataFrame, candidates: DataFrame, policy: BearingPolicy, strat
     radius = _per_class(policy.inside_radius, F.col("place"))
     eligible, order = strategy(policy)
     standing = F.col("allowed") & (F.col("rank") <= INSIDE_K) & (radius > 0) & (F.col("distance_km") <= radius)
-    shown = F.struct("name", "name_native", "name_source", "place", "fid", "distance_km", "place_lon", "place_lat",
-                     F.col("lon"), F.col("lat"))
+    shown = F.struct("name", "place", "fid", "distance_km", "lon", "lat")
     inside_order = F.struct(F.col("distance_km").alias("km"), (-class_rank(F.col("place"))).alias("cls"), F.col("fid").alias("id"))
     best = guarded(candidates).groupBy(point).agg(
         F.min_by(F.when(standing, shown), F.when(standing, inside_order)).alias("_in"),
@@ -169,6 +170,7 @@ def fixes(points: DataFrame, candidates: DataFrame, policy: BearingPolicy, strat
     )
     best = best.withColumn("inside", F.col("_in").isNotNull()).withColumn("_fix", F.coalesce("_in", "_best"))
     best = best.filter(F.col("_fix").isNotNull()).select(point, "inside", "_fix.*")
+    best = lookup_join(best, places.select("fid", *SHOWN_COLUMNS), ["fid"], spread_by=[point])
     d, name = F.col("distance_km"), F.col("name")
     directed = ~F.col("inside") & (d >= policy.near_label_km)
     best = best.withColumn("_az", F.when(directed, azimuth_deg(F.col("place_lon"), F.col("place_lat"), F.col("lon"), F.col("lat"))))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import geometry, grid
+from ..functions import grid
+from ..functions.covers import covers_batch
 from .layer_index import LayerIndex, build_box_index, build_index
-from .skew import HOT_ROWS, lookup_join
+from .skew import HOT_ROWS, lookup_join, spread_small
 
 
 def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "lat",
@@ -20,20 +21,22 @@ def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "
     if not index.rungs:
         empty = points.filter(F.lit(False))
         return empty.select("*", *[F.lit(None).cast(index.rows.schema[c].dataType).alias(c) for c in index.carried])
-    located = points.filter(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py))
+    located = spread_small(points).filter(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py))
     if len(index.rungs) == 1:
         (rx, ry), = index.rungs
         cells = located.withColumn("cell", grid.pack(F.lit(rx), F.lit(ry), grid.slot(px, rx), grid.slot(py, ry)))
     else:
         cells = located.withColumn("cell", F.explode(grid.point_cells(px, py, index.rungs)))
-    side = index.rows.drop("rung_x", "rung_y")
+    side = index.rows.select(*index.carried, "xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "segments", "cell")
     pairs = lookup_join(cells, side, ["cell"], size=index.size, spread_by=[x, y, *points.columns[:1]], hot_rows=hot_rows)
     in_slab = (
         px.between(F.col("xmin"), F.col("xmax"))
         & (py >= F.col("slab_lo"))
         & ((py < F.col("slab_hi")) | (F.col("slab_last") & (py <= F.col("slab_hi"))))
     )
-    hits = pairs.filter(in_slab & (F.col("segments").isNull() | geometry.covers(F.col("segments"), px, py)))
+    hits = pairs.filter(in_slab)
+    if not index.boxes_only:
+        hits = hits.filter(covers_batch(F.col("segments"), px, py))
     return hits.select(*points.columns, *index.carried)
 
 

@@ -2,7 +2,7 @@
 
 Each polygon becomes one or more slabs: horizontal bands that hold just the
 segments a horizontal ray inside the band can meet. Each slab is filed under
-the at most four cells its box touches, on the rung that fits its size. So a
+the at most nine cells its box touches, on the rung that fits its size. So a
 country outline of a hundred thousand segments costs a point a few dozen
 segment tests, and neither tiny nor huge polygons blow up the index.
 """
@@ -27,27 +27,35 @@ class LayerIndex:
     rungs: list[tuple[int, int]]
     size: Size
     carried: list[str]
+    boxes_only: bool = False
 
 
-def _profile(rows: DataFrame, carried: list[str]) -> LayerIndex:
-    """One pass: the rung pairs in use (at most 256) and the counted size."""
+def _profile_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """Rung pairs in use (at most 256 rows) with counted rows and bytes."""
     segments = F.coalesce(F.size("segments"), F.lit(0))
-    text_bytes = F.lit(0)
-    for name, kind in rows.select(*carried).dtypes:
-        if kind == "string":
-            text_bytes = text_bytes + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-    stats = rows.groupBy("rung_x", "rung_y").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(segments * 48 + text_bytes + 128).alias("bytes"),
-    ).collect()
+    text = [F.coalesce(F.octet_length(F.col(n)), F.lit(0)) for n, kind in rows.select(*carried).dtypes if kind == "string"]
+    row_bytes = segments * 48 + 128
+    for length in text:
+        row_bytes = row_bytes + length
+    return rows.groupBy("rung_x", "rung_y").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(row_bytes).alias("bytes"), F.every(F.col("segments").isNull()).alias("boxes"))
+
+
+def _with_profile(rows: DataFrame, profile: DataFrame, carried: list[str]) -> LayerIndex:
+    stats = profile.collect()
     return LayerIndex(
         rows=rows,
         rungs=sorted((r["rung_x"], r["rung_y"]) for r in stats),
         size=Size(sum(r["rows"] for r in stats), sum(r["bytes"] for r in stats)),
         carried=carried,
+        boxes_only=all(r["boxes"] for r in stats),
     )
 
 
+def _profile(rows: DataFrame, carried: list[str]) -> LayerIndex:
+    return _with_profile(rows, _profile_rows(rows, carried), carried)
+
+
 def index_rows(polygons: DataFrame, carry: list[str], rings: str = "rings") -> DataFrame:
     """(carried columns, box, slab, segments, cell) rows of a polygon layer.
 
@@ -115,10 +123,13 @@ def build_box_index(features: DataFrame, carry: list[str]) -> LayerIndex:
     return _profile(box_index_rows(features, carry), carry)
 
 
-def save_index(rows: DataFrame, path: str) -> None:
-    """Write index rows ordered by cell, so that a later scan can skip row groups."""
-    rows.repartitionByRange(F.col("cell")).sortWithinPartitions("cell").write.mode("overwrite").parquet(path)
+def save_index(rows: DataFrame, path: str, carry: list[str]) -> None:
+    """Write index rows ordered by cell, so that a later scan can skip row groups, and their profile."""
+    rows.repartitionByRange(F.col("cell")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/rows")
+    kept = rows.sparkSession.read.parquet(f"{path}/rows")
+    _profile_rows(kept, carry).coalesce(1).write.mode("overwrite").parquet(f"{path}/profile")
 
 
 def load_index(spark: SparkSession, path: str, carry: list[str]) -> LayerIndex:
-    return _profile(spark.read.parquet(path), carry)
+    """A saved index; `carry` may be fewer columns than were saved."""
+    return _with_profile(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/profile"), carry)

@@ -101,8 +101,9 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     for side, radius in steps[1:]:
         table = _dense_reach(places, keys, "_plon", "_plat", k, side)
         table_size = measure(table, fixed_bytes=64)
-        if table_size.rows:
-            dense[(side, radius)] = (table, table_size)
+        if not table_size.rows:
+            break  # a finer neighbourhood lies within a coarser one
+        dense[(side, radius)] = (table, table_size)
 
     # rankings need their own rows only where their search radii may differ
     split = keys if dense else []

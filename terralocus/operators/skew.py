@@ -27,6 +27,21 @@ class Size:
         return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spreads an input of few bytes over all cores before heavy per-row work.
+
+    A small file is one split, so one task would do all the work. The planner's
+    size estimate decides; an input that fills the cores anyway is not moved.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 16 * 1024 * 1024
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * split else df
+
+
 def measure(df: DataFrame, row_bytes=None, fixed_bytes: int = 256) -> Size:
     """Counted rows and estimated bytes; `row_bytes` adds a per-row payload column."""
     payload = F.lit(0) if row_bytes is None else row_bytes

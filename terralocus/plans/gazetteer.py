@@ -51,6 +51,8 @@ class Gazetteer:
     policy: B.BearingPolicy = B.COMPOSITE_POLICY
     strategy: B.Strategy = B.composite_strategy
     admin_index: LayerIndex | None = None
+    island_index: LayerIndex | None = None
+    mountain_index: LayerIndex | None = None
 
 
 def with_tiers(places: DataFrame, admin: DataFrame, meanings: DataFrame, tier: str, closure: DataFrame | None = None) -> DataFrame:
@@ -77,7 +79,7 @@ def bearings(points: DataFrame, admin_hits: DataFrame, g: Gazetteer) -> DataFram
     else:
         asked = asked.withColumn("allowed", F.lit(True))
     candidates = B.gather(asked, g.places, g.policy)
-    return B.fixes(asked, candidates, g.policy, g.strategy)
+    return B.fixes(asked, candidates, g.places, g.policy, g.strategy)
 
 
 def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
@@ -93,12 +95,12 @@ def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
     codes = [F.coalesce(F.transform("admin.hierarchy", lambda u: u["name_source"]), F.array().cast("array<string>"))]
 
     if g.islands is not None:
-        out = out.join(L.islands(covering(slim, g.islands, ISLAND_COLUMNS)), "point_id", "left")
+        out = out.join(L.islands(covering(slim, g.islands, ISLAND_COLUMNS, g.island_index)), "point_id", "left")
         codes.append(F.coalesce(F.transform("islands", lambda i: i["name_source"]), F.array().cast("array<string>")))
     else:
         out = out.withColumn("islands", F.lit(None).cast("array<struct<name:string,name_native:string,name_source:string>>"))
     if g.mountains is not None:
-        found = L.mountains(covering(slim, g.mountains, MOUNTAIN_COLUMNS))
+        found = L.mountains(covering(slim, g.mountains, MOUNTAIN_COLUMNS, g.mountain_index))
         out = out.join(found.select("point_id", F.struct("mountain", "range").alias("mountains")), "point_id", "left")
         codes.append(F.array("mountains.range.name_source", "mountains.mountain.name_source"))
     else:

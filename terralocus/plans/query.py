@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -66,7 +66,9 @@ def layer_hits(points: DataFrame, layer: VectorLayer, properties: list[str] | No
         features = features.withColumn("_wkt", geometry.polygon_wkt(F.col("rings")))
         carry.append("_wkt")
     index = None if with_geometry else layer.index
-    if index is None:
+    if index is not None:
+        index = replace(index, carried=carry)
+    else:
         index = (build_index if layer.is_polygon else build_box_index)(features, carry)
     found = match_index(slim, index, px, py).drop(px, py)
     if layer.is_polygon:
