@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import grid
 from ..functions.covers import covers_batch
 from .layer_index import LayerIndex, build_box_index, build_index
-from .skew import HOT_ROWS, lookup_join, spread_small
+from .skew import lookup_join, spread_small
 
 
 def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "lat",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """Every (point, feature) pair whose feature covers the point, once each.
 
     Keeps all columns of `points` and the index's carried columns. Points

@@ -60,7 +60,7 @@ def small_or_plain(df: DataFrame, size: Size | None = None, row_bytes=None) -> D
 
 def lookup_join(big: DataFrame, side: DataFrame, keys: list[str], how: str = "inner",
                 size: Size | None = None, row_bytes=None, spread_by: list[str] | None = None,
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """big ⋈ side on `keys`, keeping every row.
 
     A side of small counted size is broadcast, so `big` does not move. A large
@@ -71,6 +71,7 @@ def lookup_join(big: DataFrame, side: DataFrame, keys: list[str], how: str = "in
     `how` is inner, left, left_semi or left_anti: `big` is the kept side.
     """
     size = size or measure(side, row_bytes)
+    hot_rows = hot_rows or HOT_ROWS
     if size.fits_broadcast:
         return big.join(F.broadcast(side), keys, how)
     hot = (
