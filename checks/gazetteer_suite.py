@@ -84,7 +84,7 @@ def tier_ancestor(spark, d):
 @check("islands", f"""SELECT point_id, name, arg_min(name_native, fid) AS name_native, arg_min(name_source, fid) AS name_source,
     row_number() OVER (PARTITION BY point_id ORDER BY name) - 1 AS pos FROM [all_pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY point_id, name""")
 def islands_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), islands(spark, d), G.ISLAND_COLUMNS, saved_index(spark, d, "islands"))
+    hits = G.covering(view(spark, d, "all_pts"), islands(spark, d), G.ISLAND_COLUMNS, saved_index(spark, d, "islands"), merge=False)
     rows = L.islands(hits).select("point_id", F.posexplode("islands").alias("pos", "i"))
     return rows.select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
@@ -97,15 +97,17 @@ _MOUNTAIN = f"""SELECT * FROM (SELECT point_id, landform, name, ele, name_source
 @check("mountains", f"""WITH m AS ({_MOUNTAIN}) SELECT point_id, max(CASE WHEN landform='mountain' THEN name END) AS mountain,
     max(CASE WHEN landform='mountain' THEN ele END) AS elevation, max(CASE WHEN landform='range' THEN name END) AS range_name FROM m GROUP BY 1""")
 def mountains_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), mountains(spark, d), G.MOUNTAIN_COLUMNS, saved_index(spark, d, "mountains"))
+    hits = G.covering(view(spark, d, "all_pts"), mountains(spark, d), G.MOUNTAIN_COLUMNS, saved_index(spark, d, "mountains"), merge=False)
     return L.mountains(hits).select("point_id", F.col("mountain.name").alias("mountain"), "mountain.elevation", F.col("range.name").alias("range_name"))
 
 
+def _summary(spark, d):
+    return A.admin_summary(_admin_hits(spark, d, "pts"), view(spark, d, "meanings"), "state")
+
+
 def _asked(spark, d):
-    hits = _admin_hits(spark, d, "pts")
-    countries = A.point_countries(hits).withColumnRenamed("country_iso", "point_country")
-    tiers = A.point_tiers(hits, view(spark, d, "meanings"), "state").withColumnRenamed("tier_fid", "point_tier")
-    return view(spark, d, "pts").join(countries, "point_id", "left").join(tiers, "point_id", "left")
+    known = _summary(spark, d).select("point_id", "point_country", "point_tier")
+    return view(spark, d, "pts").join(known, "point_id", "left")
 
 
 _RANK = S.gathered(S.RANK_REACH, 10)
@@ -160,7 +162,7 @@ _FIX = f"""WITH gate AS (SELECT point_id, coalesce(raw >= 100, TRUE) AS allowed
 
 @check("bearing", f"SELECT * EXCLUDE (name_source) FROM ({_FIX})")
 def bearing(spark, d):
-    fix = G.bearings(view(spark, d, "pts"), _admin_hits(spark, d, "pts"), gazetteer_tables(spark, d))
+    fix = G.bearings(view(spark, d, "pts"), _summary(spark, d), gazetteer_tables(spark, d))
     return fix.select("point_id", "reference", "class", F.round("distance_km", 3).alias("km"), "inside",
                       F.round("azimuth", 4).alias("azimuth"), "compass", "label")
 

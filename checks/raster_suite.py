@@ -64,7 +64,7 @@ def tile_route(spark, d):
 def elevation(spark, d):
     pts = view(spark, d, "all_pts").select("point_id", "lon", "lat")
     heights = R.terrain(pts, raster(spark, d), ("dem", "height"), ("dem", "hem"), window=False)
-    return R.elevation(pts, heights, 4.0, "constant", "per pixel").drop("lon", "lat")
+    return R.elevation(pts, heights, 4.0, "constant", "per pixel").drop("lon", "lat", "exposure")
 
 
 @check("builtup_gate", f"""SELECT point_id, coalesce(raw >= 100, TRUE) AS allowed FROM [all_pts] LEFT JOIN

@@ -9,7 +9,7 @@ from ..functions.attributes import is_source_file, source_id
 # Quiet time, and how raw operations count.
 QUIET_MS = 500
 DELETES = ["remove", "rename", "delete"]
-# A path's events are first folded per bucket of this length.
+# Bursts are first found within buckets of this length.
 BUCKET_MS = 3_600_000
 
 
@@ -29,7 +29,7 @@ def final_operation(first: Column, last_delete: Column, last_create: Column) ->
             .otherwise(F.lit("delete")))
 
 
-def _fold(*group) -> list[Column]:
+def _fold() -> list[Column]:
     return [
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.min_by("first_op", "first_at").alias("first_op"), F.min("first_at").alias("first_at"),
@@ -51,20 +51,24 @@ def debounce(events: DataFrame, path: str = "path", t_ms: str = "t_ms", op: str
              quiet_ms: int = QUIET_MS, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """(path, op, start_ms, end_ms, emit_ms, events): one row per burst and path.
 
-    Bursts are found per (path, time bucket) first, so a path with most of the
-    events is spread over its buckets. Only the first and last burst of a
-    bucket can join a neighbour; just those go into the second, per-path pass.
+    Three exact steps, so that a path with most of the events is no hot spot:
+    events in the same slot of one quiet time always belong together and are
+    folded by a partially aggregated group; bursts are then found per (path,
+    bucket of slots); only the first and last burst of a bucket can join a
+    neighbour, and just those go into a per-path pass.
     """
     kind = operation(F.col(op))
     at = F.struct(F.col(t_ms).alias("t"), F.col(seq).alias("s"))
     rows = events.filter(is_source_file(F.col(path))).select(
-        F.col(path).alias("path"), F.floor(F.col(t_ms) / bucket_ms).alias("_bucket"),
+        F.col(path).alias("path"), F.floor(F.col(t_ms) / quiet_ms).alias("_slot"),
         F.col(t_ms).alias("start_ms"), F.col(t_ms).alias("end_ms"), kind.alias("first_op"), at.alias("first_at"),
         F.when(kind == "delete", at).alias("last_delete"), F.when(kind == "create", at).alias("last_create"),
         F.lit(1).cast("bigint").alias("events"),
     )
-    local = _bursts(rows, ["path", "_bucket"], quiet_ms)
-    low, high = F.col("_bucket") * bucket_ms, (F.col("_bucket") + 1) * bucket_ms
+    slots = max(1, bucket_ms // quiet_ms)
+    folded = rows.groupBy("path", "_slot").agg(*_fold()).withColumn("_bucket", F.floor(F.col("_slot") / slots)).drop("_slot")
+    local = _bursts(folded, ["path", "_bucket"], quiet_ms)
+    low, high = F.col("_bucket") * (slots * quiet_ms), (F.col("_bucket") + 1) * (slots * quiet_ms)
     edge = (F.col("start_ms") < low + quiet_ms) | (F.col("end_ms") >= high - quiet_ms)
     local = local.withColumn("_edge", edge)
     inner = local.filter(~F.col("_edge")).drop("_edge", "_bucket", "_burst")

@@ -92,13 +92,44 @@ def tier_ancestors(admin: DataFrame, closure: DataFrame, meanings: DataFrame, ti
     return chain.groupBy("fid").agg(F.min_by("anc_fid", "depth").alias("tier_fid"))
 
 
+def admin_summary(admin_hits: DataFrame, meanings: DataFrame, tier: str = "", point: str = "point_id") -> DataFrame:
+    """All a point needs from the units that cover it, from one grouped pass.
+
+    (point, country_iso, hierarchy, point_country, point_tier):
+    * hierarchy: units whose level is a number, most local first, then by name;
+      empty when there is none
+    * country_iso: the most local numbered unit's code, smaller code on ties
+    * point_country: the same with levels that are no number ranking last
+    * point_tier: the covering unit whose level means `tier`, smallest id first
+    """
+    units = with_meaning(admin_hits.withColumn("level", level_number(F.col("admin_level"))), meanings)
+    numbered = F.col("level").isNotNull()
+    has_code = F.coalesce("country_iso", F.lit("")) != ""
+
+    def code_where(hit: Column, level: Column) -> Column:
+        return F.min_by(F.when(hit, F.col("country_iso")), F.when(hit, F.struct(-level, F.col("country_iso"))))
+
+    entry = F.struct(
+        (-F.col("level")).alias("order"), F.col("name"), F.col("fid"), F.col("level"), F.col("name_native"),
+        F.col("name_source"), F.col("equivalent"), F.col("local_term"), F.col("description"))
+    grouped = units.groupBy(point).agg(
+        code_where(numbered & (F.col("level") >= 0) & has_code, F.col("level")).alias("country_iso"),
+        F.array_sort(F.collect_list(F.when(numbered, entry))).alias("_chain"),
+        code_where(has_code, F.coalesce("level", F.lit(-1))).alias("point_country"),
+        F.min(F.when(numbered & (F.col("equivalent") == tier) & F.lit(tier != ""), F.col("fid"))).alias("point_tier"),
+    )
+    chain = F.transform("_chain", lambda u: F.struct(
+        u["level"].alias("level"), u["name"].alias("name"), u["name_native"].alias("name_native"),
+        u["name_source"].alias("name_source"),
+        *[F.coalesce(u[c], F.lit("")).alias(c) for c in ("equivalent", "local_term", "description")]))
+    return grouped.select(point, F.coalesce("country_iso", F.lit("")).alias("country_iso"), chain.alias("hierarchy"),
+                          "point_country", "point_tier")
+
+
 def point_tiers(admin_hits: DataFrame, meanings: DataFrame, tier: str, point: str = "point_id") -> DataFrame:
-    """(point, tier_fid): the covering unit of the tier, smallest id first."""
-    if not tier:
-        return admin_hits.select(point, F.col("fid").alias("tier_fid")).filter(F.lit(False))
-    units = admin_hits.select(point, "fid", "country_iso", level_number(F.col("admin_level")).alias("level"))
-    return (with_meaning(units.filter(F.col("level").isNotNull()), meanings)
-            .filter(F.col("equivalent") == tier).groupBy(point).agg(F.min("fid").alias("tier_fid")))
+    """(point, tier_fid) of the points a unit of the tier covers."""
+    return admin_summary(admin_hits, meanings, tier, point).filter(F.col("point_tier").isNotNull()).select(
+        point, F.col("point_tier").alias("tier_fid"))
 
 
 def point_countries(admin_hits: DataFrame, point: str = "point_id") -> DataFrame:
@@ -112,24 +143,5 @@ def point_countries(admin_hits: DataFrame, point: str = "point_id") -> DataFrame
 
 
 def locate(admin_hits: DataFrame, meanings: DataFrame, point: str = "point_id") -> DataFrame:
-    """(point, country_iso, hierarchy): the chain of covering units, most local first.
-
-    Present for every covered point, with an empty hierarchy when no level is
-    a number. Country: most local numbered unit with a code, smaller code on ties.
-    """
-    units = admin_hits.withColumn("level", level_number(F.col("admin_level")))
-    units = with_meaning(units, meanings)
-    numbered = F.col("level").isNotNull()
-    coded = numbered & (F.col("level") >= 0) & (F.coalesce("country_iso", F.lit("")) != "")
-    entry = F.struct(
-        (-F.col("level")).alias("order"), F.col("name"), F.col("fid"), F.col("level"), F.col("name_native"),
-        F.col("name_source"), F.col("equivalent"), F.col("local_term"), F.col("description"))
-    grouped = units.groupBy(point).agg(
-        F.min_by(F.when(coded, F.col("country_iso")), F.when(coded, F.struct(-F.col("level"), F.col("country_iso")))).alias("country_iso"),
-        F.array_sort(F.collect_list(F.when(numbered, entry))).alias("_chain"),
-    )
-    chain = F.transform("_chain", lambda u: F.struct(
-        u["level"].alias("level"), u["name"].alias("name"), u["name_native"].alias("name_native"),
-        u["name_source"].alias("name_source"),
-        *[F.coalesce(u[c], F.lit("")).alias(c) for c in ("equivalent", "local_term", "description")]))
-    return grouped.select(point, F.coalesce("country_iso", F.lit("")).alias("country_iso"), chain.alias("hierarchy"))
+    """(point, country_iso, hierarchy) for every covered point."""
+    return admin_summary(admin_hits, meanings, point=point).select(point, "country_iso", "hierarchy")

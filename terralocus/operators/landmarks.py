@@ -8,10 +8,13 @@ LANDFORMS = ("mountain", "range")
 
 
 def islands(island_hits: DataFrame, point: str = "point_id") -> DataFrame:
-    """(point, islands): one entry per distinct name, by name; unnamed ones skipped."""
+    """(point, islands): one entry per distinct name, by name; unnamed ones skipped.
+
+    Fragments of one island share its name, so hits need no merging before.
+    """
     named = island_hits.filter(F.coalesce("name", F.lit("")) != "")
     per_name = named.groupBy(point, "name").agg(
-        F.min_by(F.struct("name_native", "name_source"), F.col("fid")).alias("_first"))
+        F.min_by(F.struct("name_native", "name_source"), F.struct(F.col("fid") == 0, F.col("fid"))).alias("_first"))
     entry = F.struct("name", F.col("_first.name_native"), F.col("_first.name_source"))
     return per_name.groupBy(point).agg(F.array_sort(F.collect_list(entry)).alias("islands"))
 
@@ -20,7 +23,8 @@ def mountains(mountain_hits: DataFrame, point: str = "point_id") -> DataFrame:
     """(point, mountain, range): the smallest named feature of each landform.
 
     A known area beats an unknown one (NULL or not positive); names, then ids
-    break ties. Only a mountain carries its summit height.
+    break ties. Only a mountain carries its summit height. Fragments need no
+    merging before.
     """
     named = mountain_hits.filter(F.coalesce("name", F.lit("")) != "")
     area = F.coalesce("area_km2", F.lit(0.0))

@@ -66,8 +66,10 @@ def choose_sources(sources: DataFrame, wanted: list[str] | None) -> DataFrame:
     return sources.filter(F.col("source_id").isin(*ids) & (F.col("status") == "ready"))
 
 
-def sort_by_locality(points: DataFrame, lon: str = "lon", lat: str = "lat", parts: int | None = None) -> DataFrame:
-    """Neighbouring points side by side: by one-degree tile, then by position."""
+def sort_by_locality(points: DataFrame, lon: str = "lon", lat: str = "lat", point: str = "point_id") -> DataFrame:
+    """Neighbouring points side by side: by one-degree tile, then by position.
+
+    The id closes the range key, so even copies of one point spread over tasks.
+    """
     tile = [F.floor(F.col(lat)), F.floor(F.col(lon))]
-    ranged = points.repartitionByRange(parts, *tile, lat, lon) if parts else points.repartitionByRange(*tile, lat, lon)
-    return ranged.sortWithinPartitions(*tile, lat, lon)
+    return points.repartitionByRange(*tile, lat, lon, point).sortWithinPartitions(*tile, lat, lon)

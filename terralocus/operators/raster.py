@@ -103,7 +103,8 @@ def sample_pixels(asked: DataFrame, raster: Raster, x: str = "lon", y: str = "la
         "by": F.floor(F.col("py") / block).cast("int"),
     })
     blocks = raster.blocks.select(*_TILE, "bx", "by", "block_width", "pixels")
-    size = measure(raster.blocks.select(F.size("pixels").alias("n")), F.col("n") * 8)
+    # full blocks bound the bytes; the pixels themselves are not read for it
+    size = measure(raster.blocks, fixed_bytes=block * block * 8 + 128)
     df = lookup_join(df, blocks, [*_TILE, "bx", "by"], size=size, spread_by=spread)
     at = (F.col("py") - F.col("by") * block) * F.col("block_width") + F.col("px") - F.col("bx") * block
     df = df.withColumn("raw", F.get("pixels", at))
@@ -182,13 +183,13 @@ SEA_LEVEL_BASIS = "sea-level convention"
 
 def elevation(points: DataFrame, heights: DataFrame, accuracy_m: float, basis: str, point_basis: str,
               point: str = "point_id") -> DataFrame:
-    """Elevation columns for every point from the `terrain` result.
+    """Elevation columns (and the exposure) for every point from the `terrain` result.
 
     No pixel means sea level: 0 m by convention and no accuracy figure.
     """
     sea = F.col("metres").isNull()
     per_point = F.col("accuracy").isNotNull()
-    return points.join(heights.select(point, "metres", "accuracy"), point, "left").withColumns({
+    return points.join(heights, point, "left").withColumns({
         "meters": F.coalesce("metres", F.lit(0.0)),
         "sea_level": sea,
         "accuracy_m": F.when(sea, F.lit(None)).when(per_point, F.col("accuracy")).otherwise(F.lit(float(accuracy_m))),

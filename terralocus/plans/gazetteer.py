@@ -15,6 +15,7 @@ from ..operators.containment import match_index
 from ..operators.hits import merge_fragments
 from ..operators.layer_index import LayerIndex, build_index
 from ..operators.skew import lookup_join
+from ..session import cut_lineage
 
 ADMIN_COLUMNS = ["fid", "parent_id", "admin_level", "name", "name_native", "name_source", "country_iso"]
 ISLAND_COLUMNS = ["fid", "name", "name_native", "name_source"]
@@ -62,18 +63,22 @@ def with_tiers(places: DataFrame, admin: DataFrame, meanings: DataFrame, tier: s
     return lookup_join(places, tiers, ["admin_id"], "left", spread_by=["fid"])
 
 
-def covering(points: DataFrame, polygons: DataFrame, columns: list[str], index: LayerIndex | None = None) -> DataFrame:
-    """Polygons at each point, fragments of one feature merged."""
+def covering(points: DataFrame, polygons: DataFrame, columns: list[str], index: LayerIndex | None = None,
+             merge: bool = True) -> DataFrame:
+    """Polygons at each point; with `merge`, fragments of one feature become one hit.
+
+    Hits are brought together by point once; every later group, window and join
+    on the point finds them in place. A point's hits are few, so no key is hot.
+    """
     index = index or build_index(polygons, columns)
-    found = match_index(points.select("point_id", "lon", "lat"), index).drop("lon", "lat")
-    return merge_fragments(found, ["point_id"], [c for c in columns if c != "fid"])
+    found = match_index(points.select("point_id", "lon", "lat"), index).drop("lon", "lat").repartition("point_id")
+    return merge_fragments(found, ["point_id"], [c for c in columns if c != "fid"]) if merge else found
 
 
-def bearings(points: DataFrame, admin_hits: DataFrame, g: Gazetteer) -> DataFrame:
-    """Fix per point. `g.places` carry tier_fid; `points(point_id, lon, lat)`."""
-    countries = A.point_countries(admin_hits).withColumnRenamed("country_iso", "point_country")
-    tiers = A.point_tiers(admin_hits, g.meanings, g.policy.constraint_tier).withColumnRenamed("tier_fid", "point_tier")
-    asked = points.select("point_id", "lon", "lat").join(countries, "point_id", "left").join(tiers, "point_id", "left")
+def bearings(points: DataFrame, summary: DataFrame, g: Gazetteer) -> DataFrame:
+    """Fix per point. `g.places` carry tier_fid; `points(point_id, lon, lat)`; `summary` from admin_summary."""
+    known = summary.select("point_id", "point_country", "point_tier")
+    asked = points.select("point_id", "lon", "lat").join(known, "point_id", "left")
     if g.raster is not None and g.builtup is not None:
         asked = R.builtup_gate(asked, g.raster, g.builtup, g.builtup_min)
     else:
@@ -82,31 +87,36 @@ def bearings(points: DataFrame, admin_hits: DataFrame, g: Gazetteer) -> DataFram
     return B.fixes(asked, candidates, g.places, g.policy, g.strategy)
 
 
+def summarise(points: DataFrame, g: Gazetteer) -> DataFrame:
+    """The admin summary per covered point."""
+    return A.admin_summary(covering(points, g.admin, ADMIN_COLUMNS, g.admin_index), g.meanings, g.policy.constraint_tier)
+
+
 def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
     """One row per point with every section; a section without a result is NULL.
 
-    The admin containment is computed once for the chain, the country and the
-    tier; all sections share the point key, so the final joins line up.
+    The admin containment is computed once and written out, because both the
+    chain and the bearing read it. All sections share the point key, so the
+    final joins line up.
     """
     slim = points.select("point_id", "lon", "lat")
-    admin_hits = covering(slim, g.admin, ADMIN_COLUMNS, g.admin_index)
-    located = A.locate(admin_hits, g.meanings)
-    out = points.join(located.select("point_id", F.struct("country_iso", "hierarchy").alias("admin")), "point_id", "left")
+    summary = cut_lineage(summarise(slim, g))
+    out = points.join(summary.select("point_id", F.struct("country_iso", "hierarchy").alias("admin")), "point_id", "left")
     codes = [F.coalesce(F.transform("admin.hierarchy", lambda u: u["name_source"]), F.array().cast("array<string>"))]
 
     if g.islands is not None:
-        out = out.join(L.islands(covering(slim, g.islands, ISLAND_COLUMNS, g.island_index)), "point_id", "left")
+        out = out.join(L.islands(covering(slim, g.islands, ISLAND_COLUMNS, g.island_index, merge=False)), "point_id", "left")
         codes.append(F.coalesce(F.transform("islands", lambda i: i["name_source"]), F.array().cast("array<string>")))
     else:
         out = out.withColumn("islands", F.lit(None).cast("array<struct<name:string,name_native:string,name_source:string>>"))
     if g.mountains is not None:
-        found = L.mountains(covering(slim, g.mountains, MOUNTAIN_COLUMNS, g.mountain_index))
+        found = L.mountains(covering(slim, g.mountains, MOUNTAIN_COLUMNS, g.mountain_index, merge=False))
         out = out.join(found.select("point_id", F.struct("mountain", "range").alias("mountains")), "point_id", "left")
         codes.append(F.array("mountains.range.name_source", "mountains.mountain.name_source"))
     else:
         out = out.withColumn("mountains", F.lit(None).cast("string"))
 
-    fix = bearings(slim, admin_hits, g)
+    fix = bearings(slim, summary, g)
     parts = [c for c in fix.columns if c != "point_id"]
     out = out.join(fix.select("point_id", F.struct(*parts).alias("bearing")), "point_id", "left")
     codes.append(F.array("bearing.name_source"))
@@ -115,8 +125,7 @@ def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
         heights = R.terrain(slim, g.raster, g.dem, g.dem_accuracy)
         meta = g.elevation_meta
         source = license_struct(*map(F.lit, g.dem_license))
-        levels = R.elevation(slim, heights, meta.accuracy_m, meta.basis, meta.point_basis)
-        levels = levels.join(heights.select("point_id", "exposure"), "point_id", "left").select(
+        levels = R.elevation(slim, heights, meta.accuracy_m, meta.basis, meta.point_basis).select(
             "point_id", "exposure",
             F.struct("meters", "accuracy_m", "accuracy_basis", F.lit(meta.horizontal_m).alias("horizontal_accuracy_m"),
                      F.lit(meta.vertical_datum).alias("vertical_datum"), "sea_level",

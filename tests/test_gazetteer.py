@@ -126,8 +126,7 @@ def test_bearing_labels_and_guards(spark):
             ("city", "Heimlos", 0, "DE", 9000000, "yes", "Q1", 10.61, 50.0)]
     g = make(spark, rows)
     pts = points(spark, (10.001, 50.0), (10.45, 50.0), (10.5, 50.02), (10.5, 50.2), (70.0, 0.0))
-    hits = G.covering(pts, g.admin, G.ADMIN_COLUMNS)
-    got = {r["point_id"]: r for r in G.bearings(pts, hits, g).collect()}
+    got = {r["point_id"]: r for r in G.bearings(pts, G.summarise(pts, g), g).collect()}
     assert got[0]["label"] == "in Dorf" and got[0]["inside"] and got[0]["compass"] == ""
     assert got[1]["label"] == "3.5 km W Stadt"
     assert got[2]["label"] == "in Stadt"
@@ -139,7 +138,7 @@ def test_near_without_inside_is_prope(spark):
     policy = B.BearingPolicy(candidate_radius_km=120.0, inside_radius={"village": 0.1})
     g = make(spark, [("village", "Dorf", 3, "DE", 0, None, None, 10.0, 50.0)], policy=policy)
     pts = points(spark, (10.005, 50.0))
-    fix = G.bearings(pts, G.covering(pts, g.admin, G.ADMIN_COLUMNS), g).first()
+    fix = G.bearings(pts, G.summarise(pts, g), g).first()
     assert fix["label"] == "prope Dorf" and not fix["inside"] and fix["compass"] == "" and fix["azimuth"] == 0
 
 
