@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
-from .skew import lookup_join, measure
+from .skew import lookup_join, measure, spread_for_work
 
 # Grid sides in degrees, coarsest first; all divide 360 and are exact in binary.
 SIDES = [8.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625]
@@ -91,6 +91,10 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     adaptive = adaptive and size.rows >= k
     located = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
 
+    if size.fits_broadcast:
+        # without a shuffle by cell, a few input splits would do all the work
+        located = spread_for_work(located, point)
+
     # (side, radius) steps: from the whole radius down to ever denser areas
     base = _side_for(radius_km)
     steps = [(base, float(radius_km))]

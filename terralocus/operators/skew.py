@@ -42,6 +42,17 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimate < cores * split else df
 
 
+def spread_for_work(df: DataFrame, key: str) -> DataFrame:
+    """Slim rows spread by key before each becomes many.
+
+    The number of parts is set, so that small-looking parts are not merged
+    again before the work that makes them large.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
+
+
 def measure(df: DataFrame, row_bytes=None, fixed_bytes: int = 256) -> Size:
     """Counted rows and estimated bytes; `row_bytes` adds a per-row payload column."""
     payload = F.lit(0) if row_bytes is None else row_bytes

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry
 from ..functions.attributes import license_struct
+from ..functions.crs import SUPPORTED
 from ..operators import hits as H
 from ..operators.containment import match_index
 from ..operators.layer_index import LayerIndex, build_box_index, build_index
@@ -99,16 +100,19 @@ def raster_hits(points: DataFrame, catalog: Catalog, ordinals: dict[tuple[str, s
 
 def all_hits(points: DataFrame, catalog: Catalog, wanted: list[str] | None = None,
              properties: list[str] | None = None, max_features: int = H.DEFAULT_CAP,
-             on_layer_error: Callable[[VectorLayer, Exception], None] | None = None) -> DataFrame:
+             on_layer_error: Callable[[VectorLayer, Exception], None] | None = None,
+             srids: tuple[int, ...] = SUPPORTED) -> DataFrame:
     """Union of all layers' hits, capped per point and source, with the licence.
 
-    `points(point_id, x, y, srid)` are projected once per distinct SRID. A
-    layer whose plan cannot be built contributes nothing and is reported.
+    `points(point_id, x, y, srid)` are projected once per distinct SRID of the
+    layers. `srids` names the systems the points come in; naming few keeps the
+    plan short. A layer whose plan cannot be built contributes nothing and is
+    reported.
     """
     chosen = choose_sources(catalog.sources, wanted)
     ids = {r[0] for r in chosen.select("source_id").collect()}
     layers = [x for x in catalog.layers if x.source_id in ids]
-    located = reproject_points(points, [*(x.srid for x in layers), WGS84_SRID])
+    located = reproject_points(points, [*(x.srid for x in layers), WGS84_SRID], srids)
     parts = []
     for layer in layers:
         try:
