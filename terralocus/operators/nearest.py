@@ -91,9 +91,15 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     adaptive = adaptive and size.rows >= k
     located = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
 
+    details = None
     if size.fits_broadcast:
         # without a shuffle by cell, a few input splits would do all the work
         located = spread_for_work(located, point)
+        extra = [c for c in columns if c not in (*keys, fid)]
+        if extra and places.select(fid).distinct().count() == size.rows:
+            # ranked rows carry ids only; the other columns join the k that remain
+            details = F.broadcast(places.select(fid, *extra))
+            places = places.drop(*extra)
 
     # (side, radius) steps: from the whole radius down to ever denser areas
     base = _side_for(radius_km)
@@ -139,7 +145,10 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     ranked = Window.partitionBy(point, *keys).orderBy("distance_km", fid)
     hits = found.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
     hits = hits.filter(F.col("distance_km") <= radius_km).withColumn("rank", F.row_number().over(ranked))
-    return hits.filter(F.col("rank") <= k).select(
+    hits = hits.filter(F.col("rank") <= k)
+    if details is not None:
+        hits = hits.join(details, fid)
+    return hits.select(
         *points.columns, *columns,
         F.col("_plon").alias(place_lon), F.col("_plat").alias(place_lat), "distance_km", "rank",
     )
