@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, patricia, simhash, urlrules
+from . import bpe, mixing, patricia, simhash, toxicity, urlrules
 from .tables import table
 
 # The rule list of the url query: longest fitting rule wins.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def op1_toxicity(spark, folder):
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_url_rules(spark, folder):
     """page_id, host, path, rule, verdict of every page."""
     return urlrules.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).select(
@@ -69,6 +73,6 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
 
 QUERIES = {
-    "op2_url_rules": op2_url_rules, "op4_simhash": op4_simhash, "op7_poisson_mix": op7_poisson_mix,
+    "op1_toxicity": op1_toxicity, "op2_url_rules": op2_url_rules, "op4_simhash": op4_simhash, "op7_poisson_mix": op7_poisson_mix,
     "op9_patricia_dedup": op9_patricia_dedup, "op10_byte_bpe": op10_byte_bpe,
 }
