@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, patricia, simhash, toxicity, urlrules
+from . import bpe, embeddings, mixing, patricia, repeats, simhash, toxicity, urlrules
 from .tables import table
 
 # The rule list of the url query: longest fitting rule wins.
@@ -21,10 +21,18 @@ def op2_url_rules(spark, folder):
         F.col("row")["page_id"].alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op3_repeated_bytes(spark, folder):
+    return repeats.judged(table(spark, folder, "documents"))
+
+
 def op4_simhash(spark, folder):
     return simhash.judged(table(spark, folder, "documents"))
 
 
+def op6_embedding_dedup(spark, folder):
+    return embeddings.judged(table(spark, folder, "embeddings"))
+
+
 def op7_poisson_mix(spark, folder):
     """doc_id, source, n_copies' rows: every copy of every document, globally shuffled."""
     return mixing.mixed(table(spark, folder, "documents").select("doc_id", "text", "source")).select(
@@ -73,6 +81,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity, "op2_url_rules": op2_url_rules, "op4_simhash": op4_simhash, "op7_poisson_mix": op7_poisson_mix,
-    "op9_patricia_dedup": op9_patricia_dedup, "op10_byte_bpe": op10_byte_bpe,
+    "op1_toxicity": op1_toxicity,
+    "op2_url_rules": op2_url_rules,
+    "op3_repeated_bytes": op3_repeated_bytes,
+    "op4_simhash": op4_simhash,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_poisson_mix": op7_poisson_mix,
+    "op9_patricia_dedup": op9_patricia_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
