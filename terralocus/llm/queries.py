@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, mixing, patricia, repeats, simhash, toxicity, urlrules
+from . import bpe, ctw, embeddings, mixing, patricia, repeats, simhash, toxicity, urlrules
 from .tables import table
 
 # The rule list of the url query: longest fitting rule wins.
@@ -40,6 +40,10 @@ def op7_poisson_mix(spark, folder):
         F.col("copy").cast("bigint").alias("copy"), F.col("row")["text"].alias("text"))
 
 
+def op8_context_tree(spark, folder):
+    return ctw.judged(table(spark, folder, "documents"))
+
+
 def op9_patricia_dedup(spark, folder):
     return patricia.judged(table(spark, folder, "documents"), keep="largest")
 
@@ -74,6 +78,7 @@ steps AS (SELECT source, k, sum(exp(log)) OVER (PARTITION BY source ORDER BY k)
 drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 counted AS (SELECT doc_id, d.source, any_value(text) AS text, count(*) AS n FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.upto <= d.u GROUP BY doc_id, d.source, u)
 SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM counted""",
+    "op8_context_tree": op8_context_tree,
     "op9_patricia_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -87,6 +92,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_poisson_mix": op7_poisson_mix,
+    "op8_context_tree": op8_context_tree,
     "op9_patricia_dedup": op9_patricia_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
