@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, embeddings, mixing, patricia, repeats, simhash, toxicity, urlrules
+from . import bpe, ctw, embeddings, licenses, mixing, patricia, repeats, simhash, toxicity, urlrules
 from .tables import table
 
 # The rule list of the url query: longest fitting rule wins.
@@ -29,6 +29,10 @@ def op4_simhash(spark, folder):
     return simhash.judged(table(spark, folder, "documents"))
 
 
+def op5_licenses(spark, folder):
+    return licenses.judged(table(spark, folder, "documents"))
+
+
 def op6_embedding_dedup(spark, folder):
     return embeddings.judged(table(spark, folder, "embeddings"))
 
@@ -56,6 +60,7 @@ _PARTED = """
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages"""
 
 ORACLES = {
+    "op5_licenses": licenses.oracle_sql(),
     "op2_url_rules": f"""
 WITH parted AS ({_PARTED}),
 hosted AS (
@@ -78,7 +83,6 @@ steps AS (SELECT source, k, sum(exp(log)) OVER (PARTITION BY source ORDER BY k)
 drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 counted AS (SELECT doc_id, d.source, any_value(text) AS text, count(*) AS n FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.upto <= d.u GROUP BY doc_id, d.source, u)
 SELECT doc_id, source, text, unnest(range(1, n + 1)) AS copy FROM counted""",
-    "op8_context_tree": op8_context_tree,
     "op9_patricia_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -90,6 +94,7 @@ QUERIES = {
     "op2_url_rules": op2_url_rules,
     "op3_repeated_bytes": op3_repeated_bytes,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_context_tree": op8_context_tree,
