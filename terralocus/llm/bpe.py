@@ -16,6 +16,7 @@ import base64
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
@@ -66,18 +67,6 @@ def encode_text(text: str, ranks: str = RANKS, pattern: str = PATTERN, size: int
     return [token for part in parts(text, size) for token in own.encode_ordinary(part)]
 
 
-def _sliced(texts: list[str | None], limit: int = BATCH_CHARS):
-    """Ranges of rows that hold about `limit` characters together."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _packed(docs: DataFrame, column: str) -> DataFrame:
     """One struct of all columns, and the one to work on: no name can clash."""
     return docs.select(F.struct("*").alias("row"), F.col(column).alias("work"))
@@ -90,10 +79,19 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = R
 
     def run(batches):
         for batch in batches:
-            rows, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, end in _sliced(texts):
-                found = [encode_text(t or "", ranks, pattern) for t in texts[start:end]]
-                yield pa.RecordBatch.from_arrays([rows.slice(start, end - start), pa.array(found, pa.list_(pa.int32()))], ["row", "ids"])
+            start, held, found = 0, 0, []
+            for i, text in enumerate(batch.column(1)):  # one text at a time: lists of ids are large
+                text = text.as_py() or ""
+                found.append(np.array(encode_text(text, ranks, pattern), np.int32))
+                held += len(text)
+                if held >= BATCH_CHARS or i + 1 == batch.num_rows:
+                    yield out_batch(batch.column(0).slice(start, len(found)), found)
+                    start, held, found = i + 1, 0, []
+
+    def out_batch(rows, found):
+        offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([rows, lists], ["row", "ids"])
 
     return packed.mapInArrow(run, out).select("row.*", F.col("ids").alias(ids))
 
@@ -106,7 +104,9 @@ def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks
     def run(batches):
         token = vocabulary(ranks)[1]
         for batch in batches:
-            bytes_ = [b"".join([token[i] for i in row or ()]) for row in batch.column(1).to_pylist()]
+            bytes_ = []
+            for row in batch.column(1):
+                bytes_.append(b"".join(map(token.__getitem__, row.values.to_numpy().tolist())) if row.is_valid else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bytes_, pa.binary())], ["row", "decoded"])
 
     return packed.mapInArrow(run, out).select("row.*", F.col("decoded").alias(decoded))
