@@ -11,9 +11,10 @@ from terralocus.operators import landmarks as L
 from terralocus.operators import subset as U
 from terralocus.operators.nearest import nearest
 from terralocus.plans import gazetteer as G
+from terralocus.plans.query import answer_batch
 
 from . import sqlparts as S
-from .inputs import admin, gazetteer_tables, islands, mountains, saved_index, tiered_places, written
+from .inputs import admin, catalog, gazetteer_tables, islands, mountains, saved_index, tiered_places, written
 from .raster_suite import EXPOSURE
 from .registry import check
 from .views import view
@@ -191,21 +192,38 @@ def provenance_set(spark, d):
 _SAMPLED = S.raster_samples("SELECT point_id, lon, lat FROM [pts]")
 
 
-@check("gazetteer", f"""WITH fix AS ({_FIX}), loc AS ({_on_pts(_LOCATED)}), ch AS ({_on_pts(_CHAIN)}), isl AS (SELECT point_id, count(DISTINCT name) AS n FROM [pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY 1),
+_WHOLE = f"""WITH fix AS ({_FIX}), loc AS ({_on_pts(_LOCATED)}), ch AS ({_on_pts(_CHAIN)}), isl AS (SELECT point_id, count(DISTINCT name) AS n FROM [pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY 1),
     mt AS ({_on_pts(_MOUNTAIN)}), ex AS ({_on_pts(EXPOSURE)}), z AS (SELECT point_id, raw FROM ({_SAMPLED}) WHERE layer_id='height')
     SELECT p.point_id, loc.country_iso, coalesce(len(ch.chain), 0) AS levels, ch.chain[1].name AS most_local, isl.n AS islands, m1.name AS mountain, m2.name AS mountain_range,
     fix.label, fix.inside, ex.slope_deg, coalesce(z.raw, 0.0) AS meters, z.raw IS NULL AS sea_level, 'ODbL-1.0' AS license
     FROM [pts] p LEFT JOIN loc USING (point_id) LEFT JOIN ch USING (point_id) LEFT JOIN isl USING (point_id) LEFT JOIN fix USING (point_id)
     LEFT JOIN ex USING (point_id) LEFT JOIN z USING (point_id) LEFT JOIN mt m1 ON m1.point_id = p.point_id AND m1.landform='mountain'
-    LEFT JOIN mt m2 ON m2.point_id = p.point_id AND m2.landform='range'""")
-def gazetteer(spark, d):
-    answers = G.gazetteer(view(spark, d, "pts"), gazetteer_tables(spark, d, license=("ODbL-1.0", "", "")))
+    LEFT JOIN mt m2 ON m2.point_id = p.point_id AND m2.landform='range'"""
+
+
+def _shown(answers, g=""):
+    """The compared parts of gazetteer answers, which stand at the top or within a struct."""
+    at = lambda name: F.col(f"{g}.{name}" if g else name)
     return answers.select(
-        "point_id", "admin.country_iso", F.coalesce(F.size("admin.hierarchy"), F.lit(0)).cast("bigint").alias("levels"),
-        F.get("admin.hierarchy", 0)["name"].alias("most_local"), F.when(F.col("islands").isNotNull(), F.size("islands")).cast("bigint").alias("islands"),
-        F.col("mountains.mountain.name").alias("mountain"), F.col("mountains.range.name").alias("mountain_range"),
-        "bearing.label", "bearing.inside", F.round("exposure.slope_deg", 4).alias("slope_deg"),
-        "elevation.meters", "elevation.sea_level", F.col("license.name").alias("license"))
+        "point_id", at("admin.country_iso").alias("country_iso"), F.coalesce(F.size(at("admin.hierarchy")), F.lit(0)).cast("bigint").alias("levels"),
+        F.get(at("admin.hierarchy"), 0)["name"].alias("most_local"), F.when(at("islands").isNotNull(), F.size(at("islands"))).cast("bigint").alias("islands"),
+        at("mountains.mountain.name").alias("mountain"), at("mountains.range.name").alias("mountain_range"),
+        at("bearing.label").alias("label"), at("bearing.inside").alias("inside"), F.round(at("exposure.slope_deg"), 4).alias("slope_deg"),
+        at("elevation.meters").alias("meters"), at("elevation.sea_level").alias("sea_level"), at("license.name").alias("license"))
+
+
+@check("gazetteer", _WHOLE)
+def gazetteer(spark, d):
+    return _shown(G.gazetteer(view(spark, d, "pts"), gazetteer_tables(spark, d, license=("ODbL-1.0", "", ""))))
+
+
+@check("answer_with_gazetteer", _WHOLE)
+def answer_with_gazetteer(spark, d):
+    pts = view(spark, d, "pts")
+    number = lambda name: F.lit(None).cast("double").alias(name)
+    inputs = pts.select(F.col("point_id").alias("idx"), F.lit("").alias("id"), "lon", "lat", number("x"), number("y"), F.lit(0).alias("srid"))
+    answers = answer_batch(inputs, catalog(spark, d), gazetteer=gazetteer_tables(spark, d, license=("ODbL-1.0", "", "")), srids=(4326,))
+    return _shown(answers, "gazetteer")
 
 
 _NEAR10 = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id, place ORDER BY km, fid) AS rank FROM

@@ -68,12 +68,16 @@ IMAGE_PIXELS = {
     ("cover", "class"): "({row} * 7 + {col} * 3) % 6",
     ("climate", "temp"): "({row} * 5 + {col} * 11) % 200",
 }
+# one image in Web Mercator metres, 64 x 64 pixels of 100 km from its north-western corner
+MERCATOR = {("web", "zone"): "({row} * 7 + {col} * 3) % 50"}
+MERCATOR_X0, MERCATOR_Y0, MERCATOR_STEP = -2_000_000.0, 10_000_000.0, 100_000.0
 LAYER_ROWS = [
     ("dem", "height", 4326, 1, 255.0, "continuous", "meters", 1.0, 0.0),
     ("dem", "hem", 4326, 1, None, "continuous", "accuracy", 1.0, 0.0),
     ("urban", "built", 4326, 1, None, "continuous", "value", 1.0, 0.0),
     ("cover", "class", 4326, None, 0.0, "categorical", None, None, None),
     ("climate", "temp", 4326, None, 7.0, "continuous", "", 0.5, 3.0),
+    ("web", "zone", 3857, None, 11.0, "continuous", "zone", 1.0, 0.0),
 ]
 
 
@@ -94,7 +98,12 @@ def raster_images(spark, d) -> DataFrame:
     whole = whole.withColumns({
         "lat_cell": F.lit(0), "lon_cell": F.lit(0), "x0": F.lit(-10.0), "y0": F.lit(65.0), "dx": F.lit(0.5), "dy": F.lit(0.5),
         "width": F.lit(80), "height": F.lit(60), "pixels": value})
-    return tiled.unionByName(whole)
+    (source, layer), text = next(iter(MERCATOR.items()))
+    cells = F.expr(f"transform(sequence(0, 4095), i -> cast({text.format(row='(i div 64)', col='(i % 64)')} as double))")
+    metres = spark.createDataFrame([(source, layer)], "source_id string, layer_id string").withColumns({
+        "lat_cell": F.lit(0), "lon_cell": F.lit(0), "x0": F.lit(MERCATOR_X0), "y0": F.lit(MERCATOR_Y0),
+        "dx": F.lit(MERCATOR_STEP), "dy": F.lit(MERCATOR_STEP), "width": F.lit(64), "height": F.lit(64), "pixels": cells})
+    return tiled.unionByName(whole).unionByName(metres)
 
 
 # written once per session and folder, as an ingest job would
@@ -131,7 +140,7 @@ def mapping(spark, d) -> DataFrame:
 SOURCE_ROWS = [
     ("admin", "ready", "ODbL-1.0", "", ""), ("lands", "ready", "", "", "by hand"), ("roads", "ready", "", "", ""),
     ("cover", "ready", "CC0", "", ""), ("climate", "loading", "", "", ""), ("dem", "ready", "CC0", "", ""),
-    ("urban", "error", "", "", ""),
+    ("urban", "error", "", "", ""), ("web", "ready", "", "", "open"),
 ]
 
 

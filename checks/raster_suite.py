@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terralocus.operators import raster as R
+from terralocus.operators.points import reproject_points
 
 from . import sqlparts as S
 from .inputs import mapping, raster
@@ -16,8 +17,10 @@ _SAMPLES = S.raster_samples(_PTS)
 
 
 def _sampled(spark, d):
+    """All layers at all points, each in its own system."""
     table = raster(spark, d)
-    return R.sample_pixels(R.assign_layers(view(spark, d, "all_pts"), table.layers), table, spread_by=["point_id"])
+    pts = view(spark, d, "all_pts").select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(4326).alias("srid"))
+    return R.sample_covering(reproject_points(pts, [4326, 3857], (4326,)), table, table.layers)
 
 
 @check("raster_join", f"SELECT point_id, source_id, layer_id, raw FROM ({_SAMPLES})")
@@ -35,7 +38,7 @@ def raster_categorical(spark, d):
 
 
 @check("raster_continuous", f"""SELECT point_id, source_id, layer_id,
-    CASE layer_id WHEN 'height' THEN 'meters' WHEN 'hem' THEN 'accuracy' ELSE 'value' END AS property,
+    CASE layer_id WHEN 'height' THEN 'meters' WHEN 'hem' THEN 'accuracy' WHEN 'zone' THEN 'zone' ELSE 'value' END AS property,
     CASE WHEN source_id = 'climate' THEN raw*0.5+3 ELSE raw END AS value FROM ({_SAMPLES}) WHERE source_id <> 'cover'""")
 def raster_continuous(spark, d):
     return R.continuous_values(_sampled(spark, d)).select("point_id", "source_id", "layer_id", "property", "value")

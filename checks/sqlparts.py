@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .inputs import IMAGE_PIXELS, LAYER_ROWS, TILE_PIXELS
+from .inputs import IMAGE_PIXELS, LAYER_ROWS, TILE_PIXELS, MERCATOR, MERCATOR_STEP, MERCATOR_X0, MERCATOR_Y0
 
 PI = "3.141592653589793"
 
@@ -68,6 +68,12 @@ def raster_samples(points: str) -> str:
         parts.append(f"""SELECT p.* EXCLUDE (prow, pcol), '{key[0]}' AS source_id, '{key[1]}' AS layer_id, CAST({value} AS DOUBLE) AS raw
           FROM (SELECT *, CAST(floor((65-lat)*2) AS INT) AS prow, CAST(floor((lon+10)*2) AS INT) AS pcol FROM ({points})) p
           WHERE prow BETWEEN 0 AND 59 AND pcol BETWEEN 0 AND 79""")
+    for key, text in MERCATOR.items():  # the Web Mercator formula, then the pixel
+        value = text.format(row="prow", col="pcol")
+        parts.append(f"""SELECT p.* EXCLUDE (prow, pcol), '{key[0]}' AS source_id, '{key[1]}' AS layer_id, CAST({value} AS DOUBLE) AS raw
+          FROM (SELECT *, CAST(floor(({MERCATOR_Y0} - 6378137.0 * ln(tan(pi()/4 + radians(lat)/2))) / {MERCATOR_STEP}) AS INT) AS prow,
+          CAST(floor((6378137.0 * radians(lon) - {MERCATOR_X0}) / {MERCATOR_STEP}) AS INT) AS pcol FROM ({points})) p
+          WHERE prow BETWEEN 0 AND 63 AND pcol BETWEEN 0 AND 63""")
     drops = " OR ".join(f"(source_id='{s}' AND layer_id='{l}' AND raw={v})" for (s, l), v in nodata.items() if v is not None)
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE NOT ({drops})"
 

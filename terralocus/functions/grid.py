@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MIN_RUNG = -3
+# From parcels of a millimetre (in degrees) to whole planets (in metres).
+MIN_RUNG = -14
 MAX_RUNG = 12
-_MASK = (1 << 28) - 1
+_RUNGS = MAX_RUNG - MIN_RUNG + 1
+_MASK = (1 << 27) - 1
 
 
 def side(rung: int) -> float:
@@ -41,9 +43,9 @@ def slot(value: Column, rung: Column | int) -> Column:
 
 def pack(rung_x: Column, rung_y: Column, ix: Column, iy: Column) -> Column:
     """One BIGINT key. Far cells may share a key; the box test after the join decides."""
-    code = (rung_x - MIN_RUNG) * 16 + (rung_y - MIN_RUNG)
-    return F.shiftleft(code.cast("bigint"), 56).bitwiseOR(
-        F.shiftleft(ix.bitwiseAND(F.lit(_MASK)), 28)
+    code = (rung_x - MIN_RUNG) * _RUNGS + (rung_y - MIN_RUNG)
+    return F.shiftleft(code.cast("bigint"), 54).bitwiseOR(
+        F.shiftleft(ix.bitwiseAND(F.lit(_MASK)), 27)
     ).bitwiseOR(iy.bitwiseAND(F.lit(_MASK)))
 
 

@@ -10,8 +10,7 @@ from .layer_index import LayerIndex, build_box_index, build_index
 from .skew import lookup_join, spread_small
 
 
-def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "lat",
-                hot_rows: int | None = None) -> DataFrame:
+def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "lat") -> DataFrame:
     """Every (point, feature) pair whose feature covers the point, once each.
 
     Keeps all columns of `points` and the index's carried columns. Points
@@ -28,7 +27,7 @@ def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "
     else:
         cells = located.withColumn("cell", F.explode(grid.point_cells(px, py, index.rungs)))
     side = index.rows.select(*index.carried, "xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "segments", "cell")
-    pairs = lookup_join(cells, side, ["cell"], size=index.size, spread_by=[x, y, *points.columns[:1]], hot_rows=hot_rows)
+    pairs = lookup_join(cells, side, ["cell"], size=index.size, spread_by=[x, y, *points.columns[:1]])
     in_slab = (
         px.between(F.col("xmin"), F.col("xmax"))
         & (py >= F.col("slab_lo"))

@@ -58,18 +58,22 @@ def union_hits(parts: list[DataFrame]) -> DataFrame:
 
 
 def nest_answers(points: DataFrame, hits: DataFrame, point: str = "point_id") -> DataFrame:
-    """One row per point: results per source with feature arrays and counts.
+    """One row per point: results per source with name, license, feature arrays and counts.
 
     Hits are capped per point and source before they come here, so a group is
-    bounded. Points without hits keep an empty array.
+    bounded. Points without hits keep an empty array. Properties stay JSON text;
+    the line writer turns them into objects.
     """
-    features = F.array_sort(F.collect_list(F.struct("layer_ord", "fid", "layer", "properties")))
-    per_source = hits.groupBy(point, "source_id").agg(features.alias("features"))
+    shown = [c for c in ("geometry",) if c in hits.columns]
+    features = F.array_sort(F.collect_list(F.struct("layer_ord", "fid", "layer", "properties", *shown)))
+    about = [c for c in ("source_name", "license") if c in hits.columns]
+    per_source = hits.groupBy(point, "source_id").agg(features.alias("features"), *[F.any_value(c).alias(c) for c in about])
     results = per_source.groupBy(point).agg(
         F.array_sort(F.collect_list(F.struct(
             F.col("source_id"),
             F.size("features").alias("feature_count"),
             F.col("features"),
+            *about,
         ))).alias("results"),
         F.sum(F.size("features")).cast("bigint").alias("total_features"),
     )

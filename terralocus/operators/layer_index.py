@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry, grid
 from .skew import Size
 
 SLAB_SEGMENTS = 32
-MAX_SLABS = 256
+# Slabs of the first cut; each is cut again by the segments it holds, so none of
+# a long outline's segments is looked at once per slab.
+FIRST_SLABS = 64
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,7 @@ class LayerIndex:
 
 
 def _profile_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Rung pairs in use (at most 256 rows) with counted rows and bytes."""
+    """Rung pairs in use (at most one per pair of rungs) with counted rows and bytes."""
     segments = F.coalesce(F.size("segments"), F.lit(0))
     text = [F.coalesce(F.octet_length(F.col(n)), F.lit(0)) for n, kind in rows.select(*carried).dtypes if kind == "string"]
     row_bytes = segments * 48 + 128
@@ -56,6 +58,20 @@ def _profile(rows: DataFrame, carried: list[str]) -> LayerIndex:
     return _with_profile(rows, _profile_rows(rows, carried), carried)
 
 
+def _cut(df: DataFrame, slabs: Column) -> DataFrame:
+    """Each slab in `slabs` slabs of equal height, with the segments that reach into them."""
+    height = F.col("slab_hi") - F.col("slab_lo")
+    df = df.withColumn("_slabs", slabs).withColumn("_slab", F.explode(F.sequence(F.lit(0), F.col("_slabs") - 1)))
+    last = F.col("_slab") == F.col("_slabs") - 1
+    df = df.withColumns({
+        "_lo": F.when(F.col("_slab") == 0, F.col("slab_lo")).otherwise(F.col("slab_lo") + height * F.col("_slab") / F.col("_slabs")),
+        "_hi": F.when(last, F.col("slab_hi")).otherwise(F.col("slab_lo") + height * (F.col("_slab") + 1) / F.col("_slabs")),
+        "slab_last": F.col("slab_last") & last})
+    reach = F.filter("segments", lambda e: (F.greatest(e["ay"], e["by"]) >= F.col("_lo")) & (F.least(e["ay"], e["by"]) <= F.col("_hi")))
+    return df.withColumns({"segments": F.when(F.col("_slabs") == 1, F.col("segments")).otherwise(reach),
+                           "slab_lo": F.col("_lo"), "slab_hi": F.col("_hi")}).drop("_lo", "_hi", "_slab", "_slabs")
+
+
 def index_rows(polygons: DataFrame, carry: list[str], rings: str = "rings") -> DataFrame:
     """(carried columns, box, slab, segments, cell) rows of a polygon layer.
 
@@ -72,26 +88,14 @@ def index_rows(polygons: DataFrame, carry: list[str], rings: str = "rings") -> D
         & F.forall("_edges", lambda e: (e["ax"] == e["bx"]) != (e["ay"] == e["by"]))
         & (F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin"))
     )
-    df = df.withColumn(
-        "_slabs",
-        F.when(is_box | (F.col("ymax") <= F.col("ymin")), F.lit(1))
-        .otherwise(F.least(F.lit(MAX_SLABS), F.ceil(F.size("_edges") / SLAB_SEGMENTS).cast("int"))),
-    ).withColumn("_edges", F.when(~is_box, F.col("_edges")))
-    height = F.col("ymax") - F.col("ymin")
-    df = df.withColumn("_slab", F.explode(F.sequence(F.lit(0), F.col("_slabs") - 1)))
-    last = F.col("_slab") == F.col("_slabs") - 1
+    flat = is_box | (F.col("ymax") <= F.col("ymin"))
+    df = df.withColumns({
+        "slab_lo": F.col("ymin"), "slab_hi": F.col("ymax"), "slab_last": F.lit(True), "_flat": flat,
+        "segments": F.when(~is_box, F.col("_edges"))})
+    first = F.least(F.lit(FIRST_SLABS), F.ceil(F.size("segments") / SLAB_SEGMENTS).cast("int"))
+    df = _cut(df.drop("_edges", "_rings"), F.when(F.col("_flat"), F.lit(1)).otherwise(first))
+    df = _cut(df, F.when(F.col("_flat"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.size("segments") / SLAB_SEGMENTS).cast("int"))))
     df = df.withColumns({
-        "slab_lo": F.col("ymin") + height * F.col("_slab") / F.col("_slabs"),
-        "slab_hi": F.when(last, F.col("ymax")).otherwise(F.col("ymin") + height * (F.col("_slab") + 1) / F.col("_slabs")),
-        "slab_last": last,
-    }).withColumn(
-        "segments",
-        F.when(
-            F.col("_edges").isNotNull(),
-            F.filter("_edges", lambda e: (F.greatest(e["ay"], e["by"]) >= F.col("slab_lo"))
-                     & (F.least(e["ay"], e["by"]) <= F.col("slab_hi"))),
-        ),
-    ).withColumns({
         "rung_x": grid.rung_of(F.col("xmax") - F.col("xmin")),
         "rung_y": grid.rung_of(F.col("slab_hi") - F.col("slab_lo")),
     })

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
 from .skew import lookup_join, measure, spread_for_work
@@ -48,19 +48,19 @@ def _reach_cells(lon: Column, lat: Column, radius_km: Column, side: float) -> Co
     return F.flatten(F.transform(lon_slots, lambda i: F.transform(lat_slots, lambda j: _cell(i, j))))
 
 
-def _dense_reach(places: DataFrame, group: list[str], lon: str, lat: str, k: int, side: float) -> DataFrame:
-    """Cells whose 3x3 neighbourhood already holds k places: (group, _dense_cell).
+def _dense_reach(places: DataFrame, lon: str, lat: str, k: int, side: float) -> DataFrame:
+    """Cells whose 3x3 neighbourhood already holds k places of a group: (_group, _dense_cell).
 
     Counts per cell are aggregated first; only counts, never places, are
     copied to the neighbours. Rows: at most 9 per k places.
     """
     n = int(360 / side)
-    counts = places.groupBy(*group, _lon_slot(F.col(lon), side).alias("_i"), _lat_slot(F.col(lat), side).alias("_j")).count()
+    counts = places.groupBy("_group", _lon_slot(F.col(lon), side).alias("_i"), _lat_slot(F.col(lat), side).alias("_j")).count()
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     spread = counts.withColumn("_o", F.explode(offsets))
     cell = _cell(F.pmod(F.col("_i") + F.col("_o.a"), F.lit(n)), F.col("_j") + F.col("_o.b"))
-    return (spread.groupBy(*group, cell.alias("_dense_cell")).agg(F.sum("count").alias("_n"))
-            .filter(F.col("_n") >= k).select(*group, "_dense_cell"))
+    return (spread.groupBy("_group", cell.alias("_dense_cell")).agg(F.sum("count").alias("_n"))
+            .filter(F.col("_n") >= k).select("_group", "_dense_cell"))
 
 
 def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carry: list[str],
@@ -70,13 +70,13 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     """Up to k nearest places per point (and per `group` value) within `radius_km`.
 
     Adds the carried columns, `distance_km` and `rank` (1 = nearest, ties by
-    id). `group` keeps a separate ranking per value of that column; `values`
-    filters it.
+    id). `group` keeps a separate ranking per value of that column, null being
+    a value like any other; `values` names the values wanted.
 
     Two exact reductions keep dense areas affordable: of places at one spot
     only the k with the smallest ids can be among the nearest, and where the
-    3x3 cells around a point hold k places already, the search ends at the far
-    corner of that neighbourhood.
+    3x3 cells around a point hold k places of a group already, the search for
+    that group ends at the far corner of that neighbourhood.
     """
     k = max(1, k)
     keys = [group] if group else []
@@ -85,8 +85,10 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     columns = list(dict.fromkeys([*keys, fid, *carry]))
     places = places.filter(F.col(place_lon).isNotNull() & F.col(place_lat).isNotNull())
     spot = Window.partitionBy(*keys, place_lon, place_lat).orderBy(fid)
+    # a struct is equal to itself even where its field is null
+    own_group = F.struct((F.col(group) if group else F.lit(0)).alias("value"))
     places = (places.withColumn("_copy", F.row_number().over(spot)).filter(F.col("_copy") <= k)
-              .select(*columns, F.col(place_lon).alias("_plon"), F.col(place_lat).alias("_plat")))
+              .select(*columns, own_group.alias("_group"), F.col(place_lon).alias("_plon"), F.col(place_lat).alias("_plat")))
     size = measure(places)
     adaptive = adaptive and size.rows >= k
     located = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
@@ -98,46 +100,47 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
         extra = [c for c in columns if c not in (*keys, fid)]
         if extra and places.select(fid).distinct().count() == size.rows:
             # ranked rows carry ids only; the other columns join the k that remain
-            details = F.broadcast(places.select(fid, *extra))
+            details = F.broadcast(places.select(F.col(fid).alias("_id"), *extra))
             places = places.drop(*extra)
 
     # (side, radius) steps: from the whole radius down to ever denser areas
     base = _side_for(radius_km)
-    steps = [(base, float(radius_km))]
+    steps = []
     if adaptive:
         diagonal = 2 * math.sqrt(2) * 111.7
-        steps += [(s, s * diagonal) for s in (base / 4, base / 16) if s >= SIDES[-1] and s * diagonal < radius_km]
-    dense = {}
-    for side, radius in steps[1:]:
-        table = _dense_reach(places, keys, "_plon", "_plat", k, side)
-        table_size = measure(table, fixed_bytes=64)
+        steps = [(s, s * diagonal) for s in (base / 4, base / 16) if s >= SIDES[-1] and s * diagonal < radius_km]
+    dense = []
+    for side, radius in steps:
+        table = _dense_reach(places, "_plon", "_plat", k, side).groupBy("_dense_cell").agg(F.collect_set("_group").alias("_near"))
+        table_size = measure(table)
         if not table_size.rows:
             break  # a finer neighbourhood lies within a coarser one
-        dense[(side, radius)] = (table, table_size)
-
-    # rankings need their own rows only where their search radii may differ
-    split = keys if dense else []
-    if split:
-        group_values = values or [r[0] for r in places.select(*keys).distinct().limit(257).collect() if r[0] is not None]
-        if len(group_values) > 256:
-            raise ValueError("the ranking column has more than 256 values; filter it or rank without it")
-        located = located.withColumn(group, F.explode(F.array(*map(F.lit, sorted(group_values)))))
-
-    parts = []
-    rest = located
-    for (side, radius), (table, table_size) in sorted(dense.items()):  # densest (finest) first
+        dense.insert(0, (side, radius, table, table_size))
+
+    # which groups each step answers for a point, the densest (finest) first
+    none = F.array().cast(T.ArrayType(places.schema["_group"].dataType))
+    located = located.withColumn("_done", none)
+    for n, (side, radius, table, table_size) in enumerate(dense):
         own = _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side))
-        tagged = lookup_join(rest.withColumn("_dense_cell", own), table.withColumn("_near", F.lit(True)),
-                             [*keys, "_dense_cell"], "left", size=table_size, spread_by=[point])
-        parts.append((tagged.filter(F.col("_near")).drop("_near", "_dense_cell"), side, radius))
-        rest = tagged.filter(F.col("_near").isNull()).drop("_near", "_dense_cell")
-    parts.append((rest, base, float(radius_km)))
+        located = lookup_join(located.withColumn("_dense_cell", own), table, ["_dense_cell"], "left", size=table_size, spread_by=[point])
+        located = located.withColumn("_near", F.coalesce("_near", none)).withColumns({
+            f"_step{n}": F.array_except("_near", "_done"), "_done": F.array_union("_done", "_near")}).drop("_near", "_dense_cell")
 
     found = None
-    for part, side, radius in parts:
-        asked = part.withColumn("_cell", F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(radius), side)))
+    for n, (side, radius) in enumerate([*((s, r) for s, r, _, _ in dense), (base, float(radius_km))]):
+        cells = F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(radius), side))
         filed = places.withColumn("_cell", _cell(_lon_slot(F.col("_plon"), side), _lat_slot(F.col("_plat"), side)))
-        pairs = lookup_join(asked, filed, [*split, "_cell"], size=size, spread_by=[point])
+        if n < len(dense):
+            asked = located.select(*points.columns, F.explode(f"_step{n}").alias("_group")).withColumn("_cell", cells)
+        elif dense and group:
+            # the groups that a cell holds, without those answered already
+            held = filed.groupBy("_cell").agg(F.collect_set("_group").alias("_held"))
+            asked = lookup_join(located.withColumn("_cell", cells), held, ["_cell"], spread_by=[point])
+            asked = asked.select(*points.columns, "_cell", F.explode(F.array_except("_held", "_done")).alias("_group"))
+        else:
+            asked = located.filter(F.size("_done") == 0).select(*points.columns).withColumn("_cell", cells)
+        on = ["_cell", "_group"] if "_group" in asked.columns else ["_cell"]
+        pairs = lookup_join(asked, filed, on, size=size, spread_by=[point])
         pairs = pairs.filter(
             sphere_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")) <= radius * (1 + SPHERE_SLACK) + 1e-6
         )
@@ -147,7 +150,7 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
     hits = hits.filter(F.col("distance_km") <= radius_km).withColumn("rank", F.row_number().over(ranked))
     hits = hits.filter(F.col("rank") <= k)
     if details is not None:
-        hits = hits.join(details, fid)
+        hits = hits.join(details, F.col(fid).eqNullSafe(F.col("_id")))
     return hits.select(
         *points.columns, *columns,
         F.col("_plon").alias(place_lon), F.col("_plat").alias(place_lat), "distance_km", "rank",

@@ -17,11 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import terrain as window3
+from .containment import match_index
+from .layer_index import build_box_index
+from .points import WGS84_SRID
 from .skew import lookup_join, measure
 
 BLOCK = 32
 BUILTUP_MIN = 100.0
-MAX_LAYERS = 10_000
 _LAYER = ["source_id", "layer_id"]
 _TILE = [*_LAYER, "lat_cell", "lon_cell"]
 
@@ -70,29 +72,23 @@ def cut_blocks(images: DataFrame, block: int = BLOCK) -> DataFrame:
     return df.select(*_TILE, "bx", "by", width.alias("block_width"), pixels.alias("pixels"))
 
 
-def assign_layers(points: DataFrame, layers: DataFrame) -> DataFrame:
-    """One row per point and layer of the (small, counted) layer catalog."""
-    found = layers.select(*_LAYER).limit(MAX_LAYERS + 1).collect()
-    if len(found) > MAX_LAYERS:
-        raise ValueError(f"more than {MAX_LAYERS} raster layers; choose sources first")
-    keys = F.array(*[F.struct(F.lit(r[0]).alias("source_id"), F.lit(r[1]).alias("layer_id")) for r in sorted(found)])
-    return points.withColumn("_layer", F.explode(keys)).select(
-        "*", F.col("_layer.source_id"), F.col("_layer.layer_id")).drop("_layer")
+_PARAMS = ["grid_deg", "nodata", "value_type", "output_property", "scale", "offset"]
 
 
-def sample_pixels(asked: DataFrame, raster: Raster, x: str = "lon", y: str = "lat",
-                  spread_by: list[str] | None = None) -> DataFrame:
-    """Adds `raw` and the layer's parameters to rows (.., source_id, layer_id).
+def assign_layers(points: DataFrame, layers: DataFrame) -> DataFrame:
+    """Every point with every one of a few named layers, for callers that sample fixed layers.
 
-    Rows outside the image, over a missing tile, or on nodata drop out.
+    `sample_covering` finds the layers that cover a point without naming all pairs.
     """
+    keys = layers.select(*_LAYER).agg(F.array_sort(F.collect_set(F.struct(*_LAYER))).alias("_layers")).first()["_layers"]
+    each = F.array(*[F.struct(F.lit(r[0]).alias("source_id"), F.lit(r[1]).alias("layer_id")) for r in keys])
+    return points.withColumn("_layer", F.explode(each)).select(
+        "*", F.col("_layer.source_id"), F.col("_layer.layer_id")).drop("_layer")
+
+
+def _read_pixels(df: DataFrame, raster: Raster, x: str, y: str, kept: list[str], spread: list[str]) -> DataFrame:
+    """From points with their tile to `raw`; nodata and points outside the image drop out."""
     block = raster.block
-    params = ["grid_deg", "nodata", "value_type", "output_property", "scale", "offset"]
-    spread = spread_by or [x, y]
-    df = lookup_join(asked, raster.layers.select(*_LAYER, *params), _LAYER, spread_by=spread)
-    cells = cell_of(F.col(x), F.col(y), F.col("grid_deg"))
-    df = df.withColumns({name: F.coalesce(value, F.lit(0)) for name, value in cells.items()})
-    df = lookup_join(df, raster.tiles, _TILE, spread_by=spread)
     df = df.withColumns({
         "px": F.floor((F.col(x) - F.col("x0")) / F.col("dx")).cast("int"),
         "py": F.floor((F.col("y0") - F.col(y)) / F.col("dy")).cast("int"),
@@ -109,7 +105,73 @@ def sample_pixels(asked: DataFrame, raster: Raster, x: str = "lon", y: str = "la
     at = (F.col("py") - F.col("by") * block) * F.col("block_width") + F.col("px") - F.col("bx") * block
     df = df.withColumn("raw", F.get("pixels", at))
     return df.filter(F.col("nodata").isNull() | (F.col("raw") != F.col("nodata"))).select(
-        *asked.columns, "raw", "value_type", "output_property", "scale", "offset")
+        *kept, "raw", "value_type", "output_property", "scale", "offset")
+
+
+def sample_pixels(asked: DataFrame, raster: Raster, x: str = "lon", y: str = "lat",
+                  spread_by: list[str] | None = None) -> DataFrame:
+    """Adds `raw` and the layer's parameters to rows (.., source_id, layer_id), whose x and y are in the layer's system.
+
+    Rows outside the image, over a missing tile, or on nodata drop out.
+    """
+    spread = spread_by or [x, y]
+    df = lookup_join(asked, raster.layers.select(*_LAYER, *_PARAMS), _LAYER, spread_by=spread)
+    cells = cell_of(F.col(x), F.col(y), F.col("grid_deg"))
+    df = df.withColumns({name: F.coalesce(value, F.lit(0)) for name, value in cells.items()})
+    df = lookup_join(df, raster.tiles, _TILE, spread_by=spread)
+    return _read_pixels(df, raster, x, y, asked.columns, spread)
+
+
+def sample_covering(points: DataFrame, raster: Raster, layers: DataFrame, point: str = "point_id") -> DataFrame:
+    """(point, source_id, layer_id, raw, parameters) of every one of `layers` that has a pixel at a point.
+
+    `points` carry x_<srid> and y_<srid> for the systems of the layers, null
+    where they cannot be transformed. Points meet the tiles that cover them
+    through the cell index of the tiles' boxes, so a layer costs nothing where
+    it has no tile.
+    """
+    params = layers.select(*_LAYER, "srid", *_PARAMS)
+    tiles = lookup_join(raster.tiles, params, _LAYER)
+    boxes = tiles.withColumns({
+        "xmin": F.col("x0"), "xmax": F.col("x0") + F.col("dx") * F.col("width"),
+        "ymin": F.col("y0") - F.col("dy") * F.col("height"), "ymax": F.col("y0")})
+    carry = [*_TILE, "x0", "y0", "dx", "dy", "width", "height", *_PARAMS]
+    found = None
+    for srid in sorted(r[0] for r in params.select(F.coalesce("srid", F.lit(WGS84_SRID))).distinct().collect()):
+        slim = points.select(point, F.col(f"x_{srid}").alias("_x"), F.col(f"y_{srid}").alias("_y"))
+        own = boxes.filter(F.coalesce("srid", F.lit(WGS84_SRID)) == srid)
+        hits = match_index(slim, build_box_index(own, carry), "_x", "_y")
+        cell = cell_of(F.col("_x"), F.col("_y"), F.col("grid_deg"))
+        hits = hits.filter(F.col("grid_deg").isNull() | ((F.col("lat_cell") == cell["lat_cell"]) & (F.col("lon_cell") == cell["lon_cell"])))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        empty = points.select(point, F.lit(None).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y")).filter(F.lit(False))
+        found = empty.join(boxes.select(*carry), F.lit(False))
+    return _read_pixels(found, raster, "_x", "_y", [point, *_LAYER], [point])
+
+
+def valued(samples: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """Samples of both kinds with fid, properties (JSON text) and error, in one pass.
+
+    A categorical pixel takes the properties of its value, and one without a
+    mapping entry is an error of that layer at that point; a continuous pixel
+    gives its scaled value under the layer's output property.
+    """
+    categorical = F.col("value_type") == "categorical"
+    coded = samples.withColumn("value", F.when(categorical, F.col("raw").cast("bigint")))
+    if mapping is None:
+        coded = coded.withColumn("_mapped", F.lit(None).cast("string"))
+    else:
+        table = mapping.select(*_LAYER, "value", F.to_json("properties").alias("_mapped"))
+        coded = lookup_join(coded, table, [*_LAYER, "value"], "left")
+    name = F.coalesce(F.nullif(F.col("output_property"), F.lit("")), F.lit("value"))
+    number = F.col("raw") * F.coalesce("scale", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))
+    message = F.format_string("pixel value %d has no mapping entry", F.col("value"))
+    kept = [c for c in samples.columns if c not in ("raw", "value_type", "output_property", "scale", "offset")]
+    return coded.select(
+        *kept, F.when(categorical, F.col("value")).otherwise(F.lit(0).cast("bigint")).alias("fid"),
+        F.when(categorical, F.col("_mapped")).otherwise(F.to_json(F.create_map(name, number))).alias("properties"),
+        F.when(categorical & F.col("_mapped").isNull(), message).alias("error"))
 
 
 def categorical_values(samples: DataFrame, mapping: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +181,7 @@ def categorical_values(samples: DataFrame, mapping: DataFrame, strict: bool = Fa
     """
     coded = samples.filter(F.col("value_type") == "categorical").withColumn("value", F.col("raw").cast("bigint"))
     table = mapping.select(*_LAYER, "value", "properties").withColumn("_mapped", F.lit(True))
-    joined = lookup_join(coded, table, [*_LAYER, "value"], "left", row_bytes=F.octet_length(F.to_json("properties")))
+    joined = lookup_join(coded, table, [*_LAYER, "value"], "left")
     missing = F.col("_mapped").isNull()
     message = F.format_string("pixel value %d has no mapping entry", F.col("value"))
     if strict:

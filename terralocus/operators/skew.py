@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
-
-from ..session import cut_lineage
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # A side is broadcast only when its counted size stays below these.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with more rows than this on the large side is spread over several tasks.
-HOT_ROWS = 2_000_000
-# More hot keys than this cannot occur below 2e12 rows; beyond, AQE splits alone.
-MAX_HOT_KEYS = 1_000_000
-
+# A task's share of an input that is spread before heavy work.
+WORK_BYTES = 64 * 1024 * 1024
+# Rows without a key are spread over so many keys of their own.
+NULL_SALTS = 4096
 
 @dataclass(frozen=True)
 class Size:
@@ -46,60 +44,57 @@ def spread_for_work(df: DataFrame, key: str) -> DataFrame:
     """Slim rows spread by key before each becomes many.
 
     The number of parts is set, so that small-looking parts are not merged
-    again before the work that makes them large.
+    again before the work that makes them large; it grows with the planner's
+    estimate of the input's bytes.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(parts, key)
-
-
-def measure(df: DataFrame, row_bytes=None, fixed_bytes: int = 256) -> Size:
-    """Counted rows and estimated bytes; `row_bytes` adds a per-row payload column."""
-    payload = F.lit(0) if row_bytes is None else row_bytes
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(payload), F.lit(0)).cast("bigint").alias("payload"),
-    ).first()
-    return Size(row["rows"], row["rows"] * fixed_bytes + row["payload"])
-
-
-def small_or_plain(df: DataFrame, size: Size | None = None, row_bytes=None) -> DataFrame:
-    """`df` with a broadcast hint when its counted size allows, else unchanged."""
-    size = size or measure(df, row_bytes)
-    return F.broadcast(df) if size.fits_broadcast else df
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = estimate < 1 << 60  # the planner's default says that it does not know
+    return df.repartition(max(least, estimate // WORK_BYTES if known else 0), key)
+
+
+def bytes_of_row(df: DataFrame) -> Column:
+    """About the bytes a row takes: real lengths of text, binaries and nested values."""
+    total = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            length = F.size(value) * 8
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            length = F.octet_length(value)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            length = F.octet_length(F.to_json(F.struct(value)))
+        else:
+            continue
+        total = total + F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))
+    return total
+
+
+def measure(df: DataFrame, fixed_bytes: int | None = None) -> Size:
+    """Counted rows and bytes; `fixed_bytes` is a known bound per row, which saves reading the rows for it."""
+    each = bytes_of_row(df) if fixed_bytes is None else F.lit(fixed_bytes)
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("bigint").alias("bytes")).first()
+    return Size(row["rows"], row["bytes"])
 
 
 def lookup_join(big: DataFrame, side: DataFrame, keys: list[str], how: str = "inner",
-                size: Size | None = None, row_bytes=None, spread_by: list[str] | None = None,
-                hot_rows: int | None = None) -> DataFrame:
-    """big ⋈ side on `keys`, keeping every row.
+                size: Size | None = None, spread_by: list[str] | None = None) -> DataFrame:
+    """big ⋈ side on `keys`, keeping every row; `how` is inner, left, left_semi or left_anti.
 
     A side of small counted size is broadcast, so `big` does not move. A large
-    side is joined by shuffle; keys holding more than `hot_rows` rows of `big`
-    are first counted (partial aggregation, one row per key leaves each task)
-    and then spread over enough salts that no task gets more than about
-    `hot_rows` of them, the side's rows being repeated once per salt.
-    `how` is inner, left, left_semi or left_anti: `big` is the kept side.
+    side is joined by shuffle, and a key that holds much of `big` is split by
+    adaptive execution, which knows the real sizes: `big` is not run ahead to
+    count keys, so it may be a stream, and joins may follow each other. Rows
+    with a null key match nothing; where they are kept, they are spread by a
+    salt instead of meeting in one task.
     """
-    size = size or measure(side, row_bytes)
-    hot_rows = hot_rows or HOT_ROWS
+    size = size or measure(side)
     if size.fits_broadcast:
         return big.join(F.broadcast(side), keys, how)
-    hot = (
-        big.groupBy(*keys).count()
-        .filter(F.col("count") > hot_rows)
-        .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
-    )
-    hot = cut_lineage(hot)
-    found = hot.count()
-    if found == 0 or found > MAX_HOT_KEYS:
+    if how in ("inner", "left_semi"):
         return big.join(side, keys, how)
-    hot = F.broadcast(hot)
-    spread = F.xxhash64(*(spread_by or big.columns))
-    left = big.join(hot, keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(spread, F.col("_salts").cast("bigint")).cast("int"), F.lit(0))
-    ).drop("_salts")
-    right = side.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    ).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(NULL_SALTS)) + 1
+    salted = big.withColumn("_salt", F.when(unmatched, spread).otherwise(F.lit(0).cast("bigint")))
+    return salted.join(side.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], how).drop("_salt")

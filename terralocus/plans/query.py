@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,8 +14,9 @@ from ..operators import hits as H
 from ..operators.containment import match_index
 from ..operators.layer_index import LayerIndex, build_box_index, build_index
 from ..operators.points import WGS84_SRID, choose_sources, reproject_points, resolve_points, validate_points
-from ..operators.raster import Raster, assign_layers, categorical_values, continuous_values, sample_pixels
+from ..operators.raster import Raster, sample_covering, valued
 from ..operators.skew import lookup_join
+from .gazetteer import Gazetteer, gazetteer as describe, wants_gazetteer
 
 
 @dataclass(frozen=True)
@@ -41,15 +42,15 @@ class VectorLayer:
 
 @dataclass(frozen=True)
 class Catalog:
-    """sources(source_id, status, license_name, license_url, license_attribution) and their layers."""
+    """sources(source_id, status, license_name, license_url, license_attribution, and name if known) and their layers."""
     sources: DataFrame
     layers: list[VectorLayer]
     raster: Raster | None = None
     mapping: DataFrame | None = None
-    skipped: list[tuple[str, str]] = field(default_factory=list)
 
 
 HIT_COLUMNS = ["point_id", "source_id", "layer_ord", "layer", "fid", "properties"]
+_EMPTY = "source_id string, layer_ord int, layer string, fid bigint, properties string"
 
 
 def layer_hits(points: DataFrame, layer: VectorLayer, properties: list[str] | None = None,
@@ -57,83 +58,121 @@ def layer_hits(points: DataFrame, layer: VectorLayer, properties: list[str] | No
     """Flat hits of one vector layer; only wanted attributes are read.
 
     Fragments are merged on all attributes, so the merge sees them even when
-    the answer shows fewer.
+    the answer shows fewer. A geometry is fetched by id after the match, so the
+    index never carries it: the layer's `wkt` column where it has one, else the
+    polygon of its rings.
     """
     px, py = f"x_{layer.srid}", f"y_{layer.srid}"
     slim = points.select("point_id", px, py)
     carry = ["fid", *layer.attributes]
-    features = layer.features
-    if with_geometry and layer.is_polygon:
-        features = features.withColumn("_wkt", geometry.polygon_wkt(F.col("rings")))
-        carry.append("_wkt")
-    index = None if with_geometry else layer.index
-    if index is not None:
-        index = replace(index, carried=carry)
+    if layer.index is not None:
+        index = replace(layer.index, carried=carry)
     else:
-        index = (build_index if layer.is_polygon else build_box_index)(features, carry)
+        index = (build_index if layer.is_polygon else build_box_index)(layer.features, carry)
     found = match_index(slim, index, px, py).drop(px, py)
     if layer.is_polygon:
-        found = H.merge_fragments(found, ["point_id"], layer.attributes, wkt="_wkt" if "_wkt" in carry else None)
+        found = H.merge_fragments(found, ["point_id"], layer.attributes)
     shown = [a for a in layer.attributes if not properties or a in properties]
     out = found.withColumns({
         "source_id": F.lit(layer.source_id), "layer_ord": F.lit(layer.ordinal), "layer": F.lit(layer.name),
         "properties": H.pack_properties(found, shown),
     })
-    geometry_columns = ["_wkt"] if "_wkt" in carry else []
-    return out.select(*HIT_COLUMNS, *geometry_columns).withColumnsRenamed({"_wkt": "wkt"})
-
-
-def raster_hits(points: DataFrame, catalog: Catalog, ordinals: dict[tuple[str, str], int] | None = None
-                ) -> tuple[DataFrame, DataFrame]:
-    """(hits, errors) of all raster layers, which must be in WGS84."""
-    slim = points.select("point_id", F.col(f"x_{WGS84_SRID}").alias("lon"), F.col(f"y_{WGS84_SRID}").alias("lat"))
-    sampled = sample_pixels(assign_layers(slim, catalog.raster.layers), catalog.raster, spread_by=["point_id"])
-    coded, errors = categorical_values(sampled, catalog.mapping)
-    measured = continuous_values(sampled)
-    coded = coded.select("point_id", "source_id", "layer_id", "fid", F.to_json("properties").alias("properties"))
-    measured = measured.select("point_id", "source_id", "layer_id", F.lit(0).cast("bigint").alias("fid"),
-                               F.to_json(F.create_map("property", "value")).alias("properties"))
-    both = coded.unionByName(measured)
-    return both.select("point_id", "source_id", F.lit(0).alias("layer_ord"), F.col("layer_id").alias("layer"),
-                       "fid", "properties"), errors.select("point_id", "source_id", "layer_id", "error")
-
-
-def all_hits(points: DataFrame, catalog: Catalog, wanted: list[str] | None = None,
-             properties: list[str] | None = None, max_features: int = H.DEFAULT_CAP,
-             on_layer_error: Callable[[VectorLayer, Exception], None] | None = None,
-             srids: tuple[int, ...] = SUPPORTED) -> DataFrame:
-    """Union of all layers' hits, capped per point and source, with the licence.
+    if not with_geometry:
+        return out.select(*HIT_COLUMNS)
+    if "wkt" in layer.features.columns:
+        text = F.col("wkt")
+    elif "rings" in layer.features.columns:
+        text = geometry.polygon_wkt(F.col("rings"))
+    else:
+        return out.select(*HIT_COLUMNS)
+    shape = F.struct(F.initcap(geometry.wkt_type(F.col("_wkt"))).alias("type"), F.col("_wkt").alias("wkt"))
+    shapes = layer.features.select("fid", text.alias("_wkt"))
+    return lookup_join(out, shapes, ["fid"], "left", spread_by=["point_id"]).select(
+        *HIT_COLUMNS, F.when(F.col("_wkt").isNotNull(), shape).alias("geometry"))
+
+
+def raster_hits(points: DataFrame, catalog: Catalog, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, errors) of the raster layers of the `chosen` sources, each sampled once in its own system."""
+    layers = catalog.raster.layers
+    if chosen is not None:
+        layers = lookup_join(layers, chosen.select("source_id").distinct(), ["source_id"], "left_semi")
+    found = valued(sample_covering(points, catalog.raster, layers), catalog.mapping)
+    hits = found.filter(F.col("error").isNull()).select(
+        "point_id", "source_id", F.lit(0).alias("layer_ord"), F.col("layer_id").alias("layer"), "fid", "properties")
+    return hits, found.filter(F.col("error").isNotNull()).select("point_id", "source_id", F.col("layer_id").alias("layer"), "error")
+
+
+def hits_and_errors(points: DataFrame, catalog: Catalog, wanted: list[str] | None = None,
+                    properties: list[str] | None = None, max_features: int = H.DEFAULT_CAP,
+                    on_layer_error: Callable[[VectorLayer, Exception], None] | None = None,
+                    srids: tuple[int, ...] = SUPPORTED, with_geometry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All layers' hits, capped per point and source, with source name and licence; and (point, layer) errors.
 
     `points(point_id, x, y, srid)` are projected once per distinct SRID of the
     layers. `srids` names the systems the points come in; naming few keeps the
-    plan short. A layer whose plan cannot be built contributes nothing and is
-    reported.
+    plan short. A layer whose plan cannot be built contributes nothing; it is
+    reported to `on_layer_error`, or raised where there is none.
     """
     chosen = choose_sources(catalog.sources, wanted)
-    ids = {r[0] for r in chosen.select("source_id").collect()}
+    named = sorted({x.source_id for x in catalog.layers})
+    ids = {r[0] for r in chosen.filter(F.col("source_id").isin(*named)).select("source_id").collect()} if named else set()
     layers = [x for x in catalog.layers if x.source_id in ids]
-    located = reproject_points(points, [*(x.srid for x in layers), WGS84_SRID], srids)
+    raster_srids = [] if catalog.raster is None else [
+        r[0] for r in catalog.raster.layers.select(F.coalesce("srid", F.lit(WGS84_SRID))).distinct().collect()]
+    located = reproject_points(points, [*(x.srid for x in layers), *raster_srids, WGS84_SRID], srids)
     parts = []
     for layer in layers:
         try:
-            parts.append(layer_hits(located, layer, properties))
-        except Exception as error:  # one bad layer must not fail the rest
+            parts.append(layer_hits(located, layer, properties, with_geometry))
+        except Exception as error:
             if on_layer_error is None:
-                catalog.skipped.append((layer.source_id, layer.name))
-            else:
-                on_layer_error(layer, error)
+                raise
+            on_layer_error(layer, error)
+    spark = points.sparkSession
+    errors = None
     if catalog.raster is not None:
-        found, _ = raster_hits(located, catalog)
-        parts.append(found.join(F.broadcast(chosen.select("source_id")), "source_id", "left_semi").select(*HIT_COLUMNS))
+        found, errors = raster_hits(located, catalog, chosen)
+        parts.append(found)
+    if not parts:  # nothing to ask: empty results for every point
+        parts.append(points.select("point_id").filter(F.lit(False)).join(spark.createDataFrame([], _EMPTY), F.lit(False)))
+    if errors is None:
+        errors = points.select("point_id", *[F.lit("").alias(c) for c in ("source_id", "layer", "error")]).filter(F.lit(False))
     hits = H.cap_hits(H.union_hits(parts), order=["layer_ord", "layer", "fid"], max_features=max_features)
-    licences = chosen.select("source_id", license_struct(
+    name = F.coalesce("name", "source_id") if "name" in chosen.columns else F.col("source_id")
+    about = chosen.select("source_id", name.alias("source_name"), license_struct(
         F.col("license_name"), F.col("license_url"), F.col("license_attribution")).alias("license"))
-    return lookup_join(hits, licences, ["source_id"], spread_by=["point_id"])
+    return lookup_join(hits, about, ["source_id"], spread_by=["point_id"]), errors
+
+
+def all_hits(points: DataFrame, catalog: Catalog, *args, **options) -> DataFrame:
+    """The hits of `hits_and_errors`."""
+    return hits_and_errors(points, catalog, *args, **options)[0]
+
 
+def sample_errors(points: DataFrame, catalog: Catalog, wanted: list[str] | None = None, srids: tuple[int, ...] = SUPPORTED) -> DataFrame:
+    """(point_id, source_id, layer, error): layers that failed at a point, which does not affect the others."""
+    return hits_and_errors(points, catalog, wanted, srids=srids)[1]
 
-def answer_batch(inputs: DataFrame, catalog: Catalog, batch_srid: int = 0, **options) -> DataFrame:
-    """Inputs (idx, id, lon, lat, x, y, srid) to one answer per input, bad rows kept with their error."""
+
+def answer_batch(inputs: DataFrame, catalog: Catalog, batch_srid: int = 0, gazetteer: Gazetteer | None = None,
+                 gazetteer_flag: str | None = None, srids: tuple[int, ...] = SUPPORTED, **options) -> DataFrame:
+    """Inputs (idx, id, lon, lat, x, y, srid) to one answer per input, bad rows kept with their error.
+
+    An answer has its results, the layers that failed there, the place in
+    WGS84, and, with a gazetteer and unless the flag says no, its sections.
+    """
     checked = validate_points(resolve_points(inputs, batch_srid)).withColumnRenamed("idx", "point_id")
     good = checked.filter(F.col("error").isNull() & F.col("invalid").isNull()).select("point_id", "x", "y", "srid")
-    hits = all_hits(good, catalog, **options)
-    return H.nest_answers(checked, hits)
+    hits, errors = hits_and_errors(good, catalog, srids=srids, **options)
+    answers = H.nest_answers(checked, hits)
+    failed = errors.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "layer", "error"))).alias("layer_errors"))
+    answers = answers.join(failed, "point_id", "left").withColumn(
+        "layer_errors", F.coalesce("layer_errors", F.array().cast(failed.schema["layer_errors"].dataType)))
+    x, y = F.col(f"x_{WGS84_SRID}"), F.col(f"y_{WGS84_SRID}")
+    located = reproject_points(good, [WGS84_SRID], srids).filter(x.isNotNull() & y.isNotNull()).select("point_id", x.alias("lon"), y.alias("lat"))
+    answers = answers.join(located.select("point_id", F.struct("lon", "lat").alias("wgs84")), "point_id", "left")
+    if gazetteer is None or not wants_gazetteer(gazetteer_flag):
+        return answers
+    enriched = describe(located, gazetteer)
+    sections = [c for c in enriched.columns if c not in ("point_id", "lon", "lat")]
+    return answers.join(enriched.select("point_id", F.struct(*sections).alias("gazetteer")), "point_id", "left")

@@ -26,8 +26,7 @@ def spark():
 
 @pytest.fixture
 def shuffled(monkeypatch):
-    """Nothing is small enough to broadcast, and a key of 40 rows is hot."""
+    """Nothing is small enough to broadcast."""
     from terralocus.operators import skew
 
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(skew, "HOT_ROWS", 40)
