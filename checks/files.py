@@ -129,7 +129,7 @@ def write_bundles(cells: DataFrame, labels: DataFrame, folder: str) -> None:
     """
     root = local_path(folder)
     os.makedirs(root, exist_ok=True)
-    table = {str(r["value"]): {"label": r["name"]} for r in labels.collect()}
+    table = {str(r["value"]): {"label": r["name"], "rank": 10 * r["value"], "even": r["value"] % 2 == 0, "note": None} for r in labels.collect()}
 
     def write(pdf):
         lat = int(pdf["lat_cell"].iloc[0])
@@ -153,3 +153,27 @@ def write_bundles(cells: DataFrame, labels: DataFrame, folder: str) -> None:
         return pdf[["lat_cell"]].head(1)
 
     cells.groupBy("lat_cell").applyInPandas(write, "lat_cell int").write.format("noop").mode("overwrite").save()
+
+
+def write_broken_bundles(cells: DataFrame, folder: str) -> None:
+    """One bundle per latitude band, four of five with a fault of their own."""
+    root = local_path(folder)
+    os.makedirs(root, exist_ok=True)
+
+    def write(pdf):
+        lat = int(pdf["lat_cell"].iloc[0])
+        layer = {"id": "kind", "file": "kind.tif", "mapping": {"1": {"label": "one"}}}
+        manifest = {"schema_version": 1, "id": f"odd-{lat}", "name": "Odd", "license": {"name": "CC0"}, "crs": "EPSG:4326", "layers": [layer]}
+        fault = lat % 5
+        if fault == 1:
+            manifest["layers"] = [layer, layer]
+        elif fault == 2:
+            manifest["crs"] = "EPSG:1"
+        elif fault == 3:
+            layer["no_data"] = 0
+        elif fault == 4:
+            layer["sampling"] = "cubic"
+        make_bundle(f"{root}/odd-{lat}.zip", manifest, {"kind.tif": make_tiff(np.ones((4, 4), dtype="u1"), -10.0, 65.0, 10.0)})
+        return pdf[["lat_cell"]].head(1)
+
+    cells.groupBy("lat_cell").applyInPandas(write, "lat_cell int").write.format("noop").mode("overwrite").save()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terralocus.functions.wkb import box_of_wkb, rings_of_wkb
 from terralocus.operators.containment import match_index
-from terralocus.operators.layer_index import build_index
+from terralocus.operators.skew import Size
 from terralocus.session import scratch_path
 from terralocus.sources import geopackage as K
 from terralocus.sources import listing as I
@@ -17,8 +17,8 @@ from terralocus.sources import sinks as O
 from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading
 
 from . import sqlparts as S
-from .files import write_bundles, write_geopackages
-from .inputs import admin, saved_index, written
+from .files import write_broken_bundles, write_bundles, write_geopackages
+from .inputs import saved_index, written
 from .registry import check
 from .views import VIEWS, expand, view
 
@@ -48,21 +48,31 @@ def scan_gpkg(spark, d):
     return places.unionByName(units).select("layer", "fid", "name", "kind", "number", "box.*")
 
 
-@check("scan_raster_bundle", """SELECT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, lat_cell, lon_cell, 32 AS width, 32 AS height,
+@check("scan_raster_bundle", """SELECT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, 'height' AS layer_id, lat_cell, lon_cell, 32 AS width, 32 AS height,
     CAST(sum((r * 31 + c * 17 + lat_cell * 7 + (lon_cell + 20) * 13) % 256) AS DOUBLE) AS total
-    FROM [dem_cells], (SELECT unnest(range(32)) AS r), (SELECT unnest(range(32)) AS c) GROUP BY ALL""")
+    FROM [dem_cells], (SELECT unnest(range(32)) AS r), (SELECT unnest(range(32)) AS c) GROUP BY ALL
+    UNION ALL SELECT DISTINCT 'band-' || CAST(lat_cell AS VARCHAR), 'kind', 0, 0, 4, 4, CAST(16 * (1 + lat_cell % 5) AS DOUBLE) FROM [dem_cells]""")
 def scan_raster_bundle(spark, d):
     bundles = _bundles(spark, d)
-    per_block = bundles.raster.blocks.filter("layer_id = 'height'").select(
-        "source_id", "lat_cell", "lon_cell", F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("s"))
-    sums = per_block.groupBy("source_id", "lat_cell", "lon_cell").agg(F.sum("s").alias("total"))
-    return bundles.raster.tiles.filter("layer_id = 'height'").join(sums, ["source_id", "lat_cell", "lon_cell"]).select(
-        "source_id", "lat_cell", "lon_cell", "width", "height", "total")
+    key = ["source_id", "layer_id", "lat_cell", "lon_cell"]
+    per_block = bundles.raster.blocks.select(*key, F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("s"))
+    sums = per_block.groupBy(*key).agg(F.sum("s").alias("total"))
+    return bundles.raster.tiles.join(sums, key).select(*key, "width", "height", "total")
 
 
-@check("scan_value_mapping", """SELECT DISTINCT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, 'kind' AS layer_id, value, name AS label FROM [dem_cells], [legend_values]""")
+@check("scan_value_mapping", """SELECT DISTINCT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, 'kind' AS layer_id, value, name AS label,
+    10 * value AS rank, value % 2 = 0 AS even FROM [dem_cells], [legend_values]""")
 def scan_value_mapping(spark, d):
-    return _bundles(spark, d).mapping.select("source_id", "layer_id", "value", F.col("properties")["label"].alias("label"))
+    typed = F.from_json("properties", "label string, rank bigint, even boolean", {"mode": "FAILFAST"})
+    return _bundles(spark, d).mapping.select("source_id", "layer_id", "value", typed.alias("p")).select("source_id", "layer_id", "value", "p.*")
+
+
+@check("bundle_rejects", """SELECT DISTINCT 'odd-' || CAST(lat_cell AS VARCHAR) AS source_id, 'broken rules: ' || CASE lat_cell % 5 WHEN 1 THEN 'layer_id_unique kind'
+    WHEN 2 THEN 'crs_supported' WHEN 3 THEN 'unknown field no_data' ELSE 'sampling kind' END AS error FROM [dem_cells] WHERE lat_cell % 5 <> 0""")
+def bundle_rejects(spark, d):
+    folder = written(spark, d, "odd-bundles", lambda p: write_broken_bundles(view(spark, d, "dem_cells"), p))
+    paths = I.list_storage(spark, folder).select(F.col("key").alias("path"))
+    return B.read_bundles(paths).rejects.select("source_id", "error")
 
 
 _INDEX = """SELECT CASE p_partkey % 9 WHEN 0 THEN '# ' || p_name WHEN 1 THEN '' WHEN 2 THEN '  ' || p_name || CAST(p_partkey AS STRING) || '.GPKG ' WHEN 3 THEN p_name || CAST(p_partkey AS STRING) || '.txt'
@@ -111,17 +121,39 @@ def stream_enrich(spark, d):
     return spark.read.parquet(out)
 
 
-@check("hot_reload", f"SELECT point_id, fid, 1 AS version FROM [pts] JOIN [admin] ON {S.IN_BOX}")
+@check("stream_enrich_shuffled", f"SELECT point_id, fid, name FROM [pts] JOIN [admin] ON {S.IN_BOX}")
+def stream_enrich_shuffled(spark, d):
+    """The stream with an index that counts as too large to broadcast."""
+    index = replace(saved_index(spark, d, "admin"), carried=["fid", "name"], size=Size(10**9, 10**12))
+    out = scratch_path(spark, "stream")
+    enriched = enrich_stream(_point_stream(spark, d), index).select("point_id", "fid", "name")
+    query = (enriched.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@check("hot_reload", f"""SELECT point_id, fid, 1 AS version FROM [pts] JOIN [admin] ON {S.IN_BOX} WHERE point_id % 2 = 0 UNION ALL
+    SELECT point_id, fid, 2 FROM [pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE point_id % 2 = 1""")
 def hot_reload(spark, d):
-    out = scratch_path(spark, "reload")
+    """Even points arrive first; before the odd ones the catalog changes from units to islands."""
+    out, arriving = scratch_path(spark, "reload"), scratch_path(spark, "arriving")
+    pts = view(spark, d, "pts").select("point_id", "lon", "lat")
+    for odd in (0, 1):
+        pts.filter(F.col("point_id") % 2 == odd).coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    asked = []
+
+    def version():
+        asked.append(1)
+        return len(asked)
 
-    def load(version):
-        return version, build_index(admin(spark, d), ["fid"])
+    def load(number):
+        return number, saved_index(spark, d, "admin" if number == 1 else "islands")
 
     def answer(batch, catalog):
-        version, index = catalog
-        return match_index(batch, index).select("point_id", "fid", F.lit(version).alias("version"))
+        number, index = catalog
+        return match_index(batch, replace(index, carried=["fid"])).select("point_id", "fid", F.lit(number).alias("version"))
 
-    query = answer_stream(_point_stream(spark, d), reloading(load, lambda: 1, answer), out, f"{out}-state", once=True)
-    query.awaitTermination()
+    answer_stream(stream, reloading(load, version, answer), out, f"{out}-state", once=True).awaitTermination()
     return spark.read.schema("point_id bigint, fid bigint, version int").json(f"{out}/batch=*")

@@ -15,8 +15,7 @@ GAZETTEER_REQUIRED = [
     "places_layer", "places_rank_column", "places_name_column", "places_admin_fk", "admin_layer",
     "admin_level_column", "admin_name_column", "admin_parent_fk", "country_column",
 ]
-# One legend line, and the group of a code's first letter.
-LEGEND_LINE = r"^\s*(\d+)\s*:\s*([A-Za-z]+)\s+(.+?)\s*\[\s*(\d+)\s+(\d+)\s+(\d+)\s*\]\s*$"
+# The group of a code's first letter.
 LEGEND_GROUPS = {"A": "Tropical", "B": "Arid", "C": "Temperate", "D": "Cold", "E": "Polar"}
 
 
@@ -83,14 +82,26 @@ def parse_legend(lines: DataFrame, line: str = "line", keys: list[str] | None =
     With `check`, no rows at all or a value given twice (per key) raises.
     """
     keys = keys or []
-    part = lambda i: F.regexp_extract(F.col(line), LEGEND_LINE, i)
+    blank = r"\s+"
+    whole = F.btrim(F.regexp_replace(F.col(line), blank, " "))
+    # value : code description [red green blue]
+    value, rest = F.btrim(F.substring_index(whole, ":", 1)), F.btrim(F.substr(whole, F.instr(whole, ":") + 1))
+    opened = F.locate("[", F.reverse(rest))  # the last bracket, counted from the end
+    named = F.split(F.btrim(F.substr(rest, F.lit(1), F.length(rest) - opened)), " ", 2)
+    colors = F.split(F.btrim(F.translate(F.substring_index(rest, "[", -1), "]", "")), " ")
+    parsed = lines.select(
+        *keys, value.try_cast("bigint").alias("value"),
+        F.get(named, 0).alias("code"), F.btrim(F.get(named, 1)).alias("description"),
+        F.transform(colors, lambda c: c.try_cast("int")).alias("_colors"),
+        (F.contains(whole, F.lit(":")) & F.endswith(rest, F.lit("]")) & (opened > 0) & value.rlike("^[0-9]+$")).alias("_framed"))
+    shaped = (F.col("_framed") & F.col("value").isNotNull() & F.col("code").rlike("^[A-Za-z]+$") & (F.coalesce("description", F.lit("")) != "")
+              & (F.size("_colors") == 3) & F.forall("_colors", lambda c: c.isNotNull()))
     group = F.lit("Unknown")
     for letter, name in LEGEND_GROUPS.items():
-        group = F.when(F.upper(F.substring(part(2), 1, 1)) == letter, F.lit(name)).otherwise(group)
-    rows = lines.filter(F.col(line).rlike(LEGEND_LINE)).select(
-        *keys, part(1).cast("bigint").alias("value"), part(2).alias("code"), F.trim(part(3)).alias("description"),
-        group.alias("group"),
-        F.format_string("#%02X%02X%02X", *[part(i).cast("int") for i in (4, 5, 6)]).alias("color"))
+        group = F.when(F.upper(F.substring("code", 1, 1)) == letter, F.lit(name)).otherwise(group)
+    rows = parsed.filter(shaped).select(
+        *keys, "value", "code", "description", group.alias("group"),
+        F.format_string("#%02X%02X%02X", *[F.get("_colors", i) for i in range(3)]).alias("color"))
     if check:
         if rows.isEmpty():
             raise ValueError("no legend rows")

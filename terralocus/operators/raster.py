@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import terrain as window3
 from .containment import match_index
@@ -162,7 +162,8 @@ def valued(samples: DataFrame, mapping: DataFrame | None) -> DataFrame:
     if mapping is None:
         coded = coded.withColumn("_mapped", F.lit(None).cast("string"))
     else:
-        table = mapping.select(*_LAYER, "value", F.to_json("properties").alias("_mapped"))
+        text = F.col("properties") if mapping.schema["properties"].dataType == T.StringType() else F.to_json("properties")
+        table = mapping.select(*_LAYER, "value", text.alias("_mapped"))
         coded = lookup_join(coded, table, [*_LAYER, "value"], "left")
     name = F.coalesce(F.nullif(F.col("output_property"), F.lit("")), F.lit("value"))
     number = F.col("raw") * F.coalesce("scale", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))

@@ -29,8 +29,8 @@ def build_session(master: str, app: str = "terralocus", **extra: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: the cluster's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set as the checkpoint folder.
+    Only in local mode, where all tasks share one machine, a temporary folder is
+    made and set as the checkpoint folder if the session names none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 

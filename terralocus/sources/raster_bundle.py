@@ -16,16 +16,22 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.attributes import epsg_code, source_id
-from ..operators.raster import BLOCK, Raster, cut_blocks
+from ..functions.attributes import epsg_code, is_known_srid, source_id
+from ..operators.manifests import raster_violations
+from ..operators.raster import BLOCK, Raster
+from ..session import cut_lineage, scratch_path
 from .geopackage import local_path
 
 LAYER_TYPE = ("struct<id:string,description:string,file:string,tiles:struct<dir:string,pattern:string,grid_deg:int>,"
               "band:int,nodata:double,sampling:string,value_type:string,output_property:string,scale:double,offset:double,"
-              "mapping:map<string,map<string,string>>,value_mapping:string>")
+              "mapping:map<string,string>,value_mapping:string>")
 MANIFEST_TYPE = ("struct<schema_version:int,id:string,name:string,description:string,"
                  "license:struct<name:string,attribution:string,url:string>,crs:string,"
                  f"layers:array<{LAYER_TYPE}>>")
+# The fields a manifest and its layers may have.
+MANIFEST_FIELDS = ["schema_version", "id", "name", "description", "license", "crs", "layers"]
+LAYER_FIELDS = ["id", "description", "file", "tiles", "band", "nodata", "sampling", "value_type", "output_property", "scale",
+                "offset", "mapping", "value_mapping"]
 MANIFEST_NAME = r"[^/]*raster\.ya?ml"
 
 # TIFF tags, field sizes and sample formats in use.
@@ -170,13 +176,35 @@ def read_manifests(paths: DataFrame) -> DataFrame:
     named = paths.select("path", source_id(F.col("path")).alias("source_id")).repartition("path")
     raw = named.mapInPandas(run, "path string, source_id string, doc string, names string, error string")
     raw = raw.withColumns({"manifest": F.from_json("doc", MANIFEST_TYPE), "members": F.from_json("names", "array<string>")})
-    wrong_id = F.col("error").isNull() & (F.col("manifest.id") != F.col("source_id"))
-    return raw.select("path", "source_id", "manifest", "members",
-                      F.when(wrong_id, F.lit("file stem differs from the manifest id")).otherwise(F.col("error")).alias("error"))
+    rows = raw.join(_broken_rules(raw), "source_id", "left")
+    broken = F.when(F.size("rules") > 0, F.concat(F.lit("broken rules: "), F.array_join("rules", ", ")))
+    return rows.select("path", "source_id", "manifest", "members", F.coalesce("error", broken).alias("error"))
+
+
+def _broken_rules(raw: DataFrame) -> DataFrame:
+    """(source_id, rules): every rule of the manifest contract that a readable bundle breaks."""
+    read = raw.filter("error IS NULL")
+    manifests = read.select(
+        "source_id", "manifest.schema_version", "manifest.id", "manifest.name", F.col("manifest.license.name").alias("license_name"),
+        "manifest.crs", F.size("manifest.layers").alias("layer_count"))
+    layer = read.select("source_id", F.explode("manifest.layers").alias("l"))
+    own_table = F.when(F.coalesce("l.value_mapping", F.lit("")) == "", F.map_keys("l.mapping"))  # a sidecar is read into the mapping
+    layers = layer.select(
+        "source_id", F.col("l.id").alias("layer_id"), "l.file", F.col("l.tiles.dir").alias("tiles_dir"), F.col("l.tiles.pattern").alias("tiles_pattern"),
+        F.col("l.tiles.grid_deg").alias("grid_deg"), "l.band", "l.sampling", "l.value_type", own_table.alias("mapping_keys"), "l.value_mapping")
+    found = raster_violations(manifests, layers).select("source_id", F.concat_ws(" ", "rule", "layer_id").alias("rule"))
+    # a misspelt field would else be ignored
+    texts = F.coalesce(F.from_json("doc", "layers array<string>")["layers"], F.array().cast("array<string>"))
+    fields = F.array_union(
+        F.array_except(F.json_object_keys("doc"), F.array(*map(F.lit, MANIFEST_FIELDS))),
+        F.array_except(F.flatten(F.transform(texts, F.json_object_keys)), F.array(*map(F.lit, LAYER_FIELDS))))
+    unknown = read.select("source_id", F.explode(fields).alias("f")).select("source_id", F.concat(F.lit("unknown field "), "f").alias("rule"))
+    system = manifests.filter(~is_known_srid(F.coalesce(epsg_code(F.col("crs")), F.lit(0)))).select("source_id", F.lit("crs_supported").alias("rule"))
+    return found.unionByName(unknown).unionByName(system).groupBy("source_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
 def value_mapping(manifests: DataFrame) -> DataFrame:
-    """(source_id, layer_id, value, properties) of inline and sidecar tables."""
+    """(source_id, layer_id, value, properties) of inline and sidecar tables; properties are JSON text, so types stay."""
     layers = manifests.filter("error IS NULL").select("source_id", F.explode("manifest.layers").alias("l"))
     return layers.select("source_id", F.col("l.id").alias("layer_id"), F.explode("l.mapping").alias("k", "properties")).select(
         "source_id", "layer_id", F.col("k").cast("bigint").alias("value"), "properties")
@@ -202,47 +230,75 @@ def _members(manifests: DataFrame) -> DataFrame:
         pattern = F.replace(pattern, F.lit(token), F.lit(group))
     files = F.when(tiled, F.filter("members", lambda m: m.endswith(".tif") | m.endswith(".tiff"))).otherwise(F.array(F.col("l.file")))
     return one.select("path", "source_id", F.col("l.id").alias("layer_id"), F.coalesce("l.band", F.lit(1)).alias("band"),
-                      F.when(tiled, pattern).alias("pattern"), F.explode(files).alias("member"))
+                      F.when(tiled, pattern).alias("pattern"), F.explode(files).alias("member")).filter(
+        F.col("pattern").isNull() | F.rlike("member", F.concat(F.lit(r"\A(?:"), "pattern", F.lit(r")\z"))))
 
 
 IMAGE_SCHEMA = ("source_id string, layer_id string, lat_cell int, lon_cell int, x0 double, y0 double, dx double, "
-                "dy double, width int, height int, pixels array<double>, error string")
+                "dy double, width int, height int, bx int, by int, block_width int, pixels array<double>, error string")
 
 
-def read_images(manifests: DataFrame) -> DataFrame:
-    """One row per image with its pixels, or with the reason it was refused."""
+def blocks_of(pixels: np.ndarray, width: int, height: int, block: int):
+    """(bx, by, block_width, pixels) of one image, row by row of blocks."""
+    image = np.asarray(pixels, np.float64).reshape(height, width)
+    for by in range(-(-height // block)):
+        for bx in range(-(-width // block)):
+            part = image[by * block:(by + 1) * block, bx * block:(bx + 1) * block]
+            yield bx, by, part.shape[1], part.ravel()
+
+
+def read_images(manifests: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per block of every image, or one with the reason an image was refused.
+
+    An image leaves its task in blocks, a row of them at a time, so no row
+    holds a whole image.
+    """
     def run(batches):
         import pandas as pd
         columns = [c.strip().split()[0] for c in IMAGE_SCHEMA.split(",")]
+        whole = {c: "Int32" for c in ("width", "height", "bx", "by", "block_width")}
         for pdf in batches:
             for row in pdf.itertuples():
                 lat = lon = 0
                 if row.pattern:
                     hit = re.fullmatch(row.pattern.replace("(?<", "(?P<"), row.member)
-                    if not hit:
-                        continue
                     lat = int(hit["lat"]) * (-1 if hit["ns"] == "S" else 1)
                     lon = int(hit["lon"]) * (-1 if hit["ew"] == "W" else 1)
                 head = {"source_id": row.source_id, "layer_id": row.layer_id, "lat_cell": lat, "lon_cell": lon}
                 try:
                     with zipfile.ZipFile(local_path(row.path)) as z, z.open(row.member) as f:
-                        found = {**head, **read_tiff(f.read(), row.band)}
+                        found = read_tiff(f.read(), row.band)
                 except (ValueError, KeyError, OSError, struct.error, zlib.error, zipfile.BadZipFile, IndexError) as e:
-                    found = {**head, "error": f"{row.member}: {e}"}
-                yield pd.DataFrame([{c: found.get(c) for c in columns}], columns=columns).astype(
-                    {"width": "Int32", "height": "Int32"})
+                    refused = {**head, "error": f"{row.member}: {e}"}
+                    yield pd.DataFrame([{c: refused.get(c) for c in columns}], columns=columns).astype(whole)
+                    continue
+                pixels = found.pop("pixels")
+                across, held = -(-found["width"] // block), []
+                for bx, by, width, part in blocks_of(pixels, found["width"], found["height"], block):
+                    held.append({**head, **found, "bx": bx, "by": by, "block_width": width, "pixels": part, "error": None})
+                    if len(held) == across:
+                        yield pd.DataFrame(held, columns=columns).astype(whole)
+                        held = []
     return _members(manifests).repartition("path", "member").mapInPandas(run, IMAGE_SCHEMA)
 
 
 def read_bundles(paths: DataFrame, block: int = BLOCK) -> Bundles:
-    manifests = read_manifests(paths)
-    images = read_images(manifests)
+    """Bundles whose manifests keep all rules; the others, and unreadable images, are rejects with a reason.
+
+    Every image is decoded once: its blocks are written to the shared folder
+    and tiles, blocks and rejects are read from there.
+    """
+    spark = paths.sparkSession
+    manifests = cut_lineage(read_manifests(paths))
+    path = scratch_path(spark, "images")
+    read_images(manifests, block).write.parquet(path)
+    images = spark.read.parquet(path)
     good = images.filter(F.col("error").isNull())
     rejects = manifests.filter(F.col("error").isNotNull()).select("source_id", F.lit(None).cast("string").alias("layer_id"), "error")
     rejects = rejects.unionByName(images.filter(F.col("error").isNotNull()).select("source_id", "layer_id", "error"))
-    tiles = good.drop("pixels", "error")
-    return Bundles(manifests, Raster(raster_layers(manifests), tiles, cut_blocks(good.drop("error"), block), block),
-                   value_mapping(manifests), rejects)
+    tiles = good.filter("bx = 0 AND by = 0").drop("bx", "by", "block_width", "pixels", "error")
+    blocks = good.select("source_id", "layer_id", "lat_cell", "lon_cell", "bx", "by", "block_width", "pixels")
+    return Bundles(manifests, Raster(raster_layers(manifests), tiles, blocks, block), value_mapping(manifests), rejects)
 
 
 def write_raster(raster: Raster, path: str) -> None:
@@ -252,7 +308,7 @@ def write_raster(raster: Raster, path: str) -> None:
 
 
 def write_tables(bundles: Bundles, path: str) -> None:
-    """Ingest once: images are decoded here, queries read the written tables."""
+    """The tables of an ingest; queries read them."""
     write_raster(bundles.raster, path)
     bundles.mapping.write.mode("overwrite").parquet(f"{path}/mapping")
     bundles.rejects.write.mode("overwrite").parquet(f"{path}/rejects")

@@ -110,15 +110,23 @@ def test_bundles_are_read_and_bad_ones_reported(spark, tmp_path):
     pixels = np.arange(16, dtype="u1").reshape(4, 4)
     base = {"schema_version": 1, "name": "x", "license": {"name": "CC0"}, "crs": "EPSG:4326"}
     make_bundle(str(tmp_path / "good.zip"), {**base, "id": "good", "layers": [{"id": "a", "file": "a.tif", "value_mapping": "m.json", "nodata": 3}]},
-                {"a.tif": make_tiff(pixels, 0.0, 4.0, 1.0), "m.json": b'{"5": {"name": "five"}}'})
+                {"a.tif": make_tiff(pixels, 0.0, 4.0, 1.0), "m.json": b'{"5": {"name": "five", "rank": 5, "open": true, "note": null}}'})
     make_bundle(str(tmp_path / "wrong.zip"), {**base, "id": "other", "layers": []}, {})
     make_bundle(str(tmp_path / "broken.zip"), {**base, "id": "broken", "layers": [{"id": "a", "file": "a.tif", "mapping": {}}]}, {"a.tif": b"no image"})
     (tmp_path / "junk.zip").write_bytes(b"not a zip")
+    one = {"id": "a", "file": "a.tif", "mapping": {"1": {}}}
+    image = {"a.tif": make_tiff(pixels, 0.0, 4.0, 1.0)}
+    make_bundle(str(tmp_path / "twice.zip"), {**base, "id": "twice", "layers": [one, one]}, image)
+    make_bundle(str(tmp_path / "crs.zip"), {**base, "id": "crs", "crs": "EPSG:99999", "layers": [one]}, image)
+    make_bundle(str(tmp_path / "field.zip"), {**base, "id": "field", "layers": [{**one, "no_data": 3}]}, image)
+    make_bundle(str(tmp_path / "sampled.zip"), {**base, "id": "sampled", "layers": [{**one, "sampling": "cubic"}]}, image)
     paths = spark.createDataFrame([(str(p),) for p in sorted(tmp_path.glob("*.zip"))], "path string")
     bundles = B.read_bundles(paths, block=2)
     B.write_tables(bundles, str(tmp_path / "tables"))
     raster = B.load_raster(spark, str(tmp_path / "tables"), 2)
-    assert sorted(r["source_id"] for r in bundles.rejects.collect()) == ["broken", "junk", "wrong"]
+    assert sorted(r["source_id"] for r in bundles.rejects.collect()) == ["broken", "crs", "field", "junk", "sampled", "twice", "wrong"]
+    why = {r["source_id"]: r["error"] for r in bundles.rejects.collect()}
+    assert "layer_id_unique a" in why["twice"] and "crs_supported" in why["crs"] and "unknown field no_data" in why["field"] and "sampling a" in why["sampled"]
     got = {r["point_id"]: r["raw"] for r in R.sample_pixels(R.assign_layers(points(spark, (1.5, 2.5), (3.5, 3.5), (0.0, 0.5)), raster.layers.filter("source_id = 'good'")), raster).collect()}
     assert got == {0: 5.0, 2: 12.0}  # pixel 3 is nodata
-    assert [(r["value"], r["properties"]) for r in bundles.mapping.collect()] == [(5, {"name": "five"})]
+    assert [(r["value"], r["properties"]) for r in bundles.mapping.collect()] == [(5, '{"name":"five","rank":5,"open":true,"note":null}')]
