@@ -21,6 +21,15 @@ ADMIN_COLUMNS = ["fid", "parent_id", "admin_level", "name", "name_native", "name
 ISLAND_COLUMNS = ["fid", "name", "name_native", "name_source"]
 MOUNTAIN_COLUMNS = ["fid", "name", "name_native", "name_source", "landform", "ele", "area_km2"]
 
+# Types of the sections, the same whether a dataset has them or not.
+_NAMES = "name:string,name_native:string,name_source:string"
+ISLANDS_TYPE = f"array<struct<{_NAMES}>>"
+MOUNTAINS_TYPE = f"struct<mountain:struct<{_NAMES},elevation:double>,range:struct<{_NAMES}>>"
+EXPOSURE_TYPE = ("struct<slope_deg:double,slope_percent:double,aspect_deg:double,aspect_compass:string,flat:boolean,"
+                 "sample_spacing_m:double>")
+ELEVATION_TYPE = ("struct<meters:double,accuracy_m:double,accuracy_basis:string,horizontal_accuracy_m:double,vertical_datum:string,"
+                  "sea_level:boolean,surface_model:string,source:struct<name:string,url:string,attribution:string>>")
+
 
 @dataclass(frozen=True)
 class ElevationMeta:
@@ -108,13 +117,13 @@ def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
         out = out.join(L.islands(covering(slim, g.islands, ISLAND_COLUMNS, g.island_index, merge=False)), "point_id", "left")
         codes.append(F.coalesce(F.transform("islands", lambda i: i["name_source"]), F.array().cast("array<string>")))
     else:
-        out = out.withColumn("islands", F.lit(None).cast("array<struct<name:string,name_native:string,name_source:string>>"))
+        out = out.withColumn("islands", F.lit(None).cast(ISLANDS_TYPE))
     if g.mountains is not None:
         found = L.mountains(covering(slim, g.mountains, MOUNTAIN_COLUMNS, g.mountain_index, merge=False))
         out = out.join(found.select("point_id", F.struct("mountain", "range").alias("mountains")), "point_id", "left")
         codes.append(F.array("mountains.range.name_source", "mountains.mountain.name_source"))
     else:
-        out = out.withColumn("mountains", F.lit(None).cast("string"))
+        out = out.withColumn("mountains", F.lit(None).cast(MOUNTAINS_TYPE))
 
     fix = bearings(slim, summary, g)
     parts = [c for c in fix.columns if c != "point_id"]
@@ -132,10 +141,15 @@ def gazetteer(points: DataFrame, g: Gazetteer) -> DataFrame:
                      F.lit(meta.surface_model).alias("surface_model"), source.alias("source")).alias("elevation"))
         out = out.join(levels, "point_id", "left")
     else:
-        out = out.withColumns({"exposure": F.lit(None).cast("string"), "elevation": F.lit(None).cast("string")})
+        out = out.withColumns({"exposure": F.lit(None).cast(EXPOSURE_TYPE), "elevation": F.lit(None).cast(ELEVATION_TYPE)})
 
     out = out.withColumn("_codes", A.provenance_codes(*codes))
-    out = describe_sources(out, g.name_sources) if g.name_sources is not None else out.withColumnRenamed("_codes", "sources")
+    if g.name_sources is not None:
+        out = describe_sources(out, g.name_sources)
+    else:
+        text = F.lit(None).cast("string")
+        out = out.withColumn("sources", F.transform("_codes", lambda c: F.struct(
+            c.alias("code"), text.alias("short"), text.alias("long"), text.alias("standard")))).drop("_codes")
     return out.withColumn("license", license_struct(*map(F.lit, g.license)))
 
 

@@ -74,3 +74,25 @@ def test_date_line_and_poles(spark):
     xy = [(180.0, 0.0), (-180.0, 1.0), (179.99, -3.0), (-179.5, 4.0), (0.0, 90.0), (12.0, 89.9), (170.0, 88.0), (-40.0, 86.0)]
     got = found(nearest(points(spark, xy), places(spark, rows), 20, 200.0, ["place"]))
     assert got == brute(xy, rows, 20, 200.0, ["p"])
+
+
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("crowd", [0, 400])
+def test_groups_are_ranked_alike_whatever_the_size(spark, monkeypatch, large, crowd):
+    """Null groups, null ids and more than 256 groups; sparse and dense; broadcast and shuffled."""
+    from terralocus.operators import skew
+    if large:
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(7)
+    rows = [(i or None, f"g{i}" if i % 5 else None, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform((-1, 44), (1, 46), (330, 2)))]
+    rows += [(1000 + i, None if i % 2 else "crowd", float(x), float(y)) for i, (x, y) in enumerate(rng.normal((0.2, 45.1), 0.01, (crowd, 2)))]
+    xy = [(0.2, 45.1), (-0.5, 44.5), (0.9, 45.9)]
+    got = nearest(points(spark, xy), spark.createDataFrame(rows, PLACES), 2, 40.0, ["place_lon"], group="place")
+    found = {(r["point_id"], r["place"], r["fid"], r["rank"]) for r in got.collect()}
+    want = set()
+    for i, (x, y) in enumerate(xy):
+        km, _ = vincenty(np.full(len(rows), x), np.full(len(rows), y), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+        for g in {r[1] for r in rows}:
+            near = sorted((d, r[0] if r[0] is not None else -1, r[0]) for d, r in zip(km, rows) if r[1] == g and d <= 40)[:2]
+            want |= {(i, g, fid, n) for n, (_, _, fid) in enumerate(near, 1)}
+    assert found == want
