@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, forest
@@ -35,8 +36,8 @@ COSINE = 0.93
 SLACK = 0.5
 # Classes that the fit sees at most, those a label and cell should hold, and cells at most.
 SAMPLE, CELL, CELLS, ROUNDS = 16_384, 1_000, 1_024, 12
-BLOCK = 1_024
-ROWS_AT_ONCE = 256
+BLOCK = 4_096
+ROWS_AT_ONCE, LINKS = 256, 2_000_000
 
 
 def unit(values) -> np.ndarray | None:
@@ -136,6 +137,18 @@ def linked(x: np.ndarray, y: np.ndarray, cosine: float):
         yield i + at, j
 
 
+def grouped(batch: pa.RecordBatch, keys: list[str]):
+    """Slices of a sorted batch whose rows share all keys, with their values."""
+    fresh = np.zeros(batch.num_rows, bool)
+    fresh[:1] = True
+    for c in keys:
+        column = batch.column(c)
+        fresh[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(fresh).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, end - start), tuple(batch.column(c)[start].as_py() for c in keys)
+
+
 def _compared(members: DataFrame, cosine: float) -> DataFrame:
     """(uid, links, root): what each pair of blocks adds to a class's links, and a class it is connected with."""
     place = ["label", "size", "cell"]
@@ -149,28 +162,33 @@ def _compared(members: DataFrame, cosine: float) -> DataFrame:
     def run(batches):
         held, now = [], None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in (*keys, "block", "uid", "n", "unit", "home")]):
-                if row[:5] != now and held:
+            for part, place in grouped(batch, keys):
+                if place != now and held:
                     yield answer(held)
                     held = []
-                now = row[:5]
-                held.append(row[3:])
+                now = place
+                held.append(part)
         if held:
             yield answer(held)
 
-    def answer(rows):
-        low, high, block, uid, n, units, home = (list(c) for c in zip(*rows))
-        x, uid, n, home, block = np.array(units), np.array(uid), np.array(n), np.array(home), np.array(block)
-        one, two = np.flatnonzero(block == low[0]), np.flatnonzero(block == high[0])
+    def answer(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        uid, n, home, block = (rows[c].to_numpy() for c in ("uid", "n", "home", "block"))
+        x = rows["unit"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
         links, a, b = np.zeros(len(uid), np.int64), [], []
         for i, j in linked(x[one], x[two], cosine):
             i, j = one[i], two[j]
             # a pair counts where at least one is at home; two guests meet elsewhere; within a block once
-            good = (home[i] | home[j]) & ((low[0] != high[0]) | (i < j))
+            good = (home[i] | home[j]) & ((low != high) | (i < j))
             i, j = i[good], j[good]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             a.append(i), b.append(j)
+            if sum(map(len, a)) > LINKS:  # a dense block: go on with what connects the links so far
+                root = forest(len(uid), np.concatenate(a), np.concatenate(b))
+                a, b = [np.arange(len(uid))], [root]
         root = forest(len(uid), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(uid))
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.array(links[some]), pa.array(uid[root[some]])], ["uid", "links", "root"])

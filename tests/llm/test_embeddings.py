@@ -74,6 +74,7 @@ def test_odd_vectors(spark):
 
 def test_a_third_of_the_rows_are_one_vector(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 32)
+    monkeypatch.setattr(embeddings, "LINKS", 50)
     rows = made(300, seed=5) + [(1000 + i, [1.0] * 16, 0) for i in range(150)]
     assert run(spark, rows) == plain(rows)
 
