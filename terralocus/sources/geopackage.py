@@ -3,8 +3,8 @@
     spark.dataSource.register(GeoPackageSource)
     spark.read.format("geopackage").option("layer", "places").load("/data/gpkg")
 
-The path is a file or a folder on storage every executor mounts. Each task
-reads one row-id range of one file; the geometry comes out as plain WKB.
+The geometry comes out as plain WKB. `read_layer` does the same for many files:
+they are inspected in tasks, and each task reads a share of the rows of one file.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import sqlite3
 import struct
+import tempfile
 from urllib.parse import quote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions.attributes import source_id
+from ..session import cut_lineage
 
 ROWS_PER_TASK = 100_000
 # Bytes of the optional envelope by its header code.
@@ -80,36 +82,90 @@ def _files(path: str) -> list[str]:
     return sorted(found)
 
 
+def _layer_of(con: sqlite3.Connection, wanted: str | None) -> dict | None:
+    return next((x for x in feature_layers(con) if wanted in (None, x["layer"])), None)
+
+
+def _declared(con: sqlite3.Connection, layer: dict) -> list[tuple[str, str]]:
+    """(column, Spark type) of the attributes, without id and geometry."""
+    rows = con.execute(f"PRAGMA table_info({_quoted(layer['layer'])})").fetchall()
+    return [(r[1], _spark_type(r[2] or "").simpleString()) for r in rows if r[1] not in ("fid", layer["geom"])]
+
+
+def _ranges(con: sqlite3.Connection, layer: dict, step: int) -> list[tuple[int, int]]:
+    """Row-id ranges [lo, hi) of `step` rows each, however the ids are spread."""
+    table = _quoted(layer["layer"])
+    rows = con.execute(f"SELECT min(rowid), max(rowid) + 1 FROM (SELECT rowid, (row_number() OVER (ORDER BY rowid) - 1) / ? AS part FROM {table}) "
+                       "GROUP BY part ORDER BY part", (step,))
+    return rows.fetchall()
+
+
+def merged_schema(columns: list[tuple[str, str]]) -> StructType:
+    """One field per column name of any file; whole and broken numbers meet as double, other types as text."""
+    kinds: dict[str, set[str]] = {}
+    for name, kind in columns:
+        kinds.setdefault(name, set()).add(kind)
+    of = {"bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "binary": BinaryType(), "string": StringType()}
+    pick = lambda found: of[next(iter(found))] if len(found) == 1 else DoubleType() if found <= {"bigint", "double"} else StringType()
+    return StructType([StructField("path", StringType()), StructField("fid", LongType()),
+                       *[StructField(n, pick(k)) for n, k in kinds.items()], StructField("geom_wkb", BinaryType())])
+
+
+def _read_rows(path: str, shown: str, wanted: str | None, fields: list[StructField], lo: int | None, hi: int | None):
+    """Arrow batches of one row-id range (all rows without one); only the asked columns are fetched."""
+    import pyarrow as pa
+
+    con = connect(path)
+    layer = _layer_of(con, wanted)
+    stored = {c[1] for c in con.execute(f"PRAGMA table_info({_quoted(layer['layer'])})")}
+    pick = {"path": "NULL", "geom_wkb": _quoted(layer["geom"]), "fid": "fid" if "fid" in stored else "rowid"}
+    picks = [pick.get(f.name) or (_quoted(f.name) if f.name in stored else "NULL") for f in fields]
+    limits = "" if lo is None else f" WHERE rowid >= {int(lo)} AND rowid < {int(hi)}"
+    rows = con.execute(f"SELECT {', '.join(picks)} FROM {_quoted(layer['layer'])}{limits}")
+    kinds = {LongType: pa.int64(), IntegerType: pa.int32(), DoubleType: pa.float64(), BooleanType: pa.bool_(),
+             BinaryType: pa.binary(), StringType: pa.string()}
+    target = pa.schema([(f.name, kinds[type(f.dataType)]) for f in fields])
+    while chunk := rows.fetchmany(10_000):
+        columns = []
+        for field, values in zip(target, zip(*chunk)):
+            if field.name == "path":
+                values = [shown] * len(chunk)
+            elif field.name == "geom_wkb":
+                values = [strip_header(v) for v in values]
+            elif field.type == pa.bool_():
+                values = [None if v is None else bool(v) for v in values]
+            elif field.type == pa.float64():
+                values = [None if v is None else float(v) for v in values]
+            elif field.type == pa.string():
+                values = [v if v is None or isinstance(v, str) else str(v) for v in values]
+            columns.append(pa.array(values, type=field.type))
+        yield pa.RecordBatch.from_arrays(columns, schema=target)
+    con.close()
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, lo: int, hi: int):
         self.path, self.lo, self.hi = path, lo, hi
 
 
 class GeoPackageSource(DataSource):
+    """For a few files on a mounted path; `read_layer` inspects many files in tasks."""
+
     @classmethod
     def name(cls) -> str:
         return "geopackage"
 
-    def _layer(self, con) -> dict:
-        wanted = self.options.get("layer")
-        for layer in feature_layers(con):
-            if wanted in (None, layer["layer"]):
-                return layer
-        raise ValueError(f"no feature layer {wanted!r}")
-
     def schema(self) -> StructType:
+        found = None
         for path in _files(self.options["path"]):
             con = connect(path)
-            try:
-                layer = self._layer(con)
-            except ValueError:
-                continue
-            declared = con.execute(f"PRAGMA table_info({_quoted(layer['layer'])})").fetchall()
-            fields = [StructField("path", StringType()), StructField("fid", LongType())]
-            fields += [StructField(c[1], _spark_type(c[2] or "")) for c in declared if c[1] not in ("fid", layer["geom"])]
+            layer = _layer_of(con, self.options.get("layer"))
+            if layer:
+                found = (found or []) + _declared(con, layer)
             con.close()
-            return StructType([*fields, StructField("geom_wkb", BinaryType())])
-        raise ValueError("no GeoPackage with that layer")
+        if found is None:
+            raise ValueError("no GeoPackage with that layer")
+        return merged_schema(found)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, self.options)
@@ -125,59 +181,77 @@ class _Reader(DataSourceReader):
         out = []
         for path in _files(self.path):
             con = connect(path)
-            layer = next((x for x in feature_layers(con) if self.layer in (None, x["layer"])), None)
-            if layer:
-                lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(layer['layer'])}").fetchone()
-                if lo is not None:
-                    out += [_Range(path, a, min(a + self.step, hi + 1)) for a in range(lo, hi + 1, self.step)]
+            layer = _layer_of(con, self.layer)
+            out += [_Range(path, *r) for r in (_ranges(con, layer, self.step) if layer else ())]
             con.close()
         return out or [_Range("", 0, 0)]
 
     def read(self, part: _Range):
-        import pyarrow as pa
-
-        if not part.path:
-            return
-        con = connect(part.path)
-        layer = next(x for x in feature_layers(con) if self.layer in (None, x["layer"]))
-        stored = {c[1] for c in con.execute(f"PRAGMA table_info({_quoted(layer['layer'])})")}
-        names = [f.name for f in self.schema.fields]
-        picks = []
-        for n in names:
-            if n == "path":
-                picks.append("NULL")
-            elif n == "geom_wkb":
-                picks.append(_quoted(layer["geom"]))
-            elif n == "fid":
-                picks.append("fid" if "fid" in stored else "rowid")
-            else:
-                picks.append(_quoted(n) if n in stored else "NULL")
-        rows = con.execute(
-            f"SELECT {', '.join(picks)} FROM {_quoted(layer['layer'])} WHERE rowid >= ? AND rowid < ?", (part.lo, part.hi))
-        kinds = {LongType: pa.int64(), IntegerType: pa.int32(), DoubleType: pa.float64(), BooleanType: pa.bool_(),
-                 BinaryType: pa.binary(), StringType: pa.string()}
-        target = pa.schema([(f.name, kinds[type(f.dataType)]) for f in self.schema.fields])
-        while chunk := rows.fetchmany(10_000):
-            columns = []
-            for field, values in zip(target, zip(*chunk)):
-                if field.name == "path":
-                    values = [part.path] * len(chunk)
-                elif field.name == "geom_wkb":
-                    values = [strip_header(v) for v in values]
-                elif field.type == pa.bool_():
-                    values = [None if v is None else bool(v) for v in values]
-                elif field.type == pa.string():
-                    values = [v if v is None or isinstance(v, str) else str(v) for v in values]
-                columns.append(pa.array(values, type=field.type))
-            yield pa.RecordBatch.from_arrays(columns, schema=target)
-        con.close()
+        if part.path:
+            yield from _read_rows(part.path, part.path, self.layer, self.schema.fields, part.lo, part.hi)
 
 
-def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Rows of one layer over all GeoPackages below `path`, with source_id from the file name."""
-    spark.dataSource.register(GeoPackageSource)
-    df = (spark.read.format("geopackage").option("layer", layer).option("rowsPerTask", str(rows_per_task)).load(path))
-    return df.withColumn("source_id", source_id(F.col("path"))).drop("path")
+def _is_mounted(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
+def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int = ROWS_PER_TASK, columns: list[str] | None = None) -> DataFrame:
+    """Rows of one layer over all GeoPackages below `path`, with source_id from the file name.
+
+    Tasks look into the files; the schema is the union of all files' columns (or
+    the asked `columns` of them), and rows are dealt by count. On a store that is
+    not mounted, a file is copied to the task that reads it (at most 2 GiB, the
+    size of a binary value).
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][pP][kK][gG]").option("recursiveFileLookup", "true").load(path)
+    mounted = _is_mounted(path)
+    files = listed.select("path", *([] if mounted else ["content"]))
+    files = files.repartition("path")
+
+    def local(row):
+        if mounted:
+            return local_path(row.path), None
+        held = tempfile.NamedTemporaryFile(suffix=".gpkg")  # this task's own copy
+        held.write(row.content)
+        held.flush()
+        return held.name, held
+
+    def look(batches):
+        import pandas as pd
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples():
+                name, held = local(row)
+                con = connect(name)
+                found = _layer_of(con, layer)
+                if found:
+                    ranges = _ranges(con, found, rows_per_task) if mounted else [(None, None)]
+                    rows.append((row.path, [{"name": n, "kind": k} for n, k in _declared(con, found)], [{"lo": a, "hi": b} for a, b in ranges]))
+                con.close()
+            yield pd.DataFrame(rows, columns=["path", "columns", "ranges"])
+
+    seen = cut_lineage(files.mapInPandas(look, "path string, columns array<struct<name:string,kind:string>>, ranges array<struct<lo:bigint,hi:bigint>>"))
+    kinds = seen.select(F.posexplode("columns").alias("pos", "c")).groupBy("c.name", "c.kind").agg(F.min("pos").alias("pos")).orderBy("pos", "name", "kind").collect()
+    if not kinds and seen.isEmpty():
+        raise ValueError("no GeoPackage with that layer")
+    schema = merged_schema([(r["name"], r["kind"]) for r in kinds])
+    if columns is not None:
+        schema = StructType([f for f in schema.fields if f.name in ("path", "fid") or f.name in columns])
+    fields = schema.fields
+    if mounted:
+        asked = seen.select("path", F.explode("ranges").alias("r")).select("path", "r.lo", "r.hi").repartition("path", "lo")
+    else:
+        asked = files.join(seen.select("path"), "path", "left_semi").withColumns({"lo": F.lit(None).cast("bigint"), "hi": F.lit(None).cast("bigint")})
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pandas().itertuples():
+                name, held = local(row)
+                bounds = (int(row.lo), int(row.hi)) if mounted else (None, None)
+                yield from _read_rows(name, row.path, layer, fields, *bounds)
+
+    out = asked.mapInArrow(read, schema)
+    return out.withColumn("source_id", source_id(F.col("path"))).drop("path")
 
 
 CATALOG_SCHEMA = ("path string, source_id string, layer string, description string, geom string, "
