@@ -37,21 +37,42 @@ def validate_points(spark, d):
     return P.validate_points(view(spark, d, "wide_pts")).select("point_id", "x", "y", "srid", "invalid.*")
 
 
-@check("reproject_points", f"""SELECT point_id, round(radians(lon)*6378137.0, 3) AS mercator_x,
-    round(ln(tan({S.PI}/4 + radians(lat)/2))*6378137.0, 3) AS mercator_y, TRUE AS zone32_returns, TRUE AS zone33_returns,
-    CASE WHEN abs(lon-9) < 1e-12 THEN TRUE ELSE NULL END AS on_meridian FROM [pts]""")
+def _zone(meridian: int) -> str:
+    """Easting and northing of a transverse Mercator zone (GRS80, 0.9996) by Krueger's series up to n^4."""
+    n = "(1/298.257222101)/(2-1/298.257222101)"
+    k = f"(2*sqrt({n})/(1+{n}))"
+    atanh = "(0.5*ln((1+({0}))/(1-({0}))))"
+    q = f"({atanh.format('sin(radians(lat))')} - {k}*{atanh.format(k + '*sin(radians(lat))')})"
+    turned = f"SELECT point_id, (exp({q})-exp(-{q}))/2 AS t, radians(lon-{meridian}) AS d FROM [pts]"
+    plane = f"SELECT point_id, atan2(t, cos(d)) AS xi, {atanh.format('sin(d)/sqrt(1+t*t)')} AS eta FROM ({turned})"
+    factors = [f"({n}/2-2*pow({n},2)/3+5*pow({n},3)/16+41*pow({n},4)/180)", f"(13*pow({n},2)/48-3*pow({n},3)/5+557*pow({n},4)/1440)",
+               f"(61*pow({n},3)/240-103*pow({n},4)/140)", f"(49561*pow({n},4)/161280)"]
+    east = "".join(f" + {f}*cos({2 * j}*xi)*(exp({2 * j}*eta)-exp(-{2 * j}*eta))/2" for j, f in enumerate(factors, 1))
+    north = "".join(f" + {f}*sin({2 * j}*xi)*(exp({2 * j}*eta)+exp(-{2 * j}*eta))/2" for j, f in enumerate(factors, 1))
+    scale = f"0.9996*6378137.0/(1+{n})*(1+pow({n},2)/4+pow({n},4)/64)"
+    return f"SELECT point_id, round(500000 + {scale}*(eta{east}), 1) AS x, round({scale}*(xi{north}), 1) AS y FROM ({plane})"
+
+
+@check("reproject_points", f"""SELECT p.point_id, round(radians(lon)*6378137.0, 3) AS mercator_x,
+    round(ln(tan({S.PI}/4 + radians(lat)/2))*6378137.0, 3) AS mercator_y, a.x AS zone32_x, a.y AS zone32_y, b.x AS zone33_x, b.y AS zone33_y
+    FROM [pts] p JOIN ({_zone(9)}) a USING (point_id) JOIN ({_zone(15)}) b USING (point_id)""")
 def reproject_points(spark, d):
     pts = view(spark, d, "pts").select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(4326).alias("srid"))
     out = P.reproject_points(pts, [3857, 25832, 25833], sources=(4326,))
-    flags = {}
-    for zone, name in ((25832, "zone32_returns"), (25833, "zone33_returns")):
-        out = out.withColumn("_s", F.lit(zone))
-        out = reproject(out, f"x_{zone}", f"y_{zone}", "_s", 4326, "_bx", "_by", sources=(zone,))
-        out = out.withColumn(name, (F.abs(F.col("_bx") - F.col("x")) < 1e-8) & (F.abs(F.col("_by") - F.col("y")) < 1e-8)).drop("_bx", "_by", "_s")
+    near = lambda c, digits: F.round(c, digits)
     return out.select(
-        "point_id", F.round("x_3857", 3).alias("mercator_x"), F.round("y_3857", 3).alias("mercator_y"),
-        "zone32_returns", "zone33_returns",
-        F.when(F.abs(F.col("x") - 9) < 1e-12, F.abs(F.col("x_25832") - 500000) < 1e-6).alias("on_meridian"))
+        "point_id", near("x_3857", 3).alias("mercator_x"), near("y_3857", 3).alias("mercator_y"), near("x_25832", 1).alias("zone32_x"),
+        near("y_25832", 1).alias("zone32_y"), near("x_25833", 1).alias("zone33_x"), near("y_25833", 1).alias("zone33_y"))
+
+
+@check("reproject_back", """SELECT point_id, round(lon*1024, 4) AS zone32_lon, round(lat*1024, 4) AS zone32_lat, round(lon*1024, 4) AS zone33_lon, round(lat*1024, 4) AS zone33_lat FROM [pts]""")
+def reproject_back(spark, d):
+    """To each zone and back again, in 1024ths of a degree, which the points lie on."""
+    out = view(spark, d, "pts").select("point_id", F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(4326).alias("srid"))
+    out = P.reproject_points(out, [25832, 25833], sources=(4326,))
+    for zone in (25832, 25833):
+        out = reproject(out.withColumn("_s", F.lit(zone)), f"x_{zone}", f"y_{zone}", "_s", 4326, f"lon_{zone}", f"lat_{zone}", sources=(zone,)).drop("_s")
+    return out.select("point_id", *[(F.round(F.col(f"{c}_{z}") * 1024, 4) + 0.0).alias(f"zone{str(z)[-2:]}_{c}") for z in (25832, 25833) for c in ("lon", "lat")])
 
 
 @check("source_filter", """SELECT source_id, status, kind FROM [sources] WHERE status='ready' AND source_id IN ('s0','s2','s3','s7','s8','s10','s150')""")
