@@ -6,7 +6,8 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql.functions import pandas_udf
+import pyarrow as pa
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 VERTEX = StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])
@@ -58,15 +59,23 @@ def parts(data: bytes, at: int = 0) -> tuple[list[tuple[int, np.ndarray]], int]:
     return out, at
 
 
-@pandas_udf(RINGS)
-def rings_of_wkb(wkb: pd.Series) -> pd.Series:
-    """All polygon rings; NULL for NULL or for geometry without polygons."""
-    def one(data):
-        if data is None:
-            return None
-        rings = [xy for code, xy in parts(bytes(data))[0] if code == POLYGON]
-        return [[{"x": x, "y": y} for x, y in ring] for ring in rings] or None
-    return wkb.map(one)
+@arrow_udf(RINGS)
+def rings_of_wkb(wkb: pa.Array) -> pa.Array:
+    """All polygon rings; NULL for NULL or for geometry without polygons.
+
+    Coordinates stay flat arrays with offsets, so no object is made per vertex.
+    """
+    rings, lengths, counts = [], [], []
+    for data in wkb:
+        found = [xy for code, xy in parts(data.as_py())[0] if code == POLYGON] if data.is_valid else []
+        rings += found
+        lengths += [len(xy) for xy in found]
+        counts.append(len(found))
+    flat = np.concatenate(rings) if rings else np.zeros((0, 2))
+    offsets = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    vertices = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    per_ring = pa.ListArray.from_arrays(offsets(lengths), vertices)
+    return pa.ListArray.from_arrays(offsets(counts), per_ring, mask=pa.array([n == 0 for n in counts]))
 
 
 @pandas_udf(BOX)
