@@ -203,12 +203,13 @@ def _curve(train: DataFrame, model: Model) -> tuple[float, float, float]:
             words = [max(t.count(" ") - 1, 1) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(weight, pa.float64()), pa.array(words, pa.int64()), batch.column(1)], ["weight", "words", "toxic"])
 
-    table = train.mapInArrow(run, "weight double, words bigint, toxic bigint").orderBy("weight", "words", "toxic").toPandas()
+    found = train.mapInArrow(run, "weight double, words bigint, toxic bigint").groupBy("weight", "words", "toxic").count()
+    table = found.toPandas().sort_values(["weight", "words", "toxic"])
     x = np.stack([np.ones(len(table)), np.log1p(table.weight), np.log1p(100 * table.weight / table.words)], axis=1)
-    y, beta = (table.toxic.to_numpy() > 0).astype(float), np.zeros(3)
+    y, n, beta = (table.toxic.to_numpy() > 0).astype(float), table["count"].to_numpy(np.float64), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (y - p) - 1e-2 * beta)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (n * (y - p)) - 1e-2 * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
