@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terralocus.llm import bpe, mixing, simhash, toxicity
+from terralocus.llm import bpe, mixing, nearcopies, toxicity
 from terralocus.llm.tables import table
 
 
@@ -114,7 +114,9 @@ def test_pipeline_against_plain_stages(spark):
     for r in sorted(rows, key=lambda r: r.doc_id):
         owner.setdefault(r.text, r)
     rows = list(owner.values())
-    fps = {r.doc_id: simhash.fingerprint(r.text, 5) & (2 ** 64 - 1) for r in rows}
+    fps = {r.doc_id: nearcopies.wide_fingerprint(r.text) for r in rows}
+    blocks = {i: {(k, f[k:k + 2]) for k in range(0, len(f), 2)} for i, f in fps.items()}
+    half = {i: int.from_bytes(f[:32], "big") for i, f in fps.items()}
     parent = {i: i for i in fps}
 
     def find(i):
@@ -125,7 +127,7 @@ def test_pipeline_against_plain_stages(spark):
     ids = sorted(fps)
     for a in ids:
         for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+            if a < b and (half[a] ^ half[b]).bit_count() <= 48 and blocks[a] & blocks[b]:
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     rows = [r for r in rows if find(r.doc_id) == r.doc_id]
     # as many copies of each as its hash and the rate of its source say
