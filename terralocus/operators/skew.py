@@ -12,6 +12,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # A task's share of an input that is spread before heavy work.
 WORK_BYTES = 64 * 1024 * 1024
+MOST_PARTS = 100_000
 # Rows without a key are spread over so many keys of their own.
 NULL_SALTS = 4096
 
@@ -40,18 +41,20 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimate < cores * split else df
 
 
-def spread_for_work(df: DataFrame, key: str) -> DataFrame:
-    """Slim rows spread by key before each becomes many.
+def spread_for_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Slim rows spread by key before each becomes much work.
 
     The number of parts is set, so that small-looking parts are not merged
-    again before the work that makes them large; it grows with the planner's
-    estimate of the input's bytes.
+    again before the work that makes them large; it grows with the bytes of the
+    tables read.
     """
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = estimate < 1 << 60  # the planner's default says that it does not know
-    return df.repartition(max(least, estimate // WORK_BYTES if known else 0), key)
+    # bytes of the tables read: the planner's figure for joins of them multiplies
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 50)
+    return df.repartition(max(least, min(known // WORK_BYTES, MOST_PARTS)), *keys)
 
 
 def bytes_of_row(df: DataFrame) -> Column:

@@ -22,9 +22,12 @@ from pyspark.sql.types import (
 )
 
 from ..functions.attributes import source_id
+from ..operators.skew import spread_for_work
 from ..session import cut_lineage
 
 ROWS_PER_TASK = 100_000
+# Beyond so many shares of rows, a task reads several.
+MAX_TASKS = 100_000
 # Bytes of the optional envelope by its header code.
 ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 
@@ -206,7 +209,7 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][pP][kK][gG]").option("recursiveFileLookup", "true").load(path)
     mounted = _is_mounted(path)
     files = listed.select("path", *([] if mounted else ["content"]))
-    files = files.repartition("path")
+    files = spread_for_work(files, "path")
 
     def local(row):
         if mounted:
@@ -239,7 +242,8 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
         schema = StructType([f for f in schema.fields if f.name in ("path", "fid") or f.name in columns])
     fields = schema.fields
     if mounted:
-        asked = seen.select("path", F.explode("ranges").alias("r")).select("path", "r.lo", "r.hi").repartition("path", "lo")
+        asked = seen.select("path", F.explode("ranges").alias("r")).select("path", "r.lo", "r.hi")
+        asked = asked.repartition(max(1, min(asked.count(), MAX_TASKS)), "path", "lo")  # a few bytes each, much work each
     else:
         asked = files.join(seen.select("path"), "path", "left_semi").withColumns({"lo": F.lit(None).cast("bigint"), "hi": F.lit(None).cast("bigint")})
 
@@ -265,8 +269,8 @@ def _per_file(paths: DataFrame, reader, schema: str) -> DataFrame:
         for pdf in batches:
             rows = [r for p, s in zip(pdf["path"], pdf["source_id"]) for r in reader(p, s)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    named = paths.select("path", source_id(F.col("path")).alias("source_id")).repartition("path")
-    return named.mapInPandas(run, schema)
+    named = paths.select("path", source_id(F.col("path")).alias("source_id"))
+    return spread_for_work(named, "path").mapInPandas(run, schema)
 
 
 def read_catalog(paths: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.attributes import epsg_code, is_known_srid, source_id
 from ..operators.manifests import raster_violations
 from ..operators.raster import BLOCK, Raster
+from ..operators.skew import spread_for_work
 from ..session import cut_lineage, scratch_path
 from .geopackage import local_path
 
@@ -173,7 +174,7 @@ def read_manifests(paths: DataFrame) -> DataFrame:
         for pdf in batches:
             pdf[["doc", "names", "error"]] = [_read_manifest(p) for p in pdf["path"]]
             yield pdf
-    named = paths.select("path", source_id(F.col("path")).alias("source_id")).repartition("path")
+    named = spread_for_work(paths.select("path", source_id(F.col("path")).alias("source_id")), "path")
     raw = named.mapInPandas(run, "path string, source_id string, doc string, names string, error string")
     raw = raw.withColumns({"manifest": F.from_json("doc", MANIFEST_TYPE), "members": F.from_json("names", "array<string>")})
     rows = raw.join(_broken_rules(raw), "source_id", "left")
@@ -279,7 +280,7 @@ def read_images(manifests: DataFrame, block: int = BLOCK) -> DataFrame:
                     if len(held) == across:
                         yield pd.DataFrame(held, columns=columns).astype(whole)
                         held = []
-    return _members(manifests).repartition("path", "member").mapInPandas(run, IMAGE_SCHEMA)
+    return spread_for_work(_members(manifests), "path", "member").mapInPandas(run, IMAGE_SCHEMA)
 
 
 def read_bundles(paths: DataFrame, block: int = BLOCK) -> Bundles:

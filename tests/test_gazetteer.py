@@ -147,7 +147,10 @@ def test_whole_answer_without_optional_layers(spark):
     got = {r["point_id"]: r for r in G.gazetteer(points(spark, (10.0, 50.0), (70.0, 0.0)), g).collect()}
     assert got[0]["admin"]["country_iso"] == "DE" and got[0]["bearing"]["reference"] == "Stadt"
     assert got[0]["islands"] is None and got[0]["elevation"] is None and got[0]["license"]["name"] == "ODbL-1.0"
-    assert got[0]["sources"] == ["s2", "s1", "s9"]
+    assert [x["code"] for x in got[0]["sources"]] == ["s2", "s1", "s9"]
+    # sections have one type, with or without the layers behind them
+    bare = {f.name: f.dataType.simpleString() for f in G.gazetteer(points(spark, (10.0, 50.0)), g).schema.fields}
+    assert (bare["mountains"], bare["exposure"], bare["elevation"], bare["islands"]) == (G.MOUNTAINS_TYPE, G.EXPOSURE_TYPE, G.ELEVATION_TYPE, G.ISLANDS_TYPE)
     assert got[1]["admin"] is None and got[1]["bearing"] is None and got[1]["sources"] == []
 
 
