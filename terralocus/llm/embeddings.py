@@ -33,7 +33,7 @@ from .components import components, forest
 from .tables import staged
 
 COSINE = 0.93
-SLACK = 0.5
+SLACK = 1.0
 # Classes that the fit sees at most, those a label and cell should hold, and cells at most.
 SAMPLE, CELL, CELLS, ROUNDS = 16_384, 1_000, 1_024, 12
 BLOCK = 4_096

@@ -86,3 +86,11 @@ def test_recall_on_the_given_table(spark):
     want = plain(rows)
     assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want)
     assert sum(g == w for g, w in zip(got, want)) >= 0.99 * len(want)
+
+
+def test_the_query_finds_all_links_across_cells(spark, monkeypatch):
+    """Several cells a label, as in a large table, and many links."""
+    monkeypatch.setattr(embeddings, "CELL", 15)
+    rows = made(700)
+    want = plain(rows)
+    assert sum(r[1] for r in want) > 700 and run(spark, rows) == want
