@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, embeddings, licenses, mixing, patricia, repeats, simhash, toxicity, urlrules
+from . import bpe, ctw, embeddings, licenses, merkle, mixing, negatives, patricia, pii, repeats, simhash, toxicity, urlrules
 from .tables import table
 
 # The rule list of the url query: longest fitting rule wins.
@@ -56,11 +56,25 @@ def op10_byte_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
+def op11_hard_negatives(spark, folder):
+    return negatives.judged(table(spark, folder, "embeddings"))
+
+
+def op12_personal_data(spark, folder):
+    return pii.judged(table(spark, folder, "documents"))
+
+
+def op13_merkle_manifest(spark, folder):
+    return merkle.judged(table(spark, folder, "documents"))
+
+
 _PARTED = """
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages"""
 
 ORACLES = {
     "op5_licenses": licenses.oracle_sql(),
+    "op11_hard_negatives": negatives.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
     "op2_url_rules": f"""
 WITH parted AS ({_PARTED}),
 hosted AS (
@@ -100,4 +114,7 @@ QUERIES = {
     "op8_context_tree": op8_context_tree,
     "op9_patricia_dedup": op9_patricia_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_personal_data": op12_personal_data,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
