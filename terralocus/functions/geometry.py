@@ -45,12 +45,13 @@ def _cross(e: Column, x: Column, y: Column) -> Column:
     return (e["bx"] - e["ax"]) * (y - e["ay"]) - (x - e["ax"]) * (e["by"] - e["ay"])
 
 
-def covers(segments: Column, x: Column, y: Column) -> Column:
+def covers(segments: Column, x: Column, y: Column, crossed: Column | None = None) -> Column:
     """TRUE inside, on the outer boundary and on a hole's boundary.
 
     One pass over the segments: the running value is -1 once the point lies
     on a segment, otherwise the parity of crossings of the ray towards +x.
-    Both tests use the sign of the same cross product.
+    Both tests use the sign of the same cross product. `crossed` is the parity
+    of what the ray meets beyond these segments.
     """
     def step(state: Column, e: Column) -> Column:
         c = _cross(e, x, y)
@@ -64,7 +65,7 @@ def covers(segments: Column, x: Column, y: Column) -> Column:
         return (F.when((state < 0) | on_edge, F.lit(-1))
                 .when(crosses, 1 - state)
                 .otherwise(state))
-    return F.aggregate(segments, F.lit(0), step) != 0
+    return F.aggregate(segments, F.lit(0) if crossed is None else crossed, step) != 0
 
 
 def polygon_wkt(rings: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import grid
-from ..functions.covers import covers_batch
-from .layer_index import LayerIndex, build_box_index, build_index
+from ..functions import geometry, grid
+from .layer_index import PIECE, LayerIndex, build_box_index, build_index
 from .skew import lookup_join, spread_small
 
 
@@ -14,7 +13,8 @@ def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "
     """Every (point, feature) pair whose feature covers the point, once each.
 
     Keeps all columns of `points` and the index's carried columns. Points
-    without coordinates match nothing.
+    without coordinates match nothing. Pieces of `full_cover` are hits by
+    their box; only border pieces meet their segments.
     """
     px, py = F.col(x), F.col(y)
     if not index.rungs:
@@ -26,16 +26,17 @@ def match_index(points: DataFrame, index: LayerIndex, x: str = "lon", y: str = "
         cells = located.withColumn("cell", grid.pack(F.lit(rx), F.lit(ry), grid.slot(px, rx), grid.slot(py, ry)))
     else:
         cells = located.withColumn("cell", F.explode(grid.point_cells(px, py, index.rungs)))
-    side = index.rows.select(*index.carried, "xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "segments", "cell")
+    side = index.rows.select(*index.carried, *PIECE, "cell")
     pairs = lookup_join(cells, side, ["cell"], size=index.size, spread_by=[x, y, *points.columns[:1]])
-    in_slab = (
-        px.between(F.col("xmin"), F.col("xmax"))
+    in_piece = (
+        F.when(F.col("inner"), (px > F.col("xmin")) & (px < F.col("xmax"))).otherwise(px.between(F.col("xmin"), F.col("xmax")))
         & (py >= F.col("slab_lo"))
         & ((py < F.col("slab_hi")) | (F.col("slab_last") & (py <= F.col("slab_hi"))))
     )
-    hits = pairs.filter(in_slab)
+    hits = pairs.filter(in_piece)
     if not index.boxes_only:
-        hits = hits.filter(covers_batch(F.col("segments"), px, py))
+        # few segments are left in a piece, so the test stays in the JVM
+        hits = hits.filter(F.col("full_cover") | geometry.covers(F.col("segments"), px, py, F.col("beyond")))
     return hits.select(*points.columns, *index.carried)
 
 

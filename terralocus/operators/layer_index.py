@@ -1,10 +1,13 @@
 """Cell index of a vector layer.
 
 Each polygon becomes one or more slabs: horizontal bands that hold just the
-segments a horizontal ray inside the band can meet. Each slab is filed under
-the at most nine cells its box touches, on the rung that fits its size. So a
-country outline of a hundred thousand segments costs a point a few dozen
-segment tests, and neither tiny nor huge polygons blow up the index.
+segments a horizontal ray inside the band can meet. A band is cut at its border:
+the stretches that segments take up keep these segments, what lies inside between
+them needs none (`full_cover`), and what lies outside is not in the index. So a
+country outline of a hundred thousand segments costs a point in its interior
+no segment test and one near its border a few. Each piece is filed under the at
+most nine cells its box touches, on the rung that fits its size, so neither tiny
+nor huge polygons blow up the index. Rings are closed, as their formats ask.
 """
 
 from __future__ import annotations
@@ -14,14 +17,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry, grid
+from ..functions.covers import band_pieces
 from .skew import Size
 
-SLAB_SEGMENTS = 32
+SLAB_SEGMENTS = 8
 # Slabs of the first cut; each is cut again by the segments it holds, so none of
 # a long outline's segments is looked at once per slab.
 FIRST_SLABS = 64
 
 
+# What the containment join reads of an index row, beside the carried columns and the cell.
+PIECE = ["xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "full_cover", "inner", "beyond", "segments"]
+
+
 @dataclass(frozen=True)
 class LayerIndex:
     """Index rows plus the small facts the join needs."""
@@ -73,10 +81,11 @@ def _cut(df: DataFrame, slabs: Column) -> DataFrame:
 
 
 def index_rows(polygons: DataFrame, carry: list[str], rings: str = "rings") -> DataFrame:
-    """(carried columns, box, slab, segments, cell) rows of a polygon layer.
+    """(carried columns, box, slab, full_cover, inner, beyond, segments, cell) rows of a polygon layer.
 
-    `segments` is NULL for axis-parallel rectangles, whose box test is exact.
-    Polygons without geometry are left out.
+    Where `full_cover` holds, the box lies in the polygon and `segments` is
+    NULL: rectangles with their border, and `inner` pieces without their west and
+    east ends. Polygons without geometry are left out.
     """
     df = polygons.filter(F.col(rings).isNotNull() & (F.size(rings) > 0))
     box = geometry.bounds(F.col(rings))
@@ -93,30 +102,41 @@ def index_rows(polygons: DataFrame, carry: list[str], rings: str = "rings") -> D
         "slab_lo": F.col("ymin"), "slab_hi": F.col("ymax"), "slab_last": F.lit(True), "_flat": flat,
         "segments": F.when(~is_box, F.col("_edges"))})
     first = F.least(F.lit(FIRST_SLABS), F.ceil(F.size("segments") / SLAB_SEGMENTS).cast("int"))
-    df = _cut(df.drop("_edges", "_rings"), F.when(F.col("_flat"), F.lit(1)).otherwise(first))
+    df = df.drop("_edges", "_rings").withColumn("_banded", F.size("segments") > SLAB_SEGMENTS)
+    df = _cut(df, F.when(F.col("_flat"), F.lit(1)).otherwise(first))
     df = _cut(df, F.when(F.col("_flat"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.size("segments") / SLAB_SEGMENTS).cast("int"))))
+    return _filed(_at_border(df), carry)
+
+
+def _at_border(df: DataFrame) -> DataFrame:
+    """Bands of more than a few segments as pieces along their border."""
+    own = F.struct(F.col("xmin").alias("x0"), F.col("xmax").alias("x1"), F.lit(False).alias("inner"), F.lit(0).alias("beyond"), F.col("segments").alias("segments"))
+    cut = band_pieces(F.when(F.col("_cut"), F.col("segments")), F.col("slab_lo"), F.col("slab_hi"))
+    many = ~F.col("_flat") & (F.col("_banded") | (F.size("segments") > SLAB_SEGMENTS))
+    df = df.withColumn("_cut", F.coalesce(many, F.lit(False)))
+    df = df.withColumn("_piece", F.explode(F.when(F.col("_cut"), cut).otherwise(F.array(own))))
+    return df.withColumns({"xmin": F.col("_piece.x0"), "xmax": F.col("_piece.x1"), "inner": F.col("_piece.inner"),
+                           "beyond": F.col("_piece.beyond"), "segments": F.col("_piece.segments")})
+
+
+def _filed(df: DataFrame, carry: list[str]) -> DataFrame:
+    """Pieces under the cells of the rung that fits their box."""
     df = df.withColumns({
+        "full_cover": F.col("segments").isNull(),
         "rung_x": grid.rung_of(F.col("xmax") - F.col("xmin")),
         "rung_y": grid.rung_of(F.col("slab_hi") - F.col("slab_lo")),
     })
     cells = grid.box_cells(F.col("xmin"), F.col("slab_lo"), F.col("xmax"), F.col("slab_hi"),
                            F.col("rung_x"), F.col("rung_y"))
-    return df.select(*carry, "xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "segments",
-                     "rung_x", "rung_y", F.explode(cells).alias("cell"))
+    return df.select(*carry, *PIECE, "rung_x", "rung_y", F.explode(cells).alias("cell"))
 
 
 def box_index_rows(features: DataFrame, carry: list[str]) -> DataFrame:
     """Same shape for features known by their box only (xmin, ymin, xmax, ymax)."""
     df = features.filter(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
-    df = df.select(
-        *carry, "xmin", "xmax", F.col("ymin").alias("slab_lo"), F.col("ymax").alias("slab_hi"),
-        F.lit(True).alias("slab_last"), F.lit(None).cast(geometry.EDGES_TYPE).alias("segments"),
-        grid.rung_of(F.col("xmax") - F.col("xmin")).alias("rung_x"),
-        grid.rung_of(F.col("ymax") - F.col("ymin")).alias("rung_y"),
-    )
-    cells = grid.box_cells(F.col("xmin"), F.col("slab_lo"), F.col("xmax"), F.col("slab_hi"),
-                           F.col("rung_x"), F.col("rung_y"))
-    return df.withColumn("cell", F.explode(cells))
+    return _filed(df.select(
+        *carry, "xmin", "xmax", F.col("ymin").alias("slab_lo"), F.col("ymax").alias("slab_hi"), F.lit(True).alias("slab_last"),
+        F.lit(False).alias("inner"), F.lit(0).alias("beyond"), F.lit(None).cast(geometry.EDGES_TYPE).alias("segments")), carry)
 
 
 def build_index(polygons: DataFrame, carry: list[str], rings: str = "rings") -> LayerIndex:

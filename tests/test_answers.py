@@ -109,5 +109,5 @@ def test_long_outlines_keep_short_slabs(spark):
     table = spark.createDataFrame([(1, [ring + ring[:1]]), (2, [tiny])], "fid bigint, rings array<array<struct<x:double,y:double>>>")
     index = build_index(table, ["fid"])
     longest = index.rows.agg(F.max(F.size("segments"))).first()[0]
-    assert longest <= 4 * SLAB_SEGMENTS
+    assert longest <= 128
     assert min(r[0] for r in index.rungs) < -8

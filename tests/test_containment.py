@@ -143,3 +143,70 @@ def test_cap_in_catalog_order(spark, cap):
     df = spark.createDataFrame([(1, "s", o, f) for o in (1, 0) for f in (3, 1, 2)], "point_id bigint, source_id string, layer_ord int, fid bigint")
     got = sorted((r["layer_ord"], r["fid"]) for r in H.cap_hits(df, max_features=cap).collect())
     assert got == [(0, 1), (0, 2), (0, 3)][:cap]
+
+
+def plain_pieces(ring, lo, hi, xy):
+    """What the pieces of a band say about each point: inside, or None where none holds it."""
+    from terralocus.functions.covers import pieces
+
+    a, b = np.array(ring[:-1], float), np.array(ring[1:], float)
+    reach = (np.maximum(a[:, 1], b[:, 1]) >= lo) & (np.minimum(a[:, 1], b[:, 1]) <= hi)
+    a, b = a[reach], b[reach]
+    found = list(pieces(a[:, 0], a[:, 1], b[:, 0], b[:, 1], lo, hi))
+    out = []
+    for x, y in xy:
+        holds = [p for p in found if (p[0] < x < p[1] if p[2] else p[0] <= x <= p[1])]
+        assert len(holds) <= 1
+        if not holds:
+            out.append(False)
+        elif holds[0][2]:
+            out.append(True)
+        else:
+            rows = holds[0][4]
+            c = (b[rows, 0] - a[rows, 0]) * (y - a[rows, 1]) - (x - a[rows, 0]) * (b[rows, 1] - a[rows, 1])
+            on = (c == 0) & (np.minimum(a[rows, 0], b[rows, 0]) <= x) & (x <= np.maximum(a[rows, 0], b[rows, 0])) & (
+                np.minimum(a[rows, 1], b[rows, 1]) <= y) & (y <= np.maximum(a[rows, 1], b[rows, 1]))
+            odd = ((a[rows, 1] <= y) != (b[rows, 1] <= y)) & ((c > 0) == (b[rows, 1] > a[rows, 1]))
+            out.append(bool(on.any()) or (int(odd.sum()) + holds[0][3]) % 2 == 1)
+    return out
+
+
+def test_pieces_of_a_band_agree_with_the_whole_ring():
+    rng = np.random.default_rng(11)
+    for n in range(60):
+        # whole numbers: vertices on band limits, flat edges, edges that touch
+        ring = [tuple(map(int, p)) for p in rng.integers(0, 9, (int(rng.integers(3, 30)), 2))]
+        ring.append(ring[0])
+        lo = int(rng.integers(0, 8))
+        hi = lo + int(rng.integers(1, 3))
+        xy = [(x / 2, y) for x in range(-1, 19) for y in (lo, lo + 0.25, (lo + hi) / 2, hi - 1e-9)]
+        assert plain_pieces(ring, lo, hi, xy) == brute(xy, [ring]).tolist(), (ring, lo, hi)
+
+
+def long_outline(n=50_000):
+    t = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = 10 + np.sin(40 * t) + 0.01 * np.sin(4000 * t)
+    ring = [(float(a), float(b)) for a, b in zip(r * np.cos(t), r * np.sin(t))]
+    return [*ring, ring[0]]
+
+
+def test_full_cover_of_a_long_outline_and_a_diamond(spark):
+    ring = long_outline()
+    diamonds = [(k, [[(k - 1, 3), (k, 2), (k + 1, 3), (k, 4), (k - 1, 3)]]) for k in range(2, 6)]
+    rng = np.random.default_rng(4)
+    xy = [(float(x), float(y)) for x, y in rng.uniform(-12, 12, (1500, 2))] + [ring[i] for i in range(0, 50_000, 997)] + [(2.0, 2.0), (2.5, 3.0), (1.0, 3.0)]
+    polygons = [(1, [ring]), *diamonds]
+    index = build_index(table(spark, polygons), ["fid"])
+    rows = index.rows.cache()
+    assert rows.filter("full_cover != (segments is null)").count() == 0
+    assert rows.agg(F.max(F.size("segments"))).first()[0] <= 64
+    pts = points(spark, xy)
+    hits = match_index(pts, index).select("point_id", "fid").collect()
+    assert len(hits) == len(set(hits)) and {tuple(h) for h in hits} == expected_pairs(polygons, xy)
+    # nearly all of the outline's own hits need no segment
+    inside = match_index(pts, build_index(table(spark, polygons[:1]), ["fid"])).count()
+    sure = rows.filter("full_cover and fid = 1").select("xmin", "xmax", "slab_lo", "slab_hi").distinct()
+    by_box = pts.join(sure, (F.col("lon") > F.col("xmin")) & (F.col("lon") < F.col("xmax")) & (F.col("lat") >= F.col("slab_lo")) & (F.col("lat") < F.col("slab_hi")))
+    assert by_box.count() > 0.9 * inside
+    plan = match_index(pts, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan.split("InMemoryRelation")[0]
