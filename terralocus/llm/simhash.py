@@ -242,12 +242,3 @@ def judged(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET, hot: int
     marked = staged(marked, "fingerprints")
     return marked.join(named(marked, "doc_id", budget, hot), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """One row per component, that of the smallest id (nulls last; of repeated ids any one); columns as in `docs`."""
-    marked = staged(fingerprints(docs, size=size).withColumn("uid", F.monotonically_increasing_id()), "fingerprinted")
-    ids = marked.select("uid", "fp", F.col("row")["doc_id"].alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid")
-    picked = ids.join(named(ids, "doc_id", budget, hot), "fp").groupBy("root").agg(first).select("uid")
-    return marked.join(picked, "uid", "left_semi").select("row.*")

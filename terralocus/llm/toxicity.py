@@ -130,7 +130,8 @@ def built_in() -> Model:
 def examples(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(folded, toxic) of at most `rows` labelled documents outside the held-out part, distinct texts only."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(bucket_of("doc_id", FOLDS) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # labels without a document take no place in the bounded sample
+    known = known.filter(bucket_of("doc_id", FOLDS) != HELD_OUT).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id")  # `rows` bounds it
 
     def run(batches):

@@ -117,10 +117,7 @@ def test_whole_operator(spark):
             least[root[f]] = min(least.get(root[f], r[0]), r[0])
     want = sorted(((r[0], f"{f & (2 ** 64 - 1):016x}", least.get(root[f])) for r, f in zip(rows, fps)), key=repr)
     assert sorted((tuple(r) for r in simhash.judged(frame).collect()), key=repr) == want
-    kept = simhash.representatives(frame, size=3)
-    assert kept.columns == frame.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((least.get(x) for x in set(root.values())), key=repr)
-    assert simhash.judged(frame.limit(0)).count() == 0 and simhash.representatives(frame.limit(0)).count() == 0
+    assert simhash.judged(frame.limit(0)).count() == 0
 
 
 def test_rows_of_the_given_table(spark):
