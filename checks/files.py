@@ -78,8 +78,20 @@ def _lzw(data: bytes) -> bytes:
     return int(bits, 2).to_bytes(len(bits) // 8, "big")
 
 
-def make_tiff(pixels: np.ndarray, x0: float, y0: float, d: float, compression: int = 1, tile: int = 0) -> bytes:
-    """Little-endian GeoTIFF of one band, in strips of 8 rows or in square tiles."""
+def _predicted(chunk: np.ndarray, predictor: int) -> bytes:
+    """Bytes of a chunk as a writer stores them under the predictor."""
+    if predictor == 2:
+        return np.diff(chunk, axis=1, prepend=np.zeros((len(chunk), 1), chunk.dtype)).astype(chunk.dtype).tobytes()
+    if predictor == 3:
+        size = chunk.dtype.itemsize
+        planes = np.ascontiguousarray(chunk.astype(f">f{size}")).view(np.uint8).reshape(len(chunk), -1, size).transpose(0, 2, 1).reshape(len(chunk), -1)
+        return np.diff(planes, axis=1, prepend=np.zeros((len(chunk), 1), np.uint8)).astype(np.uint8).tobytes()
+    return np.ascontiguousarray(chunk).tobytes()
+
+
+def make_tiff(pixels: np.ndarray, x0: float, y0: float, d: float, compression: int = 1, tile: int = 0, predictor: int = 1,
+              big: bool = False, sparse: float | None = None) -> bytes:
+    """Little-endian GeoTIFF of one band, in strips of 8 rows or in square tiles; `sparse` leaves out tiles of that value only."""
     height, width = pixels.shape
     kinds = {"u": 1, "i": 2, "f": 3}
     pack = {1: bytes, 5: _lzw, 8: zlib.compress}[compression]
@@ -89,31 +101,35 @@ def make_tiff(pixels: np.ndarray, x0: float, y0: float, d: float, compression: i
         chunks = [padded[y:y + tile, x:x + tile] for y in range(0, padded.shape[0], tile) for x in range(0, padded.shape[1], tile)]
     else:
         chunks = [pixels[y:y + 8] for y in range(0, height, 8)]
-    blobs = [pack(np.ascontiguousarray(c).tobytes()) for c in chunks]
-    n = len(blobs)
+    blobs = [b"" if sparse is not None and (c == sparse).all() else pack(_predicted(c, predictor)) for c in chunks]
+    n, wide, inline = len(blobs), "Q" if big else "I", 8 if big else 4
     tags = [(256, "I", [width]), (257, "I", [height]), (258, "H", [pixels.dtype.itemsize * 8]), (259, "H", [compression]),
-            (262, "H", [1]), (277, "H", [1]), (339, "H", [kinds[pixels.dtype.kind]]), (33550, "d", [d, d, 0.0]),
+            (262, "H", [1]), (277, "H", [1]), (317, "H", [predictor]), (339, "H", [kinds[pixels.dtype.kind]]), (33550, "d", [d, d, 0.0]),
             (33922, "d", [0.0, 0.0, 0.0, x0, y0, 0.0])]
-    tags += [(322, "I", [tile]), (323, "I", [tile]), (324, "I", None), (325, "I", [len(b) for b in blobs])] if tile else \
-            [(273, "I", None), (278, "I", [8]), (279, "I", [len(b) for b in blobs])]
-    tags.sort()
-    head = 8 + 2 + len(tags) * 12 + 4
-    extra_size = sum(struct.calcsize(f"<{n if v is None else len(v)}{t}") for _, t, v in tags if struct.calcsize(f"<{n if v is None else len(v)}{t}") > 4)
-    start = head + extra_size
-    offsets = [start + sum(map(len, blobs[:i])) for i in range(n)]
+    tags += [(322, "I", [tile]), (323, "I", [tile]), (324, wide, None), (325, wide, [len(b) for b in blobs])] if tile else \
+            [(273, wide, None), (278, "I", [8]), (279, wide, [len(b) for b in blobs])]
+    if sparse is not None:
+        tags.append((42113, "s", str(sparse).encode() + b"\0"))
+    tags.sort(key=lambda t: t[0])
+    lengths = [len(v) if isinstance(v, bytes) else struct.calcsize(f"<{n if v is None else len(v)}{t}") for _, t, v in tags]
+    first = 16 if big else 8
+    head = first + (8 if big else 2) + len(tags) * (20 if big else 12) + inline
+    start = head + sum(size for size in lengths if size > inline)
+    offsets = [0 if not b else start + sum(map(len, blobs[:i])) for i, b in enumerate(blobs)]
     entries, extra = b"", b""
     for code, kind, values in tags:
         values = offsets if values is None else values
-        raw = struct.pack(f"<{len(values)}{kind}", *values)
-        where = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", head + len(extra))
-        extra += raw if len(raw) > 4 else b""
-        entries += struct.pack("<HHI", code, {"H": 3, "I": 4, "d": 12}[kind], len(values)) + where
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra + b"".join(blobs)
+        raw = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{kind}", *values)
+        where = raw.ljust(inline, b"\0") if len(raw) <= inline else struct.pack("<" + wide, head + len(extra))
+        extra += raw if len(raw) > inline else b""
+        entries += struct.pack("<HH" + wide, code, {"s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}[kind], len(values)) + where
+    begin = b"II" + (struct.pack("<HHHQQ", 43, 8, 0, 16, len(tags)) if big else struct.pack("<HIH", 42, 8, len(tags)))
+    return begin + entries + bytes(inline) + extra + b"".join(blobs)
 
 
-def make_bundle(path: str, manifest: dict, members: dict[str, bytes]) -> None:
+def make_bundle(path: str, manifest: dict, members: dict[str, bytes], packed: bool = False) -> None:
     buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED) as z:
         z.writestr("raster.yaml", json.dumps(manifest))
         for name, data in members.items():
             z.writestr(name, data)
@@ -177,3 +193,27 @@ def write_broken_bundles(cells: DataFrame, folder: str) -> None:
         return pdf[["lat_cell"]].head(1)
 
     cells.groupBy("lat_cell").applyInPandas(write, "lat_cell int").write.format("noop").mode("overwrite").save()
+
+
+def write_float_bundles(cells: DataFrame, folder: str) -> None:
+    """One bundle per latitude band: heights in metres and parts of a metre, one image of 16-pixel tiles over all its cells.
+
+    All have the floating-point predictor; every second is a big file, every third a packed member.
+    """
+    root = local_path(folder)
+    os.makedirs(root, exist_ok=True)
+
+    def write(pdf):
+        lat, lons = int(pdf["lat_cell"].iloc[0]), sorted(int(v) for v in pdf["lon_cell"])
+        r, c = np.meshgrid(np.arange(32), np.arange(32), indexing="ij")
+        image = np.full((32, 32 * (lons[-1] - lons[0] + 1)), -1.0, dtype="<f4" if lat % 2 else "<f8")
+        for lon in lons:
+            at = 32 * (lon - lons[0])
+            image[:, at:at + 32] = ((r * 31 + c * 17 + lat * 7 + (lon + 20) * 13) % 256) / 4
+        data = make_tiff(image, float(lons[0]), lat + 1.0, 1 / 32, 8 if lat % 4 else 1, 16, 3, lat % 2 == 0, -1.0)
+        make_bundle(f"{root}/float-{lat}.zip", {
+            "schema_version": 1, "id": f"float-{lat}", "name": f"Float {lat}", "license": {"name": "CC0"}, "crs": "EPSG:4326",
+            "layers": [{"id": "height", "value_type": "continuous", "nodata": -1, "file": "height.tif"}]}, {"height.tif": data}, lat % 3 == 0)
+        return pdf[["lat_cell"]].head(1)
+
+    cells.groupBy("lat_cell").applyInPandas(write, "lat_cell int").write.format("noop").mode("overwrite").save()

@@ -17,7 +17,7 @@ from terralocus.sources import sinks as O
 from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading
 
 from . import sqlparts as S
-from .files import write_broken_bundles, write_bundles, write_geopackages
+from .files import write_broken_bundles, write_bundles, write_float_bundles, write_geopackages
 from .inputs import saved_index, written
 from .registry import check
 from .views import VIEWS, expand, view
@@ -60,6 +60,21 @@ def scan_raster_bundle(spark, d):
     return bundles.raster.tiles.join(sums, key).select(*key, "width", "height", "total")
 
 
+@check("scan_raster_cog", """SELECT 'float-' || CAST(lat_cell AS VARCHAR) AS source_id, lat_cell, lon_cell, count(*) AS pixels,
+    CAST(sum((r * 31 + c * 17 + lat_cell * 7 + (lon_cell + 20) * 13) % 256) AS DOUBLE) / 4 AS total
+    FROM [dem_cells], (SELECT unnest(range(32)) AS r), (SELECT unnest(range(32)) AS c) GROUP BY ALL""")
+def scan_raster_cog(spark, d):
+    """Tiles of float images (floating-point predictor, big files, packed members, missing tiles) by their byte ranges."""
+    folder = written(spark, d, "float-bundles", lambda p: write_float_bundles(view(spark, d, "dem_cells"), p))
+    bundles = B.read_bundles(I.list_storage(spark, folder).select(F.col("key").alias("path")), block=16)
+    # each block of 16 pixels lies within one degree cell of 32
+    tiles = bundles.raster.tiles.select("source_id", "layer_id", "x0", "y0", "dx")
+    known = bundles.raster.blocks.join(tiles, ["source_id", "layer_id"]).withColumn("pixels", F.filter("pixels", lambda v: v != -1))
+    cell = (F.col("x0") + F.floor(F.col("bx") / 2)).cast("int").alias("lon_cell")
+    return known.filter(F.size("pixels") > 0).groupBy("source_id", (F.col("y0") - 1).cast("int").alias("lat_cell"), cell).agg(
+        F.sum(F.size("pixels")).cast("bigint").alias("pixels"), F.sum(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
 @check("scan_value_mapping", """SELECT DISTINCT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, 'kind' AS layer_id, value, name AS label,
     10 * value AS rank, value % 2 = 0 AS even FROM [dem_cells], [legend_values]""")
 def scan_value_mapping(spark, d):

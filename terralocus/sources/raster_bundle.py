@@ -1,7 +1,8 @@
 """Raster bundles (ZIP of manifest, GeoTIFFs, value tables) into raster tables.
 
-Every step is a Spark job: manifests are read per bundle, images per ZIP
-member, so one bundle of many gigabytes is spread over all tasks.
+Every step is a Spark job: manifests are read per bundle, directories per image,
+pixels per internal tile. A row names the byte ranges of a tile, so one image
+of many gigabytes is spread over all tasks, and a task holds one tile.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.attributes import epsg_code, is_known_srid, source_id
 from ..operators.manifests import raster_violations
 from ..operators.raster import BLOCK, Raster
-from ..operators.skew import spread_for_work
+from ..operators.skew import lookup_join, spread_for_work
 from ..session import cut_lineage, scratch_path
-from .geopackage import local_path
+from . import tiff
+from .ranges import Member, open_file
 
 LAYER_TYPE = ("struct<id:string,description:string,file:string,tiles:struct<dir:string,pattern:string,grid_deg:int>,"
               "band:int,nodata:double,sampling:string,value_type:string,output_property:string,scale:double,offset:double,"
@@ -35,95 +37,17 @@ LAYER_FIELDS = ["id", "description", "file", "tiles", "band", "nodata", "samplin
                 "offset", "mapping", "value_mapping"]
 MANIFEST_NAME = r"[^/]*raster\.ya?ml"
 
-# TIFF tags, field sizes and sample formats in use.
-TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strips",
-        277: "bands", 278: "rows_per_strip", 279: "strip_bytes", 284: "planar", 317: "predictor", 322: "tile_width",
-        323: "tile_height", 324: "tiles", 325: "tile_bytes", 339: "format", 33550: "scale", 33922: "tie"}
-FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-DTYPE = {(1, 8): "u1", (2, 8): "i1", (1, 16): "u2", (2, 16): "i2", (1, 32): "u4", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
-
-
-def _unlzw(data: bytes) -> bytes:
-    """TIFF flavour of LZW: most significant bit first, early width change."""
-    out, table, width, buffer, bits, prev = bytearray(), [], 9, 0, 0, None
-    fresh = [bytes([i]) for i in range(256)] + [b"", b""]
-    for byte in data:
-        buffer, bits = (buffer << 8) | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code, buffer = buffer >> bits, buffer & ((1 << bits) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            table, width, prev = list(fresh), 9, None
-            continue
-        entry = table[code] if code < len(table) else prev + prev[:1]
-        out += entry
-        if prev is not None:
-            table.append(prev + entry[:1])
-        prev = entry
-        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
-    return bytes(out)
-
 
 def read_tiff(data: bytes, band: int = 1) -> dict:
-    """First image of a baseline GeoTIFF: size, origin, pixel size, samples as float64.
+    """First image of a GeoTIFF in memory: size, origin, pixel size, samples as float64."""
+    def read(offset: int, n: int) -> bytes:
+        return data[offset:offset + n]
 
-    Raises ValueError for anything outside plain, LZW or deflate chunks.
-    """
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a classic TIFF")
-    at, = struct.unpack_from(order + "I", data, 4)
-    count, = struct.unpack_from(order + "H", data, at)
-    tag: dict[str, tuple] = {}
-    for i in range(count):
-        code, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + i * 12)
-        if code not in TAGS or kind not in FIELD:
-            continue
-        form = order + FIELD[kind] * n
-        where = at + 10 + i * 12
-        if struct.calcsize(form) > 4:
-            where, = struct.unpack_from(order + "I", data, where)
-        tag[TAGS[code]] = struct.unpack_from(form, data, where)
-    one = lambda name, default: tag.get(name, (default,))[0]
-    width, height, bands = one("width", 0), one("height", 0), one("bands", 1)
-    dtype = DTYPE.get((one("format", 1), one("bits", 8)))
-    if dtype is None:
-        raise ValueError("sample type is not numeric")
-    if one("photometric", 1) == 0:
-        raise ValueError("inverted photometric interpretation")
-    if not 1 <= band <= bands:
-        raise ValueError(f"band {band} out of range (image has {bands})")
-    if one("planar", 1) != 1 and bands > 1:
-        raise ValueError("separate planes are not supported")
-    compression, predictor = one("compression", 1), one("predictor", 1)
-    unpack = {1: lambda b: b, 5: _unlzw, 8: zlib.decompress, 32946: zlib.decompress}.get(compression)
-    if unpack is None or predictor not in (1, 2):
-        raise ValueError(f"compression {compression} or predictor {predictor} is not supported")
-    if "tiles" in tag:
-        cw, ch, offsets, sizes = one("tile_width", 0), one("tile_height", 0), tag["tiles"], tag["tile_bytes"]
-    else:
-        cw, ch = width, min(one("rows_per_strip", height), height)
-        offsets, sizes = tag["strips"], tag["strip_bytes"]
-    across = -(-width // cw)
-    image = np.zeros((height, width), dtype=np.float64)
-    for i, (start, size) in enumerate(zip(offsets, sizes)):
-        y, x = (i // across) * ch, (i % across) * cw
-        rows = ch if "tiles" in tag else min(ch, height - y)
-        chunk = np.frombuffer(unpack(data[start:start + size]), dtype=order + dtype, count=rows * cw * bands)
-        chunk = chunk.reshape(rows, cw, bands)
-        if predictor == 2:
-            chunk = np.cumsum(chunk, axis=1, dtype=chunk.dtype)
-        part = chunk[: height - y, : width - x, band - 1]
-        image[y:y + part.shape[0], x:x + part.shape[1]] = part
-    if "scale" not in tag or "tie" not in tag:
-        raise ValueError("no georeference")
-    dx, dy = tag["scale"][:2]
-    col, row, _, x, y = tag["tie"][:5]
-    return {"width": width, "height": height, "x0": x - col * dx, "y0": y + row * dy, "dx": dx, "dy": dy,
-            "pixels": image.ravel()}
+    head = tiff.header(read, band)
+    image = np.zeros((head["height"], head["width"]))
+    for x, y, width, height, chunks in tiff.units(head, 1):
+        image[y:y + height, x:x + width] = tiff.read_unit(read, head, x, y, width, height, chunks)
+    return {**{k: head[k] for k in ("width", "height", "x0", "y0", "dx", "dy")}, "pixels": image.ravel()}
 
 
 def _parse(text: bytes):
@@ -144,7 +68,7 @@ def _text_keys(value):
 def _read_manifest(path: str) -> tuple[str | None, str | None, str | None]:
     """(manifest JSON, member names JSON, error); value tables are put in line."""
     try:
-        with zipfile.ZipFile(local_path(path)) as z:
+        with open_file(path) as f, zipfile.ZipFile(f) as z:
             names = z.namelist()
             found = [n for n in names if re.fullmatch(MANIFEST_NAME, n)]
             if not found:
@@ -235,8 +159,67 @@ def _members(manifests: DataFrame) -> DataFrame:
         F.col("pattern").isNull() | F.rlike("member", F.concat(F.lit(r"\A(?:"), "pattern", F.lit(r")\z"))))
 
 
-IMAGE_SCHEMA = ("source_id string, layer_id string, lat_cell int, lon_cell int, x0 double, y0 double, dx double, "
-                "dy double, width int, height int, bx int, by int, block_width int, pixels array<double>, error string")
+_HEAD = "source_id string, layer_id string, lat_cell int, lon_cell int, x0 double, y0 double, dx double, dy double, width int, height int"
+UNIT_SCHEMA = (f"{_HEAD}, path string, member string, part int, layout string, ux int, uy int, unit_width int, unit_height int, "
+               "chunks array<struct<x:int,y:int,offset:bigint,size:bigint>>, error string")
+IMAGE_SCHEMA = f"{_HEAD}, bx int, by int, block_width int, pixels array<double>, error string"
+_LAYOUT = ["width", "height", "chunk_width", "chunk_height", "tiled", "samples", "sample", "dtype", "compression", "predictor", "empty"]
+_FAULTS = (ValueError, KeyError, OSError, struct.error, zlib.error, zipfile.BadZipFile, IndexError, EOFError, NotImplementedError)
+# Rows that leave a task at once.
+UNITS_AT_ONCE = 500
+
+
+def _frames(rows, schema: str):
+    """Data frames of some rows each, missing columns being null."""
+    import pandas as pd
+
+    names = [c.strip().split()[0] for c in re.split(r",(?![^<]*>)", schema)]
+    whole = {c.strip().split()[0]: "Int32" for c in re.split(r",(?![^<]*>)", schema) if c.strip().endswith(" int")}
+    held = []
+    for row in rows:
+        held.append({c: row.get(c) for c in names})
+        if len(held) == UNITS_AT_ONCE:
+            yield pd.DataFrame(held, columns=names).astype(whole)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names).astype(whole)
+
+
+def read_directories(manifests: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per internal tile of every image, with its byte ranges, or one with the reason an image was refused.
+
+    Tiles that whole blocks do not fit into come in the least groups they fit
+    into. `part` spreads the tiles of an image; those of a packed ZIP member, which
+    can only be unpacked in order, have one part.
+    """
+    def units_of(row):
+        lat = lon = 0
+        if row.pattern:
+            hit = re.fullmatch(row.pattern.replace("(?<", "(?P<"), row.member)
+            lat = int(hit["lat"]) * (-1 if hit["ns"] == "S" else 1)
+            lon = int(hit["lon"]) * (-1 if hit["ew"] == "W" else 1)
+        base = {"source_id": row.source_id, "layer_id": row.layer_id, "lat_cell": lat, "lon_cell": lon, "path": row.path, "member": row.member}
+        try:
+            member = Member(row.path, row.member)
+        except _FAULTS as e:
+            yield {**base, "error": f"{row.member}: {e}"}
+            return
+        try:
+            head = tiff.header(member.read_at, row.band)
+            base |= {k: head[k] for k in ("x0", "y0", "dx", "dy", "width", "height")} | {"layout": json.dumps({k: head[k] for k in _LAYOUT})}
+            for n, (x, y, width, height, chunks) in enumerate(tiff.units(head, block)):
+                yield {**base, "part": n if member.stored else 0, "ux": x, "uy": y, "unit_width": width, "unit_height": height,
+                       "chunks": [{"x": a, "y": b, "offset": o, "size": s} for a, b, o, s in chunks]}
+        except _FAULTS as e:
+            yield {**base, "error": f"{row.member}: {e}"}
+        finally:
+            member.close()
+
+    def run(batches):
+        for pdf in batches:
+            yield from _frames((unit for row in pdf.itertuples() for unit in units_of(row)), UNIT_SCHEMA)
+
+    return spread_for_work(_members(manifests), "path", "member").mapInPandas(run, UNIT_SCHEMA)
 
 
 def blocks_of(pixels: np.ndarray, width: int, height: int, block: int):
@@ -248,57 +231,64 @@ def blocks_of(pixels: np.ndarray, width: int, height: int, block: int):
             yield bx, by, part.shape[1], part.ravel()
 
 
-def read_images(manifests: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per block of every image, or one with the reason an image was refused.
+def read_images(directories: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per block of every tile in `directories`, or one with the reason a tile could not be read."""
+    def blocks(row, member):
+        head = {k: getattr(row, k) for k in ("source_id", "layer_id", "lat_cell", "lon_cell", "x0", "y0", "dx", "dy", "width", "height")}
+        try:
+            chunks = [(c["x"], c["y"], c["offset"], c["size"]) for c in row.chunks]
+            part = tiff.read_unit(member().read_at, json.loads(row.layout), row.ux, row.uy, row.unit_width, row.unit_height, chunks)
+        except _FAULTS as e:
+            yield {**head, "error": f"{row.member}: {e}"}
+            return
+        for bx, by, width, pixels in blocks_of(part, row.unit_width, row.unit_height, block):
+            yield {**head, "bx": bx + row.ux // block, "by": by + row.uy // block, "block_width": width, "pixels": pixels}
 
-    An image leaves its task in blocks, a row of them at a time, so no row
-    holds a whole image.
-    """
     def run(batches):
-        import pandas as pd
-        columns = [c.strip().split()[0] for c in IMAGE_SCHEMA.split(",")]
-        whole = {c: "Int32" for c in ("width", "height", "bx", "by", "block_width")}
-        for pdf in batches:
+        opened = {}
+
+        def member_of(row):
+            key = (row.path, row.member)
+            if key not in opened:
+                for old in opened.values():
+                    old.close()
+                opened.clear()
+                opened[key] = Member(*key)
+            return opened[key]
+
+        def rows(pdf):
             for row in pdf.itertuples():
-                lat = lon = 0
-                if row.pattern:
-                    hit = re.fullmatch(row.pattern.replace("(?<", "(?P<"), row.member)
-                    lat = int(hit["lat"]) * (-1 if hit["ns"] == "S" else 1)
-                    lon = int(hit["lon"]) * (-1 if hit["ew"] == "W" else 1)
-                head = {"source_id": row.source_id, "layer_id": row.layer_id, "lat_cell": lat, "lon_cell": lon}
-                try:
-                    with zipfile.ZipFile(local_path(row.path)) as z, z.open(row.member) as f:
-                        found = read_tiff(f.read(), row.band)
-                except (ValueError, KeyError, OSError, struct.error, zlib.error, zipfile.BadZipFile, IndexError) as e:
-                    refused = {**head, "error": f"{row.member}: {e}"}
-                    yield pd.DataFrame([{c: refused.get(c) for c in columns}], columns=columns).astype(whole)
-                    continue
-                pixels = found.pop("pixels")
-                across, held = -(-found["width"] // block), []
-                for bx, by, width, part in blocks_of(pixels, found["width"], found["height"], block):
-                    held.append({**head, **found, "bx": bx, "by": by, "block_width": width, "pixels": part, "error": None})
-                    if len(held) == across:
-                        yield pd.DataFrame(held, columns=columns).astype(whole)
-                        held = []
-    return spread_for_work(_members(manifests), "path", "member").mapInPandas(run, IMAGE_SCHEMA)
+                yield from blocks(row, lambda row=row: member_of(row))
+
+        for pdf in batches:
+            yield from _frames(rows(pdf), IMAGE_SCHEMA)
+
+    units = directories.filter(F.col("error").isNull())
+    dealt = spread_for_work(units, "path", "member", "part").sortWithinPartitions("path", "member", F.col("chunks")[0]["offset"])
+    refused = directories.filter(F.col("error").isNotNull()).selectExpr(*[
+        f"cast({'null' if n in ('bx', 'by', 'block_width', 'pixels') else n} as {t}) as {n}" for n, t in (c.strip().split(" ", 1) for c in IMAGE_SCHEMA.split(", "))])
+    return dealt.mapInPandas(run, IMAGE_SCHEMA).unionByName(refused)
 
 
 def read_bundles(paths: DataFrame, block: int = BLOCK) -> Bundles:
     """Bundles whose manifests keep all rules; the others, and unreadable images, are rejects with a reason.
 
-    Every image is decoded once: its blocks are written to the shared folder
+    Every tile is decoded once: its blocks are written to the shared folder
     and tiles, blocks and rejects are read from there.
     """
     spark = paths.sparkSession
     manifests = cut_lineage(read_manifests(paths))
     path = scratch_path(spark, "images")
-    read_images(manifests, block).write.parquet(path)
+    read_images(cut_lineage(read_directories(manifests, block)), block).write.parquet(path)
     images = spark.read.parquet(path)
-    good = images.filter(F.col("error").isNull())
+    key = ["source_id", "layer_id", "lat_cell", "lon_cell"]
+    # an image with a tile that cannot be read is refused whole
+    broken = images.filter(F.col("error").isNotNull()).groupBy(*key).agg(F.min("error").alias("error"))
+    good = lookup_join(images.filter(F.col("error").isNull()).drop("error"), broken.select(*key), key, "left_anti")
     rejects = manifests.filter(F.col("error").isNotNull()).select("source_id", F.lit(None).cast("string").alias("layer_id"), "error")
-    rejects = rejects.unionByName(images.filter(F.col("error").isNotNull()).select("source_id", "layer_id", "error"))
-    tiles = good.filter("bx = 0 AND by = 0").drop("bx", "by", "block_width", "pixels", "error")
-    blocks = good.select("source_id", "layer_id", "lat_cell", "lon_cell", "bx", "by", "block_width", "pixels")
+    rejects = rejects.unionByName(broken.select("source_id", "layer_id", "error"))
+    tiles = good.filter("bx = 0 AND by = 0").drop("bx", "by", "block_width", "pixels")
+    blocks = good.select(*key, "bx", "by", "block_width", "pixels")
     return Bundles(manifests, Raster(raster_layers(manifests), tiles, blocks, block), value_mapping(manifests), rejects)
 
 

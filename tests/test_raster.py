@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from checks.files import make_bundle, make_tiff
 from terralocus.operators import raster as R
-from terralocus.sources import raster_bundle as B
+from terralocus.sources import raster_bundle as B, tiff
+from terralocus.sources.ranges import Member
 
 LAYERS = ("source_id string, layer_id string, srid int, grid_deg int, nodata double, value_type string, output_property string, scale double, offset double")
 
@@ -103,7 +104,7 @@ def test_real_lzw_codes():
     codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
     bits = "".join(f"{c:09b}" for c in codes)
     bits += "0" * (-len(bits) % 8)
-    assert B._unlzw(int(bits, 2).to_bytes(len(bits) // 8, "big")) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unlzw(int(bits, 2).to_bytes(len(bits) // 8, "big")) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
 
 def test_bundles_are_read_and_bad_ones_reported(spark, tmp_path):
@@ -130,3 +131,118 @@ def test_bundles_are_read_and_bad_ones_reported(spark, tmp_path):
     got = {r["point_id"]: r["raw"] for r in R.sample_pixels(R.assign_layers(points(spark, (1.5, 2.5), (3.5, 3.5), (0.0, 0.5)), raster.layers.filter("source_id = 'good'")), raster).collect()}
     assert got == {0: 5.0, 2: 12.0}  # pixel 3 is nodata
     assert [(r["value"], r["properties"]) for r in bundles.mapping.collect()] == [(5, '{"name":"five","rank":5,"open":true,"note":null}')]
+
+
+def lzw_of(data: bytes) -> bytes:
+    """A plain LZW writer with growing codes."""
+    table, codes, width, now, bits = {}, [], 9, b"", []
+
+    def put(code):
+        bits.append(f"{code:0{width}b}")
+
+    table, n = {bytes([i]): i for i in range(256)}, 258
+    put(256)
+    for b in data:
+        longer = now + bytes([b])
+        if longer in table:
+            now = longer
+            continue
+        put(table[now])
+        table[longer], n = n, n + 1
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+        if n == 4094:
+            put(256)
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        now = bytes([b])
+    if now:
+        put(table[now])
+        n += 1
+        width = 9 + (n > 511) + (n > 1023) + (n > 2047)
+    put(257)
+    text = "".join(bits)
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"aaaaaaaaaaaa" * 50, bytes(range(256)) * 40, np.random.default_rng(1).integers(0, 4, 60_000).astype("u1").tobytes(),
+                                  np.random.default_rng(2).integers(0, 256, 30_000).astype("u1").tobytes()])
+def test_lzw_of_growing_codes(data):
+    assert tiff.unlzw(lzw_of(data)) == data
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("dtype,predictor", [("<f4", 3), ("<f8", 3), ("<i2", 2), ("<u4", 2)])
+@pytest.mark.parametrize("tile", [0, 16])
+def test_predictors_and_big_files(dtype, predictor, tile, big):
+    rng = np.random.default_rng(5)
+    pixels = (rng.normal(300, 90, (37, 45)) if dtype[1] == "f" else rng.integers(0, 30_000, (37, 45))).astype(dtype)
+    got = B.read_tiff(make_tiff(pixels, 10.0, 50.0, 0.25, 8, tile, predictor, big))
+    assert np.array_equal(got["pixels"].reshape(37, 45), pixels.astype(float))
+
+
+def test_missing_tiles_are_nodata():
+    pixels = np.full((40, 40), -9.0, dtype="<f4")
+    pixels[:16, 16:32] = 5
+    got = B.read_tiff(make_tiff(pixels, 0.0, 40.0, 1.0, 8, 16, 3, True, -9.0))
+    assert np.array_equal(got["pixels"].reshape(40, 40), pixels.astype(float))
+
+
+@pytest.mark.parametrize("block", [8, 16, 24, 32, 100])
+@pytest.mark.parametrize("tile", [0, 16])
+def test_units_hold_whole_blocks_once(tile, block):
+    pixels = np.arange(70 * 90, dtype="<f4").reshape(70, 90)
+    data = make_tiff(pixels, 0.0, 70.0, 1.0, 1, tile)
+    read = lambda at, n: data[at:at + n]
+    head = tiff.header(read)
+    seen = np.zeros((70, 90), int)
+    for x, y, w, h, chunks in tiff.units(head, block):
+        assert x % block == 0 and y % block == 0
+        assert np.array_equal(tiff.read_unit(read, head, x, y, w, h, chunks), pixels[y:y + h, x:x + w])
+        seen[y:y + h, x:x + w] += 1
+    assert (seen == 1).all()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_a_tile_reads_only_its_ranges(tmp_path, packed):
+    pixels = np.random.default_rng(3).normal(0, 1, (512, 512)).astype("<f8")
+    make_bundle(str(tmp_path / "b.zip"), {}, {"a.tif": make_tiff(pixels, 0.0, 512.0, 1.0, 1, 32, 3, True)}, packed)
+
+    class Counted:
+        def __init__(self, path):
+            self.file, self.bytes = open(path, "rb"), 0
+
+        def read(self, n=-1):
+            out = self.file.read(n)
+            self.bytes += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    file = Counted(tmp_path / "b.zip")
+    member = Member("", "a.tif", file)
+    assert member.stored is not packed
+    head = tiff.header(member.read_at)
+    before = file.bytes
+    unit = list(tiff.units(head, 32))[77]
+    x, y = unit[:2]
+    assert np.array_equal(tiff.read_unit(member.read_at, head, *unit), pixels[y:y + 32, x:x + 32])
+    if not packed:
+        assert before < 30_000 and file.bytes - before == 32 * 32 * 8
+    with pytest.raises(ValueError):
+        member.read_at(member.size - 1, 2)
+
+
+def test_an_image_with_a_broken_tile_is_refused_whole(spark, tmp_path):
+    pixels = np.arange(64 * 64, dtype="<f4").reshape(64, 64)
+    good = make_tiff(pixels, 0.0, 64.0, 1.0, 8, 16, 3)
+    bad = bytearray(good)
+    bad[-40:-20] = b"x" * 20  # the last tile does not unpack
+    layers = [{"id": n, "file": f"{n}.tif", "value_type": "continuous"} for n in ("good", "bad", "none")]
+    make_bundle(str(tmp_path / "b.zip"), {"schema_version": 1, "id": "b", "name": "b", "license": {"name": "CC0"}, "crs": "EPSG:4326", "layers": layers},
+                {"good.tif": good, "bad.tif": bytes(bad)})
+    bundles = B.read_bundles(spark.createDataFrame([(str(tmp_path / "b.zip"),)], "path string"), block=16)
+    assert sorted(r["layer_id"] for r in bundles.rejects.collect()) == ["bad", "none"]
+    assert {(r["layer_id"], r["width"]) for r in bundles.raster.tiles.collect()} == {("good", 64)}
+    blocks = bundles.raster.blocks.collect()
+    assert len(blocks) == 16 and sum(sum(b["pixels"]) for b in blocks) == pixels.sum()
