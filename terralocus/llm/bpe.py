@@ -21,7 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StructField, StructType
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -72,28 +72,35 @@ def _packed(docs: DataFrame, column: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col(column).alias("work"))
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """`docs` with the column `ids` (array of int) in place of any column of that name."""
-    packed = _packed(docs.drop(ids), text)
-    out = StructType([packed.schema["row"], StructField("ids", ArrayType(IntegerType()))])
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: str = RANKS, pattern: str = PATTERN, checked: str | None = None) -> DataFrame:
+    """`docs` with the column `ids` (array of int) in place of any column of that name.
+
+    With `checked`, a boolean column of this name says whether the ids decode to the text's bytes.
+    """
+    packed = _packed(docs.drop(ids, *([checked] if checked else [])), text)
+    out = StructType([packed.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("same", BooleanType())])
 
     def run(batches):
+        token = vocabulary(ranks)[1] if checked else None
         for batch in batches:
-            start, held, found = 0, 0, []
+            start, held, found, same = 0, 0, [], []
             for i, text in enumerate(batch.column(1)):  # one text at a time: lists of ids are large
                 text = text.as_py() or ""
-                found.append(np.array(encode_text(text, ranks, pattern), np.int32))
+                tokens = encode_text(text, ranks, pattern)
+                found.append(np.array(tokens, np.int32))
+                same.append(b"".join(map(token.__getitem__, tokens)) == text.encode("utf-8", "surrogatepass") if checked else None)
                 held += len(text)
                 if held >= BATCH_CHARS or i + 1 == batch.num_rows:
-                    yield out_batch(batch.column(0).slice(start, len(found)), found)
-                    start, held, found = i + 1, 0, []
+                    yield out_batch(batch.column(0).slice(start, len(found)), found, same)
+                    start, held, found, same = i + 1, 0, [], []
 
-    def out_batch(rows, found):
+    def out_batch(rows, found, same):
         offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-        return pa.RecordBatch.from_arrays([rows, lists], ["row", "ids"])
+        return pa.RecordBatch.from_arrays([rows, lists, pa.array(same, pa.bool_())], ["row", "ids", "same"])
 
-    return packed.mapInArrow(run, out).select("row.*", F.col("ids").alias(ids))
+    more = [F.col("same").alias(checked)] if checked else []
+    return packed.mapInArrow(run, out).select("row.*", F.col("ids").alias(ids), *more)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", ranks: str = RANKS) -> DataFrame:

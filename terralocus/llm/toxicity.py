@@ -40,7 +40,6 @@ THRESHOLD = 0.3
 # A learned entry stands in this share of the toxic examples, at least so many, and has these log odds.
 SUPPORT_SHARE, SUPPORT, LOG_ODDS = 0.02, 6, 3.0
 STEM = range(4, 9)
-BATCH_CHARS = 4_000_000
 
 # Built-in entries, exception phrases, and look-alike signs.
 BUILT_IN = ["idiot", "stupid", "moron", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "clown"]
@@ -224,7 +223,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
+            scores = [model.score(t.as_py()) for t in batch.column(1)]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     return packed.mapInArrow(run, out)
