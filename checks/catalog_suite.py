@@ -85,19 +85,22 @@ def id_collisions(spark, d):
 
 
 _OPS = "CASE WHEN op IN ('remove','rename') THEN 'delete' WHEN op = 'create' THEN 'create' ELSE 'modify' END"
-_BURSTS = f"""SELECT path, burst, min(t_ms) AS start_ms, max(t_ms) AS end_ms, max(t_ms) + 500 AS emit_ms, count(*) AS events,
+BURSTS = f"""SELECT path, burst, min(t_ms) AS start_ms, max(t_ms) AS end_ms, max(t_ms) + 500 AS emit_ms, count(*) AS events,
     list_reduce(list_prepend('', list(k ORDER BY t_ms, seq)), lambda cur, op: CASE WHEN cur = '' THEN op WHEN cur = 'delete' AND op = 'create' THEN 'create' WHEN op = 'delete' THEN 'delete' ELSE cur END) AS op
     FROM (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY t_ms, seq ROWS UNBOUNDED PRECEDING) AS burst FROM
       (SELECT *, {_OPS} AS k, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY path ORDER BY t_ms, seq) < 500 THEN 0 ELSE 1 END AS fresh FROM [file_events] WHERE path LIKE '%.gpkg')) GROUP BY 1, 2"""
 
 
-@check("file_event_debounce", f"SELECT path, op, start_ms, end_ms, emit_ms, events FROM ({_BURSTS})")
+@check("file_event_debounce", f"SELECT path, op, start_ms, end_ms, emit_ms, events FROM ({BURSTS})")
 def file_event_debounce(spark, d):
     return E.debounce(view(spark, d, "file_events"), bucket_ms=60_000)
 
 
-@check("apply_events", f"""WITH last AS (SELECT 's' || regexp_extract(path, 's([0-9]+)', 1) AS source_id, arg_max(op, end_ms) AS op, arg_max(path, end_ms) AS path FROM ({_BURSTS}) GROUP BY 1)
-    SELECT source_id, path FROM [loaded] WHERE source_id NOT IN (SELECT source_id FROM last) UNION ALL SELECT source_id, path FROM last WHERE op <> 'delete'""")
+APPLIED = f"""WITH last AS (SELECT 's' || regexp_extract(path, 's([0-9]+)', 1) AS source_id, arg_max(op, end_ms) AS op, arg_max(path, end_ms) AS path FROM ({BURSTS}) GROUP BY 1)
+    SELECT source_id, path FROM [loaded] WHERE source_id NOT IN (SELECT source_id FROM last) UNION ALL SELECT source_id, path FROM last WHERE op <> 'delete'"""
+
+
+@check("apply_events", APPLIED)
 def apply_events(spark, d):
     return E.apply_events(view(spark, d, "loaded"), E.debounce(view(spark, d, "file_events")))
 

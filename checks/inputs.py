@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terralocus.functions import geometry
 from terralocus.operators.layer_index import LayerIndex, box_index_rows, index_rows, load_index, save_index
+from terralocus.operators.nearest import PlaceIndex, load_places, prepare_places, save_places
 from terralocus.operators.raster import Raster, cut_blocks
 from terralocus.plans.gazetteer import ADMIN_COLUMNS, ISLAND_COLUMNS, MOUNTAIN_COLUMNS, Gazetteer, with_tiers
 from terralocus.plans.query import Catalog, VectorLayer
@@ -166,6 +167,12 @@ def tiered_places(spark, d) -> DataFrame:
     return spark.read.parquet(written(spark, d, "places", write))
 
 
+def saved_places(spark, d) -> PlaceIndex:
+    """The places of the gazetteer by class, prepared once per session and folder."""
+    path = written(spark, d, "place-index", lambda p: save_places(prepare_places(tiered_places(spark, d), "place", pyramid=False), p))
+    return load_places(spark, path)
+
+
 def gazetteer_tables(spark, d, **options) -> Gazetteer:
     units, meanings = admin(spark, d), view(spark, d, "meanings")
     places = tiered_places(spark, d)
@@ -174,4 +181,4 @@ def gazetteer_tables(spark, d, **options) -> Gazetteer:
         islands=islands(spark, d), mountains=mountains(spark, d), raster=raster(spark, d),
         dem=("dem", "height"), dem_accuracy=("dem", "hem"), builtup=("urban", "built"),
         admin_index=saved_index(spark, d, "admin"), island_index=saved_index(spark, d, "islands"),
-        mountain_index=saved_index(spark, d, "mountains"), **options)
+        mountain_index=saved_index(spark, d, "mountains"), place_index=saved_places(spark, d), **options)

@@ -14,12 +14,16 @@ from terralocus.sources import geopackage as K
 from terralocus.sources import listing as I
 from terralocus.sources import raster_bundle as B
 from terralocus.sources import sinks as O
-from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading
+from terralocus.plans.query import answer_batch
+from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading, snapshot_answers
+from terralocus.streaming.file_events import debounce_stream, follow_catalog, initial_catalog, read_catalog
 
 from . import sqlparts as S
 from .files import write_broken_bundles, write_bundles, write_float_bundles, write_geopackages
-from .inputs import saved_index, written
+from .inputs import catalog, saved_index, written
+from .catalog_suite import APPLIED, BURSTS
 from .registry import check
+from .spatial_suite import ALL_HITS
 from .views import VIEWS, expand, view
 
 
@@ -172,3 +176,67 @@ def hot_reload(spark, d):
 
     answer_stream(stream, reloading(load, version, answer), out, f"{out}-state", once=True).awaitTermination()
     return spark.read.schema("point_id bigint, fid bigint, version int").json(f"{out}/batch=*")
+
+
+_ANSWERED = """SELECT idx AS point_id, CAST(coalesce(n, 0) AS BIGINT) AS total_features, (i.lon IS NULL OR i.lat IS NULL) AND (i.x IS NULL OR i.y IS NULL) AS refused, i.idx % 3 AS arrival
+    FROM [inputs] i LEFT JOIN (SELECT point_id, count(*) AS n FROM ({}) GROUP BY 1) h ON h.point_id = i.idx"""
+
+
+@check("stream_answers", _ANSWERED.format(ALL_HITS))
+def stream_answers(spark, d):
+    """Whole answers as a stream: stopped after the first file, and started again from its checkpoint for the other two."""
+    out, arriving = scratch_path(spark, "answers"), scratch_path(spark, "asked")
+    inputs = view(spark, d, "inputs")
+
+    def run(parts):
+        for part in parts:
+            inputs.filter(F.col("idx") % 3 == part).coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        snapshot_answers(stream, lambda version: catalog(spark, d), lambda: 1, lambda batch, known: answer_batch(batch, known, srids=(4326, 3857)),
+                         out, f"{out}/state", once=True).awaitTermination()
+
+    run([0])
+    run([1, 2])
+    lines = spark.read.schema("point_id bigint, total_features bigint, error string").json(f"{out}/answers/batch=*")
+    return lines.select("point_id", "total_features", F.col("error").isNotNull().alias("refused"), (F.col("point_id") % 3).alias("arrival"))
+
+
+def _event_stream(spark, d, run):
+    """Calls `run(stream)` twice, the file events arriving in four files: rows come up to 20 seconds after later ones.
+
+    The second call goes on from the checkpoint of the first. A last event, far off, closes all bursts.
+    """
+    arriving = scratch_path(spark, "file-events")
+    events = view(spark, d, "file_events").select("path", F.timestamp_millis("t_ms").alias("ts"), "op", "seq", "t_ms")
+    ends = events.agg(F.min("t_ms").alias("low"), F.max("t_ms").alias("high")).first()
+    late = F.col("t_ms") + F.col("seq") * 7919 % 20_000 - ends["low"]
+    part = F.least(F.floor(late * 4 / (ends["high"] - ends["low"] + 1)), F.lit(3))
+    closing = events.limit(1).select(F.lit("data/closing.gpkg").alias("path"), F.timestamp_millis(F.lit(ends["high"] + 10_000_000)).alias("ts"), F.lit("write").alias("op"), F.lit(-1).cast("bigint").alias("seq"))
+    for parts in ((0, 1), (2, 3)):
+        for n in parts:
+            events.filter(part == n).select("path", "ts", "op", "seq").coalesce(1).write.mode("append").parquet(arriving)
+        if parts[-1] == 3:
+            closing.coalesce(1).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(closing.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        run(debounce_stream(stream, "30 seconds"))
+
+
+@check("stream_debounce", f"SELECT path, op, start_ms, end_ms, events FROM ({BURSTS})")
+def stream_debounce(spark, d):
+    """Bursts of a stream with late rows, stopped and started again in the middle."""
+    out = scratch_path(spark, "bursts")
+
+    def run(bursts):
+        bursts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+    _event_stream(spark, d, run)
+    return spark.read.parquet(out).select("path", "op", F.unix_millis("start").alias("start_ms"), (F.unix_millis("end") - 500).alias("end_ms"), "events")
+
+
+@check("stream_catalog", APPLIED)
+def stream_catalog(spark, d):
+    """The catalog log after the same stream, with snapshots on the way."""
+    root = scratch_path(spark, "catalog-log")
+    initial_catalog(view(spark, d, "loaded"), root)
+    _event_stream(spark, d, lambda bursts: follow_catalog(bursts, root, f"{root}/state", compact_every=2, once=True).awaitTermination())
+    return read_catalog(spark, root)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.attributes import PLACE_CLASSES, class_rank
 from ..functions.geodesy import azimuth_deg
 from ..functions.labels import bearing_label, compass, round_distance
-from .nearest import nearest
+from .nearest import PlaceIndex, nearest
 from .skew import lookup_join
 
 INSIDE_K = 5
@@ -100,13 +100,14 @@ PLACE_COLUMNS = ["name", "admin_id", "country_iso", "population", "capital", "wi
 SHOWN_COLUMNS = ["name_native", "name_source", "place_lon", "place_lat"]
 
 
-def gather(points: DataFrame, places: DataFrame, policy: BearingPolicy) -> DataFrame:
+def gather(points: DataFrame, places: DataFrame | PlaceIndex, policy: BearingPolicy) -> DataFrame:
     """Nearest places per class, cut at the policy's limit before any guard.
 
     `points` carry point_country and point_tier (NULL when unknown); `places`
-    carry tier_fid. Adds distance_km and the rank within the class.
+    carry tier_fid, or are an index of such prepared for group `place`. Adds
+    distance_km and the rank within the class.
     """
-    kept = [c for c in PLACE_COLUMNS if c in places.columns]
+    kept = [c for c in PLACE_COLUMNS if c in (places.rows if isinstance(places, PlaceIndex) else places).columns]
     radii = {c: policy.gather_radius(c) for c in reversed(PLACE_CLASSES)}
     by_radius: dict[float, list[str]] = {}
     for name, radius in radii.items():

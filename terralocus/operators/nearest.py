@@ -1,16 +1,39 @@
-"""k nearest features of a point layer within a radius."""
+"""k nearest features of a point layer within a radius.
+
+Places are filed on a grid that fits the radius, and points ask the cells their
+circle can touch. Where these hold too many places, a pyramid of counts leads
+the way: the counts of all cells of ever finer grids. A point's cells are kept
+by the nearest and the farthest a place in them can be; as soon as the cells
+nearest by the farthest hold k places, all cells beyond that distance go, and the
+crowded ones that remain are looked at one step finer. So a point meets a number
+of places in proportion to k, however many stand around it.
+"""
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
-from .skew import lookup_join, measure, spread_for_work
+from ..session import cut_lineage
+from .skew import Size, lookup_join, measure, spread_for_work
+
+# Grid sides in degrees, coarsest first; all divide 360 and are exact in binary. Points search on the first ten, the
+# pyramid of counts goes on to less than a metre, two steps at a time.
+LEVELS = 21
+SIDES = [8.0 / 2**n for n in range(10)]
+STEP = 2
+# Cells with so few places are not looked at more finely.
+LEAF = 8
+_LAT_BITS = 27
+# Longest length of one degree (km), rounded up.
+MAX_KM_PER_DEG = 111.7
+
 
-# Grid sides in degrees, coarsest first; all divide 360 and are exact in binary.
-SIDES = [8.0, 4.0, 2.0, 1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125, 0.015625]
+def enough(k: int) -> int:
+    """Places that a point may meet per group before its cells are looked at more finely."""
+    return 8 * k + 64
 
 
 def _side_for(radius_km: float) -> float:
@@ -20,7 +43,7 @@ def _side_for(radius_km: float) -> float:
 
 
 def _cell(lon_slot: Column, lat_slot: Column) -> Column:
-    return lon_slot.cast("bigint") * 100_000 + lat_slot.cast("bigint")
+    return F.shiftleft(lon_slot.cast("bigint"), _LAT_BITS) + lat_slot.cast("bigint")
 
 
 def _lon_slot(lon: Column, side: float) -> Column:
@@ -48,49 +71,180 @@ def _reach_cells(lon: Column, lat: Column, radius_km: Column, side: float) -> Co
     return F.flatten(F.transform(lon_slots, lambda i: F.transform(lat_slots, lambda j: _cell(i, j))))
 
 
-def _dense_reach(places: DataFrame, lon: str, lat: str, k: int, side: float) -> DataFrame:
-    """Cells whose 3x3 neighbourhood already holds k places of a group: (_group, _dense_cell).
+@dataclass(frozen=True)
+class PlaceIndex:
+    """Places made ready for any number of `nearest` calls.
 
-    Counts per cell are aggregated first; only counts, never places, are
-    copied to the neighbours. Rows: at most 9 per k places.
+    rows: their columns, `_group`, `_plon`, `_plat`, and `_copy`, the rank among places at one spot.
+    pyramid: (_group, level, cell, up, n), n places in a cell, `up` being the cell STEP levels above; None where it is
+    counted when needed.
     """
-    n = int(360 / side)
-    counts = places.groupBy("_group", _lon_slot(F.col(lon), side).alias("_i"), _lat_slot(F.col(lat), side).alias("_j")).count()
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    spread = counts.withColumn("_o", F.explode(offsets))
-    cell = _cell(F.pmod(F.col("_i") + F.col("_o.a"), F.lit(n)), F.col("_j") + F.col("_o.b"))
-    return (spread.groupBy("_group", cell.alias("_dense_cell")).agg(F.sum("count").alias("_n"))
-            .filter(F.col("_n") >= k).select("_group", "_dense_cell"))
+    rows: DataFrame
+    pyramid: DataFrame | None
+    size: Size
+    unique: bool
+    group: str | None
+
+    def counts(self, level: int) -> DataFrame:
+        if self.pyramid is None:
+            return _counts(self.rows, [level])
+        return self.pyramid.filter(F.col("level") == level)
+
+
+def _place_rows(places: DataFrame, group: str | None, lon: str, lat: str, fid: str) -> DataFrame:
+    places = places.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    spot = Window.partitionBy(*([group] if group else []), lon, lat).orderBy(fid)
+    # a struct is equal to itself even where its field is null
+    own_group = F.struct((F.col(group) if group else F.lit(0)).alias("value"))
+    return places.withColumns({"_copy": F.row_number().over(spot), "_group": own_group, "_plon": F.col(lon), "_plat": F.col(lat)})
+
+
+def _counts(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """Places per group and cell on the given levels, in one pass."""
+    at = [F.struct(F.lit(n).alias("level"), _lon_slot(F.col("_plon"), 8.0 / 2**n).cast("bigint").alias("i"),
+                   _lat_slot(F.col("_plat"), 8.0 / 2**n).cast("bigint").alias("j")) for n in levels]
+    filed = rows.select("_group", F.explode(F.array(*at)).alias("at")).groupBy("_group", "at").agg(F.count(F.lit(1)).alias("n"))
+    return filed.select("_group", "at.level", _cell(F.col("at.i"), F.col("at.j")).alias("cell"),
+                        _cell(F.shiftright("at.i", STEP), F.shiftright("at.j", STEP)).alias("up"), "n")
+
+
+def prepare_places(places: DataFrame, group: str | None = None, place_lon: str = "place_lon", place_lat: str = "place_lat",
+                   fid: str = "fid", pyramid: bool = True) -> PlaceIndex:
+    """Index of a place table; without `pyramid`, counts are made by the calls that need them."""
+    rows = _place_rows(places, group, place_lon, place_lat, fid)
+    size = measure(rows)
+    unique = size.fits_broadcast and rows.select(fid).distinct().count() == size.rows
+    return PlaceIndex(rows, _counts(rows, list(range(LEVELS))) if pyramid else None, size, unique, group)
+
+
+def save_places(index: PlaceIndex, path: str) -> None:
+    index.rows.write.mode("overwrite").parquet(f"{path}/rows")
+    counts = _counts(index.rows.sparkSession.read.parquet(f"{path}/rows"), list(range(LEVELS)))
+    counts.repartitionByRange("level", "cell").sortWithinPartitions("level", "cell").write.mode("overwrite").parquet(f"{path}/pyramid")
+    facts = [(index.size.rows, index.size.bytes, index.unique, index.group)]
+    index.rows.sparkSession.createDataFrame(facts, "rows bigint, bytes bigint, unique boolean, grouped string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_places(spark: SparkSession, path: str) -> PlaceIndex:
+    facts = spark.read.parquet(f"{path}/facts").first()
+    return PlaceIndex(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/pyramid"), Size(facts["rows"], facts["bytes"]), facts["unique"], facts["grouped"])
+
 
+def _crowded(index: PlaceIndex, level: int, k: int, radius_km: float) -> DataFrame:
+    """Cells (_cell) from which more places of one group than `enough` can be within the radius."""
+    side = SIDES[level]
+    reach = radius_km + side * MAX_KM_PER_DEG * 0.71
+    lon, lat = F.shiftright("cell", _LAT_BITS) * side - 180 + side / 2, F.col("cell").bitwiseAND(F.lit((1 << _LAT_BITS) - 1)) * side - 90 + side / 2
+    spread = index.counts(level).select("_group", "n", F.explode(_reach_cells(lon, F.least(lat, F.lit(90.0)), F.lit(reach), side)).alias("_cell"))
+    return spread.groupBy("_group", "_cell").agg(F.sum("n").alias("n")).filter(F.col("n") > enough(k)).select("_cell").distinct()
 
-def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carry: list[str],
+
+def _cell_km(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Least and most km from a point to places in the cell (level, cell): bounds, not exact.
+
+    The distance to the centre and the way from there to a corner, along the
+    parallel and the meridian.
+    """
+    side = F.pow(F.lit(2.0), 3 - F.col("level"))
+    x = F.shiftright("cell", _LAT_BITS) * side - 180 + side / 2
+    y = F.least(F.col("cell").bitwiseAND(F.lit((1 << _LAT_BITS) - 1)) * side - 90 + side / 2, F.lit(90.0))
+    way = side / 2 * MAX_KM_PER_DEG * (1 + F.cos(F.radians(y)))
+    km = distance_km(lon, lat, x, y)
+    known = km.isNotNull() & ~F.isnan(km)
+    return F.when(known, F.greatest(km - way, F.lit(0.0))).otherwise(F.lit(0.0)), F.when(known, km + way).otherwise(F.lit(float("inf")))
+
+
+def _narrowed(front: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str) -> DataFrame:
+    """front (.., _group, level, cell, n) without the cells that k places of nearer ones rule out; adds `split` and `again`."""
+    near, far = _cell_km(F.col(lon), F.col(lat))
+    own = Window.partitionBy(point, "_group")
+    filled = F.sum("n").over(own.orderBy("_far", "level", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = front.withColumns({"_near": near, "_far": far}).withColumn("_filled", filled)
+    # the k-th place is within this, so no other need be farther
+    limit = F.least(F.coalesce(F.min(F.when(F.col("_filled") >= k, F.col("_far"))).over(own), F.lit(float("inf"))), F.lit(radius_km))
+    rows = rows.withColumn("_limit", limit).filter(F.col("_near") <= F.col("_limit") + 1e-6)
+    rows = rows.withColumn("split", (F.sum("n").over(own) > enough(k)) & (F.col("n") > LEAF) & (F.col("level") + STEP < LEVELS))
+    return rows.withColumn("again", F.max("split").over(own)).drop("_near", "_far", "_filled", "_limit")
+
+
+def _dense_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, level: int, k: int, radius_km: float,
+                 point: str, lon: str, lat: str, values: list[str] | None) -> DataFrame:
+    """Pairs for points with crowds around them, found by way of the pyramid."""
+    pyramid = index.pyramid if index.pyramid is not None else cut_lineage(_counts(index.rows, list(range(level, LEVELS))))
+    if values:
+        pyramid = pyramid.filter(F.col("_group.value").isin(*values))
+    size = measure(pyramid, fixed_bytes=96)
+    cells = F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(radius_km), SIDES[level]))
+    front = lookup_join(points.withColumn("cell", cells), pyramid.filter(F.col("level") == level).drop("up"), ["cell"], size=size, spread_by=[point])
+    columns = [*points.columns, "_group", "level", "cell", "n"]
+    found = None
+    for _ in range(level, LEVELS, STEP):
+        looked = cut_lineage(_narrowed(front.select(*columns), k, radius_km, point, lon, lat))
+        done = looked.filter(~F.col("again")).select(*columns)
+        found = done if found is None else found.unionByName(done)
+        more = looked.filter("again")
+        if more.isEmpty():
+            break
+        down = more.filter("split").select(*points.columns, "_group", (F.col("level") + STEP).alias("level"), F.col("cell").alias("up"))
+        finer = lookup_join(down, pyramid, ["_group", "level", "up"], size=size, spread_by=[point])
+        front = finer.select(*columns).unionByName(more.filter(~F.col("split")).select(*columns))
+    used = sorted(r[0] for r in found.select("level").distinct().collect())
+    at = F.array(*[F.struct(F.lit(n).alias("level"), _cell(_lon_slot(F.col("_plon"), 8.0 / 2**n), _lat_slot(F.col("_plat"), 8.0 / 2**n)).alias("cell")) for n in used])
+    filed = rows.withColumn("_at", F.explode(at)).select(*rows.columns, "_at.level", "_at.cell") if used else rows.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("bigint")})
+    filed_size = Size(index.size.rows * max(len(used), 1), index.size.bytes * max(len(used), 1))
+    return lookup_join(found, filed, ["_group", "level", "cell"], size=filed_size, spread_by=[point]).drop("level", "cell", "n")
+
+
+def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
+                    values: list[str] | None = None) -> DataFrame:
+    """Pairs of a point and a place that may be among its k nearest: all of those, and no more than `enough` a group by far."""
+    base = SIDES.index(_side_for(radius_km))
+    size = index.size
+    crowded = _crowded(index, base, k, radius_km) if size.rows > enough(k) else None
+    crowded_size = measure(crowded, fixed_bytes=24) if crowded is not None else Size(0, 0)
+    side = SIDES[base]
+    plain = points
+    if crowded_size.rows:
+        marked = points.withColumn("_cell", _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side)))
+        plain = lookup_join(marked, crowded, ["_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*points.columns)
+    filed = rows.withColumn("_cell", _cell(_lon_slot(F.col("_plon"), side), _lat_slot(F.col("_plat"), side)))
+    asked = plain.withColumn("_cell", F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(float(radius_km)), side)))
+    pairs = lookup_join(asked, filed, ["_cell"], size=size, spread_by=[point]).drop("_cell")
+    if crowded_size.rows:
+        dense = lookup_join(marked, crowded, ["_cell"], "left_semi", size=crowded_size).select(*points.columns)
+        pairs = pairs.unionByName(_dense_pairs(dense, index, rows, base, k, radius_km, point, lon, lat, values).select(*pairs.columns))
+    return pairs.filter(sphere_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")) <= radius_km * (1 + SPHERE_SLACK) + 1e-6)
+
+
+def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km: float, carry: list[str],
             group: str | None = None, values: list[str] | None = None, point: str = "point_id",
             lon: str = "lon", lat: str = "lat", place_lon: str = "place_lon", place_lat: str = "place_lat",
-            fid: str = "fid", adaptive: bool = True) -> DataFrame:
+            fid: str = "fid") -> DataFrame:
     """Up to k nearest places per point (and per `group` value) within `radius_km`.
 
     Adds the carried columns, `distance_km` and `rank` (1 = nearest, ties by
     id). `group` keeps a separate ranking per value of that column, null being
-    a value like any other; `values` names the values wanted.
+    a value like any other; `values` names the values wanted. `places` may be an
+    index prepared for the same `group`, which saves counting them again.
 
     Two exact reductions keep dense areas affordable: of places at one spot
-    only the k with the smallest ids can be among the nearest, and where the
-    3x3 cells around a point hold k places of a group already, the search for
-    that group ends at the far corner of that neighbourhood.
+    only the k with the smallest ids can be among the nearest, and crowds are
+    searched by way of their counts.
     """
     k = max(1, k)
     keys = [group] if group else []
-    if group and values:
-        places = places.filter(F.col(group).isin(*values))
+    if not isinstance(places, PlaceIndex):
+        if group and values:
+            places = places.filter(F.col(group).isin(*values))
+        places = prepare_places(places, group, place_lon, place_lat, fid, pyramid=False)
+    elif places.group != group:
+        raise ValueError(f"places are prepared for group {places.group!r}, not {group!r}")
+    index, size = places, places.size
     columns = list(dict.fromkeys([*keys, fid, *carry]))
-    places = places.filter(F.col(place_lon).isNotNull() & F.col(place_lat).isNotNull())
-    spot = Window.partitionBy(*keys, place_lon, place_lat).orderBy(fid)
-    # a struct is equal to itself even where its field is null
-    own_group = F.struct((F.col(group) if group else F.lit(0)).alias("value"))
-    places = (places.withColumn("_copy", F.row_number().over(spot)).filter(F.col("_copy") <= k)
-              .select(*columns, own_group.alias("_group"), F.col(place_lon).alias("_plon"), F.col(place_lat).alias("_plat")))
-    size = measure(places)
-    adaptive = adaptive and size.rows >= k
+    rows = index.rows.filter(F.col("_copy") <= k)
+    if group and values:
+        rows = rows.filter(F.col(group).isin(*values))
+    rows = rows.select(*columns, "_group", "_plon", "_plat")
     located = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
 
     details = None
@@ -98,53 +252,12 @@ def nearest(points: DataFrame, places: DataFrame, k: int, radius_km: float, carr
         # without a shuffle by cell, a few input splits would do all the work
         located = spread_for_work(located, point)
         extra = [c for c in columns if c not in (*keys, fid)]
-        if extra and places.select(fid).distinct().count() == size.rows:
+        if extra and index.unique:
             # ranked rows carry ids only; the other columns join the k that remain
-            details = F.broadcast(places.select(F.col(fid).alias("_id"), *extra))
-            places = places.drop(*extra)
-
-    # (side, radius) steps: from the whole radius down to ever denser areas
-    base = _side_for(radius_km)
-    steps = []
-    if adaptive:
-        diagonal = 2 * math.sqrt(2) * 111.7
-        steps = [(s, s * diagonal) for s in (base / 4, base / 16) if s >= SIDES[-1] and s * diagonal < radius_km]
-    dense = []
-    for side, radius in steps:
-        table = _dense_reach(places, "_plon", "_plat", k, side).groupBy("_dense_cell").agg(F.collect_set("_group").alias("_near"))
-        table_size = measure(table)
-        if not table_size.rows:
-            break  # a finer neighbourhood lies within a coarser one
-        dense.insert(0, (side, radius, table, table_size))
-
-    # which groups each step answers for a point, the densest (finest) first
-    none = F.array().cast(T.ArrayType(places.schema["_group"].dataType))
-    located = located.withColumn("_done", none)
-    for n, (side, radius, table, table_size) in enumerate(dense):
-        own = _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side))
-        located = lookup_join(located.withColumn("_dense_cell", own), table, ["_dense_cell"], "left", size=table_size, spread_by=[point])
-        located = located.withColumn("_near", F.coalesce("_near", none)).withColumns({
-            f"_step{n}": F.array_except("_near", "_done"), "_done": F.array_union("_done", "_near")}).drop("_near", "_dense_cell")
+            details = F.broadcast(rows.select(F.col(fid).alias("_id"), *extra))
+            rows = rows.drop(*extra)
 
-    found = None
-    for n, (side, radius) in enumerate([*((s, r) for s, r, _, _ in dense), (base, float(radius_km))]):
-        cells = F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(radius), side))
-        filed = places.withColumn("_cell", _cell(_lon_slot(F.col("_plon"), side), _lat_slot(F.col("_plat"), side)))
-        if n < len(dense):
-            asked = located.select(*points.columns, F.explode(f"_step{n}").alias("_group")).withColumn("_cell", cells)
-        elif dense and group:
-            # the groups that a cell holds, without those answered already
-            held = filed.groupBy("_cell").agg(F.collect_set("_group").alias("_held"))
-            asked = lookup_join(located.withColumn("_cell", cells), held, ["_cell"], spread_by=[point])
-            asked = asked.select(*points.columns, "_cell", F.explode(F.array_except("_held", "_done")).alias("_group"))
-        else:
-            asked = located.filter(F.size("_done") == 0).select(*points.columns).withColumn("_cell", cells)
-        on = ["_cell", "_group"] if "_group" in asked.columns else ["_cell"]
-        pairs = lookup_join(asked, filed, on, size=size, spread_by=[point])
-        pairs = pairs.filter(
-            sphere_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")) <= radius * (1 + SPHERE_SLACK) + 1e-6
-        )
-        found = pairs if found is None else found.unionByName(pairs)
+    found = candidate_pairs(located, index, rows, k, float(radius_km), point, lon, lat, values)
     ranked = Window.partitionBy(point, *keys).orderBy("distance_km", fid)
     hits = found.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
     hits = hits.filter(F.col("distance_km") <= radius_km).withColumn("rank", F.row_number().over(ranked))

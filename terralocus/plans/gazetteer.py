@@ -14,6 +14,7 @@ from ..operators import raster as R
 from ..operators.containment import match_index
 from ..operators.hits import merge_fragments
 from ..operators.layer_index import LayerIndex, build_index
+from ..operators.nearest import PlaceIndex
 from ..operators.skew import lookup_join
 from ..session import cut_lineage
 
@@ -63,6 +64,7 @@ class Gazetteer:
     admin_index: LayerIndex | None = None
     island_index: LayerIndex | None = None
     mountain_index: LayerIndex | None = None
+    place_index: PlaceIndex | None = None
 
 
 def with_tiers(places: DataFrame, admin: DataFrame, meanings: DataFrame, tier: str, closure: DataFrame | None = None) -> DataFrame:
@@ -92,7 +94,7 @@ def bearings(points: DataFrame, summary: DataFrame, g: Gazetteer) -> DataFrame:
         asked = R.builtup_gate(asked, g.raster, g.builtup, g.builtup_min)
     else:
         asked = asked.withColumn("allowed", F.lit(True))
-    candidates = B.gather(asked, g.places, g.policy)
+    candidates = B.gather(asked, g.places if g.place_index is None else g.place_index, g.policy)
     return B.fixes(asked, candidates, g.places, g.policy, g.strategy)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.containment import match_index
 from ..operators.layer_index import LayerIndex
 from ..sources.sinks import answer_lines
+from .batches import complete_batches
 
 
 def enrich_stream(points: DataFrame, index: LayerIndex) -> DataFrame:
@@ -47,3 +48,33 @@ def reloading(load: Callable[[int], object], version: Callable[[], int],
         return answer(batch, held["catalog"])
 
     return run
+
+
+def pinned_version(spark: SparkSession, pins: str, batch_id: int, version: Callable[[], int]) -> int:
+    """The catalog version of a micro-batch: what its first run was given, also when it runs again."""
+    if batch_id not in complete_batches(spark, pins):
+        spark.createDataFrame([(version(),)], "version bigint").coalesce(1).write.mode("overwrite").parquet(f"{pins}/batch={batch_id}")
+    return spark.read.schema("version bigint").parquet(f"{pins}/batch={batch_id}").first()["version"]
+
+
+def snapshot_answers(inputs: DataFrame, load: Callable[[int], object], version: Callable[[], int],
+                     answer: Callable[[DataFrame, object], DataFrame], path: str, checkpoint: str, once: bool = False):
+    """Whole answers of a stream of inputs, each micro-batch on one catalog version.
+
+    `answer(batch, catalog)` is a batch plan, such as `answer_batch`; `load(version)`
+    gives the catalog and runs again only when the version moved. A batch names its
+    version under `pins` before it answers and writes its lines under
+    `answers/batch=<id>`. So a batch that is run again, after a lost executor
+    or a restart, asks the same catalog and replaces its own lines, also where the
+    catalog moved on in between.
+    """
+    held: dict[str, object] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pinned = pinned_version(batch.sparkSession, f"{path}/pins", batch_id, version)
+        if held.get("version") != pinned:
+            held["version"], held["catalog"] = pinned, load(pinned)
+        answer_lines(answer(batch, held["catalog"])).write.mode("overwrite").text(f"{path}/answers/batch={batch_id}")
+
+    writer = inputs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

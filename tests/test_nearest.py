@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralocus.functions.geodesy import vincenty
-from terralocus.operators.nearest import nearest
+from terralocus.operators import nearest as N
+from terralocus.operators.nearest import load_places, nearest, prepare_places, save_places
 
 PLACES = "fid bigint, place string, place_lon double, place_lat double"
 
@@ -96,3 +98,50 @@ def test_groups_are_ranked_alike_whatever_the_size(spark, monkeypatch, large, cr
             near = sorted((d, r[0] if r[0] is not None else -1, r[0]) for d, r in zip(km, rows) if r[1] == g and d <= 40)[:2]
             want |= {(i, g, fid, n) for n, (_, _, fid) in enumerate(near, 1)}
     assert found == want
+
+
+def test_a_hundred_thousand_places_in_one_cell(spark):
+    """Exact, and the pairs per point stay in proportion to k whatever the crowd."""
+    n, k = 100_000, 5
+    rng = np.random.default_rng(9)
+    px, py = 10.004 + rng.uniform(0, 0.006, n), 50.004 + rng.uniform(0, 0.006, n)
+    xy = [(10.006, 50.006), (10.007, 50.0071), (10.0, 50.0), (10.02, 50.0), (9.9, 49.95), (10.3, 50.2), (13.0, 50.0), (10.004, 50.004)]
+    frame = spark.createDataFrame([(px.tolist(), py.tolist())], "px array<double>, py array<double>").select(F.posexplode(F.arrays_zip("px", "py")).alias("i", "v"))
+    frame = frame.select(F.col("i").cast("bigint").alias("fid"), F.lit("crowd").alias("place"), F.col("v.px").alias("place_lon"), F.col("v.py").alias("place_lat"))
+    pts = points(spark, xy)
+    index = prepare_places(frame, "place", pyramid=False)
+    rows = index.rows.select("fid", "_group", "_plon", "_plat")
+    pairs = N.candidate_pairs(pts, index, rows, k, 120.0, "point_id", "lon", "lat").groupBy("point_id").count().collect()
+    assert len(pairs) == 7 and max(r["count"] for r in pairs) <= 2 * N.enough(k)
+    got = {(r["point_id"], r["fid"], r["rank"]) for r in nearest(pts, index, k, 120.0, [], group="place").collect()}
+    want = set()
+    for i, (x, y) in enumerate(xy):
+        near = np.argsort(np.hypot((px - x) * np.cos(np.radians(50)), py - y))[:2_000]
+        km, _ = vincenty(np.full(len(near), x), np.full(len(near), y), px[near], py[near])
+        want |= {(i, j, r) for r, (d, j) in enumerate(sorted((d, int(j)) for d, j in zip(km, near))[:k], 1) if d <= 120}
+    assert got == want
+
+
+def test_prepared_places_give_the_same(spark, tmp_path):
+    rows, xy = scattered(13, 250)
+    save_places(prepare_places(places(spark, rows), "place"), str(tmp_path / "places"))
+    index = load_places(spark, str(tmp_path / "places"))
+    assert index.size.rows == len(rows) and index.unique
+    for k, radius in ((4, 120.0), (30, 25.0)):
+        got = found(nearest(points(spark, xy), index, k, radius, [], group="place", values=["town"]))
+        assert got == brute(xy, rows, k, radius, ["town"])
+    with pytest.raises(ValueError):
+        nearest(points(spark, xy), index, 1, 1.0, [])
+
+
+def test_cell_bounds_hold(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    level = rng.integers(0, 12, n)
+    lon, lat, px, py = rng.uniform(-180, 180, n), rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), rng.uniform(-90, 90, n)
+    frame = spark.createDataFrame([(int(a), *map(float, v)) for a, *v in zip(level, lon, lat, px, py)], "level int, lon double, lat double, px double, py double")
+    side = F.pow(F.lit(2.0), 3 - F.col("level"))
+    cell = N._cell(F.floor((F.col("px") + 180) / side), F.floor((F.col("py") + 90) / side))
+    near, far = N._cell_km(F.col("lon"), F.col("lat"))
+    true = N.distance_km(F.col("lon"), F.col("lat"), F.col("px"), F.col("py"))
+    assert frame.withColumn("cell", cell).withColumns({"near": near, "far": far, "km": true}).filter("km < near - 1e-6 or km > far + 1e-6").count() == 0
