@@ -14,11 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from terralocus.functions.wkb import point_wkb, polygon_wkb
-from terralocus.sources.geopackage import local_path, wrap_wkb
+from terralocus.sources.geopackage import envelope, local_path, wrap_wkb
 
 
-def make_geopackage(path: str, layers: dict, metadata: list | None = None) -> None:
-    """layers: name -> (geometry type, [(column, sql type)], rows of (fid, *values, wkb))."""
+def make_geopackage(path: str, layers: dict, metadata: list | None = None, rtree: bool = False) -> None:
+    """layers: name -> (geometry type, [(column, sql type)], rows of (fid, *values, wkb)); with `rtree`, layers have their R-tree."""
     partial = f"{path}.part"
     if os.path.exists(partial):
         os.remove(partial)
@@ -33,6 +33,10 @@ def make_geopackage(path: str, layers: dict, metadata: list | None = None) -> No
         marks = ", ".join("?" * (len(columns) + 2))
         con.executemany(f'INSERT INTO "{name}" VALUES ({marks})',
                         [(*row[:-1], None if row[-1] is None else wrap_wkb(row[-1], 4326)) for row in rows])
+        if rtree:
+            boxes = [(row[0], envelope(row[-1])) for row in rows]
+            con.execute(f'CREATE VIRTUAL TABLE "rtree_{name}_geom" USING rtree(id, minx, maxx, miny, maxy)')
+            con.executemany(f'INSERT INTO "rtree_{name}_geom" VALUES (?, ?, ?, ?, ?)', [(i, b[0], b[2], b[1], b[3]) for i, b in boxes if b])
     if metadata is not None:
         con.execute("CREATE TABLE gpkg_metadata(id INTEGER PRIMARY KEY, md_scope TEXT, md_standard_uri TEXT, mime_type TEXT, metadata TEXT)")
         con.executemany("INSERT INTO gpkg_metadata VALUES (?, 'dataset', ?, ?, ?)", metadata)
@@ -41,8 +45,8 @@ def make_geopackage(path: str, layers: dict, metadata: list | None = None) -> No
     os.replace(partial, path)
 
 
-def write_geopackages(places: DataFrame, units: DataFrame, folder: str) -> None:
-    """Rows spread over files of about 50,000 rows by their id; one task writes one file."""
+def write_geopackages(places: DataFrame, units: DataFrame, folder: str, rtree: bool = False) -> None:
+    """Rows spread over files of about 50,000 rows by their id; one task writes one file. With `rtree`, all but the first file have R-trees."""
     root = local_path(folder)
     os.makedirs(root, exist_ok=True)
     files = 4 + places.count() // 50_000
@@ -61,7 +65,7 @@ def write_geopackages(places: DataFrame, units: DataFrame, folder: str) -> None:
                  for r in pdf[pdf.is_place == 0].rename(columns={"name": "name_"}).itertuples()]
         make_geopackage(f"{root}/part{part:04d}.gpkg", {
             "places": ("POINT", [("name", "TEXT"), ("place", "TEXT"), ("population", "INTEGER")], spots),
-            "units": ("POLYGON", [("name", "TEXT"), ("admin_level", "TEXT"), ("parent_id", "INTEGER")], boxes)})
+            "units": ("POLYGON", [("name", "TEXT"), ("admin_level", "TEXT"), ("parent_id", "INTEGER")], boxes)}, rtree=rtree and part > 0)
         return pdf[["part"]].head(1)
 
     both.withColumn("part", (F.col("fid") % files).cast("int")).groupBy("part").applyInPandas(write, "part int").write.format("noop").mode("overwrite").save()

@@ -52,6 +52,16 @@ def scan_gpkg(spark, d):
     return places.unionByName(units).select("layer", "fid", "name", "kind", "number", "box.*")
 
 
+@check("scan_gpkg_extent", """SELECT 'places' AS layer, fid, name FROM [places] WHERE place_lon BETWEEN 2.5 AND 11 AND place_lat BETWEEN 44 AND 50.25
+    UNION ALL SELECT 'units', fid, name FROM [admin] WHERE xmax >= 2.5 AND xmin <= 11 AND ymax >= 44 AND ymin <= 50.25""")
+def scan_gpkg_extent(spark, d):
+    """Rows that meet an extent, by the files' R-trees; the first file has none."""
+    folder = written(spark, d, "gpkg-rtree", lambda p: write_geopackages(view(spark, d, "places"), view(spark, d, "admin"), p, rtree=True))
+    read = lambda layer: K.read_layer(spark, folder, layer, rows_per_task=500, columns=["name"], extent=(2.5, 44.0, 11.0, 50.25)).select(
+        F.lit(layer).alias("layer"), "fid", "name")
+    return read("places").unionByName(read("units"))
+
+
 @check("scan_raster_bundle", """SELECT 'band-' || CAST(lat_cell AS VARCHAR) AS source_id, 'height' AS layer_id, lat_cell, lon_cell, 32 AS width, 32 AS height,
     CAST(sum((r * 31 + c * 17 + lat_cell * 7 + (lon_cell + 20) * 13) % 256) AS DOUBLE) AS total
     FROM [dem_cells], (SELECT unnest(range(32)) AS r), (SELECT unnest(range(32)) AS c) GROUP BY ALL

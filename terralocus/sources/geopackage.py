@@ -9,12 +9,14 @@ they are inspected in tasks, and each task reads a share of the rows of one file
 
 from __future__ import annotations
 
+import io
 import os
 import sqlite3
 import struct
 import tempfile
 from urllib.parse import quote, urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import (
@@ -22,8 +24,10 @@ from pyspark.sql.types import (
 )
 
 from ..functions.attributes import source_id
+from ..functions.wkb import parts
 from ..operators.skew import spread_for_work
 from ..session import cut_lineage
+from .ranges import open_file
 
 ROWS_PER_TASK = 100_000
 # Beyond so many shares of rows, a task reads several.
@@ -103,6 +107,52 @@ def _ranges(con: sqlite3.Connection, layer: dict, step: int) -> list[tuple[int,
     return rows.fetchall()
 
 
+Extent = tuple[float, float, float, float]
+
+
+def _index_of(con: sqlite3.Connection, layer: dict) -> str | None:
+    """Name of the layer's R-tree, where the file has one."""
+    name = f"rtree_{layer['layer']}_{layer['geom']}"
+    return name if con.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (name,)).fetchone() else None
+
+
+def _indexed_ids(con: sqlite3.Connection, layer: dict, extent: Extent) -> tuple[str, tuple] | None:
+    """Query of the row ids whose box in the R-tree meets the extent (xmin, ymin, xmax, ymax); it may give a few more."""
+    name = _index_of(con, layer)
+    if name is None:
+        return None
+    xmin, ymin, xmax, ymax = map(float, extent)
+    return f"SELECT id FROM {_quoted(name)} WHERE maxx >= ? AND minx <= ? AND maxy >= ? AND miny <= ?", (xmin, xmax, ymin, ymax)
+
+
+def _ranges_within(con: sqlite3.Connection, layer: dict, step: int, extent: Extent | None) -> list[tuple[int, int]]:
+    """Ranges of `step` rows to read: of those an R-tree finds in the extent, else of all rows."""
+    found = None if extent is None else _indexed_ids(con, layer, extent)
+    if found is None:
+        return _ranges(con, layer, step)
+    rows = con.execute(f"SELECT min(id), max(id) + 1 FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) / ? AS part FROM ({found[0]})) GROUP BY part ORDER BY part",
+                       (step, *found[1]))
+    return rows.fetchall()
+
+
+def envelope(blob: bytes | None) -> Extent | None:
+    """(xmin, ymin, xmax, ymax) of a geometry, from its header where that has it; None without coordinates."""
+    if blob is None:
+        return None
+    if blob[:2] == b"GP" and (blob[3] >> 1) & 7:
+        x0, x1, y0, y1 = struct.unpack_from("<4d" if blob[3] & 1 else ">4d", blob, 8)
+        return x0, y0, x1, y1
+    found = [xy for _, xy in parts(strip_header(blob))[0] if len(xy)]
+    if not found:
+        return None
+    low, high = np.min([xy.min(axis=0) for xy in found], axis=0), np.max([xy.max(axis=0) for xy in found], axis=0)
+    return float(low[0]), float(low[1]), float(high[0]), float(high[1])
+
+
+def meets(box: Extent | None, extent: Extent) -> bool:
+    return box is not None and box[2] >= extent[0] and box[0] <= extent[2] and box[3] >= extent[1] and box[1] <= extent[3]
+
+
 def merged_schema(columns: list[tuple[str, str]]) -> StructType:
     """One field per column name of any file; whole and broken numbers meet as double, other types as text."""
     kinds: dict[str, set[str]] = {}
@@ -114,8 +164,12 @@ def merged_schema(columns: list[tuple[str, str]]) -> StructType:
                        *[StructField(n, pick(k)) for n, k in kinds.items()], StructField("geom_wkb", BinaryType())])
 
 
-def _read_rows(path: str, shown: str, wanted: str | None, fields: list[StructField], lo: int | None, hi: int | None):
-    """Arrow batches of one row-id range (all rows without one); only the asked columns are fetched."""
+def _read_rows(path: str, shown: str, wanted: str | None, fields: list[StructField], lo: int | None, hi: int | None, extent: Extent | None = None):
+    """Arrow batches of one row-id range (all rows without one); only the asked columns are fetched.
+
+    With an extent, only rows whose box meets it: an R-tree names them, so that
+    others are not fetched; without one each row's own box decides.
+    """
     import pyarrow as pa
 
     con = connect(path)
@@ -123,13 +177,24 @@ def _read_rows(path: str, shown: str, wanted: str | None, fields: list[StructFie
     stored = {c[1] for c in con.execute(f"PRAGMA table_info({_quoted(layer['layer'])})")}
     pick = {"path": "NULL", "geom_wkb": _quoted(layer["geom"]), "fid": "fid" if "fid" in stored else "rowid"}
     picks = [pick.get(f.name) or (_quoted(f.name) if f.name in stored else "NULL") for f in fields]
-    limits = "" if lo is None else f" WHERE rowid >= {int(lo)} AND rowid < {int(hi)}"
-    rows = con.execute(f"SELECT {', '.join(picks)} FROM {_quoted(layer['layer'])}{limits}")
+    limits, values = [] if lo is None else [f"rowid >= {int(lo)} AND rowid < {int(hi)}"], ()
+    found = None if extent is None else _indexed_ids(con, layer, extent)
+    if found is not None:
+        bound = "" if lo is None else f" AND id >= {int(lo)} AND id < {int(hi)}"
+        limits, values = [*limits, f"rowid IN ({found[0]}{bound})"], found[1]
+    if extent is not None:
+        picks.append(_quoted(layer["geom"]))
+    where = f" WHERE {' AND '.join(limits)}" if limits else ""
+    rows = con.execute(f"SELECT {', '.join(picks)} FROM {_quoted(layer['layer'])}{where}", values)
     kinds = {LongType: pa.int64(), IntegerType: pa.int32(), DoubleType: pa.float64(), BooleanType: pa.bool_(),
              BinaryType: pa.binary(), StringType: pa.string()}
     target = pa.schema([(f.name, kinds[type(f.dataType)]) for f in fields])
     while chunk := rows.fetchmany(10_000):
         columns = []
+        if extent is not None:
+            chunk = [row[:-1] for row in chunk if meets(envelope(row[-1]), extent)]
+            if not chunk:
+                continue
         for field, values in zip(target, zip(*chunk)):
             if field.name == "path":
                 values = [shown] * len(chunk)
@@ -152,7 +217,12 @@ class _Range(InputPartition):
 
 
 class GeoPackageSource(DataSource):
-    """For a few files on a mounted path; `read_layer` inspects many files in tasks."""
+    """For a few files on a mounted path; `read_layer` inspects many files in tasks.
+
+    Options: layer, rowsPerTask, extent (xmin,ymin,xmax,ymax) and ids (lo,hi: rows
+    with lo <= fid < hi). They are options, not pushed filters: Spark keeps what
+    it pushed to a Python reader for later queries on the same frame.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -179,44 +249,71 @@ class _Reader(DataSourceReader):
         self.schema = schema
         self.path, self.layer = options["path"], options.get("layer")
         self.step = int(options.get("rowsPerTask", ROWS_PER_TASK))
+        given = options.get("extent")
+        self.extent = tuple(float(v) for v in given.split(",")) if given else None
+        given = options.get("ids")
+        self.low, self.high = map(int, given.split(",")) if given else (None, None)
+
+    def _bounded(self, lo: int, hi: int) -> tuple[int, int]:
+        return (lo, hi) if self.low is None else (max(lo, self.low), min(hi, self.high))
 
     def partitions(self):
         out = []
         for path in _files(self.path):
             con = connect(path)
             layer = _layer_of(con, self.layer)
-            out += [_Range(path, *r) for r in (_ranges(con, layer, self.step) if layer else ())]
+            bounded = [self._bounded(*r) for r in (_ranges_within(con, layer, self.step, self.extent) if layer else ())]
+            out += [_Range(path, lo, hi) for lo, hi in bounded if lo < hi]
             con.close()
         return out or [_Range("", 0, 0)]
 
     def read(self, part: _Range):
         if part.path:
-            yield from _read_rows(part.path, part.path, self.layer, self.schema.fields, part.lo, part.hi)
+            yield from _read_rows(part.path, part.path, self.layer, self.schema.fields, part.lo, part.hi, self.extent)
 
 
 def _is_mounted(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
 
-def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int = ROWS_PER_TASK, columns: list[str] | None = None) -> DataFrame:
+# Stores whose files Arrow reads in parts; of others a file comes as one binary value.
+PARTS_SCHEMES = ("s3", "gs", "gcs", "abfs", "abfss", "hdfs")
+PART_BYTES = 8 << 20
+
+
+def fetch_in_parts(source, target) -> int:
+    """Copies an open file to another, a part at a time; returns its bytes."""
+    total = 0
+    while part := source.read(PART_BYTES):
+        target.write(part)
+        total += len(part)
+    target.flush()
+    return total
+
+
+def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int = ROWS_PER_TASK, columns: list[str] | None = None,
+               extent: Extent | None = None) -> DataFrame:
     """Rows of one layer over all GeoPackages below `path`, with source_id from the file name.
 
     Tasks look into the files; the schema is the union of all files' columns (or
-    the asked `columns` of them), and rows are dealt by count. On a store that is
-    not mounted, a file is copied to the task that reads it (at most 2 GiB, the
-    size of a binary value).
+    the asked `columns` of them), and rows are dealt by count. With an `extent`
+    (xmin, ymin, xmax, ymax in the layer's system), only rows whose box meets it are read, by the
+    file's R-tree where it has one; rows without geometry meet none. On a store that
+    is not mounted, a file is copied to the task that reads it: in parts, of any size,
+    where Arrow has a client for the store, else as one binary value of at most 2 GiB.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.[gG][pP][kK][gG]").option("recursiveFileLookup", "true").load(path)
     mounted = _is_mounted(path)
-    files = listed.select("path", *([] if mounted else ["content"]))
+    in_parts = urlparse(path).scheme in PARTS_SCHEMES
+    files = listed.select("path", *([] if mounted or in_parts else ["content"]))
     files = spread_for_work(files, "path")
 
     def local(row):
         if mounted:
             return local_path(row.path), None
         held = tempfile.NamedTemporaryFile(suffix=".gpkg")  # this task's own copy
-        held.write(row.content)
-        held.flush()
+        with open_file(row.path) if in_parts else io.BytesIO(row.content) as source:
+            fetch_in_parts(source, held)
         return held.name, held
 
     def look(batches):
@@ -228,7 +325,7 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
                 con = connect(name)
                 found = _layer_of(con, layer)
                 if found:
-                    ranges = _ranges(con, found, rows_per_task) if mounted else [(None, None)]
+                    ranges = _ranges_within(con, found, rows_per_task, extent) if mounted else [(None, None)]
                     rows.append((row.path, [{"name": n, "kind": k} for n, k in _declared(con, found)], [{"lo": a, "hi": b} for a, b in ranges]))
                 con.close()
             yield pd.DataFrame(rows, columns=["path", "columns", "ranges"])
@@ -252,7 +349,7 @@ def read_layer(spark: SparkSession, path: str, layer: str, rows_per_task: int =
             for row in batch.to_pandas().itertuples():
                 name, held = local(row)
                 bounds = (int(row.lo), int(row.hi)) if mounted else (None, None)
-                yield from _read_rows(name, row.path, layer, fields, *bounds)
+                yield from _read_rows(name, row.path, layer, fields, *bounds, extent)
 
     out = asked.mapInArrow(read, schema)
     return out.withColumn("source_id", source_id(F.col("path"))).drop("path")
