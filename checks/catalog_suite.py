@@ -175,7 +175,10 @@ def trace_search(spark, d):
     return T.trace_search(view(spark, d, "spans"), min_duration_ms=1000, name_contains="GET /S", since=since, limit=50)
 
 
-@check("active_spans", """SELECT trace_id, span_id, name, start, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(start)) / 1000.0 AS age_ms FROM [spans] WHERE "end" IS NULL""")
+ACTIVE = """SELECT trace_id, span_id, name, start, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(start)) / 1000.0 AS age_ms FROM [spans] WHERE "end" IS NULL"""
+
+
+@check("active_spans", ACTIVE)
 def active_spans(spark, d):
     return T.active_spans(view(spark, d, "spans"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 

@@ -14,14 +14,16 @@ from terralocus.sources import geopackage as K
 from terralocus.sources import listing as I
 from terralocus.sources import raster_bundle as B
 from terralocus.sources import sinks as O
+from terralocus.operators import telemetry as T
 from terralocus.plans.query import answer_batch
 from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading, snapshot_answers
 from terralocus.streaming.file_events import debounce_stream, follow_catalog, initial_catalog, read_catalog
+from terralocus.streaming.spans import follow_spans, open_spans
 
 from . import sqlparts as S
 from .files import write_broken_bundles, write_bundles, write_float_bundles, write_geopackages
 from .inputs import catalog, saved_index, written
-from .catalog_suite import APPLIED, BURSTS
+from .catalog_suite import ACTIVE, APPLIED, BURSTS
 from .registry import check
 from .spatial_suite import ALL_HITS
 from .views import VIEWS, expand, view
@@ -250,3 +252,21 @@ def stream_catalog(spark, d):
     initial_catalog(view(spark, d, "loaded"), root)
     _event_stream(spark, d, lambda bursts: follow_catalog(bursts, root, f"{root}/state", compact_every=2, once=True).awaitTermination())
     return read_catalog(spark, root)
+
+
+@check("stream_active_spans", ACTIVE)
+def stream_active_spans(spark, d):
+    """Spans still open after a stream of starts and ends in three files, some ends ahead of their starts; started again after two."""
+    root = scratch_path(spark, "open-spans")
+    spans = view(spark, d, "spans").select("trace_id", "span_id", "name", "start", "end", F.pmod(F.xxhash64("span_id"), F.lit(3)).alias("arrival"))
+    starts = spans.select("trace_id", "span_id", "name", "start", F.lit(None).cast("timestamp_ntz").alias("end"), "arrival")
+    ends = spans.filter(F.col("end").isNotNull()).select(
+        "trace_id", "span_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("timestamp_ntz").alias("start"), "end", (2 - F.col("arrival")).alias("arrival"))
+    rows = starts.unionByName(ends)
+    for parts in ((0, 1), (2,)):
+        for n in parts:
+            rows.filter(F.col("arrival") == n).drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/arriving")
+        stream = spark.readStream.schema(rows.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
+        # ends wait for their starts however late these are: the files are not in order of time
+        follow_spans(stream, root, f"{root}/state", compact_every=2, lone_end="10000 days", once=True).awaitTermination()
+    return T.active_spans(open_spans(spark, root), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
