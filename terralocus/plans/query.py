@@ -102,6 +102,22 @@ def raster_hits(points: DataFrame, catalog: Catalog, chosen: DataFrame | None =
     return hits, found.filter(F.col("error").isNotNull()).select("point_id", "source_id", F.col("layer_id").alias("layer"), "error")
 
 
+def unplaced(points: DataFrame, layers: list[tuple[str, str, int]]) -> DataFrame | None:
+    """(point_id, source_id, layer, error) of the layers (source_id, layer, srid) to whose system no projection leads from the
+    point's; None where that cannot be. Points of supported systems are asked for layers in other systems only."""
+    def among(some):
+        return F.array(*[F.struct(F.lit(s).alias("source_id"), F.lit(n).alias("layer"), F.lit(k).cast("int").alias("to")) for s, n, k in some])
+
+    if not layers:
+        return None
+    foreign = [x for x in layers if x[2] not in SUPPORTED]
+    away = ~F.col("srid").isin(*SUPPORTED)
+    asked = F.when(away, among(layers))
+    rows = points.select("point_id", "srid", F.explode(asked.otherwise(among(foreign)) if foreign else asked).alias("l"))
+    text = F.concat(F.lit("no projection from system "), F.col("srid").cast("string"), F.lit(" to "), F.col("l.to").cast("string"))
+    return rows.filter(F.col("srid") != F.col("l.to")).select("point_id", "l.source_id", "l.layer", text.alias("error"))
+
+
 def hits_and_errors(points: DataFrame, catalog: Catalog, wanted: list[str] | None = None,
                     properties: list[str] | None = None, max_features: int = H.DEFAULT_CAP,
                     on_layer_error: Callable[[VectorLayer, Exception], None] | None = None,
@@ -110,7 +126,8 @@ def hits_and_errors(points: DataFrame, catalog: Catalog, wanted: list[str] | Non
 
     `points(point_id, x, y, srid)` are projected once per distinct SRID of the
     layers. `srids` names the systems the points come in; naming few keeps the
-    plan short. A layer whose plan cannot be built contributes nothing; it is
+    plan short. A point and layer without a projection between their systems are an
+    error; where both are in one system, none is needed, whichever it is. A layer whose plan cannot be built contributes nothing; it is
     reported to `on_layer_error`, or raised where there is none.
     """
     chosen = choose_sources(catalog.sources, wanted)
@@ -129,12 +146,17 @@ def hits_and_errors(points: DataFrame, catalog: Catalog, wanted: list[str] | Non
                 raise
             on_layer_error(layer, error)
     spark = points.sparkSession
-    errors = None
+    errors, named_layers = None, [(x.source_id, x.name, x.srid) for x in layers]
     if catalog.raster is not None:
         found, errors = raster_hits(located, catalog, chosen)
         parts.append(found)
+        for_raster = lookup_join(catalog.raster.layers, chosen.select("source_id").distinct(), ["source_id"], "left_semi")
+        named_layers += map(tuple, for_raster.select("source_id", "layer_id", F.coalesce("srid", F.lit(WGS84_SRID))).collect())
     if not parts:  # nothing to ask: empty results for every point
         parts.append(points.select("point_id").filter(F.lit(False)).join(spark.createDataFrame([], _EMPTY), F.lit(False)))
+    away = unplaced(points, named_layers)
+    if away is not None:
+        errors = away if errors is None else errors.unionByName(away)
     if errors is None:
         errors = points.select("point_id", *[F.lit("").alias(c) for c in ("source_id", "layer", "error")]).filter(F.lit(False))
     hits = H.cap_hits(H.union_hits(parts), order=["layer_ord", "layer", "fid"], max_features=max_features)

@@ -1,6 +1,7 @@
 """Batch answers, raster layers in other systems, joins that keep rows without a key."""
 
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -83,6 +84,19 @@ def test_only_chosen_ready_layers_are_sampled_and_failures_stay_apart(spark):
     assert hits.filter("layer = 'squares'").count() == 3
 
 
+def test_layers_without_a_projection_are_errors(spark):
+    """Vector and raster layers in a system that is not supported, and points in one; equal systems need no projection."""
+    known = catalog(spark, raster=image(spark, 2056, 0.0, 4.0, 2.0, np.array([[1.0, 2.0], [3.0, 4.0]])))
+    square = known.layers[0]
+    known = replace(known, layers=[square, replace(square, name="swiss", ordinal=1, srid=2056), replace(square, source_id="off", srid=2056)])
+    pts = spark.createDataFrame([(1, 1.0, 3.0, 4326), (2, 1.0, 3.0, 2056), (3, 1.0, 3.0, 27700)], "point_id bigint, x double, y double, srid int")
+    hits, errors = hits_and_errors(pts, known, srids=(4326,))
+    assert sorted((r["point_id"], r["layer"]) for r in hits.collect()) == [(1, "squares"), (2, "l"), (2, "swiss")]
+    assert sorted((r["point_id"], r["layer"], r["error"]) for r in errors.collect()) == [
+        (p, layer, f"no projection from system {a} to {b}") for p, layer, a, b in
+        [(1, "l", 4326, 2056), (1, "swiss", 4326, 2056), (2, "squares", 2056, 4326), (3, "l", 27700, 2056), (3, "squares", 27700, 4326), (3, "swiss", 27700, 2056)]]
+
+
 @pytest.mark.parametrize("limit", [0, 1_000])
 @pytest.mark.parametrize("how,want", [("inner", [1, 1]), ("left", [None, None, 1, 1, 2]), ("left_semi", [1, 1]), ("left_anti", [None, None, 2])])
 def test_rows_without_a_key(spark, monkeypatch, how, want, limit):
