@@ -64,7 +64,9 @@ def vincenty(lon1, lat1, lon2, lat2):
             )
         )
         km = b_axis * big_a * (sigma - delta) / 1000.0
-        azimuth = np.degrees(np.arctan2(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam))) % 360.0
+        turn = np.degrees(np.arctan2(cu2 * np.sin(lam), cu1 * su2 - su1 * cu2 * np.cos(lam)))
+        # a hair west of north is 0: `turn % 360` would give 360 for it
+        azimuth = np.fmod(turn + 360.0, 360.0)
     same = (lon1 == lon2) & (lat1 == lat2)
     # a last step below 1e-9 rad (millimetres) still counts as converged
     settled = done | (np.abs(new - lam) < 1e-9)

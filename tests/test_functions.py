@@ -136,3 +136,11 @@ def test_covers_column_on_rings_with_a_hole(spark):
     for spot, expected in {(5.5, 2.5): False, (5.0, 2.5): True, (4.0, 1.0): True, (3.0, 3.5): False}.items():
         if spot in by_place:
             assert by_place[spot] is expected
+
+
+def test_azimuth_stays_below_a_full_turn():
+    """-14 to 166 degrees goes over the pole: a hair west of north, which is 0 and not 360."""
+    lon, lat = -10 + (10240 * 7919 % 40960) / 1024, 35 + (10240 * 104729 % 30720) / 1024
+    lon2, lat2 = -170 + (10240 * 613 % 348160) / 1024, -20 + (10240 * 877 % 102400) / 1024
+    _, az = vincenty([lon, 0.0], [lat, 0.0], [lon2, -1e-14], [lat2, 60.0])
+    assert (az < 360).all() and az[0] == pytest.approx(0, abs=1e-9)
