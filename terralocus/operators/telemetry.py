@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Upper bounds of the duration histogram in seconds.
 DURATION_BOUNDS = [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+# Shares of the percentiles, and the ranges of a group among which their rows are looked for.
+QUANTILES = {"p50": Decimal("0.50"), "p95": Decimal("0.95"), "p99": Decimal("0.99")}
+QUANTILE_RANGES = 256
 
 
 def _millis(start: Column, end: Column) -> Column:
@@ -109,8 +114,28 @@ def query_counts(queries: DataFrame) -> DataFrame:
 
 
 def duration_percentiles(requests: DataFrame, seconds: str = "duration_s") -> DataFrame:
-    """Approximate p50, p95 and p99 per method and route."""
+    """Exact p50, p95 and p99 per method and route: the smallest duration that so large a share does not exceed.
+
+    Approximate quantiles cut each group into ranges. Counts per range tell in which
+    one a wanted row stands, and only the distinct durations of that range are put in
+    order, so no group is sorted whole.
+    """
     route = F.coalesce(F.nullif(F.col("route"), F.lit("")), F.lit("unknown"))
-    p = F.percentile_approx(seconds, [0.5, 0.95, 0.99], 10_000)
-    return requests.groupBy("method", route.alias("path")).agg(p.alias("_p")).select(
-        "method", "path", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"))
+    # a struct is equal to itself even where a field is null
+    rows = requests.select(F.struct("method", route.alias("path")).alias("_of"), F.col(seconds).alias("_v"))
+    cuts = F.percentile_approx("_v", [i / QUANTILE_RANGES for i in range(1, QUANTILE_RANGES)], 10_000)
+    groups = rows.groupBy("_of").agg(F.array_distinct(cuts).alias("_cuts"))
+    counted = rows.filter(F.col("_v").isNotNull()).groupBy("_of", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counted.join(groups, "_of").select("_of", "_v", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    whole = Window.partitionBy("_of")  # of at most QUANTILE_RANGES rows
+    sums = ranged.groupBy("_of", "_range").agg(F.sum("_n").alias("_n"))
+    sums = sums.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_range")), "_all": F.sum("_n").over(whole)})
+    places = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("_all").cast("decimal(20,0)") * share).cast("bigint").alias("at"))
+                       for name, share in QUANTILES.items()])
+    sought = sums.withColumn("_q", F.explode(places)).withColumn("_at", F.col("_q.at") - F.col("_upto") + F.col("_n"))
+    sought = sought.filter(F.col("_at").between(F.lit(1), F.col("_n"))).select("_of", "_range", "_q.name", "_at")
+    near = ranged.join(sought, ["_of", "_range"])
+    upto = F.sum("_n").over(Window.partitionBy("_of", "_range", "name").orderBy("_v"))
+    found = near.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_at"))
+    found = found.groupBy("_of").agg(*[F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in QUANTILES])
+    return groups.join(found, "_of", "left").select("_of.method", "_of.path", *QUANTILES)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.files import make_geopackage
 from terralocus.functions.wkb import point_wkb, polygon_wkb
@@ -134,3 +135,12 @@ def test_geopackage(spark, tmp_path):
 def test_listing_below_prefix(spark):
     objects = spark.createDataFrame([("p/q/a.gpkg", '"e1"'), ("p/q/sub/b.ZIP", '"e2"'), ("p/x.gpkg", '"e3"'), ("p/q/c.txt", '"e4"')], "key string, etag string")
     assert sorted(map(tuple, I.below_prefix(objects, "/p/q/").collect())) == [("a.gpkg", "e1"), ("sub/b.ZIP", "e2")]
+
+
+def test_percentiles_are_rows_of_the_group(spark):
+    """More distinct durations than an approximate sketch keeps; one group holds nothing, one a single row, one only ties."""
+    schema = "method string, route string, duration_s double"
+    many = spark.range(60_000).select(F.lit("GET").alias("method"), F.lit("").alias("route"), ((F.col("id") * 7919 % 60_000) + 1).cast("double").alias("duration_s"))
+    few = spark.createDataFrame([(None, "/a", 4.0), ("PUT", "/a", None)] + [("POST", "/b", 2.5)] * 7, schema)
+    got = {(r.method, r.path): (r.p50, r.p95, r.p99) for r in T.duration_percentiles(many.unionByName(few)).collect()}
+    assert got == {("GET", "unknown"): (30_000.0, 57_000.0, 59_400.0), (None, "/a"): (4.0,) * 3, ("PUT", "/a"): (None,) * 3, ("POST", "/b"): (2.5,) * 3}
