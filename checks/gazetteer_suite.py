@@ -10,6 +10,7 @@ from terralocus.operators import hierarchy as A
 from terralocus.operators import landmarks as L
 from terralocus.operators import subset as U
 from terralocus.operators.nearest import nearest
+from terralocus.operators.spots import at_spots
 from terralocus.plans import gazetteer as G
 from terralocus.plans.query import answer_batch
 
@@ -20,8 +21,13 @@ from .registry import check
 from .views import view
 
 
-def _admin_hits(spark, d, points="all_pts"):
-    return G.covering(view(spark, d, points), admin(spark, d), G.ADMIN_COLUMNS, saved_index(spark, d, "admin"))
+def _admin_hits(spark, d, points):
+    return G.covering(points, admin(spark, d), G.ADMIN_COLUMNS, saved_index(spark, d, "admin"))
+
+
+def _shared(spark, d, answer, points="all_pts"):
+    """`answer(points)` made once per spot, without the coordinates."""
+    return at_spots(view(spark, d, points), answer).drop("lon", "lat")
 
 
 def _closure(spark, d):
@@ -57,14 +63,14 @@ _LOCATED = f"""SELECT h.point_id, coalesce(any_value(c.iso), '') AS country_iso
       (SELECT point_id, fid, name, country_iso AS iso, {S.LEVEL} AS level FROM {S.ADMIN_HITS}) WHERE level IS NOT NULL) u ON u.point_id = l.point_id
     LEFT JOIN [meanings] m ON m.country_iso = u.iso AND m.level = u.level""")
 def locate(spark, d):
-    located = A.locate(_admin_hits(spark, d), view(spark, d, "meanings"))
+    located = _shared(spark, d, lambda p: A.locate(_admin_hits(spark, d, p), view(spark, d, "meanings")))
     rows = located.select("point_id", "country_iso", F.posexplode_outer("hierarchy").alias("pos", "u"))
     return rows.select("point_id", "country_iso", F.col("pos").cast("bigint").alias("pos"), "u.level", "u.name", "u.equivalent", "u.local_term", "u.description")
 
 
 @check("country_of_point", f"SELECT point_id, point_country AS country_iso FROM {S.POINT_COUNTRY}")
 def country_of_point(spark, d):
-    return A.point_countries(_admin_hits(spark, d))
+    return _shared(spark, d, lambda p: A.point_countries(_admin_hits(spark, d, p)))
 
 
 @check("resolve_chain", f"""SELECT c.fid, c.depth, c.anc_fid, coalesce(a.parent_id, 0) AS parent_id, {S.STORED_LEVEL} AS level, a.name, a.country_iso
@@ -78,15 +84,16 @@ def resolve_chain(spark, d):
     UNION ALL SELECT 'point', point_id, point_tier FROM {S.POINT_TIER}""")
 def tier_ancestor(spark, d):
     places = tiered_places(spark, d).filter("tier_fid IS NOT NULL").select(F.lit("place").alias("kind"), F.col("fid").alias("id"), "tier_fid")
-    points = A.point_tiers(_admin_hits(spark, d), view(spark, d, "meanings"), "state")
+    points = _shared(spark, d, lambda p: A.point_tiers(_admin_hits(spark, d, p), view(spark, d, "meanings"), "state"))
     return places.unionByName(points.select(F.lit("point").alias("kind"), F.col("point_id").alias("id"), "tier_fid"))
 
 
 @check("islands", f"""SELECT point_id, name, arg_min(name_native, fid) AS name_native, arg_min(name_source, fid) AS name_source,
     row_number() OVER (PARTITION BY point_id ORDER BY name) - 1 AS pos FROM [all_pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY point_id, name""")
 def islands_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), islands(spark, d), G.ISLAND_COLUMNS, saved_index(spark, d, "islands"), merge=False)
-    rows = L.islands(hits).select("point_id", F.posexplode("islands").alias("pos", "i"))
+    index = saved_index(spark, d, "islands")
+    found = _shared(spark, d, lambda p: L.islands(G.covering(p, islands(spark, d), G.ISLAND_COLUMNS, index, merge=False)))
+    rows = found.select("point_id", F.posexplode("islands").alias("pos", "i"))
     return rows.select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
 
@@ -98,17 +105,22 @@ _MOUNTAIN = f"""SELECT * FROM (SELECT point_id, landform, name, ele, name_source
 @check("mountains", f"""WITH m AS ({_MOUNTAIN}) SELECT point_id, max(CASE WHEN landform='mountain' THEN name END) AS mountain,
     max(CASE WHEN landform='mountain' THEN ele END) AS elevation, max(CASE WHEN landform='range' THEN name END) AS range_name FROM m GROUP BY 1""")
 def mountains_check(spark, d):
-    hits = G.covering(view(spark, d, "all_pts"), mountains(spark, d), G.MOUNTAIN_COLUMNS, saved_index(spark, d, "mountains"), merge=False)
-    return L.mountains(hits).select("point_id", F.col("mountain.name").alias("mountain"), "mountain.elevation", F.col("range.name").alias("range_name"))
+    index = saved_index(spark, d, "mountains")
+    found = _shared(spark, d, lambda p: L.mountains(G.covering(p, mountains(spark, d), G.MOUNTAIN_COLUMNS, index, merge=False)))
+    return found.select("point_id", F.col("mountain.name").alias("mountain"), "mountain.elevation", F.col("range.name").alias("range_name"))
+
+
+def _summary(spark, d, points):
+    return A.admin_summary(_admin_hits(spark, d, points), view(spark, d, "meanings"), "state")
 
 
-def _summary(spark, d):
-    return A.admin_summary(_admin_hits(spark, d, "pts"), view(spark, d, "meanings"), "state")
+def _asked(spark, d, points):
+    known = _summary(spark, d, points).select("point_id", "point_country", "point_tier")
+    return points.join(known, "point_id", "left")
 
 
-def _asked(spark, d):
-    known = _summary(spark, d).select("point_id", "point_country", "point_tier")
-    return view(spark, d, "pts").join(known, "point_id", "left")
+def _gathered(spark, d, points, policy):
+    return B.gather(_asked(spark, d, points), tiered_places(spark, d), policy)
 
 
 _RANK = S.gathered(S.RANK_REACH, 10)
@@ -117,24 +129,22 @@ _COMPOSITE = S.gathered(S.COMPOSITE_REACH, 250)
 
 @check("bearing_candidates", f"SELECT point_id, place, fid, rank, round(km, 3) AS km FROM ({_COMPOSITE}) WHERE {S.GUARDS}")
 def bearing_candidates(spark, d):
-    found = B.gather(_asked(spark, d), tiered_places(spark, d), B.COMPOSITE_POLICY)
-    return B.guarded(found).select("point_id", "place", "fid", "rank", F.round("distance_km", 3).alias("km"))
+    found = _shared(spark, d, lambda p: B.guarded(_gathered(spark, d, p, B.COMPOSITE_POLICY)), "pts")
+    return found.select("point_id", "place", "fid", "rank", F.round("distance_km", 3).alias("km"))
 
 
 @check("salience_rank", f"""SELECT point_id, fid, place, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY
     NOT ({S.CLASS_RANK} >= 2 AND km <= 5), CASE WHEN {S.CLASS_RANK} >= 2 AND km <= 5 THEN 0 ELSE -({S.CLASS_RANK}) END, km, name, fid) AS rn
     FROM ({_RANK}) WHERE {S.GUARDS}) WHERE rn = 1""")
 def salience_rank(spark, d):
-    found = B.gather(_asked(spark, d), tiered_places(spark, d), B.RANK_POLICY)
-    best = B.most_salient(found, B.RANK_POLICY, B.rank_strategy)
+    best = _shared(spark, d, lambda p: B.most_salient(_gathered(spark, d, p, B.RANK_POLICY), B.RANK_POLICY, B.rank_strategy), "pts")
     return best.select("point_id", "fid", "place", F.round("distance_km", 3).alias("km"))
 
 
 @check("salience_composite", f"""SELECT point_id, fid, round(score, 4) AS score FROM (SELECT *, {S.SCORE} AS score, row_number() OVER
     (PARTITION BY point_id ORDER BY {S.SCORE} DESC, km, name, fid) AS rn FROM ({_COMPOSITE}) WHERE {S.GUARDS}) WHERE rn = 1""")
 def salience_composite(spark, d):
-    found = B.gather(_asked(spark, d), tiered_places(spark, d), B.COMPOSITE_POLICY)
-    best = B.most_salient(found, B.COMPOSITE_POLICY, B.composite_strategy)
+    best = _shared(spark, d, lambda p: B.most_salient(_gathered(spark, d, p, B.COMPOSITE_POLICY), B.COMPOSITE_POLICY, B.composite_strategy), "pts")
     return best.select("point_id", "fid", F.round(B.composite_score(), 4).alias("score"))
 
 
@@ -144,8 +154,8 @@ _INSIDE = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id
 
 @check("inside_place", f"SELECT point_id, fid, place, round(km, 3) AS km FROM ({_INSIDE})")
 def inside_place(spark, d):
-    found = B.gather(_asked(spark, d), tiered_places(spark, d), B.RANK_POLICY)
-    return B.inside_places(found, B.RANK_POLICY).select("point_id", "fid", "place", F.round("distance_km", 3).alias("km"))
+    found = _shared(spark, d, lambda p: B.inside_places(_gathered(spark, d, p, B.RANK_POLICY), B.RANK_POLICY), "pts")
+    return found.select("point_id", "fid", "place", F.round("distance_km", 3).alias("km"))
 
 
 _BEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY {S.SCORE} DESC, km, name, fid) AS rn FROM ({_COMPOSITE}) WHERE {S.GUARDS}) WHERE rn = 1"""
@@ -163,7 +173,7 @@ _FIX = f"""WITH gate AS (SELECT point_id, coalesce(raw >= 100, TRUE) AS allowed
 
 @check("bearing", f"SELECT * EXCLUDE (name_source) FROM ({_FIX})")
 def bearing(spark, d):
-    fix = G.bearings(view(spark, d, "pts"), _summary(spark, d), gazetteer_tables(spark, d))
+    fix = _shared(spark, d, lambda p: G.bearings(p, _summary(spark, d, p), gazetteer_tables(spark, d)), "pts")
     return fix.select("point_id", "reference", "class", F.round("distance_km", 3).alias("km"), "inside",
                       F.round("azimuth", 4).alias("azimuth"), "compass", "label")
 
