@@ -10,7 +10,7 @@ from terralocus.operators import hierarchy as A
 from terralocus.operators import landmarks as L
 from terralocus.operators import subset as U
 from terralocus.operators.nearest import nearest
-from terralocus.operators.spots import at_spots
+from terralocus.operators.spots import at_spots, spots_of
 from terralocus.plans import gazetteer as G
 from terralocus.plans.query import answer_batch
 
@@ -243,7 +243,7 @@ _NEAR10 = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id,
 @check("extract_subset", f"""WITH near AS ({_NEAR10}) SELECT 'place' AS kind, fid FROM near GROUP BY fid UNION ALL
     SELECT 'unit', fid FROM (SELECT fid FROM [pts] JOIN [admin] ON {S.IN_BOX} UNION SELECT anc_fid FROM near JOIN {S.CLOSURE} c ON c.fid = near.admin_id)""")
 def extract_subset(spark, d):
-    pts = view(spark, d, "pts")
+    pts = spots_of(view(spark, d, "pts"))  # which units and places are needed is the same for all points of a spot
     near = nearest(pts, view(spark, d, "places"), U.SUBSET_K, U.SUBSET_RADIUS_KM, ["admin_id"], group="place", values=["village", "town", "city"])
     covering = G.match_index(pts, G.build_index(admin(spark, d), ["fid"]))
     units = U.needed_units(covering, near, _closure(spark, d))
