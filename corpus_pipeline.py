@@ -21,7 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per group of texts whose sets of five-word shingles are alike at 0.8 or more; texts without words are alike.
 
-    Fingerprints differ in too many bits at 0.8 to find all such pairs, so whole sets are compared.
+    SimHash fingerprints link texts first, and whole sets confirm; as fingerprints differ in too many bits at 0.8 to find all
+    such pairs, whole sets are compared for what they leave apart.
     """
     return jaccard.representatives(docs)
 

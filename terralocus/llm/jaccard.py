@@ -10,7 +10,9 @@ last, the most usual at the very end. Pairs whose sizes, or places of what
 they share, rule the similarity out leave; all others are counted in full.
 
 Groups are the components of the pairs, so a pair of texts that are connected
-already is never counted. Shingles of few texts make pairs by a join, at most
+already is never counted. SimHash fingerprints (`simhash`) come first: each text is
+counted with one that they link it to, and only what is similar becomes a group.
+They miss pairs at 0.8, so what they leave apart is looked for by shingles. Shingles of few texts make pairs by a join, at most
 `CROWDED` for each row; of these every text is first counted with the partner
 it shares most with. Shingles of many texts make no pairs in a join: their texts
 are compared with one of them, a few times with another one each time, and what is
@@ -32,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from .components import components, forest
 from .embeddings import grouped
 from .tables import staged
@@ -44,7 +47,9 @@ SAMPLE, USUAL = 8, 1 << 20
 # A shingle in the prefixes of more texts is crowded; its texts are compared with one of them so many times.
 CROWDED, STARS = 64, 3
 # Texts whose sets a task holds at once, texts and shingles of a block, and cells of the table of a block's prefixes held at once.
-TEXTS, BLOCK, WEIGHT, TABLE = 256, 2_048, 1 << 20, 1 << 24
+TEXTS, BLOCK, WEIGHT, TABLE = 256, 2_048, 1 << 20, 1 << 22
+# Pairs of a block that are counted before the groups take them in.
+PAIRS = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -232,21 +237,34 @@ def _repeated(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _similar(n: np.ndarray, owner: np.ndarray, column: np.ndarray, columns: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs (i, j) of rows are similar, by the bits of their whole sets, 65,536 columns at a time."""
+    """Which of the pairs (i, j) of rows are similar, by the bits of their whole sets, 16,384 columns at a time."""
     p, q = SIMILARITY
     shared = np.zeros(len(i), np.int64)
-    for c in range(0, columns, 1 << 16):
-        some = (column >= c) & (column < c + (1 << 16))
-        words = min(columns - c, 1 << 16) // 64 + 1
+    for c in range(0, columns, 1 << 14):
+        some = (column >= c) & (column < c + (1 << 14))
+        words = min(columns - c, 1 << 14) // 64 + 1
         bits = np.zeros((len(n), words), np.uint64)
         place = column[some] - c
         np.bitwise_or.at(bits, (owner[some], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-        step = max(1, (1 << 21) // words)
+        step = max(1, (1 << 19) // words)
         for at in range(0, len(i), step):
             shared[at:at + step] += np.bitwise_count(bits[i[at:at + step]] & bits[j[at:at + step]]).sum(axis=1, dtype=np.int64)
     return (p + q) * shared >= p * (n[i] + n[j])
 
 
+def _joined(n: int, possible, similar) -> np.ndarray:
+    """The smallest row that each of n reaches over the similar ones of the possible pairs; pairs that are connected already are not counted."""
+    label = np.arange(n)
+    for i, j in possible:
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            good = similar(a, b)
+            label = forest(n, np.concatenate([np.arange(n), a[good]]), np.concatenate([label, b[good]]))
+    return label
+
+
 def _block_links(crowded: DataFrame, rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b): edges that connect what is similar among the texts of a crowded shingle that are in different groups."""
     # all but the texts of the largest group meet all others; those of the largest do not meet each other
@@ -296,18 +314,24 @@ def _block_links(crowded: DataFrame, rows: DataFrame, texts: DataFrame, size: in
             return {"n": n[some], "root": root[some], "length": length[some], "prefix": (at[owner[own]], column[own])}
 
         one, two = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        bits, found = _repeated(whole), [np.zeros((2, 0), np.int64)]
-        for i, j in _possible(side(one), side(two), columns, key[1] == key[2]):
-            i, j = one[i], two[j]
-            good = _similar(n, *bits, i, j)
-            found.append(np.stack([i[good], j[good]]))
-        label = forest(len(uid), *np.concatenate(found, axis=1))
+        bits = _repeated(whole)
+        possible = ((one[i], two[j]) for i, j in _possible(side(one), side(two), columns, key[1] == key[2]))
+        label = _joined(len(uid), possible, lambda i, j: _similar(n, *bits, i, j))
         linked = np.flatnonzero(label != np.arange(len(uid)))
         return pa.RecordBatch.from_arrays([pa.array(uid[linked]), pa.array(uid[label[linked]])], ["a", "b"])
 
     return staged(dealt.mapInArrow(run, "a bigint, b bigint"), "block-links")
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): each text with the first one of its fingerprint and the first one of all that fingerprints link."""
+    marked = staged(simhash.marked(texts, "uid", "work"), "fingerprints")
+    groups = marked.join(simhash.named(marked, "uid"), "fp")
+    same = marked.groupBy("fp").agg(F.min("uid").alias("b"))
+    pairs = groups.select(F.col("component_id").alias("b"), F.col("uid").alias("a")).unionByName(marked.join(same, "fp").select("b", F.col("uid").alias("a")))
+    return pairs.filter("a != b").distinct()
+
+
 def links(rows: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """rows (uid, n, key, prefix), texts (uid, work) -> (node, root) of all texts that are similar to another, by their groups."""
     copies = rows.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("times")).filter("times > 1").select("key", "b")
@@ -324,8 +348,10 @@ def links(rows: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
         return components(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
     pairs = staged(_rare_pairs(rare, crowds), "rare-pairs")
+    roots = components(equal.unionByName(_confirmed(_fingerprint_pairs(texts), texts, size)))
+    pairs = staged(_apart(pairs, roots), "apart-pairs")
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    roots = components(equal.unionByName(_confirmed(best, texts, size)))
+    roots = grown(roots, _confirmed(best, texts, size))
     roots = grown(roots, _confirmed(_apart(pairs.join(best, ["a", "b"], "left_anti"), roots), texts, size))
     if crowded.isEmpty():
         return roots

@@ -79,6 +79,17 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> Da
     return packed.mapInArrow(run, out)
 
 
+def marked(docs: DataFrame, key: str, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """`key` and `fp` only; texts are held one at a time."""
+    packed = docs.select(key, whole_text(text).alias("work"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), size) for t in batch.column(1)], pa.int64())], [key, "fp"])
+
+    return packed.mapInArrow(run, packed.select(key, F.lit(0).cast("bigint").alias("fp")).schema)
+
+
 class Levels:
     """The tries of several groups over sorted (group, key) rows, level by level.
 

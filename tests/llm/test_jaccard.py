@@ -119,3 +119,33 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     assert got.columns == frame.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 5, 7]
     assert J.representatives(frame.limit(0)).count() == 0
+
+
+def test_fingerprints_come_first_and_sets_confirm(spark, monkeypatch):
+    """Texts linked by fingerprints reach the exact check as pairs, and are no pairs of shingles afterwards."""
+    asked, plain = [], J._confirmed
+    monkeypatch.setattr(J, "_confirmed", lambda pairs, *a: (asked.append(sorted(tuple(sorted(r)) for r in pairs.select("a", "b").collect())), plain(pairs, *a))[1])
+    core = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(core[:200] + [f"x{i}"] + core[200:])) for i in range(6)] + [(10 + i, " ".join(f"u{i}v{k}" for k in range(50))) for i in range(4)]
+    assert kept(spark, rows) == plain_kept(rows) == [0, 10, 11, 12, 13]
+    assert len(asked[0]) >= 1 and sum(map(len, asked)) < 15
+
+
+def test_pairs_of_a_block_are_not_all_held():
+    """What is connected is not counted again, so nothing grows with the similar pairs of a block."""
+    import numpy as np
+
+    n, counted, step = 1500, [0, 0], 100
+
+    def possible():
+        for at in range(0, n, step):
+            i, j = np.nonzero(np.arange(at, min(at + step, n))[:, None] < np.arange(n)[None, :])
+            yield i + at, j
+
+    def similar(i, j):
+        counted[0], counted[1] = counted[0] + len(i), max(counted[1], len(i))
+        return (i % 2) == (j % 2)
+
+    label = J._joined(n, possible(), similar)
+    assert label.tolist() == [k % 2 for k in range(n)]
+    assert counted[1] <= J.PAIRS and counted[0] < 0.7 * n * (n - 1) / 2
