@@ -91,7 +91,7 @@ def tier_ancestor(spark, d):
 @check("islands", f"""SELECT point_id, name, arg_min(name_native, fid) AS name_native, arg_min(name_source, fid) AS name_source,
     row_number() OVER (PARTITION BY point_id ORDER BY name) - 1 AS pos FROM [all_pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY point_id, name""")
 def islands_check(spark, d):
-    index = saved_index(spark, d, "islands")
+    index = saved_index(spark, d, "first_islands")
     found = _shared(spark, d, lambda p: L.islands(G.covering(p, islands(spark, d), G.ISLAND_COLUMNS, index, merge=False)))
     rows = found.select("point_id", F.posexplode("islands").alias("pos", "i"))
     return rows.select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
@@ -105,7 +105,7 @@ _MOUNTAIN = f"""SELECT * FROM (SELECT point_id, landform, name, ele, name_source
 @check("mountains", f"""WITH m AS ({_MOUNTAIN}) SELECT point_id, max(CASE WHEN landform='mountain' THEN name END) AS mountain,
     max(CASE WHEN landform='mountain' THEN ele END) AS elevation, max(CASE WHEN landform='range' THEN name END) AS range_name FROM m GROUP BY 1""")
 def mountains_check(spark, d):
-    index = saved_index(spark, d, "mountains")
+    index = saved_index(spark, d, "first_mountains")
     found = _shared(spark, d, lambda p: L.mountains(G.covering(p, mountains(spark, d), G.MOUNTAIN_COLUMNS, index, merge=False)))
     return found.select("point_id", F.col("mountain.name").alias("mountain"), "mountain.elevation", F.col("range.name").alias("range_name"))
 

@@ -53,3 +53,22 @@ def test_whole_answers_of_a_crowd(spark, monkeypatch):
     one, three = shown(Q.answer_batch(inputs, places, srids=(4326, 3857))), shown(Q.answer_batch(more, places, srids=(4326, 3857)))
     assert len(three) == 3 * len(one) == 120 and all(three[k] == one[k % 100_000] for k in three)
     assert met[0] == met[1] <= 40
+
+
+def test_features_of_one_shape_are_met_once(spark):
+    """Of copies of a shape only those stay that an answer can name, and answers are those of all features."""
+    from terralocus.operators import hits as H
+    from terralocus.operators import landmarks as L
+
+    rows = [(100 * n + fid, f"n{fid % 3 if n % 2 else fid}", "range" if n % 3 else "mountain", None if n % 5 == 0 else float(n % 7)) + box
+            for n in range(40) for fid, *box in [(1, 0.0, 0.0, 4.0, 4.0), (2, 0.5, 1.0, 6.0, 6.0), (3, -1.0, -1.0, 1.0, 2.0)] for box in [tuple(box)]]
+    df = spark.createDataFrame(rows, "fid bigint, name string, landform string, area_km2 double, xmin double, ymin double, xmax double, ymax double")
+    shapes = df.select("fid", "name", "landform", "area_km2", F.lit("").alias("name_native"), F.lit("s").alias("name_source"), F.lit(1.0).alias("ele"),
+                       geometry.rectangle(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("rings"))
+    pts = crowd(spark, 3)
+    carry = ["fid", "name", "name_native", "name_source", "landform", "ele", "area_km2"]
+    at = lambda features: polygons_at(pts, features, carry).withColumns({"source_id": F.lit("x"), "layer_ord": F.lit(0)})
+    shown = lambda out: sorted(map(str, out.collect()))
+    for few, answer in ((L.first_islands(shapes), L.islands), (L.first_mountains(shapes), L.mountains),
+                        (H.first_of_shape(shapes, ["rings"], ["fid"], 2), lambda hits: H.cap_hits(hits, max_features=2))):
+        assert few.count() <= 9 < shapes.count() and shown(answer(at(few))) == shown(answer(at(shapes)))
