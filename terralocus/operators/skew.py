@@ -90,14 +90,15 @@ def lookup_join(big: DataFrame, side: DataFrame, keys: list[str], how: str = "in
     adaptive execution, which knows the real sizes: `big` is not run ahead to
     count keys, so it may be a stream, and joins may follow each other. Rows
     with a null key match nothing; where they are kept, they are spread by a
-    salt instead of meeting in one task.
+    salt instead of meeting in one task. The merge hint keeps the planner from
+    broadcasting `big` on its estimate, which knows nothing of exploded rows.
     """
     size = size or measure(side)
     if size.fits_broadcast:
         return big.join(F.broadcast(side), keys, how)
     if how in ("inner", "left_semi"):
-        return big.join(side, keys, how)
+        return big.join(side.hint("merge"), keys, how)
     unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(NULL_SALTS)) + 1
     salted = big.withColumn("_salt", F.when(unmatched, spread).otherwise(F.lit(0).cast("bigint")))
-    return salted.join(side.withColumn("_salt", F.lit(0).cast("bigint")), [*keys, "_salt"], how).drop("_salt")
+    return salted.join(side.withColumn("_salt", F.lit(0).cast("bigint")).hint("merge"), [*keys, "_salt"], how).drop("_salt")
