@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
-from ..session import cut_lineage
+from ..session import written
 from .skew import Size, lookup_join, measure, spread_for_work
 
 # Grid sides in degrees, coarsest first; all divide 360 and are exact in binary. Points search on the first ten, the
@@ -131,12 +131,12 @@ def load_places(spark: SparkSession, path: str) -> PlaceIndex:
 
 
 def _crowded(index: PlaceIndex, level: int, k: int, radius_km: float) -> DataFrame:
-    """Cells (_cell) from which more places of one group than `enough` can be within the radius."""
+    """(_group, _cell): groups of which more places than `enough` can be within the radius of a point in the cell."""
     side = SIDES[level]
     reach = radius_km + side * MAX_KM_PER_DEG * 0.71
     lon, lat = F.shiftright("cell", _LAT_BITS) * side - 180 + side / 2, F.col("cell").bitwiseAND(F.lit((1 << _LAT_BITS) - 1)) * side - 90 + side / 2
     spread = index.counts(level).select("_group", "n", F.explode(_reach_cells(lon, F.least(lat, F.lit(90.0)), F.lit(reach), side)).alias("_cell"))
-    return spread.groupBy("_group", "_cell").agg(F.sum("n").alias("n")).filter(F.col("n") > enough(k)).select("_cell").distinct()
+    return spread.groupBy("_group", "_cell").agg(F.sum("n").alias("n")).filter(F.col("n") > enough(k)).select("_group", "_cell")
 
 
 def _cell_km(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -155,7 +155,7 @@ def _cell_km(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def _narrowed(front: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str) -> DataFrame:
-    """front (.., _group, level, cell, n) without the cells that k places of nearer ones rule out; adds `split` and `again`."""
+    """front (.., _group, level, cell, n) without the cells that k places of nearer ones rule out; adds `_limit`, within which the k-th is, `split` and `again`."""
     near, far = _cell_km(F.col(lon), F.col(lat))
     own = Window.partitionBy(point, "_group")
     filled = F.sum("n").over(own.orderBy("_far", "level", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -164,23 +164,30 @@ def _narrowed(front: DataFrame, k: int, radius_km: float, point: str, lon: str,
     limit = F.least(F.coalesce(F.min(F.when(F.col("_filled") >= k, F.col("_far"))).over(own), F.lit(float("inf"))), F.lit(radius_km))
     rows = rows.withColumn("_limit", limit).filter(F.col("_near") <= F.col("_limit") + 1e-6)
     rows = rows.withColumn("split", (F.sum("n").over(own) > enough(k)) & (F.col("n") > LEAF) & (F.col("level") + STEP < LEVELS))
-    return rows.withColumn("again", F.max("split").over(own)).drop("_near", "_far", "_filled", "_limit")
+    return rows.withColumn("again", F.max("split").over(own)).drop("_near", "_far", "_filled")
 
 
-def _dense_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, level: int, k: int, radius_km: float,
-                 point: str, lon: str, lat: str, values: list[str] | None) -> DataFrame:
-    """Pairs for points with crowds around them, found by way of the pyramid."""
-    pyramid = index.pyramid if index.pyramid is not None else cut_lineage(_counts(index.rows, list(range(level, LEVELS))))
+def _within(lon: str, lat: str, km: Column) -> Column:
+    """Whether a place may be within so many km of the ellipsoid, by the sphere."""
+    return sphere_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")) <= km * (1 + SPHERE_SLACK) + 1e-6
+
+
+def _dense_pairs(points: DataFrame, crowded: DataFrame, crowded_size: Size, index: PlaceIndex, rows: DataFrame, level: int, k: int,
+                 radius_km: float, point: str, lon: str, lat: str, values: list[str] | None) -> DataFrame:
+    """Pairs of points (with their _cell) and the groups crowded there, found by way of the pyramid."""
+    pyramid = index.pyramid if index.pyramid is not None else written(_counts(index.rows, list(range(level, LEVELS))), "counts")
     if values:
         pyramid = pyramid.filter(F.col("_group.value").isin(*values))
     size = measure(pyramid, fixed_bytes=96)
     cells = F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(radius_km), SIDES[level]))
-    front = lookup_join(points.withColumn("cell", cells), pyramid.filter(F.col("level") == level).drop("up"), ["cell"], size=size, spread_by=[point])
+    met = lookup_join(points, crowded, ["_cell"], size=crowded_size, spread_by=[point]).drop("_cell").withColumn("cell", cells)
+    points = points.drop("_cell")
+    front = lookup_join(met, pyramid.filter(F.col("level") == level).drop("up"), ["_group", "cell"], size=size, spread_by=[point])
     columns = [*points.columns, "_group", "level", "cell", "n"]
     found = None
     for _ in range(level, LEVELS, STEP):
-        looked = cut_lineage(_narrowed(front.select(*columns), k, radius_km, point, lon, lat))
-        done = looked.filter(~F.col("again")).select(*columns)
+        looked = written(_narrowed(front.select(*columns), k, radius_km, point, lon, lat), "front")
+        done = looked.filter(~F.col("again")).select(*columns, "_limit")
         found = done if found is None else found.unionByName(done)
         more = looked.filter("again")
         if more.isEmpty():
@@ -192,7 +199,8 @@ def _dense_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, level: i
     at = F.array(*[F.struct(F.lit(n).alias("level"), _cell(_lon_slot(F.col("_plon"), 8.0 / 2**n), _lat_slot(F.col("_plat"), 8.0 / 2**n)).alias("cell")) for n in used])
     filed = rows.withColumn("_at", F.explode(at)).select(*rows.columns, "_at.level", "_at.cell") if used else rows.withColumns({"level": F.lit(0), "cell": F.lit(0).cast("bigint")})
     filed_size = Size(index.size.rows * max(len(used), 1), index.size.bytes * max(len(used), 1))
-    return lookup_join(found, filed, ["_group", "level", "cell"], size=filed_size, spread_by=[point]).drop("level", "cell", "n")
+    pairs = lookup_join(found, filed, ["_group", "level", "cell"], size=filed_size, spread_by=[point])
+    return pairs.filter(_within(lon, lat, F.col("_limit"))).drop("level", "cell", "n", "_limit")
 
 
 def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
@@ -201,19 +209,29 @@ def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: in
     base = SIDES.index(_side_for(radius_km))
     size = index.size
     crowded = _crowded(index, base, k, radius_km) if size.rows > enough(k) else None
-    crowded_size = measure(crowded, fixed_bytes=24) if crowded is not None else Size(0, 0)
+    if crowded is not None and values:
+        crowded = crowded.filter(F.col("_group.value").isin(*values))
+    crowded = written(crowded, "crowded") if crowded is not None else None
+    crowded_size = measure(crowded, fixed_bytes=48) if crowded is not None else Size(0, 0)
     side = SIDES[base]
+    own = _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side))
     plain = points
     if crowded_size.rows:
-        marked = points.withColumn("_cell", _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side)))
-        plain = lookup_join(marked, crowded, ["_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*points.columns)
+        groups = rows.select("_group").distinct().count()
+        full = crowded.groupBy("_cell").count().filter(F.col("count") >= groups).select("_cell")
+        marked = points.withColumn("_cell", own)
+        plain = lookup_join(marked, full, ["_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*points.columns)
     filed = rows.withColumn("_cell", _cell(_lon_slot(F.col("_plon"), side), _lat_slot(F.col("_plat"), side)))
     asked = plain.withColumn("_cell", F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(float(radius_km)), side)))
     pairs = lookup_join(asked, filed, ["_cell"], size=size, spread_by=[point]).drop("_cell")
+    pairs = pairs.filter(_within(lon, lat, F.lit(radius_km)))
     if crowded_size.rows:
-        dense = lookup_join(marked, crowded, ["_cell"], "left_semi", size=crowded_size).select(*points.columns)
-        pairs = pairs.unionByName(_dense_pairs(dense, index, rows, base, k, radius_km, point, lon, lat, values).select(*pairs.columns))
-    return pairs.filter(sphere_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")) <= radius_km * (1 + SPHERE_SLACK) + 1e-6)
+        # groups that are not crowded around a point meet it in full, the others by way of their counts
+        shown = pairs.columns
+        pairs = lookup_join(pairs.withColumn("_cell", own), crowded, ["_group", "_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*shown)
+        dense = _dense_pairs(marked, crowded, crowded_size, index, rows, base, k, radius_km, point, lon, lat, values)
+        pairs = pairs.unionByName(dense.filter(_within(lon, lat, F.lit(radius_km))).select(*shown))
+    return pairs
 
 
 def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km: float, carry: list[str],
@@ -260,7 +278,11 @@ def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km
     found = candidate_pairs(located, index, rows, k, float(radius_km), point, lon, lat, values)
     ranked = Window.partitionBy(point, *keys).orderBy("distance_km", fid)
     hits = found.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
-    hits = hits.filter(F.col("distance_km") <= radius_km).withColumn("rank", F.row_number().over(ranked))
+    hits = hits.filter(F.col("distance_km") <= radius_km)
+    if not size.fits_broadcast:
+        # brought together by point once: the ranks and later joins on the point find the rows in place
+        hits = hits.repartition(point)
+    hits = hits.withColumn("rank", F.row_number().over(ranked))
     hits = hits.filter(F.col("rank") <= k)
     if details is not None:
         hits = hits.join(details, F.col(fid).eqNullSafe(F.col("_id")))

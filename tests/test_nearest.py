@@ -145,3 +145,17 @@ def test_cell_bounds_hold(spark):
     near, far = N._cell_km(F.col("lon"), F.col("lat"))
     true = N.distance_km(F.col("lon"), F.col("lat"), F.col("px"), F.col("py"))
     assert frame.withColumn("cell", cell).withColumns({"near": near, "far": far, "km": true}).filter("km < near - 1e-6 or km > far + 1e-6").count() == 0
+
+
+def test_a_crowded_group_leaves_the_others_to_the_plain_way(spark, monkeypatch):
+    """Only groups that are crowded around a point are looked for by counts, and pairs beyond the k-th place's bound are no pairs."""
+    rows, xy = scattered(7, 300)
+    met, plain = [], N._narrowed
+    monkeypatch.setattr(N, "_narrowed", lambda front, *a: (met.append({r[0] for r in front.select("_group.value").distinct().collect()}), plain(front, *a))[1])
+    index = prepare_places(places(spark, rows), "place")
+    got = found(nearest(points(spark, xy), index, 3, 30.0, [], group="place"))
+    assert got == brute(xy, rows, 3, 30.0, ["city", "town"])
+    assert met and all(groups == {"town"} for groups in met)
+    pairs = N.candidate_pairs(points(spark, xy[60:]), index, index.rows.filter("_copy <= 3").select("place", "fid", "_group", "_plon", "_plat"), 3, 30.0, "point_id", "lon", "lat")
+    towns = pairs.filter("place = 'town'").groupBy("point_id").count()
+    assert towns.agg({"count": "max"}).first()[0] <= N.enough(3)
