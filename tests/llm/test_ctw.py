@@ -113,3 +113,30 @@ def test_held_out_text_is_better_coded_than_by_words(spark):
     assert len(rows) > 500
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert sum(r.bits_per_byte for r in rows) / len(rows) < 3
+
+
+@pytest.mark.parametrize("usual, fold", [(1 << 21, 1 << 17), (500, 64), (0, 1)])
+def test_every_node_counts(spark, monkeypatch, usual, fold):
+    """Scores are those of the trees of all nodes, also of nodes seen once among more than 2**18 symbols, whichever grams are broadcast."""
+    monkeypatch.setattr(ctw, "GRAMS", usual)
+    monkeypatch.setattr(ctw, "FOLD", fold)
+    monkeypatch.setattr(ctw, "HELD", 3000)
+    random.seed(4)
+    often = ["the ", "an ", "on. ", "é", "你"]
+    rows = [(i, "".join(random.choice(often) if random.random() < 0.9 else chr(random.randrange(97, 123)) for _ in range(900)), "x", 1, 1) for i in range(120)]
+    rows += [(900, None, None, 1, 1), (901, "", "x", 1, 1), (None, "zq zq", "x", 1, 1), (902, "\u0416" * 40, "x", 1, 1)]
+    held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 10 == 0
+    learnt = [t or "" for i, t, *_ in rows if not held(i)]
+    assert sum(len(t.encode()) + 1 for t in learnt) > 1 << 18
+    trees = trees_of(spark, learnt, ctw.DEPTH)
+    got = {r.doc_id: r.score for r in ctw.judged(frame(spark, rows).repartition(4)).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        code = ctw.grams([(0, ctw.START * ctw.DEPTH + (t or "").encode() + ctw.END)])[1]
+        assert got[i] == pytest.approx(trees.log10(code).sum(), rel=1e-9)
+
+
+def test_without_training_text_every_bit_is_even(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    got = ctw.judged(frame(spark, [(i, "abc", "x", 1, 1) for i in held])).collect()
+    assert [r.score for r in got] == [pytest.approx(4 * 8 * math.log10(0.5))] * 5
