@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terralocus.functions import geometry
 from terralocus.operators.landmarks import first_islands, first_mountains
-from terralocus.operators.layer_index import LayerIndex, box_index_rows, index_rows, load_index, save_index
+from terralocus.operators.layer_index import LayerIndex, box_index_rows, index_rows, load_by_shape, save_by_shape
 from terralocus.operators.nearest import PlaceIndex, load_places, prepare_places, save_places
 from terralocus.operators.raster import Raster, cut_blocks
 from terralocus.plans.gazetteer import ADMIN_COLUMNS, ISLAND_COLUMNS, MOUNTAIN_COLUMNS, Gazetteer, with_tiers
@@ -55,10 +55,10 @@ def saved_index(spark, d, name: str) -> LayerIndex:
         "roads": (lambda s, f: view(s, f, "roads"), ["fid", "name"])}[name]
 
     def write(path: str) -> None:
-        rows = box_index_rows(table(spark, d), carry) if name == "roads" else index_rows(table(spark, d), carry)
-        save_index(rows, path, carry)
+        shape, rows_of = (["xmin", "ymin", "xmax", "ymax"], box_index_rows) if name == "roads" else (["rings"], index_rows)
+        save_by_shape(table(spark, d), path, carry, shape, rows_of)
 
-    return load_index(spark, written(spark, d, f"{name}-index", write), carry)
+    return load_by_shape(spark, written(spark, d, f"{name}-index", write), carry)
 
 
 # layer -> (pixel formula over row, col, lat_cell, lon_cell), also spelled in SQL for the oracle

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terralocus.functions.wkb import box_of_wkb, rings_of_wkb
 from terralocus.operators.containment import match_index
+from terralocus.operators.spots import at_spots
 from terralocus.operators.skew import Size
 from terralocus.session import scratch_path
 from terralocus.sources import geopackage as K
@@ -184,7 +185,7 @@ def hot_reload(spark, d):
 
     def answer(batch, catalog):
         number, index = catalog
-        return match_index(batch, replace(index, carried=["fid"])).select("point_id", "fid", F.lit(number).alias("version"))
+        return at_spots(batch, lambda p: match_index(p, replace(index, carried=["fid"]))).select("point_id", "fid", F.lit(number).alias("version"))
 
     answer_stream(stream, reloading(load, version, answer), out, f"{out}-state", once=True).awaitTermination()
     return spark.read.schema("point_id bigint, fid bigint, version int").json(f"{out}/batch=*")

@@ -12,14 +12,17 @@ nor huge polygons blow up the index. Rings are closed, as their formats ask.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry, grid
 from ..functions.covers import band_pieces
-from ..session import written
-from .skew import Size, spread_for_work
+from ..session import scratch_path, written
+from .skew import Size, measure, spread_for_work
 
 SLAB_SEGMENTS = 8
 # Slabs of the first cut; each is cut again by the segments it holds, so none of
@@ -33,12 +36,17 @@ PIECE = ["xmin", "xmax", "slab_lo", "slab_hi", "slab_last", "full_cover", "inner
 
 @dataclass(frozen=True)
 class LayerIndex:
-    """Index rows plus the small facts the join needs."""
+    """Index rows plus the small facts the join needs.
+
+    With `members` (_shape, carried columns), the rows carry the shape only.
+    """
     rows: DataFrame
     rungs: list[tuple[int, int]]
     size: Size
     carried: list[str]
     boxes_only: bool = False
+    members: DataFrame | None = None
+    members_size: Size | None = None
 
 
 def _profile_rows(rows: DataFrame, carried: list[str]) -> DataFrame:
@@ -159,3 +167,28 @@ def save_index(rows: DataFrame, path: str, carry: list[str]) -> None:
 def load_index(spark: SparkSession, path: str, carry: list[str]) -> LayerIndex:
     """A saved index; `carry` may be fewer columns than were saved."""
     return _with_profile(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/profile"), carry)
+
+
+def save_by_shape(features: DataFrame, path: str, carry: list[str], shape: list[str], rows_of: Callable[[DataFrame, list[str]], DataFrame]) -> None:
+    """An index in which features of equal `shape` columns share their rows; `rows_of` is `index_rows` or `box_index_rows`.
+
+    What covers a point is the same for features of one shape, so points meet
+    each shape once and its features at the end.
+    """
+    known = features.filter(reduce(and_, [F.col(c).isNotNull() for c in shape])).select(*dict.fromkeys([*carry, *shape]))
+    known.select(*shape).distinct().withColumn("_shape", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/shapes")
+    shapes = features.sparkSession.read.parquet(f"{path}/shapes")
+    known.join(shapes, shape).select("_shape", *carry).write.mode("overwrite").parquet(f"{path}/members")
+    save_index(rows_of(shapes, ["_shape"]), path, ["_shape"])
+
+
+def load_by_shape(spark: SparkSession, path: str, carry: list[str]) -> LayerIndex:
+    """An index of `save_by_shape`; `carry` may be fewer columns than were saved."""
+    members = spark.read.parquet(f"{path}/members").select("_shape", *carry)
+    return replace(load_index(spark, path, ["_shape"]), carried=carry, members=members, members_size=measure(members))
+
+
+def build_by_shape(features: DataFrame, carry: list[str], shape: list[str], rows_of: Callable[[DataFrame, list[str]], DataFrame]) -> LayerIndex:
+    path = scratch_path(features.sparkSession, "index")
+    save_by_shape(features, path, carry, shape, rows_of)
+    return load_by_shape(features.sparkSession, path, carry)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from terralocus.functions import geometry
 from terralocus.operators import hits as H
 from terralocus.operators.containment import boxes_at, match_index, polygons_at
-from terralocus.operators.layer_index import build_index, load_index, save_index
+from terralocus.operators.layer_index import box_index_rows, build_by_shape, build_index, index_rows, load_index, save_index
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -210,3 +210,24 @@ def test_full_cover_of_a_long_outline_and_a_diamond(spark):
     assert by_box.count() > 0.9 * inside
     plan = match_index(pts, index)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.split("InMemoryRelation")[0]
+
+
+def test_features_of_one_shape_share_their_rows(spark, shuffled):
+    """Copies of a shape add no index rows, and each is a hit of its own; features without a shape are none."""
+    one, hole = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]
+    layer = table(spark, [(i, [one, hole]) for i in range(300)] + [(i, [one]) for i in range(300, 302)]).unionByName(
+        spark.createDataFrame([(999, None)], f"fid bigint, rings {RINGS}"))
+    index = build_by_shape(layer, ["fid"], ["rings"], index_rows)
+    alone = build_index(table(spark, [(0, [one, hole]), (1, [one])]), ["fid"])
+    assert index.size.rows == alone.size.rows
+    hits = match_index(points(spark, [(2, 2), (0.5, 0.5), (9, 9)]), index)
+    assert hits.columns == ["point_id", "lon", "lat", "fid"]
+    assert sorted(map(tuple, hits.select("point_id", "fid").collect())) == [(0, 300), (0, 301)] + [(1, i) for i in range(302)]
+
+
+def test_boxes_of_one_shape(spark):
+    rows = [(i, f"r{i}", 0.0, 0.0, 2.0, 1.0) for i in range(50)] + [(60, "x", None, 0.0, 1.0, 1.0), (61, "y", 0.0, 0.0, None, 1.0)]
+    layer = spark.createDataFrame(rows, "fid bigint, name string, xmin double, ymin double, xmax double, ymax double")
+    assert build_by_shape(layer, ["fid"], ["xmin", "ymin", "xmax", "ymax"], box_index_rows).members.count() == 50
+    hits = boxes_at(points(spark, [(1, 1), (3, 0)]), layer, ["fid", "name", "xmin"])
+    assert sorted(map(tuple, hits.select("point_id", "fid", "name", "xmin").collect())) == [(0, i, f"r{i}", 0.0) for i in range(50)]
