@@ -154,7 +154,8 @@ _INSIDE = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id
 
 @check("inside_place", f"SELECT point_id, fid, place, round(km, 3) AS km FROM ({_INSIDE})")
 def inside_place(spark, d):
-    found = _shared(spark, d, lambda p: B.inside_places(_gathered(spark, d, p, B.RANK_POLICY), B.RANK_POLICY), "pts")
+    near = lambda p: B.gather_inside(_asked(spark, d, p), tiered_places(spark, d), B.RANK_POLICY)
+    found = _shared(spark, d, lambda p: B.inside_places(near(p), B.RANK_POLICY), "pts")
     return found.select("point_id", "fid", "place", F.round("distance_km", 3).alias("km"))
 
 

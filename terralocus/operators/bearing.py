@@ -107,14 +107,27 @@ def gather(points: DataFrame, places: DataFrame | PlaceIndex, policy: BearingPol
     carry tier_fid, or are an index of such prepared for group `place`. Adds
     distance_km and the rank within the class.
     """
+    return _nearest_per_class(points, places, policy.limit, {c: policy.gather_radius(c) for c in reversed(PLACE_CLASSES)})
+
+
+def gather_inside(points: DataFrame, places: DataFrame | PlaceIndex, policy: BearingPolicy) -> DataFrame:
+    """The rows of `gather` that `inside_places` looks at, and no others.
+
+    Places within a class's own radius come first in its ranking by distance, so
+    their ranks are the same when nothing farther is searched.
+    """
+    radii = {c: min(policy.gather_radius(c), policy.inside_radius.get(c, 0.0)) for c in reversed(PLACE_CLASSES)}
+    return _nearest_per_class(points, places, min(policy.limit, INSIDE_K), radii)
+
+
+def _nearest_per_class(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radii: dict[str, float]) -> DataFrame:
     kept = [c for c in PLACE_COLUMNS if c in (places.rows if isinstance(places, PlaceIndex) else places).columns]
-    radii = {c: policy.gather_radius(c) for c in reversed(PLACE_CLASSES)}
     by_radius: dict[float, list[str]] = {}
     for name, radius in radii.items():
         if radius > 0:
             by_radius.setdefault(radius, []).append(name)
     parts = [
-        nearest(points, places, policy.limit, radius, kept, group="place", values=names)
+        nearest(points, places, k, radius, kept, group="place", values=names)
         for radius, names in by_radius.items()
     ]
     return reduce(DataFrame.unionByName, parts)

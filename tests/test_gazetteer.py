@@ -183,3 +183,15 @@ def test_interior_point_is_inside(spark, rings):
 
 def test_enrichment_flag():
     assert [G.wants_gazetteer(v) for v in (None, "", "yes", "0", "FALSE", "no", "off", "maybe")] == [True, True, True, False, False, False, False, True]
+
+
+def test_inside_places_need_their_own_radius_only(spark):
+    """Searching no farther than a place's own radius finds the same place; the candidates beyond are not met."""
+    rows = [(("village", "town", "city")[i % 3], f"P{i}", 2, "DE", None, None, None, 10 + (i * 37 % 101) / 1500, 50 + (i * 53 % 103) / 1500) for i in range(240)]
+    asked = points(spark, *[(10 + (i * 7 % 23) / 400, 50 + (i * 11 % 29) / 400) for i in range(60)]).withColumns(
+        {"point_country": F.lit("DE"), "point_tier": F.lit(None).cast("bigint")})
+    table = places(spark, rows).withColumn("tier_fid", F.lit(2).cast("bigint"))
+    near, all_reached = (g(asked, table, B.RANK_POLICY) for g in (B.gather_inside, B.gather))
+    of = lambda c: sorted(tuple(r) for r in B.inside_places(c, B.RANK_POLICY).select("point_id", "fid", "place", F.round("distance_km", 6)).collect())
+    assert of(near) == of(all_reached) and len(of(near)) > 10
+    assert near.filter(F.col("distance_km") > 3.0).isEmpty() and near.count() < all_reached.count()
