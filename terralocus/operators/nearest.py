@@ -12,12 +12,13 @@ of places in proportion to k, however many stand around it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
 from ..session import written
-from .skew import Size, lookup_join, measure, spread_for_work
+from .skew import MOST_PARTS, WORK_BYTES, Size, lookup_join, measure, spread_for_work
 
 # Grid sides in degrees, coarsest first; all divide 360 and are exact in binary. Points search on the first ten, the
 # pyramid of counts goes on to less than a metre, two steps at a time.
@@ -26,6 +27,8 @@ SIDES = [8.0 / 2**n for n in range(10)]
 STEP = 2
 # Cells with so few places are not looked at more finely.
 LEAF = 8
+# Where places are dealt by cell, a group is a crowd above so many places; points of a cell that meet its places in one task.
+DEALT_CROWD, CELL_POINTS = 1 << 15, 4_096
 _LAT_BITS = 27
 # Longest length of one degree (km), rounded up.
 MAX_KM_PER_DEG = 111.7
@@ -130,13 +133,17 @@ def load_places(spark: SparkSession, path: str) -> PlaceIndex:
     return PlaceIndex(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/pyramid"), Size(facts["rows"], facts["bytes"]), facts["unique"], facts["grouped"])
 
 
-def _crowded(index: PlaceIndex, level: int, k: int, radius_km: float) -> DataFrame:
-    """(_group, _cell): groups of which more places than `enough` can be within the radius of a point in the cell."""
+def _crowded(index: PlaceIndex, level: int, most: int, radius_km: float) -> DataFrame:
+    """(_group, _cell): groups of which more places than `most` can be within the radius of a point in the cell."""
     side = SIDES[level]
     reach = radius_km + side * MAX_KM_PER_DEG * 0.71
     lon, lat = F.shiftright("cell", _LAT_BITS) * side - 180 + side / 2, F.col("cell").bitwiseAND(F.lit((1 << _LAT_BITS) - 1)) * side - 90 + side / 2
-    spread = index.counts(level).select("_group", "n", F.explode(_reach_cells(lon, F.least(lat, F.lit(90.0)), F.lit(reach), side)).alias("_cell"))
-    return spread.groupBy("_group", "_cell").agg(F.sum("n").alias("n")).filter(F.col("n") > enough(k)).select("_group", "_cell")
+    counts = index.counts(level)
+    # only groups of so many places in all can be a crowd anywhere
+    many = written(counts.groupBy("_group").agg(F.sum("n").alias("all")).filter(F.col("all") > most).select("_group"), "large-groups")
+    counts = lookup_join(counts, many, ["_group"], "left_semi", spread_by=["cell"])
+    spread = counts.select("_group", "n", F.explode(_reach_cells(lon, F.least(lat, F.lit(90.0)), F.lit(reach), side)).alias("_cell"))
+    return spread.groupBy("_group", "_cell").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("_group", "_cell")
 
 
 def _cell_km(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -203,23 +210,63 @@ def _dense_pairs(points: DataFrame, crowded: DataFrame, crowded_size: Size, inde
     return pairs.filter(_within(lon, lat, F.col("_limit"))).drop("level", "cell", "n", "_limit")
 
 
+def _met_by_cell(points: DataFrame, filed: DataFrame, size: Size, point: str) -> DataFrame:
+    """points (.., _cell) with all rows of `filed` for their cell; the rows of a point are in one task, by (_cell, _salt).
+
+    A cell of many points is dealt in parts, each with all its places.
+    """
+    spark = points.sparkSession
+    full = points.groupBy("_cell").count().filter(F.col("count") > CELL_POINTS)
+    full = written(full.select("_cell", F.ceil(F.col("count") / CELL_POINTS).alias("_parts")), "full-cells")
+    full_size = measure(full, fixed_bytes=32)
+    if full_size.rows:
+        points = lookup_join(points, full, ["_cell"], "left", size=full_size, spread_by=[point])
+        points = points.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(point), F.col("_parts")), F.lit(0).cast("bigint"))).drop("_parts")
+        filed = lookup_join(filed, full, ["_cell"], "left", size=full_size)
+        filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1).cast("bigint")) - 1))).drop("_parts")
+    else:
+        points, filed = (df.withColumn("_salt", F.lit(0).cast("bigint")) for df in (points, filed))
+    # the number is set, so that parts of few bytes, which become many pairs, are not merged; a place is in a dozen cells
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(least, min(12 * size.bytes // WORK_BYTES, MOST_PARTS))
+    return points.repartition(parts, "_cell", "_salt").join(filed.repartition(parts, "_cell", "_salt").hint("merge"), ["_cell", "_salt"])
+
+
 def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
                     values: list[str] | None = None) -> DataFrame:
-    """Pairs of a point and a place that may be among its k nearest: all of those, and no more than `enough` a group by far."""
+    """Pairs of a point and a place that may be among its k nearest: all of those, and of a crowd few more than `enough`."""
+    parts = _pair_parts(points, index, rows, k, radius_km, point, lon, lat, values)
+    return reduce(DataFrame.unionByName, [pairs.select(*points.columns, *rows.columns) for pairs, _ in parts])
+
+
+def _pair_parts(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
+                values: list[str] | None) -> list[tuple[DataFrame, list[str]]]:
+    """`candidate_pairs` in parts, each with the columns besides the point by which its rows lie together; a point and group is in one part."""
     base = SIDES.index(_side_for(radius_km))
-    size = index.size
-    crowded = _crowded(index, base, k, radius_km) if size.rows > enough(k) else None
+    size, side = index.size, SIDES[base]
+    most = enough(k) if size.fits_broadcast else max(enough(k), DEALT_CROWD)
+    crowded = _crowded(index, base, most, radius_km) if size.rows > most else None
     if crowded is not None and values:
         crowded = crowded.filter(F.col("_group.value").isin(*values))
     crowded = written(crowded, "crowded") if crowded is not None else None
     crowded_size = measure(crowded, fixed_bytes=48) if crowded is not None else Size(0, 0)
-    side = SIDES[base]
-    own = _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side))
+    shown = [*points.columns, *rows.columns]
+    marked = points.withColumn("_cell", _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side)))
+    dense = []
+    if crowded_size.rows:
+        found = _dense_pairs(marked, crowded, crowded_size, index, rows, base, k, radius_km, point, lon, lat, values)
+        dense = [(found.filter(_within(lon, lat, F.lit(radius_km))).select(*shown), [])]
+    if not size.fits_broadcast:
+        # places go to all cells they can be reached from, points to their own: no pair has to move to be ranked
+        filed = rows.withColumn("_cell", F.explode(_reach_cells(F.col("_plon"), F.col("_plat"), F.lit(float(radius_km)), side)))
+        if crowded_size.rows:
+            filed = lookup_join(filed, crowded, ["_group", "_cell"], "left_anti", size=crowded_size, spread_by=["_plon", "_plat"])
+        pairs = _met_by_cell(marked, filed, size, point).filter(_within(lon, lat, F.lit(radius_km)))
+        return [(pairs, ["_cell", "_salt"]), *dense]
     plain = points
     if crowded_size.rows:
         groups = rows.select("_group").distinct().count()
         full = crowded.groupBy("_cell").count().filter(F.col("count") >= groups).select("_cell")
-        marked = points.withColumn("_cell", own)
         plain = lookup_join(marked, full, ["_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*points.columns)
     filed = rows.withColumn("_cell", _cell(_lon_slot(F.col("_plon"), side), _lat_slot(F.col("_plat"), side)))
     asked = plain.withColumn("_cell", F.explode(_reach_cells(F.col(lon), F.col(lat), F.lit(float(radius_km)), side)))
@@ -227,11 +274,9 @@ def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: in
     pairs = pairs.filter(_within(lon, lat, F.lit(radius_km)))
     if crowded_size.rows:
         # groups that are not crowded around a point meet it in full, the others by way of their counts
-        shown = pairs.columns
+        own = _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side))
         pairs = lookup_join(pairs.withColumn("_cell", own), crowded, ["_group", "_cell"], "left_anti", size=crowded_size, spread_by=[point]).select(*shown)
-        dense = _dense_pairs(marked, crowded, crowded_size, index, rows, base, k, radius_km, point, lon, lat, values)
-        pairs = pairs.unionByName(dense.filter(_within(lon, lat, F.lit(radius_km))).select(*shown))
-    return pairs
+    return [(pairs.select(*shown), []), *dense]
 
 
 def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km: float, carry: list[str],
@@ -275,15 +320,17 @@ def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km
             details = F.broadcast(rows.select(F.col(fid).alias("_id"), *extra))
             rows = rows.drop(*extra)
 
-    found = candidate_pairs(located, index, rows, k, float(radius_km), point, lon, lat, values)
-    ranked = Window.partitionBy(point, *keys).orderBy("distance_km", fid)
-    hits = found.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
-    hits = hits.filter(F.col("distance_km") <= radius_km)
-    if not size.fits_broadcast:
-        # brought together by point once: the ranks and later joins on the point find the rows in place
-        hits = hits.repartition(point)
-    hits = hits.withColumn("rank", F.row_number().over(ranked))
-    hits = hits.filter(F.col("rank") <= k)
+    def ranked(pairs: DataFrame, together: list[str]) -> DataFrame:
+        own = Window.partitionBy(*together, point, *keys).orderBy("distance_km", fid)
+        hits = pairs.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
+        hits = hits.filter(F.col("distance_km") <= radius_km)
+        if not size.fits_broadcast and not together:
+            # brought together by point once: the ranks and later joins on the point find the rows in place
+            hits = hits.repartition(point)
+        return hits.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).drop(*together)
+
+    found = _pair_parts(located, index, rows, k, float(radius_km), point, lon, lat, values)
+    hits = reduce(DataFrame.unionByName, [ranked(*part) for part in found])
     if details is not None:
         hits = hits.join(details, F.col(fid).eqNullSafe(F.col("_id")))
     return hits.select(

@@ -159,3 +159,16 @@ def test_a_crowded_group_leaves_the_others_to_the_plain_way(spark, monkeypatch):
     pairs = N.candidate_pairs(points(spark, xy[60:]), index, index.rows.filter("_copy <= 3").select("place", "fid", "_group", "_plon", "_plat"), 3, 30.0, "point_id", "lon", "lat")
     towns = pairs.filter("place = 'town'").groupBy("point_id").count()
     assert towns.agg({"count": "max"}).first()[0] <= N.enough(3)
+
+
+@pytest.mark.parametrize("crowd", [1 << 15, 20])
+def test_pairs_of_places_dealt_by_cell_stay_where_they_are_ranked(spark, shuffled, monkeypatch, crowd):
+    """No pair moves between the join and its rank, cells of many points are dealt in parts, and crowds go by their counts."""
+    monkeypatch.setattr(N, "DEALT_CROWD", crowd)
+    monkeypatch.setattr(N, "CELL_POINTS", 7)
+    monkeypatch.setattr(N, "enough", lambda k: 20)
+    rows, xy = scattered(17, 200)
+    hits = nearest(points(spark, xy), places(spark, rows), 4, 60.0, [], group="place")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and (crowd == 20 or "RepartitionByExpression [point_id" not in plan)
+    assert found(hits) == brute(xy, rows, 4, 60.0, ["city", "town"])
