@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
 from ..session import written
-from .skew import MOST_PARTS, WORK_BYTES, Size, lookup_join, measure, spread_for_work
+from .skew import MOST_PARTS, Size, lookup_join, measure, spread_for_work
 
 # Grid sides in degrees, coarsest first; all divide 360 and are exact in binary. Points search on the first ten, the
 # pyramid of counts goes on to less than a metre, two steps at a time.
@@ -29,6 +29,8 @@ STEP = 2
 LEAF = 8
 # Where places are dealt by cell, a group is a crowd above so many places; points of a cell that meet its places in one task.
 DEALT_CROWD, CELL_POINTS = 1 << 15, 4_096
+# Bytes of places, each in all its cells, that a task meets points with.
+PLACE_BYTES = 4 * 1024 * 1024
 _LAT_BITS = 27
 # Longest length of one degree (km), rounded up.
 MAX_KM_PER_DEG = 111.7
@@ -210,26 +212,27 @@ def _dense_pairs(points: DataFrame, crowded: DataFrame, crowded_size: Size, inde
     return pairs.filter(_within(lon, lat, F.col("_limit"))).drop("level", "cell", "n", "_limit")
 
 
-def _met_by_cell(points: DataFrame, filed: DataFrame, size: Size, point: str) -> DataFrame:
-    """points (.., _cell) with all rows of `filed` for their cell; the rows of a point are in one task, by (_cell, _salt).
+def _met_by_cell(points: DataFrame, filed: DataFrame, size: Size, point: str) -> tuple[DataFrame, list[str]]:
+    """points (.., _cell) with all rows of `filed` for their cell, and the columns by which all rows of a point are in one task.
 
     A cell of many points is dealt in parts, each with all its places.
     """
-    spark = points.sparkSession
+    spark, together = points.sparkSession, ["_cell"]
     full = points.groupBy("_cell").count().filter(F.col("count") > CELL_POINTS)
     full = written(full.select("_cell", F.ceil(F.col("count") / CELL_POINTS).alias("_parts")), "full-cells")
     full_size = measure(full, fixed_bytes=32)
     if full_size.rows:
+        # only then: a constant would be left out of the join, which would then deal the rows once more
+        together = ["_cell", "_salt"]
         points = lookup_join(points, full, ["_cell"], "left", size=full_size, spread_by=[point])
         points = points.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(point), F.col("_parts")), F.lit(0).cast("bigint"))).drop("_parts")
         filed = lookup_join(filed, full, ["_cell"], "left", size=full_size)
         filed = filed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1).cast("bigint")) - 1))).drop("_parts")
-    else:
-        points, filed = (df.withColumn("_salt", F.lit(0).cast("bigint")) for df in (points, filed))
     # the number is set, so that parts of few bytes, which become many pairs, are not merged; a place is in a dozen cells
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    parts = max(least, min(12 * size.bytes // WORK_BYTES, MOST_PARTS))
-    return points.repartition(parts, "_cell", "_salt").join(filed.repartition(parts, "_cell", "_salt").hint("merge"), ["_cell", "_salt"])
+    parts = max(least, min(12 * size.bytes // PLACE_BYTES, MOST_PARTS))
+    points, filed = (df.repartition(parts, *together) for df in (points, filed))
+    return points.join(filed.hint("merge"), together), together
 
 
 def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
@@ -257,12 +260,12 @@ def _pair_parts(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, r
         found = _dense_pairs(marked, crowded, crowded_size, index, rows, base, k, radius_km, point, lon, lat, values)
         dense = [(found.filter(_within(lon, lat, F.lit(radius_km))).select(*shown), [])]
     if not size.fits_broadcast:
-        # places go to all cells they can be reached from, points to their own: no pair has to move to be ranked
+        # places go to all cells they can be reached from, points to their own: a point's pairs are cut to k where they are made
         filed = rows.withColumn("_cell", F.explode(_reach_cells(F.col("_plon"), F.col("_plat"), F.lit(float(radius_km)), side)))
         if crowded_size.rows:
             filed = lookup_join(filed, crowded, ["_group", "_cell"], "left_anti", size=crowded_size, spread_by=["_plon", "_plat"])
-        pairs = _met_by_cell(marked, filed, size, point).filter(_within(lon, lat, F.lit(radius_km)))
-        return [(pairs, ["_cell", "_salt"]), *dense]
+        pairs, together = _met_by_cell(marked, filed, size, point)
+        return [(pairs.filter(_within(lon, lat, F.lit(radius_km))), together), *dense]
     plain = points
     if crowded_size.rows:
         groups = rows.select("_group").distinct().count()
@@ -321,13 +324,13 @@ def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km
             rows = rows.drop(*extra)
 
     def ranked(pairs: DataFrame, together: list[str]) -> DataFrame:
-        own = Window.partitionBy(*together, point, *keys).orderBy("distance_km", fid)
+        own = Window.partitionBy(*together, point, *keys).orderBy(F.col("distance_km").asc_nulls_last(), fid)
         hits = pairs.withColumn("distance_km", distance_km(F.col(lon), F.col(lat), F.col("_plon"), F.col("_plat")))
-        hits = hits.filter(F.col("distance_km") <= radius_km)
         if not size.fits_broadcast and not together:
             # brought together by point once: the ranks and later joins on the point find the rows in place
             hits = hits.repartition(point)
-        return hits.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).drop(*together)
+        # what is beyond the radius comes last and is cut after the ranks; a filter before them would measure every pair twice
+        return hits.withColumn("rank", F.row_number().over(own)).filter((F.col("rank") <= k) & (F.col("distance_km") <= radius_km)).drop(*together)
 
     found = _pair_parts(located, index, rows, k, float(radius_km), point, lon, lat, values)
     hits = reduce(DataFrame.unionByName, [ranked(*part) for part in found])

@@ -162,13 +162,22 @@ def test_a_crowded_group_leaves_the_others_to_the_plain_way(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("crowd", [1 << 15, 20])
-def test_pairs_of_places_dealt_by_cell_stay_where_they_are_ranked(spark, shuffled, monkeypatch, crowd):
-    """No pair moves between the join and its rank, cells of many points are dealt in parts, and crowds go by their counts."""
+def test_places_dealt_by_cell_match_brute_force(spark, shuffled, monkeypatch, crowd):
+    """Cells of many points are dealt in parts, and crowds go by their counts."""
     monkeypatch.setattr(N, "DEALT_CROWD", crowd)
     monkeypatch.setattr(N, "CELL_POINTS", 7)
     monkeypatch.setattr(N, "enough", lambda k: 20)
     rows, xy = scattered(17, 200)
     hits = nearest(points(spark, xy), places(spark, rows), 4, 60.0, [], group="place")
-    plan = hits._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan and (crowd == 20 or "RepartitionByExpression [point_id" not in plan)
+    assert "_salt" in hits._jdf.queryExecution().optimizedPlan().toString()
     assert found(hits) == brute(xy, rows, 4, 60.0, ["city", "town"])
+
+
+def test_pairs_are_measured_once_and_cut_before_they_move(spark, shuffled):
+    """One distance a pair, and between the join and the next exchange the rows of a point are cut to k."""
+    rows, xy = scattered(19, 50)
+    hits = nearest(points(spark, xy), places(spark, rows), 4, 60.0, [], group="place")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    above = plan[:plan.index("SortMergeJoin")]
+    assert above.count("Exchange") == 1 and "WindowGroupLimit" in above[above.index("Exchange"):]
