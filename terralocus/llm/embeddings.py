@@ -9,9 +9,11 @@ beyond the bisector of its own cell and b. `slack` scales r: 1 finds every pair
 for certain; less also does nearly always, as the difference of a pair seldom
 points straight across a border.
 
-Members of a (label, cell) are dealt to blocks, and tasks multiply pairs of
-blocks, so no task holds a whole cell. Tasks return link counts and a spanning
-forest, not the pairs.
+The classes of a label, in the order of their home cells, are cut into blocks, and
+tasks multiply pairs of blocks. A class goes to a pair of blocks only where it is
+a guest of a cell of the other one, and once however many of its cells these are; so a
+class has as many copies as its label has blocks at most, and moves as it was
+given, not as doubles. Tasks return link counts and a spanning forest, not the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and those with null label, link with nothing and stay; vectors of
@@ -27,8 +29,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import MOST_PARTS, lookup_join, measure
 from .components import components, forest
 from .tables import staged
 
@@ -36,12 +39,16 @@ COSINE = 0.93
 SLACK = 1.0
 # Classes that the fit sees at most, those a label and cell should hold, and cells at most.
 SAMPLE, CELL, CELLS, ROUNDS = 16_384, 1_000, 1_024, 12
-BLOCK = 4_096
-ROWS_AT_ONCE, LINKS = 256, 2_000_000
+# Rows, and bytes as doubles, that a block holds at most.
+BLOCK, BLOCK_BYTES = 32_768, 16 * 1024 * 1024
+# Rows that look for their cells at once, products held at once, and links before a task joins them up.
+ROWS_AT_ONCE, PRODUCTS, LINKS = 256, 1 << 22, 2_000_000
+# Copies of fewer bytes are not dealt to a part of their own.
+PART_BYTES = 1024 * 1024
 
 
-def unit(values) -> np.ndarray | None:
-    """The unit vector in doubles, or None where there is none."""
+def _scaled(values) -> tuple[np.ndarray, float] | None:
+    """The vector by its largest component, and the norm of that; None where there is no unit vector."""
     if values is None or len(values) == 0 or any(v is None for v in values):
         return None
     x = np.asarray(values, np.float64)
@@ -49,7 +56,26 @@ def unit(values) -> np.ndarray | None:
     if not np.isfinite(top) or top == 0:
         return None
     x = x / top
-    return x / math.sqrt(float(x @ x))
+    return x, math.sqrt(float(x @ x))
+
+
+def unit(values) -> np.ndarray | None:
+    """The unit vector in doubles, or None where there is none."""
+    scaled = _scaled(values)
+    return None if scaled is None else scaled[0] / scaled[1]
+
+
+def units(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """The unit vectors of rows whose norms `_keyed` gave, the same doubles as `unit` gives."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= norm[:, None]
+    return x
+
+
+def _matrix(column, rows: int) -> np.ndarray:
+    """The rows of a list column of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -65,75 +91,72 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def cells_of(x: np.ndarray, centre: np.ndarray, reach: float) -> list[list[int]]:
-    """Per row its home cell, then the cells of lower number where it is a guest."""
+    """Per row its home cell, then the other cells where it is a guest."""
     near = x @ centre.T
     home = np.argmax(near, axis=1)
     gap = near[np.arange(len(x)), home][:, None] - near
     across = np.sqrt(np.maximum(2 - 2 * centre @ centre.T, 0))[home]
-    guest = (gap <= reach * across) & (np.arange(len(centre))[None, :] < home[:, None])
+    guest = (gap <= reach * across) & (np.arange(len(centre))[None, :] != home[:, None])
     return [[int(h), *np.flatnonzero(g).tolist()] for h, g in zip(home, guest)]
 
 
 def _keyed(vectors: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
-    """(vec_id, label, key, unit): key names the content, null where a vector takes no part."""
+    """(vec_id, label, key, norm, vector): key names the content, null where a vector takes no part."""
     packed = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
-    out = packed.select("vec_id", "label", F.lit(b"").alias("key"), F.array(F.lit(0.0)).alias("unit")).schema
+    out = packed.select("vec_id", "label", F.lit(b"").alias("key"), F.lit(0.0).alias("norm"), "vector").schema
     for f in out.fields:
         f.nullable = True
 
     def run(batches):
         for batch in batches:
-            keys, units = [], []
+            keys, norms = [], []
             for values, own in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
-                u = None if own is None else unit(values)
-                keys.append(None if u is None else hashlib.md5((np.asarray(values, np.float64) + 0.0).tobytes()).digest())
-                units.append(None if u is None else u.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))],
-                                             ["vec_id", "label", "key", "unit"])
+                scaled = None if own is None else _scaled(values)
+                keys.append(None if scaled is None else hashlib.md5((np.asarray(values, np.float64) + 0.0).tobytes()).digest())
+                norms.append(None if scaled is None else scaled[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(norms, pa.float64()), batch.column(2)],
+                                             ["vec_id", "label", "key", "norm", "vector"])
 
     return packed.mapInArrow(run, out)
 
 
 def _centres(classes: DataFrame) -> np.ndarray:
     """Centroids for the most usual length, fitted on the classes with the lowest hashes."""
-    sizes = classes.groupBy("label", F.size("unit").alias("size")).count().groupBy("size").agg(
+    sizes = classes.groupBy("label", F.size("vector").alias("size")).count().groupBy("size").agg(
         F.sum("count").alias("rows"), F.count("*").alias("labels")).orderBy(F.desc("rows"), "size").first()
     if sizes is None:
         return np.zeros((0, 0))
-    taken = classes.filter(F.size("unit") == sizes["size"]).orderBy(F.xxhash64("key"), "key").select("unit").limit(SAMPLE).collect()
-    x = np.array([r["unit"] for r in taken])
+    taken = classes.filter(F.size("vector") == sizes["size"]).orderBy(F.xxhash64("key"), "key").select("vector", "norm").limit(SAMPLE).collect()
+    x = units(np.array([r["vector"] for r in taken]), np.array([r["norm"] for r in taken]))
     k = max(1, min(CELLS, len(x) // 8, math.ceil(sizes["rows"] / (sizes["labels"] * CELL))))
     return kmeans(x, k)
 
 
 def _members(classes: DataFrame, centre: np.ndarray, reach: float) -> DataFrame:
-    """One row per class and cell: label, size, cell, home, uid, n, unit."""
+    """The classes with `size`, their home cell and `cells`, which holds it and those where they are guests."""
     def run(batches):
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            fit = [i for i, u in enumerate(units) if len(u) == centre.shape[1]]
-            cells = [[0]] * len(units)
+            fit = np.flatnonzero(pc.equal(pc.list_value_length(batch.column("vector")), centre.shape[1]).to_numpy(zero_copy_only=False))
+            cells = [[0]] * batch.num_rows
             for at in range(0, len(fit), ROWS_AT_ONCE):
                 part = fit[at:at + ROWS_AT_ONCE]
-                for i, c in zip(part, cells_of(np.array([units[i] for i in part]), centre, reach)):
+                rows = batch.take(pa.array(part))
+                x = units(_matrix(rows.column("vector"), len(part)), rows.column("norm").to_numpy())
+                for i, c in zip(part, cells_of(x, centre, reach)):
                     cells[i] = c
-            rows = np.repeat(np.arange(len(units)), [len(c) for c in cells])
-            own = batch.take(pa.array(rows))
-            flat = [c for some in cells for c in some]
-            first = [j == 0 for some in cells for j in range(len(some))]
-            yield pa.RecordBatch.from_arrays(
-                [*[own.column(c) for c in ("label", "uid", "n", "unit")], pa.array(flat, pa.int32()), pa.array(first, pa.bool_())],
-                ["label", "uid", "n", "unit", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c[0] for c in cells], pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
+                                             [*batch.schema.names, "home", "cells"])
 
-    rows = classes.select("label", "uid", "n", "unit")
-    out = rows.withColumn("cell", F.lit(0)).withColumn("home", F.lit(True)).schema
-    return rows.mapInArrow(run, out).withColumn("size", F.size("unit"))
+    rows = classes.select("label", "uid", "n", "norm", "vector")
+    out = rows.withColumn("home", F.lit(0)).withColumn("cells", F.array(F.lit(0))).schema
+    return rows.mapInArrow(run, out).withColumn("size", F.size("vector"))
 
 
 def linked(x: np.ndarray, y: np.ndarray, cosine: float):
     """Index pairs (i, j) with x[i] . y[j] >= cosine, some rows at a time."""
-    for at in range(0, len(x), ROWS_AT_ONCE):
-        i, j = np.nonzero(x[at:at + ROWS_AT_ONCE] @ y.T >= cosine)
+    step = max(1, PRODUCTS // max(len(y), 1))
+    for at in range(0, len(x), step):
+        i, j = np.nonzero(x[at:at + step] @ y.T >= cosine)
         yield i + at, j
 
 
@@ -149,15 +172,40 @@ def grouped(batch: pa.RecordBatch, keys: list[str]):
         yield batch.slice(start, end - start), tuple(batch.column(c)[start].as_py() for c in keys)
 
 
+def _dealt(members: DataFrame) -> tuple[DataFrame, int]:
+    """Copies of the members for the pairs of blocks (low, high) of their label where they may find links, and the number of parts these are work for.
+
+    The members of a label are numbered cell by cell, in any order within one, and cut into blocks of equal length.
+    """
+    own = ["label", "size"]
+    counts = members.groupBy(*own, "home").agg(F.count("*").alias("of"))
+    by_cell = Window.partitionBy(*own).orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"before": F.coalesce(F.sum("of").over(by_cell), F.lit(0)), "all": F.sum("of").over(Window.partitionBy(*own))})
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.col("size"), F.lit(1))))))
+    long = F.ceil(F.col("all") / F.ceil(F.col("all") / most))
+    counts = counts.withColumns({"long": long, "first": F.floor(F.col("before") / long), "last": F.floor((F.col("before") + F.col("of") - 1) / long)})
+    layout = staged(counts.groupBy(*own).agg(
+        F.first("long").alias("long"), F.max("last").alias("top"),
+        F.map_from_entries(F.collect_list(F.struct("home", F.struct("before", "of", "first", "last")))).alias("cell")), "vector-blocks")
+    blocks = F.col("top") + 1
+    facts = layout.agg(F.sum(blocks * (blocks + 1) / 2).alias("pairs"), F.sum(blocks * blocks * F.col("long") * (8 * F.col("size") + 64)).alias("bytes")).first()
+    placed = lookup_join(members, layout, own, size=measure(layout), spread_by=["uid"])
+    home = F.col("cell")[F.col("home")]
+    placed = placed.withColumn("block", F.floor((home["before"] + F.pmod(F.xxhash64("uid"), home["of"])) / F.col("long")))
+    # a cell may be empty in a label
+    blocks = F.transform("cells", lambda c: F.when(F.col("cell")[c].isNotNull(), F.sequence(F.col("cell")[c]["first"], F.col("cell")[c]["last"])).otherwise(F.array().cast("array<bigint>")))
+    met = F.when(F.col("top") == 0, F.array(F.col("block"))).otherwise(F.array_distinct(F.flatten(blocks)))
+    dealt = placed.select(*own, "block", "uid", "n", "norm", "vector", F.explode(met).alias("other"))
+    return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other"), min(int(2 * (facts["pairs"] or 0)), int(facts["bytes"] or 0) // PART_BYTES)
+
+
 def _compared(members: DataFrame, cosine: float) -> DataFrame:
     """(uid, links, root): what each pair of blocks adds to a class's links, and a class it is connected with."""
-    place = ["label", "size", "cell"]
-    number = members.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(number, place).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    keys = [*place, "low", "high"]
-    dealt = dealt.select(*keys, "block", "uid", "n", "unit", "home").repartition(*keys).sortWithinPartitions(*keys)
+    dealt, parts = _dealt(members)
+    spark, keys = members.sparkSession, ["label", "size", "low", "high"]
+    # a pair is much work for its bytes, so the number of parts is set and small ones are not merged
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(min(max(least, parts), MOST_PARTS), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         held, now = [], None
@@ -173,16 +221,17 @@ def _compared(members: DataFrame, cosine: float) -> DataFrame:
 
     def answer(parts):
         rows = pa.Table.from_batches(parts).combine_chunks()
-        uid, n, home, block = (rows[c].to_numpy() for c in ("uid", "n", "home", "block"))
-        x = rows["unit"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
+        uid, n, block = (rows[c].to_numpy() for c in ("uid", "n", "block"))
+        vector, norm = rows["vector"].combine_chunks(), rows["norm"].to_numpy()
         low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
         one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        x, y = (units(_matrix(vector.take(pa.array(some)), len(some)), norm[some]) if len(some) else np.zeros((0, 1)) for some in (one, two))
         links, a, b = np.zeros(len(uid), np.int64), [], []
-        for i, j in linked(x[one], x[two], cosine):
+        for i, j in linked(x, y, cosine) if len(x) and len(y) else ():
             i, j = one[i], two[j]
-            # a pair counts where at least one is at home; two guests meet elsewhere; within a block once
-            good = (home[i] | home[j]) & ((low != high) | (i < j))
-            i, j = i[good], j[good]
+            if low == high:  # within a block once
+                good = i < j
+                i, j = i[good], j[good]
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             a.append(i), b.append(j)
@@ -200,13 +249,13 @@ def judged(vectors: DataFrame, cosine: float = COSINE, slack: float = SLACK, vec
     """vec_id, n_links, component_id, kept of every row."""
     rows = _keyed(vectors, vec_id, vector, label)
     classes = rows.filter("key is not null").groupBy("label", "key").agg(
-        F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("unit").alias("unit"))
+        F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("norm").alias("norm"), F.any_value("vector").alias("vector"))
     classes = staged(classes.withColumn("uid", F.monotonically_increasing_id()), "vector-classes")
     centre = _centres(classes)
     found = staged(_compared(_members(classes, centre, slack * math.sqrt(2 - 2 * cosine)), cosine), "vector-links")
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(found, "uid", "root").withColumnRenamed("node", "uid")
-    named = (classes.drop("unit").join(counts, "uid", "left").join(roots, "uid", "left")
+    named = (classes.drop("norm", "vector").join(counts, "uid", "left").join(roots, "uid", "left")
              .withColumn("root", F.coalesce("root", "uid")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(best, "root").select("label", "key", "n_links", "component_id")

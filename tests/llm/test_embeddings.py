@@ -94,3 +94,18 @@ def test_the_query_finds_all_links_across_cells(spark, monkeypatch):
     rows = made(700)
     want = plain(rows)
     assert sum(r[1] for r in want) > 400 and run(spark, rows) == want
+
+
+def test_copies_are_bounded_by_blocks(spark, monkeypatch):
+    """However many cells a class is a guest of, it is dealt once to a pair of blocks, and as it was given."""
+    monkeypatch.setattr(embeddings, "CELL", 10)
+    monkeypatch.setattr(embeddings, "BLOCK", 300)
+    frame = spark.createDataFrame([(i, v, 0) for i, v, _ in made(600)], "vec_id bigint, embedding array<float>, label int")
+    met, plain_dealt = [], embeddings._dealt
+    monkeypatch.setattr(embeddings, "_dealt", lambda members: (met.append((members, plain_dealt(members)[0])), plain_dealt(members))[1])
+    embeddings.judged(frame).collect()
+    members, dealt = met[0]
+    assert members.selectExpr("avg(size(cells))").first()[0] > 4
+    per_class = dealt.groupBy("uid").count().selectExpr("max(count)").first()[0]
+    assert per_class <= 2 and dealt.groupBy("uid", "low", "high").count().filter("count > 1").isEmpty()
+    assert dealt.schema["vector"].dataType.elementType.simpleString() == "float"
