@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terralocus.functions.wkb import box_of_wkb, rings_of_wkb
 from terralocus.operators.containment import match_index
-from terralocus.operators.spots import at_spots
+from terralocus.operators.spots import spot_rows
 from terralocus.operators.skew import Size
 from terralocus.session import scratch_path
 from terralocus.sources import geopackage as K
@@ -17,7 +17,7 @@ from terralocus.sources import raster_bundle as B
 from terralocus.sources import sinks as O
 from terralocus.operators import telemetry as T
 from terralocus.plans.query import answer_batch
-from terralocus.streaming.enrich import answer_stream, enrich_stream, reloading, snapshot_answers
+from terralocus.streaming.enrich import answer_stream, enrich_stream, listed_hits, reloading, snapshot_answers
 from terralocus.streaming.file_events import debounce_stream, follow_catalog, initial_catalog, read_catalog
 from terralocus.streaming.spans import follow_spans, open_spans
 
@@ -185,10 +185,13 @@ def hot_reload(spark, d):
 
     def answer(batch, catalog):
         number, index = catalog
-        return at_spots(batch, lambda p: match_index(p, replace(index, carried=["fid"]))).select("point_id", "fid", F.lit(number).alias("version"))
+        # a line for the points of a spot, not one for each of their hits
+        lines = spot_rows(batch, lambda p: listed_hits(match_index(p, replace(index, carried=["fid"])), index.members_size.rows))
+        return lines.select(F.transform("points", lambda p: p["point_id"]).alias("points"), "fids", F.lit(number).alias("version"))
 
     answer_stream(stream, reloading(load, version, answer), out, f"{out}-state", once=True).awaitTermination()
-    return spark.read.schema("point_id bigint, fid bigint, version int").json(f"{out}/batch=*")
+    lines = spark.read.schema("points array<bigint>, fids array<bigint>, version int").json(f"{out}/batch=*")
+    return lines.select(F.explode("points").alias("point_id"), "fids", "version").select("point_id", F.explode("fids").alias("fid"), "version")
 
 
 _ANSWERED = """SELECT idx AS point_id, CAST(coalesce(n, 0) AS BIGINT) AS total_features, (i.lon IS NULL OR i.lat IS NULL) AND (i.x IS NULL OR i.y IS NULL) AS refused, i.idx % 3 AS arrival
@@ -205,12 +208,13 @@ def stream_answers(spark, d):
         for part in parts:
             inputs.filter(F.col("idx") % 3 == part).coalesce(1).write.mode("append").parquet(arriving)
         stream = spark.readStream.schema(inputs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-        snapshot_answers(stream, lambda version: catalog(spark, d), lambda: 1, lambda batch, known: answer_batch(batch, known, srids=(4326, 3857)),
+        snapshot_answers(stream, lambda version: catalog(spark, d), lambda: 1, lambda batch, known: answer_batch(batch, known, srids=(4326, 3857), together=True, max_features=None),
                          out, f"{out}/state", once=True).awaitTermination()
 
     run([0])
     run([1, 2])
-    lines = spark.read.schema("point_id bigint, total_features bigint, error string").json(f"{out}/answers/batch=*")
+    lines = spark.read.schema("points array<struct<point_id: bigint, error: string>>, total_features bigint").json(f"{out}/answers/batch=*")
+    lines = lines.select("total_features", F.inline("points"))
     return lines.select("point_id", "total_features", F.col("error").isNotNull().alias("refused"), (F.col("point_id") % 3).alias("arrival"))
 
 

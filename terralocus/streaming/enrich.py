@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.containment import match_index
 from ..operators.layer_index import LayerIndex
 from ..sources.sinks import answer_lines
 from .batches import complete_batches
 
+# Ids that one line of a stream lists, about.
+IDS_A_LINE = 65_536
+
 
 def enrich_stream(points: DataFrame, index: LayerIndex) -> DataFrame:
     """Stream-static containment join: no state, no watermark needed."""
@@ -23,10 +26,10 @@ def answer_stream(points: DataFrame, answer: Callable[[DataFrame], DataFrame], p
 
     Each batch writes its own folder, so a batch that is run again after a
     lost executor replaces its output instead of repeating it. With `once`,
-    what has arrived is answered and the stream stops.
+    what has arrived is answered and the stream stops. Lines are packed (gzip).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        answer_lines(answer(batch)).write.mode("overwrite").text(f"{path}/batch={batch_id}")
+        answer_lines(answer(batch)).write.mode("overwrite").text(f"{path}/batch={batch_id}", compression="gzip")
 
     writer = points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -50,6 +53,12 @@ def reloading(load: Callable[[int], object], version: Callable[[], int],
     return run
 
 
+def listed_hits(hits: DataFrame, features: int, point: str = "point_id", fid: str = "fid") -> DataFrame:
+    """(point, fids): the ids of a point's hits as lists, of which none holds much more than `IDS_A_LINE` of the layer's `features`."""
+    part = F.pmod(F.xxhash64(fid), F.lit(max(1, -(-features // IDS_A_LINE))))
+    return hits.groupBy(point, part.alias("_part")).agg(F.collect_list(fid).alias("fids")).drop("_part")
+
+
 def pinned_version(spark: SparkSession, pins: str, batch_id: int, version: Callable[[], int]) -> int:
     """The catalog version of a micro-batch: what its first run was given, also when it runs again."""
     if batch_id not in complete_batches(spark, pins):
@@ -74,7 +83,7 @@ def snapshot_answers(inputs: DataFrame, load: Callable[[int], object], version:
         pinned = pinned_version(batch.sparkSession, f"{path}/pins", batch_id, version)
         if held.get("version") != pinned:
             held["version"], held["catalog"] = pinned, load(pinned)
-        answer_lines(answer(batch, held["catalog"])).write.mode("overwrite").text(f"{path}/answers/batch={batch_id}")
+        answer_lines(answer(batch, held["catalog"])).write.mode("overwrite").text(f"{path}/answers/batch={batch_id}", compression="gzip")
 
     writer = inputs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from checks.inputs import catalog
 from checks.views import view
 from terralocus.functions import geometry
+from terralocus.operators import layer_index as LI
 from terralocus.operators.containment import polygons_at
 from terralocus.operators.spots import at_spots
 from terralocus.plans import query as Q
@@ -72,3 +73,48 @@ def test_features_of_one_shape_are_met_once(spark):
     for few, answer in ((L.first_islands(shapes), L.islands), (L.first_mountains(shapes), L.mountains),
                         (H.first_of_shape(shapes, ["rings"], ["fid"], 2), lambda hits: H.cap_hits(hits, max_features=2))):
         assert few.count() <= 9 < shapes.count() and shown(answer(at(few))) == shown(answer(at(shapes)))
+
+
+def test_points_of_a_spot_share_a_row(spark, monkeypatch):
+    """Spot rows hold the pairs of `at_spots`; a full spot is cut into rows, and points without an answer stay where asked."""
+    from terralocus.operators import spots as P
+
+    pts, hits = crowd(spark), lambda p: polygons_at(p, boxes(spark), ["fid"]).groupBy("point_id").agg(F.collect_list("fid").alias("fids"))
+    rows = P.spot_rows(pts, hits, how="left").collect()
+    assert len(rows) == 6 and sum(len(r.points) for r in rows) == 307
+    monkeypatch.setattr(P, "POINTS_A_ROW", 100)
+    cut = P.spot_rows(pts, hits).collect()
+    assert len(cut) == 5 and max(len(r.points) for r in cut) < 200
+    got = sorted((p.point_id, p.tag, fid) for r in cut for p in r.points for fid in r.fids)
+    assert got == sorted((r.point_id, r.tag, r.fid) for r in at_spots(pts, lambda p: polygons_at(p, boxes(spark), ["fid"])).collect())
+
+
+def test_streams_write_a_line_for_a_spot(spark, tmp_path, monkeypatch):
+    """Points repeated under other ids add no lines to a stream's answers, and the rows read back are those of all points."""
+    from checks import sources_suite
+
+    few = spark.read.parquet(f"{SF}/events.parquet").filter("event_id < 50")
+    wide = spark.createDataFrame([(1, -10.0, 35.0, 30.0, 65.0), (2, 0.0, 40.0, 20.0, 60.0)], "fid bigint, xmin double, ymin double, xmax double, ymax double")
+    wide = wide.select("fid", geometry.rectangle(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("rings"))
+    monkeypatch.setattr(sources_suite, "saved_index", lambda *a: LI.build_by_shape(wide, ["fid"], ["rings"], LI.index_rows))
+    written, plain = [], sources_suite.answer_stream
+    monkeypatch.setattr(sources_suite, "answer_stream", lambda stream, answer, path, *a, **k: (written.append(path), plain(stream, answer, path, *a, **k))[1])
+    lines = []
+    for copies in (1, 4):
+        # coordinates repeat every 122,880 ids, of one parity
+        folder = str(tmp_path / f"copies{copies}")
+        more = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("event_id", F.col("event_id") + 122_880 * F.col("copy")).drop("copy")
+        more.coalesce(1).write.parquet(f"{folder}/events.parquet")
+        got = sources_suite.hot_reload(spark, folder).collect()
+        want = polygons_at(view(spark, folder, "pts"), wide, ["fid"]).selectExpr("point_id", "fid", "1 + point_id % 2").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+        lines.append(spark.read.text(f"{written[-1]}/batch=*").count())
+    assert lines == [50, 50]
+
+
+def test_an_answer_without_a_cap_has_all_hits(spark):
+    """The statements of the checks name all hits, so more than the usual cap come at size."""
+    from terralocus.operators import hits as H
+
+    hits = spark.range(1200).selectExpr("1 AS point_id", "'lands' AS source_id", "0 AS layer_ord", "id AS fid")
+    assert H.cap_hits(hits).count() == 1000 and H.cap_hits(hits, max_features=None).count() == 1200
