@@ -63,9 +63,12 @@ _LOCATED = f"""SELECT h.point_id, coalesce(any_value(c.iso), '') AS country_iso
       (SELECT point_id, fid, name, country_iso AS iso, {S.LEVEL} AS level FROM {S.ADMIN_HITS}) WHERE level IS NOT NULL) u ON u.point_id = l.point_id
     LEFT JOIN [meanings] m ON m.country_iso = u.iso AND m.level = u.level""")
 def locate(spark, d):
-    located = _shared(spark, d, lambda p: A.locate(_admin_hits(spark, d, p), view(spark, d, "meanings")))
-    rows = located.select("point_id", "country_iso", F.posexplode_outer("hierarchy").alias("pos", "u"))
-    return rows.select("point_id", "country_iso", F.col("pos").cast("bigint").alias("pos"), "u.level", "u.name", "u.equivalent", "u.local_term", "u.description")
+    def answer(p):  # the chain is taken apart per spot, so no point carries it whole
+        located = A.locate(_admin_hits(spark, d, p), view(spark, d, "meanings"))
+        rows = located.select("point_id", "country_iso", F.posexplode_outer("hierarchy").alias("pos", "u"))
+        return rows.select("point_id", "country_iso", F.col("pos").cast("bigint").alias("pos"), "u.level", "u.name", "u.equivalent", "u.local_term", "u.description")
+
+    return _shared(spark, d, answer)
 
 
 @check("country_of_point", f"SELECT point_id, point_country AS country_iso FROM {S.POINT_COUNTRY}")
@@ -92,9 +95,12 @@ def tier_ancestor(spark, d):
     row_number() OVER (PARTITION BY point_id ORDER BY name) - 1 AS pos FROM [all_pts] JOIN [islands] ON {S.IN_DIAMOND} WHERE name <> '' GROUP BY point_id, name""")
 def islands_check(spark, d):
     index = saved_index(spark, d, "first_islands")
-    found = _shared(spark, d, lambda p: L.islands(G.covering(p, islands(spark, d), G.ISLAND_COLUMNS, index, merge=False)))
-    rows = found.select("point_id", F.posexplode("islands").alias("pos", "i"))
-    return rows.select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
+
+    def answer(p):
+        found = L.islands(G.covering(p, islands(spark, d), G.ISLAND_COLUMNS, index, merge=False))
+        return found.select("point_id", F.posexplode("islands").alias("pos", "i")).select("point_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
+
+    return _shared(spark, d, answer)
 
 
 _MOUNTAIN = f"""SELECT * FROM (SELECT point_id, landform, name, ele, name_source, row_number() OVER (PARTITION BY point_id, landform
@@ -129,8 +135,11 @@ _COMPOSITE = S.gathered(S.COMPOSITE_REACH, 250)
 
 @check("bearing_candidates", f"SELECT point_id, place, fid, rank, round(km, 3) AS km FROM ({_COMPOSITE}) WHERE {S.GUARDS}")
 def bearing_candidates(spark, d):
-    found = _shared(spark, d, lambda p: B.guarded(_gathered(spark, d, p, B.COMPOSITE_POLICY)), "pts")
-    return found.select("point_id", "place", "fid", "rank", F.round("distance_km", 3).alias("km"))
+    def answer(p):  # rounded per spot: a point has hundreds of these rows
+        found = B.guarded(_gathered(spark, d, p, B.COMPOSITE_POLICY))
+        return found.select("point_id", "place", "fid", "rank", F.round("distance_km", 3).alias("km"))
+
+    return _shared(spark, d, answer, "pts")
 
 
 @check("salience_rank", f"""SELECT point_id, fid, place, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY

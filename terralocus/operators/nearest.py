@@ -6,7 +6,8 @@ the way: the counts of all cells of ever finer grids. A point's cells are kept
 by the nearest and the farthest a place in them can be; as soon as the cells
 nearest by the farthest hold k places, all cells beyond that distance go, and the
 crowded ones that remain are looked at one step finer. So a point meets a number
-of places in proportion to k, however many stand around it.
+of places in proportion to k, however many stand around it. Large tables of places
+are dealt by cell, and tasks rank a cell's places for its points in arrays.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km
+from ..functions.geodesy import MEAN_RADIUS_KM, MIN_KM_PER_DEG, SPHERE_SLACK, distance_km, sphere_km, vincenty
 from ..session import written
 from .skew import MOST_PARTS, Size, lookup_join, measure, spread_for_work
 
@@ -31,6 +34,9 @@ LEAF = 8
 DEALT_CROWD, CELL_POINTS = 1 << 15, 4_096
 # Bytes of places, each in all its cells, that a task meets points with.
 PLACE_BYTES = 4 * 1024 * 1024
+# From so many places on, tasks rank in arrays: places that a cell holds at most if it is coarser than the radius asks,
+# points of a cell in one task, points that look for places together, and products held at once.
+ARRAY_ROWS, ARRAY_PLACES, ARRAY_POINTS, ARRAY_SLICE, ARRAY_PRODUCTS = 200_000, 1 << 19, 1 << 16, 256, 1 << 22
 _LAT_BITS = 27
 # Longest length of one degree (km), rounded up.
 MAX_KM_PER_DEG = 111.7
@@ -235,6 +241,152 @@ def _met_by_cell(points: DataFrame, filed: DataFrame, size: Size, point: str) ->
     return points.join(filed.hint("merge"), together), together
 
 
+def _spread_counts(index: PlaceIndex, level: int, radius_km: float) -> DataFrame:
+    """(_cell, n): at least as many places as can be within the radius of a point in the cell."""
+    side = SIDES[level]
+    lon, lat = F.shiftright("cell", _LAT_BITS) * side - 180 + side / 2, F.col("cell").bitwiseAND(F.lit((1 << _LAT_BITS) - 1)) * side - 90 + side / 2
+    reach = F.lit(radius_km + side * MAX_KM_PER_DEG * 0.71)
+    counts = index.counts(level).groupBy("cell").agg(F.sum("n").alias("n"))
+    return counts.select("n", F.explode(_reach_cells(lon, F.least(lat, F.lit(90.0)), reach, side)).alias("_cell")).groupBy("_cell").agg(F.sum("n").alias("n"))
+
+
+def _array_level(index: PlaceIndex, base: int, radius_km: float) -> int:
+    """The coarsest level, at most two above `base`, whose cells do not hold too many places: the coarser, the fewer copies of a place."""
+    for level in range(max(0, base - 2), base):
+        if (_spread_counts(index, level, radius_km).agg(F.max("n")).first()[0] or 0) <= ARRAY_PLACES:
+            return level
+    return base
+
+
+def _ranked_by_cell(points: DataFrame, filed: DataFrame, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str, group: str | None,
+                    fid: str, side: float) -> DataFrame:
+    """The k nearest of each group with distance and rank: `filed` are `rows` by `_cell`, all that are in reach of it.
+
+    The places of a cell come first in its task, then its points in any number, so a task
+    holds the places of one cell and some points.
+    """
+    spark = points.sparkSession
+    own = points.withColumn("_cell", _cell(_lon_slot(F.col(lon), side), _lat_slot(F.col(lat), side)))
+    cells = written(own.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / ARRAY_POINTS).alias("_parts")), "cells")
+    size = measure(cells, fixed_bytes=32)
+    dealt = cells.agg(F.sum("_parts")).first()[0] or 0
+    filed = lookup_join(filed, cells, ["_cell"], size=size, spread_by=["_plon", "_plat"])
+    own = lookup_join(own, cells, ["_cell"], size=size, spread_by=[point])
+    place, asked = F.struct(*rows.columns), F.struct(*points.columns)
+    kinds = {"_r": rows.select(place.alias("_r")).schema["_r"].dataType, "_p": points.select(asked.alias("_p")).schema["_p"].dataType}
+    filed = filed.select("_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_salt"), F.lit(0).alias("_kind"),
+                         place.alias("_r"), F.lit(None).cast(kinds["_p"]).alias("_p"))
+    own = own.select("_cell", F.pmod(F.xxhash64(point), F.col("_parts")).alias("_salt"), F.lit(1).alias("_kind"), F.lit(None).cast(kinds["_r"]).alias("_r"), asked.alias("_p"))
+    # the number is set: few bytes here are much work
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    both = filed.unionByName(own).repartition(min(max(least, 2 * dealt), MOST_PARTS), "_cell", "_salt").sortWithinPartitions("_cell", "_salt", "_kind")
+    kept = [i for i, c in enumerate(rows.columns) if c != "_group"]
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*kinds["_p"].fields, *(kinds["_r"].fields[i] for i in kept)]]
+                       + [T.StructField("distance_km", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    at = {c: rows.columns.index(c) for c in ("_plon", "_plat", fid, *([group] if group else []))}
+    own_lon, own_lat = points.columns.index(lon), points.columns.index(lat)
+    names = [f.name for f in out.fields]
+
+    def run(batches):
+        now, places, ready = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("_cell", "_salt", "_kind")])
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(starts, starts[1:]):
+                if (keys[0, a], keys[1, a]) != now:
+                    now, places, ready = (keys[0, a], keys[1, a]), [], None
+                if keys[2, a] == 0:
+                    places.append(batch.column("_r").slice(a, b - a))
+                elif places:
+                    if ready is None:
+                        ready = prepared(pa.concat_arrays(places))
+                    yield from answered(ready, batch.column("_p").slice(a, b - a))
+
+    def prepared(place):
+        columns = place.flatten()
+        codes = columns[at[group]].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) if group else np.zeros(len(place), np.int64)
+        order = np.argsort(codes, kind="stable")
+        place = place.take(pa.array(order))
+        columns = place.flatten()
+        x, y = (columns[at[c]].to_numpy(zero_copy_only=False) for c in ("_plon", "_plat"))
+        # ids in order, null first
+        ids = columns[at[fid]].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return place, codes[order], x, y, ids, _on_sphere(x, y)
+
+    def answered(ready, asked):
+        place, codes, px, py, ids, on = ready
+        columns = asked.flatten()
+        x, y = (columns[i].to_numpy(zero_copy_only=False) for i in (own_lon, own_lat))
+        for some in _slices(x, y):
+            for i, j in _near_pairs(_on_sphere(x[some], y[some]), on, codes, k, radius_km):
+                i = some[i]
+                km, _ = vincenty(x[i], y[i], px[j], py[j])
+                order = np.lexsort((ids[j], np.where(np.isnan(km), np.inf, km), codes[j], i))
+                i, j, km = i[order], j[order], km[order]
+                fresh = np.ones(len(i), bool)
+                fresh[1:] = (i[1:] != i[:-1]) | (codes[j[1:]] != codes[j[:-1]])
+                number = np.arange(len(i))
+                rank = number - np.maximum.accumulate(np.where(fresh, number, 0)) + 1
+                good = (rank <= k) & (km <= radius_km)
+                i, j = pa.array(i[good]), pa.array(j[good])
+                found = place.take(j).flatten()
+                yield pa.RecordBatch.from_arrays([*asked.take(i).flatten(), *(found[n] for n in kept), pa.array(km[good]), pa.array(rank[good].astype(np.int32))], names)
+
+    return both.mapInArrow(run, out)
+
+
+def _on_sphere(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    lon, lat = np.radians(lon), np.radians(lat)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+
+
+def _slices(lon: np.ndarray, lat: np.ndarray):
+    """Positions of points close to each other, some at a time; those without a place on the globe are left out."""
+    known = np.flatnonzero(np.isfinite(lon) & np.isfinite(lat))
+    i, j = np.floor(lon[known] * 2), np.floor(lat[known] * 2)
+    order = np.lexsort((i, j))
+    known, i, j = known[order], i[order], j[order]
+    ends = np.flatnonzero(np.append((i[1:] != i[:-1]) | (j[1:] != j[:-1]), True)) + 1 if len(known) else []
+    start = 0
+    for end in ends:
+        for a in range(start, end, ARRAY_SLICE):
+            yield known[a:min(a + ARRAY_SLICE, end)]
+        start = end
+
+
+def _near_pairs(q: np.ndarray, on: np.ndarray, codes: np.ndarray, k: int, radius_km: float):
+    """Positions (point, place) on the sphere that may be among the k nearest of a group (equal `codes`, which rise) on the ellipsoid and within the radius.
+
+    A place among the k nearest is no farther than the k-th, and either distance turns into
+    a bound of the other by the slack. A point's pairs come together.
+    """
+    def square(angle):  # of the chord, and a little more than its rounding
+        return 4 * np.sin(np.minimum(angle, np.pi) / 2) ** 2 + 1e-13
+
+    slack, tiny = 1 + SPHERE_SLACK, 1e-6 / MEAN_RADIUS_KM
+    reach = radius_km * slack / MEAN_RADIUS_KM + tiny
+    middle = q.mean(axis=0)
+    long = np.linalg.norm(middle)
+    spread = np.inf if long < 0.5 else np.arccos(np.clip(q @ (middle / long), -1, 1)).max() + 1e-7
+    around = np.arange(len(on)) if reach + spread >= np.pi else np.flatnonzero(on @ (middle / long) >= np.cos(reach + spread) - 1e-12)
+    if not len(around):
+        return
+    on, own = on[around], codes[around]
+    edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+    step = max(1, ARRAY_PRODUCTS // len(around))
+    for at in range(0, len(q), step):
+        chord = 2 - 2 * (q[at:at + step] @ on.T)
+        limit, i, j = np.full(len(chord), square(reach)), [], []
+        for a, b in zip(edges, edges[1:]):
+            bound = limit
+            if b - a > k:
+                last = np.maximum(np.partition(chord[:, a:b], k - 1, axis=1)[:, k - 1], 0) + 1e-13
+                bound = np.minimum(limit, square(2 * np.arcsin(np.minimum(np.sqrt(last) / 2, 1)) * slack * slack + tiny))
+            r, c = np.nonzero(chord[:, a:b] <= bound[:, None])
+            i.append(r + at), j.append(around[c + a])
+        yield np.concatenate(i), np.concatenate(j)
+
+
 def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
                     values: list[str] | None = None) -> DataFrame:
     """Pairs of a point and a place that may be among its k nearest: all of those, and of a crowd few more than `enough`."""
@@ -243,8 +395,11 @@ def candidate_pairs(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: in
 
 
 def _pair_parts(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, radius_km: float, point: str, lon: str, lat: str,
-                values: list[str] | None) -> list[tuple[DataFrame, list[str]]]:
-    """`candidate_pairs` in parts, each with the columns besides the point by which its rows lie together; a point and group is in one part."""
+                values: list[str] | None, ranked_as: tuple[str | None, str] | None = None) -> list[tuple[DataFrame, list[str] | None]]:
+    """`candidate_pairs` in parts, each with the columns besides the point by which its rows lie together; a point and group is in one part.
+
+    With `ranked_as` (group, id), the pairs of dealt places are the k nearest, with distance and rank; None stands for their columns.
+    """
     base = SIDES.index(_side_for(radius_km))
     size, side = index.size, SIDES[base]
     most = enough(k) if size.fits_broadcast else max(enough(k), DEALT_CROWD)
@@ -261,9 +416,13 @@ def _pair_parts(points: DataFrame, index: PlaceIndex, rows: DataFrame, k: int, r
         dense = [(found.filter(_within(lon, lat, F.lit(radius_km))).select(*shown), [])]
     if not size.fits_broadcast:
         # places go to all cells they can be reached from, points to their own: a point's pairs are cut to k where they are made
+        if ranked_as is not None and not crowded_size.rows:
+            side = SIDES[_array_level(index, base, radius_km)]
         filed = rows.withColumn("_cell", F.explode(_reach_cells(F.col("_plon"), F.col("_plat"), F.lit(float(radius_km)), side)))
         if crowded_size.rows:
             filed = lookup_join(filed, crowded, ["_group", "_cell"], "left_anti", size=crowded_size, spread_by=["_plon", "_plat"])
+        if ranked_as is not None:
+            return [(_ranked_by_cell(points, filed, rows, k, radius_km, point, lon, lat, *ranked_as, side), None), *dense]
         pairs, together = _met_by_cell(marked, filed, size, point)
         return [(pairs.filter(_within(lon, lat, F.lit(radius_km))), together), *dense]
     plain = points
@@ -332,8 +491,11 @@ def nearest(points: DataFrame, places: DataFrame | PlaceIndex, k: int, radius_km
         # what is beyond the radius comes last and is cut after the ranks; a filter before them would measure every pair twice
         return hits.withColumn("rank", F.row_number().over(own)).filter((F.col("rank") <= k) & (F.col("distance_km") <= radius_km)).drop(*together)
 
-    found = _pair_parts(located, index, rows, k, float(radius_km), point, lon, lat, values)
-    hits = reduce(DataFrame.unionByName, [ranked(*part) for part in found])
+    # ids that are no integers are left to the ranks of the plan
+    arrays = size.rows >= ARRAY_ROWS and isinstance(rows.schema[fid].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    found = _pair_parts(located, index, rows, k, float(radius_km), point, lon, lat, values, (group, fid) if arrays else None)
+    shown = [*points.columns, *rows.drop("_group").columns, "distance_km", "rank"]
+    hits = reduce(DataFrame.unionByName, [(pairs if together is None else ranked(pairs, together)).select(*shown) for pairs, together in found])
     if details is not None:
         hits = hits.join(details, F.col(fid).eqNullSafe(F.col("_id")))
     return hits.select(

@@ -181,3 +181,26 @@ def test_pairs_are_measured_once_and_cut_before_they_move(spark, shuffled):
     assert plan.count("ArrowEvalPython") == 1
     above = plan[:plan.index("SortMergeJoin")]
     assert above.count("Exchange") == 1 and "WindowGroupLimit" in above[above.index("Exchange"):]
+
+
+@pytest.fixture
+def arrays(monkeypatch, shuffled):
+    """Every table of places is large, and points come to a task in few and small slices."""
+    for name, value in (("ARRAY_ROWS", 0), ("ARRAY_POINTS", 7), ("ARRAY_SLICE", 5), ("ARRAY_PRODUCTS", 300)):
+        monkeypatch.setattr(N, name, value)
+
+
+@pytest.mark.parametrize("places_a_cell", [0, 1 << 19])
+def test_places_ranked_in_arrays_match_brute_force(spark, arrays, monkeypatch, places_a_cell):
+    """Cells as fine as the radius asks and coarser ones; no pair leaves the task that made it but the nearest, with their ranks."""
+    monkeypatch.setattr(N, "ARRAY_PLACES", places_a_cell)
+    rows, xy = scattered(23, 150)
+    hits = nearest(points(spark, xy), places(spark, rows), 25, 30.0, ["place_lon"], group="place", values=["city", "town"])
+    assert found(hits) == brute(xy, rows, 25, 30.0, ["city", "town"])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Window" not in plan[:plan.index("MapInArrow")]
+
+
+def test_arrays_at_the_date_line_and_with_null_groups(spark, arrays, monkeypatch):
+    test_date_line_and_poles(spark)
+    test_groups_are_ranked_alike_whatever_the_size(spark, monkeypatch, True, 0)
